@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", train_rows:
             )
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("doc_id")
+        frame = frame.drop_duplicates("doc_id").drop(columns="all")
         frame = frame.assign(order=mixed(frame["doc_id"].to_numpy().astype(np.uint64))).sort_values("order")
         rows = [
             (np.append(p, 1 << bits).astype(np.int64), np.append(v, 1.0), float(y > 0))
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", train_rows:
 
     made = texts.mapInArrow(featurise, "doc_id long, label double, places array<int>, counts array<float>")
     weights = np.zeros((1 << bits) + 1)
-    for row in made.groupBy(F.lit(0)).applyInPandas(learn, "place long, weight double").collect():
+    for row in made.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "place long, weight double").collect():
         weights[row["place"]] = row["weight"]
     return weights
 

@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
             if out is None:
                 fs.create_dir(at, recursive=True)
-                out = fs.open_output_stream(f"{at}/{name}")
+                out = fs.open_output_stream(f"{at}/{name}", compression=None)
             ids, bounds = with_end(*encode(buf, offs), end_id)
             data = segment(rows.column("doc_id"), ids, bounds)
             out.write(data)

@@ -108,7 +108,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
         for rows in batches:
             if out is None:
                 fs.create_dir(at, recursive=True)
-                out = fs.open_output_stream(f"{at}/{name}")
+                out = fs.open_output_stream(f"{at}/{name}", compression=None)
             keys, ids, places, sizes = [], [], [], []
             columns = (rows.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "target"))
             for page_id, url, html, refers_to, target in zip(*columns, strict=True):
@@ -143,7 +143,7 @@ def write_index(entries: DataFrame, folder: str, block: int = BLOCK) -> DataFram
         for entries in _runs(batches, block):
             if out is None:
                 fs.create_dir(at, recursive=True)
-                out = fs.open_output_stream(f"{at}/{name}")
+                out = fs.open_output_stream(f"{at}/{name}", compression=None)
             data = pack_block(entries)
             out.write(data)
             yield batch(schema, [entries[0][0]], [entries[-1][0]], [len(entries)], [name], [place], [len(data)])
