@@ -35,6 +35,9 @@ CHUNK_BYTES = 2 << 20
 #: Nodes of a group compared in one task, and of a tile.
 GROUP, TILE = 4096, 1024
 BLOCK = 1 << 16  # shingles whose bits are counted at a time
+#: For near copies by similarity: ranges of a sketch, keys taken from it, the radius in which copies of a similarity of
+#: 0.8 lie, and the share of equal ranges from which two sketches count (two standard deviations below 0.8).
+BINS, KEYS, COPY_SHINGLE, COPY_RADIUS, COPY_SHARE = 256, 5, 5, 16, 0.75
 
 
 def bit_majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -53,7 +56,8 @@ def bit_majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(over, axis=1, bitorder="little").reshape(-1, 8).copy().view("<u8").ravel()
 
 
-def simhashes(buf: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+def shingle_hashes(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of every row, and where each row's begin."""
     starts, ends = words(buf, offs)
     lengths = ends - starts
     # the words once more, lower-cased, with one space after each
@@ -69,7 +73,28 @@ def simhashes(buf: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE, seed: i
     data, xxh = flat.tobytes(), xxhash.xxh64_intdigest
     begin, end = places[first].tolist(), (places[last] + lengths[last]).tolist()
     hashes = np.fromiter((xxh(data[a:b], seed) for a, b in zip(begin, end, strict=True)), np.uint64, len(begin))
-    return bit_majority(hashes, np.concatenate([[0], np.cumsum(shingles)]))
+    return hashes, np.concatenate([[0], np.cumsum(shingles)])
+
+
+def sketches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's hashes, the smallest in each of BINS equal ranges: the last byte of each, and KEYS whole ones.
+
+    An empty range takes the value of the next one that has any; a row without hashes has zeros.
+    """
+    rows, shift = len(bounds) - 1, np.uint64(64 - BINS.bit_length() + 1)
+    row = np.repeat(np.arange(rows), np.diff(bounds))
+    least = np.full(rows * BINS, np.iinfo(np.uint64).max, np.uint64)
+    spread = mixed(hashes.copy())
+    np.minimum.at(least, row * BINS + (spread >> shift).astype(np.int64), spread)
+    least = least.reshape(rows, BINS)
+    full = least != np.iinfo(np.uint64).max
+    place = np.where(full, np.arange(BINS), 2 * BINS)
+    ahead = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1]  # the next full range at or after each
+    first = ahead[:, :1]
+    ahead = np.where(ahead < BINS, ahead, np.where(first < BINS, first, 0))
+    least = np.take_along_axis(least, ahead, 1)
+    least[~full.any(1)] = 0
+    return (least & np.uint64(0xFF)).astype(np.uint8), least[:, :: BINS // KEYS][:, :KEYS]
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -79,7 +104,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
     def run(batches):
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
-            yield batch(schema, rows.column("doc_id"), simhashes(buf, offs, shingle, seed).view(np.int64))
+            yield batch(schema, rows.column("doc_id"), bit_majority(*shingle_hashes(buf, offs, shingle, seed)).view(np.int64))
 
     return text_frame(docs).mapInArrow(run, "doc_id long, fp long")
 
@@ -123,8 +148,11 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links_of(fps: np.ndarray, radius: int, other: np.ndarray | None = None, tile: int = TILE) -> np.ndarray:
-    """Links within one array, or between two, that connect what is connected: pairs of fingerprints."""
+def links_of(fps: np.ndarray, radius: int, other: np.ndarray | None = None, tile: int = TILE, alike=None) -> np.ndarray:
+    """Links within one array, or between two, that connect what is connected: pairs of fingerprints.
+
+    alike(i, j) may refuse pairs of places in the joined arrays.
+    """
     both = fps if other is None else np.concatenate([fps, other])
     counts = np.bitwise_count(both).astype(np.int64)
     order = np.argsort(counts, kind="stable")
@@ -141,8 +169,12 @@ def links_of(fps: np.ndarray, radius: int, other: np.ndarray | None = None, tile
             keep = a < b
             if other is not None:
                 keep &= side[a] != side[b]
-            froms.append(a[keep])
-            tos.append(b[keep])
+            a, b = a[keep], b[keep]
+            if alike is not None and len(a):
+                keep = alike(order[a], order[b])
+                a, b = a[keep], b[keep]
+            froms.append(a)
+            tos.append(b)
     if not froms:
         return np.zeros((0, 2), np.uint64)
     label = connected(len(pool), np.concatenate(froms), np.concatenate(tos))
@@ -150,22 +182,56 @@ def links_of(fps: np.ndarray, radius: int, other: np.ndarray | None = None, tile
     return np.stack([pool[at], pool[label[at]]], 1)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP, blocks: int | None = None) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints `fp` of nodes, enough to connect all at most radius bits apart."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def same_share(sketch: np.ndarray, least: float):
+    """A test of pairs of places: enough ranges of their sketches are equal."""
+
+    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), bool)
+        for at in range(0, len(i), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            out[part] = (sketch[i[part]] == sketch[j[part]]).mean(1) >= least
+        return out
+
+    return alike
+
+
+def block_keys(nodes: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
+    """k, part and fp: a row for each choice of blocks of bits of each node; links share one of them at least."""
     masks = block_masks(blocks or choose_blocks(nodes.count(), radius), radius)
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for k, m in enumerate(masks)]))
-    keyed = nodes.select("fp", keys.alias("key")).select("fp", "key.k", "key.part")
+    parts = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for k, m in enumerate(masks)]
+    return nodes.select("fp", F.explode(F.array(*parts)).alias("key")).select("key.k", "key.part", "fp")
+
+
+def links(keyed: DataFrame, radius: int = RADIUS, group: int = GROUP, share: float | None = None) -> DataFrame:
+    """Links (a, b) between fingerprints of one group (k, part), enough to connect all at most radius bits apart.
+
+    With share, the column sketch must agree in that share of ranges too.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    member = F.struct("fp", "sketch") if share is not None else F.struct("fp")
     large = keyed.groupBy("k", "part").count().where(F.col("count") > group)
     keyed = keyed.join(large, ["k", "part"], "left")
     # groups of one task
-    small = keyed.where(F.col("count").isNull()).groupBy("k", "part").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    small = keyed.where(F.col("count").isNull()).groupBy("k", "part").agg(F.collect_list(member).alias("one")).where(F.size("one") > 1)
+
+    def unpack(members: pa.Array) -> tuple[np.ndarray, np.ndarray | None]:
+        fps = members.field("fp").to_numpy().view(np.uint64)
+        if share is None:
+            return fps, None
+        return fps, np.frombuffer(b"".join(members.field("sketch").to_pylist()), np.uint8).reshape(len(fps), -1)
+
+    def found(one: pa.Array, two: pa.Array | None = None) -> np.ndarray:
+        (a, x), (b, y) = unpack(one), unpack(two) if two is not None else (None, None)
+        sketch = x if y is None else np.concatenate([x, y])
+        return links_of(a, radius, b, alike=None if share is None else same_share(sketch, share))
+
+    def rows_of(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.concatenate([np.zeros((0, 2), np.uint64), *pairs])
+        return batch(schema, *(np.ascontiguousarray(both[:, k]).view(np.int64) for k in (0, 1)))
 
     def within(batches):
         for rows in batches:
-            found = [links_of(np.array(x, np.int64).view(np.uint64), radius) for x in rows.column("fps").to_pylist()]
-            both = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
-            yield batch(schema, both[:, 0].view(np.int64), np.ascontiguousarray(both[:, 1]).view(np.int64)) if len(both) else batch(schema, [], [])
+            yield rows_of([found(x.values) for x in rows.column("one")])
 
     # large groups: tiles of one bit count and a bounded size, and the pairs of them within the radius
     tiled = (
@@ -173,25 +239,22 @@ def links(nodes: DataFrame, radius: int = RADIUS, group: int = GROUP, blocks: in
         .withColumn("ones", F.bit_count("fp"))
         .withColumn("sub", F.pmod(F.xxhash64("fp"), F.ceil(F.col("count") / TILE)).cast("int"))
         .groupBy("k", "part", "ones", "sub")
-        .agg(F.collect_list("fp").alias("fps"))
+        .agg(F.collect_list(member).alias("fps"))
     )
     left, right = tiled.alias("l"), tiled.alias("r")
     near = (F.col("l.k") == F.col("r.k")) & (F.col("l.part") == F.col("r.part"))
     near &= F.col("r.ones").between(F.col("l.ones"), F.col("l.ones") + radius)
     near &= (F.col("l.ones") < F.col("r.ones")) | (F.col("l.sub") <= F.col("r.sub"))
-    pairs = left.join(right, near).select(
-        F.col("l.fps").alias("one"), F.col("r.fps").alias("two"), ((F.col("l.ones") == F.col("r.ones")) & (F.col("l.sub") == F.col("r.sub"))).alias("same")
-    )
+    same = (F.col("l.ones") == F.col("r.ones")) & (F.col("l.sub") == F.col("r.sub"))
+    pairs = left.join(right, near).select(F.col("l.fps").alias("one"), F.when(~same, F.col("r.fps")).alias("two"))
 
     def between(batches):
         for rows in batches:
-            for one, two, same in zip(*(rows.column(c).to_pylist() for c in ("one", "two", "same")), strict=True):
-                a, b = (np.array(x, np.int64).view(np.uint64) for x in (one, two))
-                both = links_of(a, radius, None if same else b)
-                yield batch(schema, np.ascontiguousarray(both[:, 0]).view(np.int64), np.ascontiguousarray(both[:, 1]).view(np.int64))
+            for one, two in zip(rows.column("one"), rows.column("two"), strict=True):
+                yield rows_of([found(one.values, two.values if two.is_valid else None)])
 
     out = "a long, b long"
-    return small.select("fps").mapInArrow(within, out).unionByName(pairs.repartition("one").mapInArrow(between, out)).distinct()
+    return small.select("one").mapInArrow(within, out).unionByName(pairs.repartition(F.rand(5)).mapInArrow(between, out)).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -219,10 +282,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """doc_id, fingerprint (16 hex digits) and component_id for each row of docs."""
     prints = stored(fingerprints(docs, shingle, seed), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
+    roots = components(links(block_keys(nodes, radius), radius))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, share: float = COPY_SHARE, shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS, seed: int = SEED) -> DataFrame:
+    """doc_id and component_id by similarity: texts whose sets of five-word shingles overlap in 0.8 or more.
+
+    At that similarity fingerprints lie up to about 16 bits apart, too far for groups of equal blocks of bits. Here the
+    groups are documents that share one of five smallest shingles (two alike documents miss all five with a probability
+    of 0.2 ** 5); within a group the tiled comparison is the same, and a link needs sketches that agree as well.
+    """
+    tune(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
+            hashes, bounds = shingle_hashes(buf, offs, shingle, seed)
+            sketch, keys = sketches(hashes, bounds)
+            yield batch(schema, rows.column("doc_id"), bit_majority(hashes, bounds).view(np.int64), [x.tobytes() for x in sketch], keys.view(np.int64).tolist())
+
+    drawn = text_frame(docs).mapInArrow(run, "doc_id long, fp long, sketch binary, keys array<long>")
+    prints = stored(drawn, "sketches")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("sketch", "keys")).alias("s"))
+    nodes = stored(nodes.select("fp", "first", "s.sketch", "s.keys"), "nodes")
+    keyed = nodes.select("fp", "sketch", F.posexplode("keys").alias("k", "part"))
+    roots = components(links(keyed, radius, share=share))
+    rooted = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.select("doc_id", "fp").join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those that are near copies of one with a smaller doc_id; rows without doc_id stay."""
+    gone = near_copies(docs).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

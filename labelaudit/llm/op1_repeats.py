@@ -38,7 +38,7 @@ from labelaudit.llm.segments import BASE, TABLE, U64, RangeHash, gather, mixed,
 
 LEAST, K = 100, 32
 CHUNK_BYTES, BLOCK = 2 << 20, 1 << 21
-SAMPLE_DOCS, SALTS = 20_000, 32
+SAMPLE_DOCS, SALTS = 20_000, 256
 #: A place in a text holds, above these bits, which of the rows with this doc_id it is in.
 TURN_BITS = 40
 SUFFIX_BYTES = 2 << 20
@@ -187,9 +187,11 @@ class SuffixArray:
         return first[diverse], last[diverse], length[diverse]
 
 
-def _own_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text and turn, which tells rows of one doc_id apart (0 where ids are unique)."""
+def _own_key(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """doc_id, text and turn, which tells rows of one doc_id apart (0 where ids are unique); carried columns as `rest`."""
     frame = text_frame(docs)
+    if carry:
+        frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest"))
     if frame.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         return frame.withColumn("turn", F.lit(0).cast("long"))
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
@@ -203,11 +205,13 @@ def _anchors(keyed: DataFrame, least: int, k: int, hot: np.ndarray) -> DataFrame
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
             h, c, row, at, n = contexts(buf, offs, least, k)
             h, ids = h.view(np.int64), rows.column("doc_id").to_numpy()[row]
-            salt = np.where(np.isin(h, hot), mixed(ids.astype(np.uint64)) % U64(SALTS) + U64(1), 0) if len(hot) else np.zeros(len(h))
             a = at + (rows.column("turn").to_numpy()[row] << TURN_BITS)
+            # by place: one text can hold an anchor thousands of times, too
+            spread = mixed(ids.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + a.astype(np.uint64)) % U64(SALTS) + U64(1)
+            salt = np.where(np.isin(h, hot), spread, U64(0)) if len(hot) else np.zeros(len(h))
             yield batch(schema, h, salt.astype(np.int32), c.view(np.int64), ids, a, n)
 
-    return keyed.where(F.col("doc_id").isNotNull()).mapInArrow(run, "h long, salt int, c long, doc_id long, a long, n int")
+    return keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "turn").mapInArrow(run, "h long, salt int, c long, doc_id long, a long, n int")
 
 
 def frequent_anchors(keyed: DataFrame, least: int, k: int, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -288,11 +292,13 @@ def _first_of(rank: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
 class Repeats:
     """The steps of the search, for one table of documents."""
 
-    def __init__(self, docs: DataFrame, least: int = LEAST, k: int = K):
+    def __init__(self, docs: DataFrame, least: int = LEAST, k: int = K, carry: list[str] | None = None):
         spark = docs.sparkSession
         tune(spark)
         self.least, self.k = least, k
-        self.keyed = _own_key(docs)
+        self.keyed = _own_key(docs, carry or [])
+        # the joins below read the same columns, so that they share one shuffle of the texts
+        self.columns = ["doc_id", "text", "turn", *(["rest"] if carry else [])]
         self.hot = frequent_anchors(self.keyed, least, k)
         self.dealt = self.keyed.repartition("doc_id")  # used by several joins below, and shuffled once
 
@@ -322,7 +328,7 @@ class Repeats:
                     data = [flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
                     yield batch(schema, h, rows.column("doc_id").to_numpy()[row], a, n, skip, data)
 
-        joined = self.dealt.join(lists, "doc_id", "left").select("doc_id", "text", "turn", "needs")
+        joined = self.dealt.join(lists, "doc_id", "left").select(*self.columns, "needs")
         return joined.mapInArrow(run, "h long, doc_id long, a long, n int, skip int, bytes binary")
 
     def from_suffix_arrays(self, wanted: DataFrame) -> DataFrame:
@@ -391,7 +397,7 @@ class Repeats:
                     two = mixed(ranges(at, at + half) * U64(0x9E3779B97F4A7C15) + ranges(at + half, at + least))
                     yield batch(schema, ranges(at, at + least).view(np.int64), two.view(np.int64), np.repeat(rows.column("doc_id").to_numpy()[row], n), np.repeat(a, n) + inner)
 
-        joined = self.dealt.join(lists, "doc_id", "left").select("doc_id", "text", "turn", "needs")
+        joined = self.dealt.join(lists, "doc_id", "left").select(*self.columns, "needs")
         windows = joined.mapInArrow(run, "w1 long, w2 long, doc_id long, a long")
         first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "a")).alias("first"))
         later = windows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "a") > F.col("first"))
@@ -405,7 +411,7 @@ class Repeats:
         if len(self.hot):
             found = found.unionByName(self.from_windows(marks.where("not again and salt > 0")))
         lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n")).alias("cuts"))
-        return self.dealt.join(lists, "doc_id", "left").select("doc_id", "text", "turn", "cuts")
+        return self.dealt.join(lists, "doc_id", "left").select(*self.columns, "cuts")
 
 
 def removed_bytes(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -442,20 +448,31 @@ def removal_digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return Repeats(docs, least).removals().mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, turn and the text left, for each row of docs; a character is removed only as a whole."""
-    schema = pa.schema([("doc_id", pa.int64()), ("turn", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
+def cleaned(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows and columns of docs with the text that is left (n_chars, if there is one, follows it).
+
+    A character is removed only as a whole. Rows whose text was repeats alone are left out.
+    """
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"]
+    removals = Repeats(docs, least, carry=carry).removals()
 
     def run(batches):
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
             gone = removed_bytes(rows, buf, offs)
             lead = np.flatnonzero((buf & 0xC0) != 0x80)
             if len(lead):
-                whole = np.logical_and.reduceat(gone, lead)
-                gone = np.repeat(whole, np.diff(np.append(lead, len(buf))))
+                gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(buf))))
             removed = sums_by_row(gone, offs)
             kept, at = buf[~gone].tobytes(), offs - np.concatenate([[0], np.cumsum(removed)])
-            texts = [kept[x:y].decode() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield batch(schema, rows.column("doc_id"), rows.column("turn"), texts, removed)
-
-    return Repeats(docs, least).removals().mapInArrow(run, "doc_id long, turn long, text string, n_removed long")
+            null = rows.column("text").is_null().to_pylist()
+            texts = [None if n else kept[x:y].decode() for n, x, y in zip(null, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            keep = [not r or bool(t and t.strip()) for r, t in zip(removed.tolist(), texts, strict=True)]
+            out = pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(texts, pa.string()), rows.column("rest")], names=["doc_id", "text", "rest"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    rest = removals.schema["rest"].dataType.simpleString()
+    out = removals.mapInArrow(run, f"doc_id long, text string, rest {rest}")
+    columns = {c: F.col(f"rest.`{c}`") for c in carry} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("text").isNull(), columns["n_chars"]).otherwise(F.length("text"))
+    return out.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in docs.schema])

@@ -136,6 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", train_rows:
     return weights
 
 
+def scores(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray, bits: int = BITS) -> np.ndarray:
+    n = np.maximum(np.diff(row_bounds(words(buf, offs)[0], offs)), 1)
+    total = np.zeros(len(n))
+    for place, row in features(buf, offs, bits):
+        total += np.bincount(row, weights[place], minlength=len(n))
+    return 1 / (1 + np.exp(-np.clip(total / n + float(weights[-1]), -35, 35)))
+
+
 def classify(docs: DataFrame, weights: np.ndarray, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
     tune(docs.sparkSession)
@@ -144,14 +152,8 @@ def classify(docs: DataFrame, weights: np.ndarray, bits: int = BITS, threshold:
     given = docs.sparkSession.sparkContext.broadcast(sent)  # 2**bits + 1 floats: 1 MB
 
     def run(batches):
-        w = given.value
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
-            n = np.maximum(np.diff(row_bounds(words(buf, offs)[0], offs)), 1)
-            total = np.zeros(len(n))
-            for place, row in features(buf, offs, bits):
-                total += np.bincount(row, w[place], minlength=len(n))
-            x = np.clip(total / n + float(w[-1]), -35, 35)
-            yield batch(schema, rows.column("doc_id"), 1 / (1 + np.exp(-x)))
+            yield batch(schema, rows.column("doc_id"), scores(buf, offs, given.value, bits))
 
     scored = text_frame(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -160,3 +162,14 @@ def classify(docs: DataFrame, weights: np.ndarray, bits: int = BITS, threshold:
 def quality_scores(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:
     """Fit on the labels, then score every row of docs."""
     return classify(docs, fit(docs, labels, target))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, target: str = "quality", bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, whole, that the classifier predicts to be good. Nothing is shuffled."""
+    given = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, target, bits=bits).astype(np.float32))
+
+    def run(batches):
+        for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
+            yield rows.filter(pa.array(scores(buf, offs, given.value, bits) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -231,3 +231,16 @@ def quality_rules(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     return text_frame(docs).mapInArrow(
         run, "doc_id long, " + ", ".join(f"{c} long" for c in longs) + ", base_failed boolean, kept boolean, rejected_by string"
     )
+
+
+def accepted(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The rows of docs, whole, that the base rule and the cascade keep. Nothing is shuffled."""
+    tune(docs.sparkSession)
+    order = rule_order(docs) if order is None else order
+
+    def run(batches):
+        for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
+            r = Rows(buf, offs)
+            yield rows.filter(pa.array(cascade(r, ~base_failed(r), order)[0]))
+
+    return docs.mapInArrow(run, docs.schema)

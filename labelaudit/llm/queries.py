@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from labelaudit.llm import (
     op1_repeats,
     op2_multi_index,
@@ -74,6 +75,7 @@ def queries() -> dict:
         "op8_warc": op8_warc_query,
         "op9_rules": op9_rules_query,
         "op10_simhash": op10_simhash_query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
