@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelaudit.llm.common import batch, stored, text_chunks, text_frame, tune
-from labelaudit.llm.segments import SEPARATOR, gather, row_bounds, words
+from labelaudit.llm.segments import SEPARATOR, gather, mixed, row_bounds, words
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 CHUNK_BYTES = 2 << 20
