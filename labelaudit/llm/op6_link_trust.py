@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from labelaudit.llm.common import stored
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-ROUNDS, DAMPING, THRESHOLD = 8, 0.85, 1.0
+ROUNDS, DAMPING, THRESHOLD = 8, 0.85, 0.5
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
