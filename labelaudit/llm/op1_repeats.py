@@ -37,11 +37,11 @@ from labelaudit.llm.common import batch, partitions, stored, text_chunks, text_f
 from labelaudit.llm.segments import BASE, TABLE, U64, RangeHash, gather, mixed, spans, sums_by_row
 
 LEAST, K = 100, 32
-CHUNK_BYTES, BLOCK = 2 << 20, 1 << 21
+CHUNK_BYTES, BLOCK = 1 << 20, 1 << 20
 SAMPLE_DOCS, SALTS = 20_000, 256
 #: A place in a text holds, above these bits, which of the rows with this doc_id it is in.
 TURN_BITS = 40
-SUFFIX_BYTES = 2 << 20
+SUFFIX_BYTES = 1 << 20
 
 
 def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
