@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,13 +149,14 @@ def extract_fields(tokens: DataFrame, scans: DataFrame | None = None) -> DataFra
 
     scans: scan_id and mm_per_px, for the heights of letters.
     """
-    lines = with_anchors(cluster_lines(tokens))
+    # read by six joins below, so the anchors' patterns run once
+    lines = with_anchors(cluster_lines(tokens)).persist(StorageLevel.MEMORY_AND_DISK)
     wanted = candidates(lines)
     # text, box and confidence of each region; place is the reading order
     members = wanted.select("scan_id", "spec", "anchor", "level", F.explode("places").alias("place")).join(lines.select("scan_id", "place", "text", "x", "y", "w", "h", "conf"), ["scan_id", "place"])
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), " ")
     regions = members.groupBy("scan_id", "spec", "anchor", "level").agg(joined.alias("raw"), *_box(), F.bround(F.min("conf"), 3).alias("conf"), F.collect_list("place").alias("places"))
-    fine = regions.where(accepted(F.col("spec"), F.col("raw")))
+    fine = regions.where(accepted(F.col("spec"), F.col("raw"))).persist(StorageLevel.MEMORY_AND_DISK)
     # a region holds one anchor, so all that a taken region can block is an anchor of two fields: a short fold decides
     one = F.array_sort(F.collect_list(F.struct("spec", "anchor", "level", "raw", "x", "y", "x2", "y2", "conf", "places")))
     per = fine.groupBy("scan_id").agg(one.alias("c"))

@@ -97,7 +97,7 @@ def origins(spark, sf_dir):
     return labels(spark, sf_dir).select("scan_id", T.origin_country(o).alias("country"), T.origin_ambiguous(o).alias("ambiguous"), T.looks_imported(o, a).alias("imported"))
 
 
-@query("SELECT n_nationkey, trim(regexp_replace(regexp_replace(lower(n_name || ' ₹ Rs. Ltd., (No-1)'), '₹', ' rs ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS k FROM {nation}")
+@query("SELECT n_nationkey, trim(regexp_replace(regexp_replace(lower(n_name || ' ₹ Rs. Ltd., (No-1)'), '₹', ' rs ', 'g'), '[^a-z0-9_]+', ' ', 'g')) AS k FROM {nation}")
 def compare_keys(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", T.compare_key(F.concat("n_name", F.lit(" ₹ Rs. Ltd., (No-1)"))).alias("k"))
 
@@ -314,7 +314,7 @@ def filed(spark, sf_dir):
     return D.table(spark, sf_dir, FILED), checks(spark, sf_dir)
 
 
-@query(f"SELECT s.scan_id, CASE WHEN s.verdict <> 'VIOLATION' THEN 'not a violation — nothing to file' WHEN s.dossier_sha256 IS NULL THEN 'no dossier attached to this scan' ELSE NULL END AS reason, CASE WHEN s.verdict = 'VIOLATION' AND s.dossier_sha256 IS NOT NULL THEN CASE b.k6 WHEN 0 THEN 'Tasty Foods Ltd.' WHEN 1 THEN 'Box Co' WHEN 2 THEN 'Plain Foods' WHEN 4 THEN 'Global Foods' WHEN 5 THEN 'Mfg. Corner House' ELSE 'Not declared on package (Rule 6(1)(a) finding)' END ELSE NULL END AS respondent FROM ({D.GATEWAY}) s JOIN ({D.LABEL_BASE}) b ON b.scan_id = s.scan_id + 1")
+@query(f"SELECT s.scan_id, CASE WHEN s.verdict <> 'VIOLATION' THEN 'not a violation — nothing to file' WHEN s.dossier_sha256 IS NULL THEN 'no dossier attached to this scan' ELSE NULL END AS reason, CASE WHEN s.verdict = 'VIOLATION' AND s.dossier_sha256 IS NOT NULL THEN CASE b.k6 WHEN 0 THEN 'Tasty Foods Ltd.' WHEN 1 THEN 'Box Co' WHEN 2 THEN 'Plain Foods' WHEN 4 THEN 'Global Foods' WHEN 5 THEN CAST(b.pin AS STRING) ELSE 'Not declared on package (Rule 6(1)(a) finding)' END ELSE NULL END AS respondent FROM ({D.GATEWAY}) s JOIN ({D.LABEL_BASE}) b ON b.scan_id = s.scan_id + 1")
 def consumer_cases(spark, sf_dir):
     cases = gateway.consumer_cases(*filed(spark, sf_dir))
     return cases.select("scan_id", "reason", F.col("payload.case.respondent.name").alias("respondent"))
@@ -363,38 +363,53 @@ UNION ALL SELECT scan_id, 6, mfg_address, 20, 220, 420, 'mlkit' FROM ({lb}) a UN
 UNION ALL SELECT scan_id, 8, consumer_care, 20, 340, 500, 'tesseract' FROM ({lb}) a) t WHERE text IS NOT NULL""".replace("{lb}", D.LABELS)
 
 
+def tokens(spark, sf_dir):
+    """The rows of TOKENS in one pass over the labels."""
+    rows = [
+        ("product_name", F.col("product_name"), 20, 10, 300, "mlkit"), ("net_qty", F.lit("Net Quantity:"), 20, 60, 150, "mlkit"),
+        ("net_qty", F.replace("net_qty", F.lit("Net Quantity: "), F.lit("")), 180, 62, 60, "mlkit"), ("mrp", F.col("mrp"), 20, 100, 400, "mlkit"),
+        ("usp", F.col("usp"), 20, 140, 300, "mlkit"), ("mfg_date", F.col("mfg_date"), 20, 180, 200, "mlkit"), ("mfg_address", F.col("mfg_address"), 20, 220, 420, "mlkit"),
+        ("origin", F.col("origin"), 20, 300, 200, "mlkit"), ("consumer_care", F.col("consumer_care"), 20, 340, 500, "tesseract"),
+    ]
+    made = [
+        F.struct(F.lit(k).alias("tok"), text.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("w"), F.lit(24).alias("h"), F.lit(0.9).alias("conf"), F.lit(engine).alias("engine"))
+        for k, (_, text, x, y, w, engine) in enumerate(rows)
+    ]
+    return labels(spark, sf_dir).select("scan_id", F.inline(F.array(*made))).where("text is not null")
+
+
 @query()
 def cluster_lines(spark, sf_dir):
-    lines = extract.cluster_lines(D.table(spark, sf_dir, TOKENS))
+    lines = extract.cluster_lines(tokens(spark, sf_dir))
     return lines.groupBy("scan_id", "line").agg(F.count("*").alias("tokens"))
 
 
 @query()
 def extract_fields(spark, sf_dir):
-    return extract.extract_fields(D.table(spark, sf_dir, TOKENS)).select("scan_id", "field", "raw", "unit", "x", "y", "w", "h")
+    return extract.extract_fields(tokens(spark, sf_dir)).select("scan_id", "field", "raw", "unit", "x", "y", "w", "h")
 
 
 @query()
 def audit_tokens(spark, sf_dir):
-    tokens = D.table(spark, sf_dir, TOKENS)
-    fields = extract.extract_fields(tokens)
+    seen = tokens(spark, sf_dir)
+    fields = extract.extract_fields(seen)
     found = rules.audit(extract.to_labels(fields))
-    return rules.verdicts(found, tokens.select("scan_id").distinct(), extract.stage_flags(fields, tokens))
+    return rules.verdicts(found, seen.select("scan_id").distinct(), extract.stage_flags(fields, seen))
 
 
 @query(f"SELECT scan_id, tok FROM (SELECT *, MIN(CASE engine WHEN 'mlkit' THEN 1 ELSE 2 END) OVER (PARTITION BY scan_id) AS best FROM ({TOKENS}) t) b WHERE best = CASE engine WHEN 'mlkit' THEN 1 ELSE 2 END")
 def ocr_tiers(spark, sf_dir):
-    return extract.pick_ocr_tier(D.table(spark, sf_dir, TOKENS)).select("scan_id", "tok")
+    return extract.pick_ocr_tier(tokens(spark, sf_dir)).select("scan_id", "tok")
 
 
 @query(f"SELECT scan_id, string_agg(engine, ',' ORDER BY engine) AS engines FROM (SELECT DISTINCT scan_id, engine FROM ({TOKENS}) t) d GROUP BY scan_id")
 def engines_used(spark, sf_dir):
-    return gateway.engines_used(D.table(spark, sf_dir, TOKENS)).select("scan_id", F.array_join("engines", ",").alias("engines"))
+    return gateway.engines_used(tokens(spark, sf_dir)).select("scan_id", F.array_join("engines", ",").alias("engines"))
 
 
 @query()
 def merge_words(spark, sf_dir):
-    return extract.merge_words(D.table(spark, sf_dir, TOKENS)).select("scan_id", "tok", "text", "x", "y", "w", "h")
+    return extract.merge_words(tokens(spark, sf_dir)).select("scan_id", "tok", "text", "x", "y", "w", "h")
 
 
 WORDS = "SELECT CAST(doc_id AS BIGINT) AS scan_id, CAST(0 AS INT) AS tok, substr(text, 1, 12) AS text, CAST(doc_id % 500 AS INT) AS x, CAST(doc_id % 300 AS INT) AS y, CAST(doc_id % 60 AS INT) AS w, CAST(doc_id % 40 AS INT) AS h, CAST(doc_id % 120 AS DOUBLE) AS conf, CAST(2.0 AS DOUBLE) AS scale FROM {documents}"
