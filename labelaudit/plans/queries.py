@@ -73,10 +73,10 @@ def parse_month_orders(spark, sf_dir):
     return o.select("o_orderkey", (F.year(d) * 100 + F.month(d)).cast("long").alias("year_month"))
 
 
-@query(f"SELECT scan_id, CASE WHEN k23 <> 0 AND unit IN ('gms', 'ltr', 'kgs') THEN unit ELSE NULL END AS token, CASE WHEN k23 <> 0 AND unit IN ('gms', 'ltr', 'kgs') THEN {CANON} ELSE NULL END AS suggestion, CASE WHEN k23 <> 0 AND unit IN ('gms', 'ltr', 'kgs') THEN 15 + length(CAST(q AS STRING)) ELSE NULL END AS at FROM ({D.LABEL_BASE}) b")
+@query(f"SELECT scan_id, CASE WHEN k23 <> 0 AND unit IN ('gms', 'ltr', 'kgs') THEN unit ELSE NULL END AS token, CASE WHEN k23 <> 0 AND unit IN ('gms', 'ltr', 'kgs') THEN {CANON} ELSE NULL END AS suggestion, CASE WHEN k23 <> 0 AND unit IN ('gms', 'ltr', 'kgs') THEN 15 + length(CAST(q AS STRING)) ELSE NULL END AS hit_start FROM ({D.LABEL_BASE}) b")
 def prohibited_units(spark, sf_dir):
     hit = F.get(T.prohibited_hits(T.squash(F.col("net_qty"))), F.lit(0))
-    return labels(spark, sf_dir).select("scan_id", hit["token"].alias("token"), hit["suggestion"].alias("suggestion"), hit["start"].cast("long").alias("at"))
+    return labels(spark, sf_dir).select("scan_id", hit["token"].alias("token"), hit["suggestion"].alias("suggestion"), hit["start"].cast("long").alias("hit_start"))
 
 
 @query(f"SELECT scan_id, CASE WHEN k6 IN (0, 1, 4, 5) THEN CAST(pin AS STRING) ELSE NULL END AS pin FROM ({D.LABEL_BASE}) b")
@@ -295,11 +295,11 @@ def ingest_decisions(spark, sf_dir):
 STAGES = "SELECT CAST(l_orderkey AS BIGINT) AS scan_id, 's' || CAST(l_linenumber AS STRING) AS stage, CAST(l_quantity AS DOUBLE) AS duration_ms, l_returnflag <> 'R' AS ok FROM {lineitem}"
 
 
-@query(f"SELECT stage, ROUND(AVG(duration_ms), 6) AS mean_ms, AVG(duration_ms) > 25.5 AS over FROM ({STAGES}) s GROUP BY stage")
+@query(f"SELECT stage, ROUND(AVG(duration_ms), 6) AS mean_ms, AVG(duration_ms) > 25.5 AS over_budget FROM ({STAGES}) s GROUP BY stage")
 def stage_latencies(spark, sf_dir):
     stages = D.table(spark, sf_dir, STAGES)
     budgets = stages.select("stage").distinct().withColumn("budget_ms", F.lit(25.5))
-    return gateway.stage_latency(stages, budgets).select("stage", F.round("mean_ms", 6).alias("mean_ms"), "over")
+    return gateway.stage_latency(stages, budgets).select("stage", F.round("mean_ms", 6).alias("mean_ms"), F.col("over").alias("over_budget"))
 
 
 @query(f"SELECT scan_id, SUM(duration_ms) AS total_ms, CAST(COUNT(*) AS BIGINT) AS stages FROM ({STAGES}) s GROUP BY scan_id")
