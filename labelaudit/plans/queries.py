@@ -516,3 +516,94 @@ def signature_codes(spark, sf_dir):
     requests = e.select((F.col("event_id") * 2).cast("string").alias("scan_id"), F.when(F.col("event_id") % 8 == 0, "").otherwise("sig").alias("signature"))
     ledger = recorded(spark, sf_dir).withColumn("scan_id", F.col("scan_id").cast("string"))
     return gateway.attach_signatures(requests, ledger).groupBy("code").agg(F.count("*").alias("n"))
+
+
+# ---- ledger views, evidence, options, calibration --------------------------------------------------------------------
+@query(f"SELECT scan_id, CASE WHEN verdict = 'VIOLATION' THEN TRUE WHEN verdict = 'PASS' THEN scan_id % 2 = 0 ELSE FALSE END AS dossier FROM ({D.GATEWAY}) g")
+def dossier_gates(spark, sf_dir):
+    return recorded(spark, sf_dir).select("scan_id", gateway.dossier_gate(F.col("verdict"), F.col("scan_id") % 2 == 0).alias("dossier"))
+
+
+FRAMES = "SELECT scan_id, CAST(1600 AS INT) AS frame_w, CAST(900 + scan_id % 300 AS INT) AS frame_h FROM ({lb}) b".replace("{lb}", D.LABEL_BASE)
+BOXED = f"SELECT scan_id, ord, rule, status, CASE WHEN ord = 5 THEN CAST(NULL AS INT) ELSE CAST(scan_id % 1500 AS INT) END AS ex, CAST(40 * ord AS INT) AS ey, CAST(20 + scan_id % 400 AS INT) AS ew, CAST(20 AS INT) AS eh FROM ({D.CHECKS}) c"
+
+
+@query(f"""SELECT scan_id, CAST(n AS INT) AS n, rule, CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, CAST(LEAST(frame_w, ex + ew + dx) - cx AS BIGINT) AS cw, CAST(LEAST(frame_h, ey + eh + 3) - cy AS BIGINT) AS ch FROM (
+SELECT b.*, f.frame_w, f.frame_h, CAST(FLOOR(ew * 0.15) AS BIGINT) AS dx, GREATEST(0, ex - CAST(FLOOR(ew * 0.15) AS BIGINT)) AS cx, GREATEST(0, ey - 3) AS cy FROM (
+SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY ord) AS n FROM ({BOXED}) x WHERE status = 'FAIL' AND ex IS NOT NULL) b JOIN ({FRAMES}) f ON f.scan_id = b.scan_id WHERE n <= 6) y
+WHERE LEAST(frame_w, ex + ew + dx) - cx >= 8 AND LEAST(frame_h, ey + eh + 3) - cy >= 8""")
+def evidence_manifest(spark, sf_dir):
+    found = gateway.evidence_manifest(D.table(spark, sf_dir, BOXED), D.table(spark, sf_dir, FRAMES))
+    return found.select("scan_id", "n", "rule", *[F.col(c).cast("long").alias(c) for c in ("cx", "cy", "cw", "ch")])
+
+
+TRUTH = "SELECT CAST(p_partkey AS STRING) AS fixture, CASE p_partkey % 4 WHEN 0 THEN 'pouch' WHEN 1 THEN 'bottle' WHEN 2 THEN 'odd' ELSE 'rectangular' END AS shape, CAST(p_size AS DOUBLE) AS height, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(4.0 AS DOUBLE) END AS width, CASE WHEN p_partkey % 5 = 0 THEN CAST(9.0 AS DOUBLE) ELSE NULL END AS given_height, CAST(p_partkey % 6 AS INT) AS n_fields FROM {part}"
+
+
+def truth(spark, sf_dir):
+    none = F.lit(None).cast("double")
+    dims = F.struct("height", "width", none.alias("diameter"), none.alias("total_surface"))
+    options = F.struct(F.col("given_height").alias("package_height_cm"), none.alias("package_width_cm"), none.alias("package_diameter_cm"), none.alias("total_surface_cm2"))
+    return D.table(spark, sf_dir, TRUTH).select("fixture", "shape", dims.alias("dims"), options.alias("options"), "n_fields")
+
+
+@query(f"SELECT fixture, COALESCE(given_height, height) AS package_height_cm, width AS package_width_cm FROM ({TRUTH}) t")
+def options_from_truth(spark, sf_dir):
+    return golden.options_from_truth(truth(spark, sf_dir)).select("fixture", "package_height_cm", "package_width_cm")
+
+
+@query(f"SELECT problem, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CASE WHEN shape = 'odd' THEN 'shape is not one of the known ones' END AS problem FROM ({TRUTH}) a UNION ALL SELECT CASE WHEN shape IN ('pouch', 'rectangular') AND width IS NULL THEN 'flat shapes want height and width' END FROM ({TRUTH}) b UNION ALL SELECT CASE WHEN n_fields = 0 THEN 'fields required' END FROM ({TRUTH}) c) p WHERE problem IS NOT NULL GROUP BY problem")
+def validate_truth(spark, sf_dir):
+    return golden.validate_truth(truth(spark, sf_dir)).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+RUN_A = "SELECT 'i' || CAST(event_id AS STRING) AS image_sha256, CAST(1 + event_id % 10 AS DOUBLE) / 10 AS mm_per_px, CAST(event_id % 200 AS DOUBLE) AS laplacian_var, CAST(event_id % 30 AS DOUBLE) / 10 AS glare_pct FROM {events}"
+RUN_B = "SELECT 'i' || CAST(event_id AS STRING) AS image_sha256, CAST(1 + event_id % 10 AS DOUBLE) / 10 * CASE WHEN event_id % 4 = 0 THEN 1.2 ELSE 1.01 END AS mm_per_px, CAST((event_id + 5) % 200 AS DOUBLE) AS laplacian_var, CAST(event_id % 30 AS DOUBLE) / 10 AS glare_pct FROM {events}"
+
+
+@query("SELECT scale_ok, blur_same, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT event_id % 4 <> 0 AS scale_ok, (event_id % 200 < 100) = ((event_id + 5) % 200 < 100) AS blur_same FROM {events}) e GROUP BY 1, 2")
+def calibration_agreement(spark, sf_dir):
+    both = geometry.calibration_agreement(D.table(spark, sf_dir, RUN_A), D.table(spark, sf_dir, RUN_B))
+    return both.groupBy("scale_ok", "blur_same").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(l_orderkey AS BIGINT) AS scan_id, CAST(l_linenumber AS INT) AS tok, CAST(l_quantity + CASE WHEN l_orderkey % 2 = 0 THEN 100 ELSE 0 END AS BIGINT) AS x FROM {lineitem}")
+def shift_boxes(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "SELECT CAST(l_orderkey AS BIGINT) AS scan_id, CAST(l_linenumber AS INT) AS tok, CAST(l_quantity AS BIGINT) AS x, CAST(0 AS BIGINT) AS y FROM {lineitem}")
+    origins = D.table(spark, sf_dir, "SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS scan_id, CAST(100 AS BIGINT) AS ox, CAST(5 AS BIGINT) AS oy FROM {lineitem} WHERE l_orderkey % 2 = 0")
+    return geometry.shift_boxes(rows, origins).select("scan_id", "tok", "x")
+
+
+ANNOTATED = "SELECT CAST(event_id AS BIGINT) AS image_id, CAST(event_id % 5 AS INT) AS class_id, CAST(event_id % 100 AS DOUBLE) AS x, CAST(event_id % 50 AS DOUBLE) AS y, CAST(8 AS DOUBLE) AS w, CAST(16 AS DOUBLE) AS h, CAST(128 AS DOUBLE) AS img_w, CAST(64 AS DOUBLE) AS img_h FROM {events}"
+
+
+@query(f"SELECT image_id, class_id, ROUND((x + 4) / 128, 6) AS cx, ROUND((y + 8) / 64, 6) AS cy, CAST(0.0625 AS DOUBLE) AS bw, CAST(0.25 AS DOUBLE) AS bh FROM ({ANNOTATED}) a")
+def normalise_boxes(spark, sf_dir):
+    return geometry.normalise_boxes(D.table(spark, sf_dir, ANNOTATED))
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS scan_id, CASE WHEN event_id % 10 < 3 THEN 'tilt' WHEN event_id % 4 = 0 THEN 'scale mismatch' ELSE '' END AS first_warning, event_id % 3 = 0 AS stopped, CASE WHEN event_id % 7 = 0 THEN 'pouch' ELSE 'bottle' END AS shape FROM {events} WHERE NOT (event_id % 10 < 3 AND event_id % 4 = 0)")
+def calibration_gates(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("not (event_id % 10 < 3 and event_id % 4 = 0)")
+    scale = F.when(F.col("event_id") % 3 != 0, 0.2)
+    warned = geometry.calibration_warnings(F.lit(0.2), F.when(F.col("event_id") % 4 == 0, 0.3).otherwise(0.21), F.when(F.col("event_id") % 10 < 3, 30.0).otherwise(5.0))
+    shape = geometry.effective_shape(F.when(F.col("event_id") % 7 == 0, "pouch").otherwise(""), F.lit("bottle"))
+    return e.select(F.col("event_id").cast("long").alias("scan_id"), F.coalesce(F.get(warned, F.lit(0)), F.lit("")).alias("first_warning"), geometry.scale_gate(scale, F.lit(None).cast("double")).isNotNull().alias("stopped"), shape.alias("shape"))
+
+
+@query(f"SELECT scan_id, CAST(SUM(CASE WHEN status = 'FAIL' THEN 1 ELSE 0 END) AS BIGINT) AS fails, CAST(COUNT(*) AS BIGINT) AS checks FROM ({D.CHECKS}) c GROUP BY scan_id")
+def result_documents(spark, sf_dir):
+    from labelaudit.sources import tables
+
+    rows = labels(spark, sf_dir)
+    found = rules.audit(rows)
+    fields = rows.select("scan_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("raw"), F.lit(None).cast("string").alias("unit"), F.lit(0.9).alias("conf")) for f in V.FIELDS]))).where("raw is not null")
+    docs = tables.result_documents(rules.verdicts(found, rows), found, fields)
+    return docs.select("scan_id", F.col("result.summary.fail").alias("fails"), F.size("result.checks").cast("long").alias("checks"))
+
+
+@query(f"SELECT scan_id, CASE WHEN new THEN 'signed' ELSE sig_status END AS sig_status FROM (SELECT *, scan_id % 5 = 0 AS new FROM ({D.GATEWAY}) g) h")
+def signatures_applied(spark, sf_dir):
+    ledger = recorded(spark, sf_dir).withColumn("signature", F.lit(None).cast("string"))
+    got = ledger.where("scan_id % 5 = 0").select("scan_id", F.lit("s").alias("signature"))
+    return gateway.apply_signatures(ledger, got).select("scan_id", "sig_status")
