@@ -28,7 +28,7 @@ def overlap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
 def cluster_lines(tokens: DataFrame) -> DataFrame:
     """tokens with their line: in reading order a token joins the line before if it overlaps that line's growing box."""
     columns = [c for c in tokens.columns if c not in ("scan_id", "y", "x", "tok")]
-    sorted_tokens = F.array_sort(F.collect_list(F.struct("y", "x", "tok", *columns)))
+    sorted_tokens = F.sort_array(F.collect_list(F.struct("y", "x", "tok", *columns)))
     per = tokens.groupBy("scan_id").agg(sorted_tokens.alias("t"))
     start = F.struct(F.lit(-1).alias("line"), F.lit(0).alias("top"), F.lit(0).alias("bottom"), F.array().cast("array<int>").alias("lines"))
 
@@ -56,7 +56,7 @@ def with_anchors(lines: DataFrame) -> DataFrame:
 
 def merge_words(words: DataFrame) -> DataFrame:
     """Words to line tokens: each word goes to the first line, of all, that it overlaps; text in x order, least conf, union box."""
-    per = words.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "tok", "text", "w", "h", "conf"))).alias("t"))
+    per = words.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "tok", "text", "w", "h", "conf"))).alias("t"))
     boxes = "array<struct<top:int,bottom:int>>"
     start = F.struct(F.array().cast(boxes).alias("boxes"), F.array().cast("array<int>").alias("lines"))
 
@@ -71,7 +71,7 @@ def merge_words(words: DataFrame) -> DataFrame:
 
     placed = per.select("scan_id", F.posexplode(F.arrays_zip("t", F.aggregate("t", start, step, lambda s: s["lines"]).alias("line"))).alias("place", "z"))
     placed = placed.select("scan_id", "place", F.col("z.t.*"), F.col("z.line").alias("line"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "place", "text"))), lambda s: s["text"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "place", "text"))), lambda s: s["text"]), " ")
     out = placed.groupBy("scan_id", "line").agg(
         text.alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"),
         (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"), F.bround(F.min("conf"), 3).alias("conf"),
@@ -154,11 +154,11 @@ def extract_fields(tokens: DataFrame, scans: DataFrame | None = None) -> DataFra
     wanted = candidates(lines)
     # text, box and confidence of each region; place is the reading order
     members = wanted.select("scan_id", "spec", "anchor", "level", F.explode("places").alias("place")).join(lines.select("scan_id", "place", "text", "x", "y", "w", "h", "conf"), ["scan_id", "place"])
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), " ")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), " ")
     regions = members.groupBy("scan_id", "spec", "anchor", "level").agg(joined.alias("raw"), *_box(), F.bround(F.min("conf"), 3).alias("conf"), F.collect_list("place").alias("places"))
     fine = regions.where(accepted(F.col("spec"), F.col("raw"))).persist(StorageLevel.MEMORY_AND_DISK)
     # a region holds one anchor, so all that a taken region can block is an anchor of two fields: a short fold decides
-    one = F.array_sort(F.collect_list(F.struct("spec", "anchor", "level", "raw", "x", "y", "x2", "y2", "conf", "places")))
+    one = F.sort_array(F.collect_list(F.struct("spec", "anchor", "level", "raw", "x", "y", "x2", "y2", "conf", "places")))
     per = fine.groupBy("scan_id").agg(one.alias("c"))
     start = F.struct(F.array().cast("array<int>").alias("done"), F.array().cast("array<int>").alias("used"), F.array().cast("array<int>").alias("picked"), F.lit(0).alias("at"))
 

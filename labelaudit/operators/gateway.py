@@ -144,7 +144,7 @@ def evidence_manifest(checks: DataFrame, frames: DataFrame, most: int = 6, margi
 def violations(checks: DataFrame) -> DataFrame:
     """Per scan the failed checks in order, as an array."""
     one = F.struct("ord", "rule", "message")
-    return checks.where("status = 'FAIL'").groupBy("scan_id").agg(F.array_sort(F.collect_list(one)).alias("violations"))
+    return checks.where("status = 'FAIL'").groupBy("scan_id").agg(F.sort_array(F.collect_list(one)).alias("violations"))
 
 
 def consumer_cases(scans: DataFrame, checks: DataFrame) -> DataFrame:

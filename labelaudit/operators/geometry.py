@@ -89,7 +89,7 @@ def suppress_detections(detections: DataFrame, least: float = 0.25, overlap: flo
         ((px("cx") - px("w") * 0.5 - F.col("pad_x")) / F.col("gain")).alias("x"), ((px("cy") - px("h") * 0.5 - F.col("pad_y")) / F.col("gain")).alias("y"),
         (px("w") / F.col("gain")).alias("w"), (px("h") / F.col("gain")).alias("h"),
     ).where(F.col("score") >= least)
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "anchor", "score", "x", "y", "w", "h")))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "anchor", "score", "x", "y", "w", "h")))
     per = boxed.groupBy("image_id", "class").agg(ranked.alias("d"))
     kind = per.schema["d"].dataType.simpleString()
     start = F.array().cast(kind)

@@ -41,10 +41,33 @@ def prepared(labels: DataFrame) -> DataFrame:
             "m": F.coalesce(F.col("mrp_value"), T.money(F.col("mrp"))),
             "goods": F.lower(F.coalesce(F.nullif("commodity", F.lit("")), "product_name", F.lit(""))),
             "maker_pin": T.pin(F.col("mfg_address")),
+            **_matches(),
         }
     )
 
 
+def _matches() -> dict[str, Column]:
+    """What each pattern finds, as columns of their own: findings and their messages read them several times."""
+    address, care, mrp = F.col("mfg_address"), F.col("consumer_care"), F.col("mrp")
+    text = F.coalesce("origin", "mfg_address")
+    tail = T.origin_tail(text)
+    return {
+        "bad_in_qty": T.first_prohibited(F.col("net_qty")),
+        "bad_in_usp": T.first_prohibited(F.col("usp")),
+        "mrp_worded": T.has(mrp, V.MRP_WORDING),
+        "tax_worded": T.has(mrp, V.TAX_WORDING),
+        "made": T.month(F.col("mfg_date")),
+        "third_party": (T.has(address, V.PACKER) | T.has(address, V.MARKETER)) & ~T.has(address, V.MAKER),
+        "origin_text": text,
+        "country": T.found(tail, T.any_of(V.COUNTRIES), 1),
+        "vague": T.found(tail, T.any_of(V.AMBIGUOUS_ORIGINS), 1),
+        "care_phone": T.phone(care),
+        "care_email": T.email(care),
+        "care_pin": T.pin(care),
+        "care_above": T.has(care, V.AS_ABOVE),
+    }
+
+
 def check(rule: str, ok: Column, message: Column, field: Column | str | None) -> Column:
     status = F.when(ok.isNull(), "NA").when(ok, "PASS").otherwise("FAIL")
     where = field if isinstance(field, Column) else F.lit(field).cast("string")
@@ -84,8 +107,8 @@ def exemption() -> Column:
 
 
 def rule_13() -> Column:
-    first = F.when(T.first_prohibited(F.col("net_qty")).isNotNull(), "net_qty").when(T.first_prohibited(F.col("usp")).isNotNull(), "usp")
-    token = F.coalesce(T.first_prohibited(F.col("net_qty")), T.first_prohibited(F.col("usp")))
+    first = F.when(F.col("bad_in_qty").isNotNull(), "net_qty").when(F.col("bad_in_usp").isNotNull(), "usp")
+    token = F.coalesce("bad_in_qty", "bad_in_usp")
     bad = F.concat(
         F.lit("Prohibited unit syntax '"), token, F.lit("' in "), T.lookup(V.FIELD_LABELS, first), F.lit(" — statutory symbol '"), T.suggestion_for(token),
         F.lit("' required. Rule 13, LMPC Rules 2011 — standard metric unit symbols; prohibited syntax (gms, ltr, cc, ...)."),
@@ -115,9 +138,9 @@ def listed(*pairs: tuple[Column, str]) -> Column:
 def rule_mrp() -> Column:
     text = F.col("mrp")
     missing = listed(
-        (~T.has(text, V.MRP_WORDING), "'MRP' / 'Maximum Retail Price' wording"),
+        (~F.col("mrp_worded"), "'MRP' / 'Maximum Retail Price' wording"),
         (F.col("mrp_digits").isNull(), "rupee amount"),
-        (~T.has(text, V.TAX_WORDING), "statutory phrase 'inclusive of all taxes'"),
+        (~F.col("tax_worded"), "statutory phrase 'inclusive of all taxes'"),
     )
     message = (
         F.when(text.isNull(), "MRP declaration not detected.")
@@ -171,7 +194,7 @@ def rule_unit_price() -> Column:
 
 
 def rule_date() -> Column:
-    text, month = F.col("mfg_date"), T.month(F.col("mfg_date"))
+    text, month = F.col("mfg_date"), F.col("made")
     message = (
         F.when(text.isNull(), "Date of manufacture / packing not detected.")
         .when(month.isNull(), F.concat(F.lit("Date '"), F.substring(text, 1, 40), F.lit("' is not in a statutory form (MM/YYYY, Month YYYY, or DD/MM/YYYY) — Rule 6(1)(d).")))
@@ -182,7 +205,7 @@ def rule_date() -> Column:
 
 def rule_address() -> Column:
     text, pin = F.col("mfg_address"), F.col("maker_pin")
-    third = (T.has(text, V.PACKER) | T.has(text, V.MARKETER)) & ~T.has(text, V.MAKER)
+    third = F.col("third_party")
     message = (
         F.when(text.isNull(), "Manufacturer / packer / importer details not detected.")
         .when(third, "Packer / marketer is named without manufacturer details — Rule 6(1)(a) requires both when a third party packs the commodity.")
@@ -193,8 +216,7 @@ def rule_address() -> Column:
 
 
 def rule_origin() -> Column:
-    text = F.coalesce("origin", "mfg_address")
-    country, vague = T.origin_country(text), T.origin_ambiguous(text)
+    text, country, vague = F.col("origin_text"), F.col("country"), F.col("vague")
     hint = T.looks_imported(F.col("mfg_address"), text)
     ok = F.when(text.isNotNull(), country.isNotNull()).when(hint, False)
     message = (
@@ -209,8 +231,8 @@ def rule_origin() -> Column:
 
 def rule_care() -> Column:
     text = F.col("consumer_care")
-    phone, email, pin = T.phone(text), T.email(text), F.coalesce(T.pin(text), F.col("maker_pin"))
-    placed = pin.isNotNull() | T.has(text, V.AS_ABOVE)
+    phone, email, pin = F.col("care_phone"), F.col("care_email"), F.coalesce("care_pin", "maker_pin")
+    placed = pin.isNotNull() | F.col("care_above")
     missing = listed((phone.isNull(), "telephone helpline"), (email.isNull(), "email address"), (~placed, "postal address with PIN"))
     place = F.coalesce(F.concat(F.lit("PIN "), pin), F.lit("address as above (Rule 6(1)(n) proviso)"))
     message = (
@@ -262,7 +284,7 @@ def glyph_checks(glyphs: DataFrame) -> DataFrame:
     narrow = F.col("glyph").isin(*V.NARROW_GLYPHS)
     bad = ~narrow & (F.col("width_mm") < F.col("height_mm") / 3 - 1e-9)
     sample = F.when(bad, F.struct("g", F.format_string("'%s' %.2fx%.2f mm", "glyph", "width_mm", "height_mm").alias("text")))
-    per = glyphs.groupBy("scan_id").agg(F.count_if(bad).alias("bad"), F.array_sort(F.collect_list(sample)).alias("samples"))
+    per = glyphs.groupBy("scan_id").agg(F.count_if(bad).alias("bad"), F.sort_array(F.collect_list(sample)).alias("samples"))
     texts = F.array_join(F.transform(F.slice("samples", 1, 3), lambda s: s["text"]), ", ")
     message = F.when(F.col("bad") > 0, F.concat(F.lit("Character width below height/3 (Rule 7(3)): "), texts, F.lit("."))).otherwise("All measured characters satisfy width >= height/3.")
     return per.select("scan_id", check("7(3)", F.col("bad") == 0, message, None).alias("glyph_check"))

@@ -128,3 +128,12 @@ def oracle(sql: str) -> str:
     for n in ("part", "events", "supplier", "nation", "lineitem", "orders", "customer", "documents", "labels", "pages", "embeddings", "benchmark"):
         sql = sql.replace("{" + n + "}", n)
     return sql
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files give fewer partitions than that: rows are short, the work on each is not.
+
+    Tables of many files are left as they are, so this moves nothing at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, D.LABELS)
+    return D.spread(D.table(spark, sf_dir, D.LABELS))
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ AT_VOLUME_P = f"SELECT *, CAST(FLOOR((2 * cents * den + amount) / (2.0 * amount)
 
 @query(f"SELECT unit, CASE WHEN one THEN 'PASS' WHEN ABS(paise * amount - cents * den) <= amount THEN 'PASS' ELSE 'FAIL' END AS status, CAST(COUNT(*) AS BIGINT) AS n FROM ({AT_VOLUME_P}) p GROUP BY 1, 2")
 def unit_price_at_volume(spark, sf_dir):
-    rows = D.table(spark, sf_dir, AT_VOLUME_P)
+    rows = D.spread(D.table(spark, sf_dir, AT_VOLUME_P))
     hundredth = lambda c: (F.col(c).cast("decimal(14,4)") / 100).cast("decimal(14,4)")
     r = rules.unit_price_result(hundredth("cents"), F.col("amount").cast("decimal(14,4)"), F.col("unit"), hundredth("paise"), F.col("price_unit"))
     return rows.groupBy("unit", F.when(r["ok"], "PASS").otherwise("FAIL").alias("status")).agg(F.count("*").alias("n"))

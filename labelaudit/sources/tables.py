@@ -98,8 +98,8 @@ def append_ledger(rows: DataFrame, path: str) -> None:
 
 def result_documents(scans: DataFrame, checks: DataFrame, fields: DataFrame) -> DataFrame:
     """scan_id and one nested result: verdict, checks in order, fields as a map, summary."""
-    listed = checks.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("ord", "rule", "status", "message"))).alias("checks"))
-    mapped = fields.groupBy("scan_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("raw", "unit", "conf"))))).alias("fields"))
+    listed = checks.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("ord", "rule", "status", "message"))).alias("checks"))
+    mapped = fields.groupBy("scan_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", F.struct("raw", "unit", "conf"))))).alias("fields"))
     both = scans.join(listed, "scan_id", "left").join(mapped, "scan_id", "left")
     summary = F.struct("total", F.col("passed").alias("pass"), F.col("failed").alias("fail"), "na")
     return both.select("scan_id", F.struct("verdict", "checks", "fields", summary.alias("summary")).alias("result"))
