@@ -225,6 +225,11 @@ def frequent_anchors(keyed: DataFrame, least: int, k: int, sample_docs: int = SA
     return np.array(sorted(r["h"] for r in found.select("h").collect()), np.int64)
 
 
+def _ids(rows: pa.RecordBatch) -> np.ndarray:
+    """doc_ids; rows without one have no contexts, so 0 may stand for null."""
+    return pa.compute.fill_null(rows.column("doc_id"), 0).to_numpy()
+
+
 def _slices(buf: np.ndarray, offs: np.ndarray, needs: pa.Array, turns: np.ndarray, least: int):
     """For each wanted context of each row: row, anchor, place, windows, and its bytes with the byte to the left."""
     rows, h, a, n = [], [], [], []
@@ -326,7 +331,7 @@ class Repeats:
                     flat = buf[gather(start, length)].tobytes()
                     cut = np.concatenate([[0], np.cumsum(length)]).tolist()
                     data = [flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                    yield batch(schema, h, rows.column("doc_id").to_numpy()[row], a, n, skip, data)
+                    yield batch(schema, h, _ids(rows)[row], a, n, skip, data)
 
         joined = self.dealt.join(lists, "doc_id", "left").select(*self.columns, "needs")
         return joined.mapInArrow(run, "h long, doc_id long, a long, n int, skip int, bytes binary")
@@ -395,7 +400,7 @@ class Repeats:
                     inner = gather(np.zeros(len(n), np.int64), n)
                     ranges = RangeHash(buf)
                     two = mixed(ranges(at, at + half) * U64(0x9E3779B97F4A7C15) + ranges(at + half, at + least))
-                    yield batch(schema, ranges(at, at + least).view(np.int64), two.view(np.int64), np.repeat(rows.column("doc_id").to_numpy()[row], n), np.repeat(a, n) + inner)
+                    yield batch(schema, ranges(at, at + least).view(np.int64), two.view(np.int64), np.repeat(_ids(rows)[row], n), np.repeat(a, n) + inner)
 
         joined = self.dealt.join(lists, "doc_id", "left").select(*self.columns, "needs")
         windows = joined.mapInArrow(run, "w1 long, w2 long, doc_id long, a long")
