@@ -24,20 +24,21 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelaudit.llm.common import batch, stored, text_chunks, text_frame, tune
-from labelaudit.llm.segments import SEPARATOR, gather, mixed, row_bounds, words
+from labelaudit.llm.segments import SEPARATOR, gather, row_bounds, words
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 CHUNK_BYTES = 2 << 20
 #: Nodes of a group compared in one task, and of a tile.
 GROUP, TILE = 4096, 1024
 BLOCK = 1 << 16  # shingles whose bits are counted at a time
-#: For near copies by similarity: ranges of a sketch, keys taken from it, the radius in which copies of a similarity of
-#: 0.8 lie, and the share of equal ranges from which two sketches count (two standard deviations below 0.8).
-BINS, KEYS, COPY_SHINGLE, COPY_RADIUS, COPY_SHARE = 256, 5, 5, 16, 0.75
+#: For near copies: the words of a shingle and the least similarity of their sets, as a fraction.
+COPY_SHINGLE, COPY_SIMILARITY = 5, (4, 5)
+#: Texts looked at for frequent shingles, and the most of those kept; they set the order of shingles, not the result.
+SAMPLE_TEXTS, FREQUENT = 20_000, 1 << 17
 
 
 def bit_majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -76,27 +77,6 @@ def shingle_hashes(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int) -
     return hashes, np.concatenate([[0], np.cumsum(shingles)])
 
 
-def sketches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row's hashes, the smallest in each of BINS equal ranges: the last byte of each, and KEYS whole ones.
-
-    An empty range takes the value of the next one that has any; a row without hashes has zeros.
-    """
-    rows, shift = len(bounds) - 1, np.uint64(64 - BINS.bit_length() + 1)
-    row = np.repeat(np.arange(rows), np.diff(bounds))
-    least = np.full(rows * BINS, np.iinfo(np.uint64).max, np.uint64)
-    spread = mixed(hashes.copy())
-    np.minimum.at(least, row * BINS + (spread >> shift).astype(np.int64), spread)
-    least = least.reshape(rows, BINS)
-    full = least != np.iinfo(np.uint64).max
-    place = np.where(full, np.arange(BINS), 2 * BINS)
-    ahead = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1]  # the next full range at or after each
-    first = ahead[:, :1]
-    ahead = np.where(ahead < BINS, ahead, np.where(first < BINS, first, 0))
-    least = np.take_along_axis(least, ahead, 1)
-    least[~full.any(1)] = 0
-    return (least & np.uint64(0xFF)).astype(np.uint8), least[:, :: BINS // KEYS][:, :KEYS]
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and the 64-bit fingerprint, as a signed long, of each row."""
     tune(docs.sparkSession)
@@ -148,11 +128,8 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links_of(fps: np.ndarray, radius: int, other: np.ndarray | None = None, tile: int = TILE, alike=None) -> np.ndarray:
-    """Links within one array, or between two, that connect what is connected: pairs of fingerprints.
-
-    alike(i, j) may refuse pairs of places in the joined arrays.
-    """
+def links_of(fps: np.ndarray, radius: int, other: np.ndarray | None = None, tile: int = TILE) -> np.ndarray:
+    """Links within one array, or between two, that connect what is connected: pairs of fingerprints."""
     both = fps if other is None else np.concatenate([fps, other])
     counts = np.bitwise_count(both).astype(np.int64)
     order = np.argsort(counts, kind="stable")
@@ -169,12 +146,8 @@ def links_of(fps: np.ndarray, radius: int, other: np.ndarray | None = None, tile
             keep = a < b
             if other is not None:
                 keep &= side[a] != side[b]
-            a, b = a[keep], b[keep]
-            if alike is not None and len(a):
-                keep = alike(order[a], order[b])
-                a, b = a[keep], b[keep]
-            froms.append(a)
-            tos.append(b)
+            froms.append(a[keep])
+            tos.append(b[keep])
     if not froms:
         return np.zeros((0, 2), np.uint64)
     label = connected(len(pool), np.concatenate(froms), np.concatenate(tos))
@@ -182,19 +155,6 @@ def links_of(fps: np.ndarray, radius: int, other: np.ndarray | None = None, tile
     return np.stack([pool[at], pool[label[at]]], 1)
 
 
-def same_share(sketch: np.ndarray, least: float):
-    """A test of pairs of places: enough ranges of their sketches are equal."""
-
-    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        out = np.empty(len(i), bool)
-        for at in range(0, len(i), 1 << 14):
-            part = slice(at, at + (1 << 14))
-            out[part] = (sketch[i[part]] == sketch[j[part]]).mean(1) >= least
-        return out
-
-    return alike
-
-
 def block_keys(nodes: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
     """k, part and fp: a row for each choice of blocks of bits of each node; links share one of them at least."""
     masks = block_masks(blocks or choose_blocks(nodes.count(), radius), radius)
@@ -202,28 +162,17 @@ def block_keys(nodes: DataFrame, radius: int, blocks: int | None = None) -> Data
     return nodes.select("fp", F.explode(F.array(*parts)).alias("key")).select("key.k", "key.part", "fp")
 
 
-def links(keyed: DataFrame, radius: int = RADIUS, group: int = GROUP, share: float | None = None) -> DataFrame:
-    """Links (a, b) between fingerprints of one group (k, part), enough to connect all at most radius bits apart.
-
-    With share, the column sketch must agree in that share of ranges too.
-    """
+def links(keyed: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between fingerprints of one group (k, part), enough to connect all at most radius bits apart."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    member = F.struct("fp", "sketch") if share is not None else F.struct("fp")
     large = keyed.groupBy("k", "part").count().where(F.col("count") > group)
     keyed = keyed.join(large, ["k", "part"], "left")
     # groups of one task
-    small = keyed.where(F.col("count").isNull()).groupBy("k", "part").agg(F.collect_list(member).alias("one")).where(F.size("one") > 1)
-
-    def unpack(members: pa.Array) -> tuple[np.ndarray, np.ndarray | None]:
-        fps = members.field("fp").to_numpy().view(np.uint64)
-        if share is None:
-            return fps, None
-        return fps, np.frombuffer(b"".join(members.field("sketch").to_pylist()), np.uint8).reshape(len(fps), -1)
+    small = keyed.where(F.col("count").isNull()).groupBy("k", "part").agg(F.collect_list("fp").alias("one")).where(F.size("one") > 1)
 
     def found(one: pa.Array, two: pa.Array | None = None) -> np.ndarray:
-        (a, x), (b, y) = unpack(one), unpack(two) if two is not None else (None, None)
-        sketch = x if y is None else np.concatenate([x, y])
-        return links_of(a, radius, b, alike=None if share is None else same_share(sketch, share))
+        a, b = (None if x is None else x.to_numpy().view(np.uint64) for x in (one, two))
+        return links_of(a, radius, b)
 
     def rows_of(pairs: list[np.ndarray]) -> pa.RecordBatch:
         both = np.concatenate([np.zeros((0, 2), np.uint64), *pairs])
@@ -239,7 +188,7 @@ def links(keyed: DataFrame, radius: int = RADIUS, group: int = GROUP, share: flo
         .withColumn("ones", F.bit_count("fp"))
         .withColumn("sub", F.pmod(F.xxhash64("fp"), F.ceil(F.col("count") / TILE)).cast("int"))
         .groupBy("k", "part", "ones", "sub")
-        .agg(F.collect_list(member).alias("fps"))
+        .agg(F.collect_list("fp").alias("fps"))
     )
     left, right = tiled.alias("l"), tiled.alias("r")
     near = (F.col("l.k") == F.col("r.k")) & (F.col("l.part") == F.col("r.part"))
@@ -291,31 +240,128 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, share: float = COPY_SHARE, shingle: int = COPY_SHINGLE, radius: int = COPY_RADIUS, seed: int = SEED) -> DataFrame:
+def distinct_hashes(hashes: np.ndarray, bounds: np.ndarray, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct hashes, ascending, those in late (sorted) after all others; and where each row's begin."""
+    rows = len(bounds) - 1
+    row = np.repeat(np.arange(rows), np.diff(bounds))
+    keys = [hashes, row]
+    if late is not None and len(late):
+        keys.insert(1, late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes)
+    order = np.lexsort(keys)
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=rows))]).astype(np.int64)
+
+
+def prefix_lengths(n: np.ndarray) -> np.ndarray:
+    """How many shingles, first in a common order, two sets of the least similarity can't both be without a common one."""
+    up, down = COPY_SIMILARITY
+    return np.where(n > 0, n - -(-up * n // down) + 1, 0)
+
+
+def frequent_shingles(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
+    """Hashes, sorted, of shingles that many of a bounded sample of the distinct texts have."""
+    step = max(1, -(-texts.count() // SAMPLE_TEXTS))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).groupBy(F.md5("text")).agg(F.first("text").alias("text"))
+
+    def run(batches):
+        for _, buf, offs in text_chunks(batches, CHUNK_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(distinct_hashes(*shingle_hashes(buf, offs, shingle, seed))[0].view(np.int64))], names=["h"])
+
+    counted = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= max(4, -(-64 // step)))
+    top = counted.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").toArrow()
+    return np.sort(top.column("h").to_numpy().view(np.uint64))
+
+
+def may_be_near(a: str, b: str) -> Column:
+    """No certain sign against the least similarity: sizes n, and the places i of a shingle taken for the first common one."""
+    up, down = COPY_SIMILARITY
+    n, m, i, j = (F.col(f"{x}.{c}") for c in "ni" for x in (a, b))
+    return (down * F.least(n, m) >= up * F.greatest(n, m)) & ((up + down) * F.least(n - i, m - j) >= up * (n + m))
+
+
+def near_pairs_of(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """Those of pairs (a, b) of nodes whose sets of shingles, taken anew from their texts, have the least similarity."""
+    up, down = COPY_SIMILARITY
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "t"), "node")
+    # one text for each node; texts without a pair are not hashed again
+    held = texts.withColumn("t", F.md5("text")).join(wanted, "t").groupBy("node").agg(F.first("text").alias("text"))
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+
+    def run(batches):
+        for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
+            hashes, bounds = distinct_hashes(*shingle_hashes(buf, offs, shingle, seed))
+            data, at = memoryview(hashes.view(np.uint8)), (8 * bounds).tolist()
+            yield batch(schema, rows.column("node"), [bytes(data[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)])
+
+    sets = stored(held.mapInArrow(run, "node long, hashes binary"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+
+    def compare(batches):
+        for rows in batches:
+            near = []
+            for x, y in zip(rows.column("x"), rows.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                merged = np.sort(np.concatenate([x, y]), kind="stable")
+                common = np.count_nonzero(merged[1:] == merged[:-1])
+                near.append((up + down) * common >= up * (len(x) + len(y)))
+            yield rows.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return stored(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "near-pairs")
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and component_id by similarity: texts whose sets of five-word shingles overlap in 0.8 or more.
 
-    At that similarity fingerprints lie up to about 16 bits apart, too far for groups of equal blocks of bits. Here the
-    groups are documents that share one of five smallest shingles (two alike documents miss all five with a probability
-    of 0.2 ** 5); within a group the tiled comparison is the same, and a link needs sketches that agree as well.
+    Every such pair is found, and a link is a comparison of whole sets. Shingles have one order in all texts (frequent
+    ones last, then by hash); two sets alike in 0.8 have a common shingle within the first fifth of each. Candidates are
+    the pairs with such a shingle whose sizes and places of it don't rule 0.8 out. First each text meets the next and
+    the first one with the same shingle, which ties large groups; then all pairs that are not tied yet.
     """
     tune(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    texts = text_frame(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    late = frequent_shingles(texts, shingle, seed)
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.string()), ("same", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
             hashes, bounds = shingle_hashes(buf, offs, shingle, seed)
-            sketch, keys = sketches(hashes, bounds)
-            yield batch(schema, rows.column("doc_id"), bit_majority(hashes, bounds).view(np.int64), [x.tobytes() for x in sketch], keys.view(np.int64).tolist())
-
-    drawn = text_frame(docs).mapInArrow(run, "doc_id long, fp long, sketch binary, keys array<long>")
-    prints = stored(drawn, "sketches")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("sketch", "keys")).alias("s"))
-    nodes = stored(nodes.select("fp", "first", "s.sketch", "s.keys"), "nodes")
-    keyed = nodes.select("fp", "sketch", F.posexplode("keys").alias("k", "part"))
-    roots = components(links(keyed, radius, share=share))
-    rooted = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+            same = [x.tobytes() for x in bit_majority(hashes, bounds)]
+            distinct, cuts = distinct_hashes(hashes, bounds, late)
+            n = np.diff(cuts)
+            first = prefix_lengths(n)
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(distinct[gather(cuts[:-1], first)].view(np.int64)))
+            yield batch(schema, rows.column("doc_id"), rows.column("t"), same, n, keys)
+
+    drawn = texts.withColumn("t", F.md5("text")).mapInArrow(run, "doc_id long, t string, same binary, n long, keys array<long>")
+    prints = stored(drawn, "prints")
+    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("t", "n", "keys")).alias("s"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "first", "s.*"), "nodes")
+
+    keyed = nodes.select("node", "first", "n", F.posexplode("keys").alias("i", "h"))
+    group = Window.partitionBy("h").orderBy("first", "node")
+    member = F.struct("node", "n", "i")
+    beside = keyed.withColumns({"next": F.lead(member).over(group), "hub": F.first(member).over(group)})
+    shared = stored(beside.where("next is not null or hub.node != node").select("h", member.alias("one"), "next", "hub"), "shared-shingles")
+    ordered = [F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")]
+    met = shared.select("one", F.explode(F.array("next", "hub")).alias("two")).where("two is not null and one.node != two.node")
+    met = stored(met.where(may_be_near("one", "two")).select(*ordered).distinct(), "met")
+    near = near_pairs_of(met, texts, nodes, shingle, seed)
+    roots = components(near)
+    placed = shared.select("h", "one", F.col("one.node").alias("node")).join(roots, "node", "left").select("h", "one", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    placed = stored(placed.join(mixed, "h"), "untied")
+    other = placed.select("h", F.col("one").alias("two"), F.col("root").alias("its"))
+    rest = placed.join(other, "h").where((F.col("root") < F.col("its")) & may_be_near("one", "two")).select(*ordered).distinct()
+    rest = stored(rest.join(met, ["a", "b"], "left_anti"), "rest")
+    more = near_pairs_of(rest, texts, nodes, shingle, seed)
+    if not more.isEmpty():
+        roots = components(near.unionByName(more))
+
+    rooted = stored(nodes.join(roots, "node", "left").select("same", "first", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.select("doc_id", "fp").join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return prints.select("doc_id", "same").join(rooted.join(least, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
