@@ -281,9 +281,32 @@ def may_be_near(a: str, b: str) -> Column:
     return (down * F.least(n, m) >= up * F.greatest(n, m)) & ((up + down) * F.least(n - i, m - j) >= up * (n + m))
 
 
+def range_counts(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of each row's hashes lie in each of 256 equal ranges, 255 for more."""
+    rows = len(bounds) - 1
+    at = np.repeat(np.arange(rows), np.diff(bounds)) * 256 + (hashes >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=rows * 256), 255).astype(np.uint8).reshape(rows, 256)
+
+
+def not_ruled_out(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs without those whose sets can't have enough in common: in no range more than the smaller of both counts."""
+    up, down = COPY_SIMILARITY
+    of = lambda c, x: nodes.select(F.col("node").alias(c), F.struct("n", "counts").alias(x))
+
+    def run(batches):
+        for rows in batches:
+            x, y = ([np.frombuffer(b"".join(rows.column(c).field("counts").to_pylist()), np.uint8).reshape(-1, 256)] + [rows.column(c).field("n").to_numpy()] for c in "xy")
+            least = np.minimum(x[0], y[0])
+            may = ((up + down) * least.sum(1, dtype=np.int64) >= up * (x[1] + y[1])) | (least == 255).any(1)
+            yield rows.select(["a", "b"]).filter(pa.array(may))
+
+    return stored(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "possible-pairs")
+
+
 def near_pairs_of(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, seed: int) -> DataFrame:
     """Those of pairs (a, b) of nodes whose sets of shingles, taken anew from their texts, have the least similarity."""
     up, down = COPY_SIMILARITY
+    pairs = not_ruled_out(pairs, nodes)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "t"), "node")
     # one text for each node; texts without a pair are not hashed again
     held = texts.withColumn("t", F.md5("text")).join(wanted, "t").groupBy("node").agg(F.first("text").alias("text"))
@@ -322,21 +345,23 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED)
     tune(docs.sparkSession)
     texts = text_frame(docs).withColumn("text", F.coalesce("text", F.lit("")))
     late = frequent_shingles(texts, shingle, seed)
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.string()), ("same", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.string()), ("same", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.binary())])
 
     def run(batches):
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
             hashes, bounds = shingle_hashes(buf, offs, shingle, seed)
-            same = [x.tobytes() for x in bit_majority(hashes, bounds)]
+            whole, ends = distinct_hashes(hashes, bounds)
+            same = [xxhash.xxh3_128_digest(whole[p:q]) for p, q in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             distinct, cuts = distinct_hashes(hashes, bounds, late)
             n = np.diff(cuts)
             first = prefix_lengths(n)
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(distinct[gather(cuts[:-1], first)].view(np.int64)))
-            yield batch(schema, rows.column("doc_id"), rows.column("t"), same, n, keys)
+            counts = [x.tobytes() for x in range_counts(distinct, cuts)]
+            yield batch(schema, rows.column("doc_id"), rows.column("t"), same, n, keys, counts)
 
-    drawn = texts.withColumn("t", F.md5("text")).mapInArrow(run, "doc_id long, t string, same binary, n long, keys array<long>")
+    drawn = texts.withColumn("t", F.md5("text")).mapInArrow(run, "doc_id long, t string, same binary, n long, keys array<long>, counts binary")
     prints = stored(drawn, "prints")
-    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("t", "n", "keys")).alias("s"))
+    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("t", "n", "keys", "counts")).alias("s"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "first", "s.*"), "nodes")
 
     keyed = nodes.select("node", "first", "n", F.posexplode("keys").alias("i", "h"))

@@ -55,3 +55,18 @@ def test_exactly_at_the_limit(spark):
     assert 5 * len(shingles(" ".join(words)) & shingles(" ".join(at))) == 4 * len(shingles(" ".join(words)) | shingles(" ".join(at)))
     assert found(spark, [(0, " ".join(words)), (1, " ".join(at))]) == {0: 0, 1: 0}
     assert found(spark, [(0, " ".join(words)), (1, " ".join(below))]) == {0: 0, 1: 1}
+
+
+def test_repeats_within_a_text_do_not_count(spark):
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(10):
+        passage, rest = prose(rnd, 100), prose(rnd, 500)
+        # the same set of shingles
+        rows += [(len(rows), " ".join(passage * 2 + rest)), (len(rows) + 1, " ".join(passage * 12 + rest))]
+    assert found(spark, rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_equal_fingerprints_are_not_enough(spark):
+    # "a a a a a" has most shingles of the second text, so its fingerprint, but half of its set
+    assert found(spark, [(0, "a a a a a"), (1, "a a a a a a b"), (2, "a A a a a a b")]) == {0: 0, 1: 1, 2: 1}
