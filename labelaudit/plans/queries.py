@@ -426,6 +426,25 @@ def validate_tokens(spark, sf_dir):
     return contract.validate_tokens(rows).groupBy("path").agg(F.count("*").alias("n"))
 
 
+def text_words(spark, sf_dir):
+    """Every word of every text (runs without white space) as an OCR word; boxes follow from doc_id and tok."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("long"))
+    each = docs.select("doc_id", F.posexplode(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda x: x != "")).alias("tok", "text"))
+    at = lambda n: ((F.col("doc_id") + F.col("tok")) % n).cast("int")
+    return each.select(F.col("doc_id").alias("scan_id"), "tok", "text", at(500).alias("x"), at(300).alias("y"), at(60).alias("w"), at(40).alias("h"), at(120).cast("double").alias("conf"), F.lit(2.0).alias("scale"))
+
+
+@query()
+def clean_text_words(spark, sf_dir):
+    return extract.clean_words(text_words(spark, sf_dir)).select("scan_id", "tok", "w")
+
+
+@query()
+def validate_text_tokens(spark, sf_dir):
+    rows = text_words(spark, sf_dir).withColumns({"engine": F.lit("mlkit"), "lang": F.lit("en")})
+    return contract.validate_tokens(rows).groupBy("path").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT path, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CASE WHEN scan_id % 11 = 0 THEN 'summary.total' END AS path FROM ({VERDICTS}) v UNION ALL SELECT CASE WHEN scan_id % 13 = 0 THEN 'completed_utc' END FROM ({VERDICTS}) v) p WHERE path IS NOT NULL GROUP BY path")
 def validate_results(spark, sf_dir):
     rows = labels(spark, sf_dir)
