@@ -465,7 +465,7 @@ def detections(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null and size(embedding) >= 16")
     part = lambda k: F.abs(F.get("embedding", F.lit(k)).cast("double"))
     return e.select(
-        (F.col("vec_id") % 50).alias("image_id"), F.col("vec_id").alias("anchor"), (F.lit(0.3) + part(0)).alias("cx"), (F.lit(0.3) + part(1)).alias("cy"), (F.lit(0.2) + part(2)).alias("w"), (F.lit(0.2) + part(3)).alias("h"),
+        F.floor(F.col("vec_id") / 50).alias("image_id"), F.col("vec_id").alias("anchor"), (F.lit(0.3) + part(0)).alias("cx"), (F.lit(0.3) + part(1)).alias("cy"), (F.lit(0.2) + part(2)).alias("w"), (F.lit(0.2) + part(3)).alias("h"),
         F.array(*[F.least(F.lit(1.0), part(k) * 3) for k in range(4, 9)]).alias("scores"), F.lit(0.5).alias("gain"), F.lit(0.0).alias("pad_x"), F.lit(80.0).alias("pad_y"),
     )
 
