@@ -3,7 +3,7 @@
 The tokenizer splits at white space, then into runs of letters, single digits and runs of other characters,
 and encodes each such piece on its own. So a text's ids are those of its pieces in order: numpy finds the pieces
 of many texts at once, the library's BPE model encodes each distinct piece, and the ids of all occurrences are
-gathered. Words beyond ASCII and the Latin-1 letters, with an apostrophe, a control character or the mark of a
+gathered. Pieces count as equal if their bytes are; hashes only find them. Words beyond ASCII and the Latin-1 letters, with an apostrophe, a control character or the mark of a
 special token go to the library whole, so that its own normaliser and splitter decide.
 """
 
@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-from labelaudit.llm.segments import RangeHash, gather, row_bounds, words
+from labelaudit.llm.segments import RangeHash, distinct_ranges, eights, gather, row_bounds, same_bytes, words
 
 #: Distinct pieces whose ids a Python worker keeps; those met later are encoded where they occur.
 MAX_PIECES = 1_000_000
@@ -55,6 +55,30 @@ def _byte_kinds() -> np.ndarray:
 KINDS = _byte_kinds()
 
 
+class KnownBytes:
+    """The bytes that each slot of a table stands for, to compare new ones with."""
+
+    def __init__(self):
+        self._flat, self._at, self._n, self._flag = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self._words = eights(self._flat)
+
+    def __len__(self) -> int:
+        return len(self._at)
+
+    def add(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, flag: np.ndarray) -> None:
+        n = ends - starts
+        self._at = np.concatenate([self._at, len(self._flat) + np.cumsum(n) - n])
+        self._n, self._flag = np.concatenate([self._n, n]), np.concatenate([self._flag, flag])
+        self._flat = np.concatenate([self._flat, buf[gather(starts, n)]])
+        self._words = eights(self._flat)
+
+    def equal(self, slots: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, flag: np.ndarray) -> np.ndarray:
+        out = (self._n[slots] == ends - starts) & (self._flag[slots] == flag)
+        k = np.flatnonzero(out)
+        out[k] = same_bytes(self._words, self._at[slots[k]], eights(buf), starts[k], (ends - starts)[k])
+        return out
+
+
 class PieceEncoder:
     """encode(bytes, offsets) gives all ids, and the place of the first id of each row."""
 
@@ -72,6 +96,7 @@ class PieceEncoder:
         self._keys = np.zeros(0, np.uint64)  # sorted
         self._slots = np.zeros(0, np.int64)
         self._ids, self._start, self._length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._known = KnownBytes()
 
     def _call(self, joined: list[bytes], whole: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, and how many each has. whole: not a piece of one kind but a word for the full tokenizer."""
@@ -132,27 +157,35 @@ class PieceEncoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         hashes = RangeHash(low)(starts, ends) ^ hard.astype(np.uint64)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        slots = np.full(len(distinct), -1, np.int64)
+        first, which = distinct_ranges(low, starts, ends, hashes, hard)
+        distinct, at, to = hashes[first], starts[first], ends[first]
+        slots = np.full(len(first), -1, np.int64)
+        free = np.ones(len(first), bool)  # keys not in the table yet
         if len(self._keys):
             near = np.minimum(np.searchsorted(self._keys, distinct), len(self._keys) - 1)
-            known = self._keys[near] == distinct
-            slots[known] = self._slots[near[known]]
+            met = np.flatnonzero(self._keys[near] == distinct)
+            free[met] = False
+            met = met[self._known.equal(self._slots[near[met]], low, at[met], to[met], hard[first[met]])]
+            slots[met] = self._slots[near[met]]
         new = np.flatnonzero(slots < 0)
         ids, start, length = self._ids, self._start, self._length
         if len(new):
-            at, data = first[new], low.tobytes()
-            texts = [data[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            new_ids, lengths = self._call(texts, hard[at].tolist())
+            data = low.tobytes()
+            texts = [data[s:e] for s, e in zip(at[new].tolist(), to[new].tolist(), strict=True)]
+            new_ids, lengths = self._call(texts, hard[first[new]].tolist())
             slots[new] = np.arange(len(start), len(start) + len(new))
             start = np.concatenate([start, len(ids) + np.cumsum(lengths) - lengths])
             length = np.concatenate([length, lengths])
             ids = np.concatenate([ids, new_ids])
             if len(self._keys) < self.max_pieces:
                 self._ids, self._start, self._length = ids, start, length
-                where = np.searchsorted(self._keys, distinct[new])
-                self._slots = np.insert(self._slots, where, slots[new])
-                self._keys = np.insert(self._keys, where, distinct[new])
+                self._known.add(low, at[new], to[new], hard[first[new]])
+                keys, place = np.unique(distinct[new], return_index=True)
+                own = new[place]
+                keys, own = keys[free[own]], own[free[own]]
+                where = np.searchsorted(self._keys, keys)
+                self._slots = np.insert(self._slots, where, slots[own])
+                self._keys = np.insert(self._keys, where, keys)
         slots = slots[which]
         lengths = length[slots]
         before = np.zeros(len(lengths) + 1, np.int64)

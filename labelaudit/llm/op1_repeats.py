@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelaudit.llm.common import batch, partitions, stored, text_chunks, text_frame, tune
-from labelaudit.llm.segments import BASE, TABLE, U64, RangeHash, gather, mixed, spans, sums_by_row
+from labelaudit.llm.segments import U64, RangeHash, gather, mixed, spans, sums_by_row
 
 LEAST, K = 100, 32
 CHUNK_BYTES, BLOCK = 1 << 20, 1 << 20
@@ -42,13 +42,16 @@ SAMPLE_DOCS, SALTS = 20_000, 256
 #: A place in a text holds, above these bits, which of the rows with this doc_id it is in.
 TURN_BITS = 40
 SUFFIX_BYTES = 1 << 20
+#: Anchors are chosen by a hash modulo 2**64; what has equal ones is compared by other means.
+GRAM_BASE = 0x9E3779B97F4A7C15
+GRAM_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1 << 62)
 
 
 def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k bytes at each place; k is a power of two."""
-    h, width = TABLE[buf], 1
+    h, width = GRAM_TABLE[buf], 1
     while width < k:
-        h = h[:-width] * U64(pow(int(BASE), width, 1 << 64)) + h[width:]
+        h = h[:-width] * U64(pow(GRAM_BASE, width, 1 << 64)) + h[width:]
         width *= 2
     return mixed(h)
 

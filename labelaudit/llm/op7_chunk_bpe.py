@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from labelaudit.llm.common import batch, text_chunks, text_frame, tune
-from labelaudit.llm.encoding import CHUNK_BYTES, PieceEncoder, default_tokenizer, encoder
-from labelaudit.llm.segments import SEPARATOR, RangeHash, gather, mixed, words
+from labelaudit.llm.encoding import CHUNK_BYTES, KnownBytes, PieceEncoder, default_tokenizer, encoder
+from labelaudit.llm.segments import SEPARATOR, RangeHash, distinct_ranges, gather, mixed, words
 
 #: Bytes that the rolling hash looks at, and one cut in so many places.
 WINDOW, MEAN_CHUNK = 16, 128
@@ -62,17 +62,24 @@ class ChunkEncoder:
     def _clear(self) -> None:
         self._keys, self._slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._ids, self._bounds = np.zeros(0, np.uint32), np.zeros((0, 4), np.int64)
+        self._known = KnownBytes()
 
     def _table(self, buf, starts, ends, heads, tails):
         """Row of self._bounds for each chunk: places of its head, body, tail and end in self._ids."""
-        keys, first, which = np.unique(RangeHash(buf)(starts, ends), return_index=True, return_inverse=True)
+        hashes = RangeHash(buf)(starts, ends)
+        first, which = distinct_ranges(buf, starts, ends, hashes)
+        keys, at, to = hashes[first], starts[first], ends[first]
+        no_flag = np.zeros(len(first), bool)
         if len(self._ids) > self.max_ids:
             self._clear()
-        slots = np.full(len(keys), -1, np.int64)
+        slots = np.full(len(first), -1, np.int64)
+        free = np.ones(len(first), bool)  # keys not in the table yet
         if len(self._keys):
             near = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
-            known = self._keys[near] == keys
-            slots[known] = self._slots[near[known]]
+            met = np.flatnonzero(self._keys[near] == keys)
+            free[met] = False
+            met = met[self._known.equal(self._slots[near[met]], buf, at[met], to[met], no_flag[met])]
+            slots[met] = self._slots[near[met]]
         new = np.flatnonzero(slots < 0)
         self.seen += len(which)
         self.reused += len(which) - len(new)
@@ -86,9 +93,13 @@ class ChunkEncoder:
             slots[new] = np.arange(len(self._bounds), len(self._bounds) + len(new))
             rows = np.stack([bounds[0:-1:3], bounds[1::3], bounds[2::3], bounds[3::3]], 1)
             self._bounds, self._ids = np.concatenate([self._bounds, rows]), np.concatenate([self._ids, ids])
-            where = np.searchsorted(self._keys, keys[new])
-            self._slots = np.insert(self._slots, where, slots[new])
-            self._keys = np.insert(self._keys, where, keys[new])
+            self._known.add(buf, at[new], to[new], no_flag[new])
+            own_keys, place = np.unique(keys[new], return_index=True)
+            own = new[place]
+            own_keys, own = own_keys[free[own]], own[free[own]]
+            where = np.searchsorted(self._keys, own_keys)
+            self._slots = np.insert(self._slots, where, slots[own])
+            self._keys = np.insert(self._keys, where, own_keys)
         return self._bounds[slots[which]]
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
