@@ -12,23 +12,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch between the JVM and Python; texts may be long, so batches are kept short.
-ARROW_ROWS = 1000
+#: Rows and bytes per Arrow batch between the JVM and Python; texts may be long, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small; a caller's own smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Keep Arrow batches of long texts small; a caller's own smaller settings (plain numbers) stay."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        own = spark.conf.get(key)
+        if not (own.isdigit() and 0 < int(own) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, only a local master gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not path:
         path = sc.getCheckpointDir()
+    if not path and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
     if not sc.getCheckpointDir():

@@ -119,7 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", train_rows:
             )
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("doc_id").drop(columns="all")
+        # of several texts of one id, the one with the first features in order
+        frame = frame.assign(shape=[p.tobytes() + v.tobytes() for p, v in zip(frame["places"], frame["counts"], strict=True)])
+        frame = frame.sort_values(["doc_id", "shape"]).drop_duplicates("doc_id").drop(columns=["all", "shape"])
         frame = frame.assign(order=mixed(frame["doc_id"].to_numpy().astype(np.uint64))).sort_values("order")
         rows = [
             (np.append(p, 1 << bits).astype(np.int64), np.append(v, 1.0), float(y > 0))

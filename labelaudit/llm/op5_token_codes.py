@@ -6,8 +6,8 @@ block of 512) turns a place at one level into the place at the next, so any toke
 per level, without decoding a block. Trailing levels that no id needs aren't written.
 
 A shard is one file of segments; a segment is a run of whole documents: header, document table, then the levels.
-Shards follow ascending doc_id (null first; equal ids in the order of their texts), one for each range partition, so
-nothing passes through one task. Only files that the manifest names belong to the output: a task that is run again
+Shards follow ascending doc_id (null first; equal ids in the order of a hash of their texts), one for each range
+partition, so nothing passes through one task; rows alike in both are dealt over several, in any order. Only files that the manifest names belong to the output: a task that is run again
 writes a file of its own, and the copy left by a lost executor is never read.
 
 Null and empty texts hold the end id alone. Repeated rows stay repeated rows. An empty table gives no shard and no row.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -77,22 +78,20 @@ def unpack_levels(data: memoryview, levels: int) -> np.ndarray:
     return ids
 
 
-def token_at(data: memoryview, levels: int, i: int) -> int:
-    """One id by its place: a byte, a bit and a rank for each level."""
+def token_at(read: Callable[[int, int], bytes], levels: int, i: int) -> int:
+    """One id by its place: for each level a byte, a block of the bitmap and a rank. read(at, size) gives bytes of the levels."""
     at = value = shift = 0
     for _ in range(levels):
-        (n,) = LEVEL.unpack_from(data, at)
+        (n,) = LEVEL.unpack(read(at, LEVEL.size))
         a, b, c = level_sizes(n)
         at += LEVEL.size
-        value |= data[at + i] << shift
-        bitmap, directory = at + a, at + a + b
-        if not data[bitmap + i // 8] >> (i % 8) & 1:
+        value |= read(at + i, 1)[0] << shift
+        block, place = divmod(i, RANK_BLOCK)
+        bits = int.from_bytes(read(at + a + block * (RANK_BLOCK // 8), RANK_BLOCK // 8), "little")
+        if not bits >> place & 1:
             return value
-        block = i // RANK_BLOCK
-        (rank,) = struct.unpack_from("<Q", data, directory + 8 * block)
-        whole = bytes(data[bitmap + block * (RANK_BLOCK // 8) : bitmap + i // 8])
-        rank += int.from_bytes(whole, "little").bit_count() + (data[bitmap + i // 8] & ((1 << i % 8) - 1)).bit_count()
-        i, shift, at = rank, shift + 8, at + a + b + c
+        (rank,) = LEVEL.unpack(read(at + a + b + 8 * block, 8))
+        i, shift, at = rank + (bits & ((1 << place) - 1)).bit_count(), shift + 8, at + a + b + c
     return value
 
 
@@ -158,7 +157,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             out.close()
             yield batch(schema, [shard], [name], [total], [done])
 
-    ordered = text_frame(docs).repartitionByRange(n or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # a hash of the text and a number are part of the range key: rows of one doc_id, or alike, are spread as well
+    spread = text_frame(docs).withColumns({"print": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = ["doc_id", "print", "row"]
+    ordered = spread.repartitionByRange(n or partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return stored(ordered.mapInArrow(run, MANIFEST), "token-manifest")
 
 
@@ -189,7 +191,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def read_token(spark: SparkSession, manifest: DataFrame, folder: str, place: int) -> int | None:
-    """The id at one place of the whole output; None beyond it. Reads one segment's bytes, decodes none of its blocks."""
+    """The id at one place of the whole output; None beyond it. Reads some bytes of each level, whatever a segment's size."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     hit = placed.where((F.col("start") <= place) & (place < F.col("start") + F.col("n_tokens"))).head()
@@ -199,10 +201,9 @@ def read_token(spark: SparkSession, manifest: DataFrame, folder: str, place: int
     for part in hit["segments"]:
         if rest < part["n_tokens"]:
             with fs.open_input_file(f"{at}/{hit['file']}") as file:
-                file.seek(part["at"])
-                data = memoryview(file.read(part["size"]))
-            _, levels, _, docs = HEADER.unpack_from(data)
-            return token_at(data[HEADER.size + 17 * docs :], levels, rest)
+                _, levels, _, docs = HEADER.unpack(file.read_at(HEADER.size, part["at"]))
+                begin = part["at"] + HEADER.size + 17 * docs
+                return token_at(lambda at, size: file.read_at(size, begin + at), levels, rest)
         rest -= part["n_tokens"]
     return None
 
