@@ -13,18 +13,24 @@ meet under the hash of their anchor:
    with all its occurrences. Longer repeats appear as groups of consecutive contexts that overlap.
 3. The spans of all occurrences but the first are joined to the documents and united.
 
-An anchor that a sample shows to be frequent is salted in step 1, and instead of step 2 each of its windows is counted
-by a 128-bit hash with partial aggregation, so a passage that a third of all documents share is in no single task.
-Which way is taken never changes the result.
+An anchor that a sample shows to be frequent is salted in step 1. Its contexts, and those of any anchor that more than
+`WIDE` others share, skip step 2: the first place of each of their windows is found by hash with partial aggregation,
+and a document keeps of these windows only the bytes of its first places. So a passage that a third of all documents
+share is in no single task, and a suffix array never holds more than about `WIDE` contexts of an anchor. Which way is
+taken never changes the result.
+
+Contexts and windows count as equal if two hashes over the prime 2**61 - 1 agree. Their bases are drawn anew for each
+search, so two given strings of 170 bytes agree by chance in one of 2**106 searches, whatever the strings are.
 
 Null text is empty. Texts shorter than `least` bytes are never cut. Long texts are worked through in blocks. Rows that
-share a doc_id are ordered by text and treated as documents in that order. Rows with a null doc_id are left whole, and
-nothing is cut on their account. An empty table gives no rows. Columns other than doc_id and text are ignored.
+share a doc_id are ordered by text and treated as documents in that order. Rows with a null doc_id are left whole,
+nothing is cut on their account, and they are not shuffled. An empty table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterable
 
 import numpy as np
@@ -32,16 +38,20 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from labelaudit.llm.common import batch, partitions, stored, text_chunks, text_frame, tune
-from labelaudit.llm.segments import U64, RangeHash, gather, mixed, spans, sums_by_row
+from labelaudit.llm.segments import BASE, PRIME, U64, RangeHash, gather, mixed, spans, sums_by_row
 
 LEAST, K = 100, 32
 CHUNK_BYTES, BLOCK = 1 << 20, 1 << 20
 SAMPLE_DOCS, SALTS = 20_000, 256
+#: Contexts of one anchor that a suffix array takes.
+WIDE = 4096
 #: A place in a text holds, above these bits, which of the rows with this doc_id it is in.
 TURN_BITS = 40
 SUFFIX_BYTES = 1 << 20
+SPAN, WINDOWS, FIRST = 0, 1, 2
 #: Anchors are chosen by a hash modulo 2**64; what has equal ones is compared by other means.
 GRAM_BASE = 0x9E3779B97F4A7C15
 GRAM_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1 << 62)
@@ -65,12 +75,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def contexts(buf: np.ndarray, offs: np.ndarray, least: int = LEAST, k: int = K):
-    """Runs of windows with one anchor: hash of the anchor, of the context's bytes, row, first window, windows."""
+def contexts(buf: np.ndarray, offs: np.ndarray, least: int = LEAST, k: int = K, bases: tuple[int, int] = (BASE, BASE + 2)):
+    """Runs of windows with one anchor: hash of the anchor, two of the context's bytes, row, first window, windows."""
     none = np.zeros(0, np.int64)
     long_enough = np.diff(offs) >= least
     if not long_enough.any():
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return (*[none.astype(np.uint64)] * 3, none, none, none)
     valid = np.zeros(len(buf) + 1, np.int8)
     valid[offs[:-1][long_enough]] += 1
     valid[offs[1:][long_enough] - least + 1] -= 1
@@ -97,7 +107,8 @@ def contexts(buf: np.ndarray, offs: np.ndarray, least: int = LEAST, k: int = K):
     row = np.searchsorted(offs, first, side="right") - 1
     end = np.append(first[1:], len(buf))
     windows = np.minimum(end, offs[1:][row] - least + 1) - first
-    return h, RangeHash(buf)(first, first + windows + least - 1), row, first - offs[row], windows
+    c, d = (RangeHash(buf, base)(first, first + windows + least - 1) for base in bases)
+    return h, c, d, row, first - offs[row], windows
 
 
 class SuffixArray:
@@ -190,31 +201,37 @@ class SuffixArray:
         return first[diverse], last[diverse], length[diverse]
 
 
+def _quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _own_key(docs: DataFrame, carry: list[str]) -> DataFrame:
     """doc_id, text and turn, which tells rows of one doc_id apart (0 where ids are unique); carried columns as `rest`."""
     frame = text_frame(docs)
     if carry:
-        frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest"))
-    if frame.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        return frame.withColumn("turn", F.lit(0).cast("long"))
+        frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[_quoted(c).alias(c) for c in carry]).alias("rest"))
+    first = frame.withColumn("turn", F.lit(0).cast("long"))
+    if frame.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return first
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-    return stored(frame.withColumn("turn", F.when(F.col("doc_id").isNull(), 0).otherwise(turn).cast("long")), "turned")
+    known = frame.where("doc_id is not null").withColumn("turn", turn.cast("long"))
+    return stored(known.unionByName(first.where("doc_id is null")), "turned")
 
 
-def _anchors(keyed: DataFrame, least: int, k: int, hot: np.ndarray) -> DataFrame:
-    schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("c", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64()), ("n", pa.int32())])
+def _anchors(keyed: DataFrame, least: int, k: int, hot: np.ndarray, bases: tuple[int, int] = (BASE, BASE + 2)) -> DataFrame:
+    schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("c", pa.int64()), ("d", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
-            h, c, row, at, n = contexts(buf, offs, least, k)
+            h, c, d, row, at, n = contexts(buf, offs, least, k, bases)
             h, ids = h.view(np.int64), rows.column("doc_id").to_numpy()[row]
             a = at + (rows.column("turn").to_numpy()[row] << TURN_BITS)
             # by place: one text can hold an anchor thousands of times, too
             spread = mixed(ids.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + a.astype(np.uint64)) % U64(SALTS) + U64(1)
             salt = np.where(np.isin(h, hot), spread, U64(0)) if len(hot) else np.zeros(len(h))
-            yield batch(schema, h, salt.astype(np.int32), c.view(np.int64), ids, a, n)
+            yield batch(schema, h, salt.astype(np.int32), c.view(np.int64), d.view(np.int64), ids, a, n)
 
-    return keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "turn").mapInArrow(run, "h long, salt int, c long, doc_id long, a long, n int")
+    return keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "turn").mapInArrow(run, "h long, salt int, c long, d long, doc_id long, a long, n int")
 
 
 def frequent_anchors(keyed: DataFrame, least: int, k: int, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -235,17 +252,13 @@ def _ids(rows: pa.RecordBatch) -> np.ndarray:
 
 def _slices(buf: np.ndarray, offs: np.ndarray, needs: pa.Array, turns: np.ndarray, least: int):
     """For each wanted context of each row: row, anchor, place, windows, and its bytes with the byte to the left."""
-    rows, h, a, n = [], [], [], []
-    for row, wanted in enumerate(needs.to_pylist()):
-        for w in wanted or ():
-            if w["a"] >> TURN_BITS == turns[row]:
-                rows.append(row)
-                h.append(w["h"])
-                a.append(w["a"])
-                n.append(w["n"])
-    rows, h, a, n = (np.array(x, np.int64) for x in (rows, h, a, n))
-    start = offs[:-1][rows] + (a & ((1 << TURN_BITS) - 1)) if len(rows) else rows
-    skip = (start > offs[:-1][rows]).astype(np.int64) if len(rows) else rows
+    lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(needs), 0)).astype(np.int64)
+    rows, flat = np.repeat(np.arange(len(lengths)), lengths), needs.flatten()
+    h, a, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("h", "a", "n"))
+    mine = a >> TURN_BITS == turns[rows]
+    rows, h, a, n = rows[mine], h[mine], a[mine], n[mine]
+    start = offs[:-1][rows] + (a & ((1 << TURN_BITS) - 1))
+    skip = (start > offs[:-1][rows]).astype(np.int64)
     return rows, h, a, n, start - skip, n + least - 1 + skip, skip
 
 
@@ -301,25 +314,27 @@ class Repeats:
     """The steps of the search, for one table of documents."""
 
     def __init__(self, docs: DataFrame, least: int = LEAST, k: int = K, carry: list[str] | None = None):
-        spark = docs.sparkSession
-        tune(spark)
+        if not k <= least or 2 * least - k + 1 > 192:
+            raise ValueError("contexts would be longer than the 192 bytes that suffixes are sorted by")
+        tune(docs.sparkSession)
         self.least, self.k = least, k
+        self.bases = tuple(secrets.randbelow(PRIME - 300) + 300 for _ in range(2))
         self.keyed = _own_key(docs, carry or [])
         # the joins below read the same columns, so that they share one shuffle of the texts
         self.columns = ["doc_id", "text", "turn", *(["rest"] if carry else [])]
         self.hot = frequent_anchors(self.keyed, least, k)
-        self.dealt = self.keyed.repartition("doc_id")  # used by several joins below, and shuffled once
+        self.dealt = self.keyed.where("doc_id is not null").repartition("doc_id")  # used by several joins below, and shuffled once
 
     def marked(self, everything: bool = False) -> DataFrame:
         """Contexts that repeat as a whole (again) or may in part. everything: also keep the equal ones for the suffix arrays."""
-        spread = _anchors(self.keyed, self.least, self.k, self.hot).repartition("h", "salt")
-        same, anchor = Window.partitionBy("h", "salt", "c"), Window.partitionBy("h", "salt")
+        spread = _anchors(self.keyed, self.least, self.k, self.hot, self.bases).repartition("h", "salt")
+        same, anchor = Window.partitionBy("h", "salt", "c", "d"), Window.partitionBy("h", "salt")
         spread = spread.withColumn("again", F.row_number().over(same.orderBy("doc_id", "a")) > 1)
-        spread = spread.withColumn("mixed", F.min("c").over(anchor) != F.max("c").over(anchor))
-        if everything:
-            spread = spread.withColumn("mixed", F.count("*").over(anchor) > 1)
+        differ = (F.min("c").over(anchor) != F.max("c").over(anchor)) | (F.min("d").over(anchor) != F.max("d").over(anchor))
+        other = F.count_if(~F.col("again")).over(anchor)  # contexts that a suffix array would get
+        spread = spread.withColumns({"mixed": F.count("*").over(anchor) > 1 if everything else differ, "wide": (F.col("salt") > 0) | (other > WIDE)})
         wanted = F.col("again") | F.col("mixed") | (F.col("salt") > 0)
-        return stored(spread.where(wanted).select("doc_id", "a", "n", "h", "salt", "again"), "contexts")
+        return stored(spread.where(wanted).select("doc_id", "a", "n", "h", "wide", "again"), "contexts")
 
     def context_bytes(self, wanted: DataFrame) -> DataFrame:
         """h, doc_id, a, n, skip and bytes of each wanted context."""
@@ -389,9 +404,9 @@ class Repeats:
         dealt = self.context_bytes(wanted).repartition("h").sortWithinPartitions("h")
         return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
-    def from_windows(self, wanted: DataFrame) -> DataFrame:
-        """Spans of later windows of frequent anchors, each window by a hash of its bytes."""
-        least = self.least
+    def first_windows(self, wanted: DataFrame) -> DataFrame:
+        """doc_id and place of the first of all equal windows of some contexts."""
+        least, bases = self.least, self.bases
         lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n", "h")).alias("needs"))
         schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64())])
 
@@ -399,44 +414,55 @@ class Repeats:
             for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
                 row, _, a, n, start, _, skip = _slices(buf, offs, rows.column("needs"), rows.column("turn").to_numpy(), least)
                 if len(row):
-                    at, half = gather(start + skip, n), least // 2
-                    inner = gather(np.zeros(len(n), np.int64), n)
-                    ranges = RangeHash(buf)
-                    two = mixed(ranges(at, at + half) * U64(0x9E3779B97F4A7C15) + ranges(at + half, at + least))
-                    yield batch(schema, ranges(at, at + least).view(np.int64), two.view(np.int64), np.repeat(_ids(rows)[row], n), np.repeat(a, n) + inner)
+                    at, inner = gather(start + skip, n), gather(np.zeros(len(n), np.int64), n)
+                    one, two = (RangeHash(buf, base)(at, at + least).view(np.int64) for base in bases)
+                    yield batch(schema, one, two, np.repeat(_ids(rows)[row], n), np.repeat(a, n) + inner)
 
         joined = self.dealt.join(lists, "doc_id", "left").select(*self.columns, "needs")
         windows = joined.mapInArrow(run, "w1 long, w2 long, doc_id long, a long")
-        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "a")).alias("first"))
-        later = windows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "a") > F.col("first"))
-        return later.select("doc_id", "a", F.lit(least).cast("long").alias("n"))
+        return windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "a")).alias("first")).select("first.*")
 
     def removals(self) -> DataFrame:
-        """doc_id, text, turn and the spans (a, n) to remove of every row."""
-        marks = self.marked()
-        again = marks.where("again").select("doc_id", "a", (F.col("n") + (self.least - 1)).cast("long").alias("n"))
-        found = again.unionByName(self.from_suffix_arrays(marks.where("not again and salt = 0")))
-        if len(self.hot):
-            found = found.unionByName(self.from_windows(marks.where("not again and salt > 0")))
-        lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n")).alias("cuts"))
-        return self.dealt.join(lists, "doc_id", "left").select(*self.columns, "cuts")
+        """doc_id, text, turn and what to remove of every row, as cuts (a, n, kind).
 
-
-def removed_bytes(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Which bytes the rows' spans cover."""
+        Kinds: SPAN, n bytes from a; WINDOWS, the windows that begin at a and the next n - 1 places; FIRST, but for the
+        one at a.
+        """
+        marks = self.marked()
+        span = lambda n, kind: (n.cast("long").alias("n"), F.lit(kind).alias("kind"))
+        again = marks.where("again").select("doc_id", "a", *span(F.col("n") + (self.least - 1), SPAN))
+        parts = self.from_suffix_arrays(marks.where("not again and not wide")).select("doc_id", "a", *span(F.col("n"), SPAN))
+        wide = marks.where("not again and wide")
+        found = again.unionByName(parts).unionByName(wide.select("doc_id", "a", *span(F.col("n"), WINDOWS)))
+        found = found.unionByName(self.first_windows(wide).select("doc_id", "a", *span(F.lit(1), FIRST)))
+        lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n", "kind")).alias("cuts"))
+        out = self.dealt.join(lists, "doc_id", "left").select(*self.columns, "cuts")
+        whole = self.keyed.where("doc_id is null").select(*self.columns, F.lit(None).cast(out.schema["cuts"].dataType).alias("cuts"))
+        return out.unionByName(whole)
+
+
+def removed_bytes(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Which bytes the rows' cuts cover."""
     cuts = rows.column("cuts")
     if cuts.null_count == len(cuts):
         return np.zeros(len(buf), bool)
     lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(cuts), 0)).astype(np.int64)
     flat = cuts.flatten()
     row = np.repeat(np.arange(len(lengths)), lengths)
-    a, n = flat.field("a").to_numpy(), flat.field("n").to_numpy()
+    a, n, kind = (flat.field(c).to_numpy() for c in ("a", "n", "kind"))
     mine = a >> TURN_BITS == rows.column("turn").to_numpy()[row]
-    begin = offs[:-1][row[mine]] + (a[mine] & ((1 << TURN_BITS) - 1))
-    cover = np.zeros(len(buf) + 1, np.int64)
-    np.add.at(cover, begin, 1)
-    np.add.at(cover, begin + n[mine], -1)
-    return np.cumsum(cover[:-1]) > 0
+    begin, n, kind = offs[:-1][row[mine]] + (a[mine] & ((1 << TURN_BITS) - 1)), n[mine], kind[mine]
+
+    def covered(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        edges = np.bincount(at, minlength=len(buf) + 1) - np.bincount(to, minlength=len(buf) + 1)
+        return np.cumsum(edges[:-1]) > 0
+
+    k = kind == WINDOWS
+    starts = covered(begin[k], (begin + n)[k])
+    starts[begin[kind == FIRST]] = False
+    at, to = spans(starts, offs)
+    k = kind == SPAN
+    return covered(np.concatenate([begin[k], at]), np.concatenate([(begin + n)[k], to - 1 + least]))
 
 
 def removal_digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -445,7 +471,7 @@ def removal_digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def run(batches):
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
-            gone = removed_bytes(rows, buf, offs)
+            gone = removed_bytes(rows, buf, offs, least)
             removed = sums_by_row(gone, offs)
             starts, _ = spans(gone, offs)
             runs = np.diff(np.searchsorted(starts, offs))
@@ -466,7 +492,7 @@ def cleaned(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def run(batches):
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
-            gone = removed_bytes(rows, buf, offs)
+            gone = removed_bytes(rows, buf, offs, least)
             lead = np.flatnonzero((buf & 0xC0) != 0x80)
             if len(lead):
                 gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(buf))))
@@ -478,9 +504,9 @@ def cleaned(docs: DataFrame, least: int = LEAST) -> DataFrame:
             out = pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(texts, pa.string()), rows.column("rest")], names=["doc_id", "text", "rest"])
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    rest = removals.schema["rest"].dataType.simpleString()
-    out = removals.mapInArrow(run, f"doc_id long, text string, rest {rest}")
-    columns = {c: F.col(f"rest.`{c}`") for c in carry} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("rest", removals.schema["rest"].dataType)])
+    out = removals.mapInArrow(run, schema)
+    columns = {c: F.col("rest").getField(c) for c in carry} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("text").isNull(), columns["n_chars"]).otherwise(F.length("text"))
     return out.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in docs.schema])

@@ -240,6 +240,18 @@ def test_op1_frequent_anchors_change_nothing(docs, monkeypatch):
     hot = np.array(sorted(r["h"] for r in every)[::2], np.int64)
     monkeypatch.setattr(op1_repeats, "frequent_anchors", lambda *a, **k: hot)
     same(op1_repeats.removal_digests(once).collect(), plain)
+    monkeypatch.setattr(op1_repeats, "WIDE", 1)  # and no suffix array takes more than one context
+    same(op1_repeats.removal_digests(once).collect(), plain)
+
+
+def test_op1_cleaned_keeps_odd_columns(docs, no_docs):
+    odd = docs.withColumnsRenamed({"lang": "my col-x", "source": "a`b.c"})
+    found = op1_repeats.cleaned(odd)
+    assert found.columns == ["doc_id", "text", "my col-x", "a`b.c", "n_chars"]
+    assert {r["my col-x"] for r in found.collect()} == {"en", None}
+    assert op1_repeats.cleaned(no_docs).count() == 0
+    with pytest.raises(ValueError):
+        op1_repeats.Repeats(docs, least=200)
 
 
 def test_op1_groups_have_all_occurrences(spark):
