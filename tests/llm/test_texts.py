@@ -102,6 +102,14 @@ def test_op3_pieces_and_sequences(docs, clashing, no_docs, ids):
     assert op3_packing.pack_documents(no_docs).count() == 0
 
 
+def test_op3_rows_of_one_doc_id_are_spread(spark):
+    docs = spark.range(600).selectExpr("cast(null as long) doc_id", "repeat('word ', cast(id % 50 * 20 + 1 as int)) text")
+    found = op3_packing.pack_documents(docs, bucket=50).collect()
+    assert len(found) == 600
+    used = len({r["sequence_id"] for r in found})
+    assert used <= -(-sum(r["length"] for r in found) // 2048) + 2
+
+
 def test_op3_local_search_empties_bins():
     rnd = np.random.default_rng(3)
     for _ in range(20):
@@ -111,6 +119,11 @@ def test_op3_local_search_empties_bins():
         assert sorted(k for b in after for k in b) == list(range(300))
         assert all(sum(sizes[k] for k in b) <= 2048 for b in after)
         assert -(-sum(sizes) // 2048) <= len(after) <= len(start)
+    # no bin of a kind that can't be emptied is tried for ever
+    assert len(op3_packing.swap_search([6, 6, 6, 3], op3_packing.best_fit([6, 6, 6, 3], 10), 10)) == 3
+    # a bin of many, each of which must be tried in pairs
+    many = [97] * 3 + [1] * 17 + [2] * 1
+    assert len(op3_packing.swap_search(many, op3_packing.best_fit(many, 100), 100)) == -(-sum(many) // 100)
     # three bins, where an exchange and a move find the two that are enough
     sizes = [7, 6, 4, 3]
     assert len(op3_packing.swap_search(sizes, [[0], [1], [2, 3]], 10)) == 2
