@@ -1,12 +1,15 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 A vector's two halves are quantised separately, each by `k` centroids; the pair of centroids is its cell. A query walks
-the pairs in ascending order of summed distance with a heap until the cells visited hold enough vectors, and the
-vectors found there are reranked by their exact Euclidean distance in double precision.
+the pairs in ascending order of summed distance with a heap, and the vectors of the cells visited, no others, are
+reranked by their exact Euclidean distance in double precision. Vectors as near as the last one taken all count, so
+ties are decided by id.
 
-Centroids are fitted on at most `TRAIN_ROWS` distinct vectors (those with the smallest hashes), and so is the share of
-all vectors that a query visits: the least with which `TARGET` of the nearest neighbours within the sample are found.
-Vectors without structure need a large share, clustered ones a small one. Every vector is indexed.
+Centroids are fitted on at most `TRAIN_ROWS` distinct vectors (those with the smallest hashes). A walk ends by its own
+query: its distances to the sample tell about how far its nearest neighbours are, and cells go on being visited up to
+`reach` times that (squared), the least factor with which `TARGET` of the nearest neighbours within the sample are
+found, and until they hold more vectors than are asked for. So a query in a dense place visits few cells and one
+without near neighbours many; vectors without structure need most cells. Every vector is indexed.
 
 Equal vectors are one entry with the ids that can matter (the k + 1 smallest), so a vector that a third of all rows
 share is one candidate. Entries lie in blocks: one first-half centroid, and at most about `BLOCK` entries by hash;
@@ -27,8 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelaudit.llm.common import partitions, stored, tune
+from labelaudit.llm.segments import gather
 
 TRAIN_ROWS, BLOCK, QUERY_BLOCK, TARGET, MOST_CENTROIDS = 8192, 2048, 1024, 0.97, 1024
+#: Differences of squared distances that count as rounding, in parts of the squared lengths.
+ROUNDING = 1e-11
 ROUNDS = 10
 
 
@@ -63,12 +69,12 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmin((centroids**2).sum(1) - 2 * x @ centroids.T, axis=1)
 
 
-def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: float) -> list[tuple[int, int]]:
-    """Pairs of centroids in ascending order of first[i] + second[j] until their cells hold enough entries."""
+def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, least: int, within: float = np.inf) -> list[tuple[int, int]]:
+    """Filled cells in ascending order of first[i] + second[j], up to a sum, and until they hold at least so many entries."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     x, y = first[a].tolist(), second[b].tolist()
     heap, out, held = [(x[0] + y[0], 0, 0)], [], 0
-    while heap and held < enough:
+    while heap and (held < least or heap[0][0] <= within):
         _, i, j = heapq.heappop(heap)
         cell = int(a[i]), int(b[j])
         n = counts[cell]
@@ -83,13 +89,16 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: floa
 
 
 class MultiIndex:
-    """Two codebooks and the share of entries to visit."""
+    """Two codebooks, the sample they come from, and how far walks reach."""
 
     def __init__(self, sample: np.ndarray, entries: int, near: int, target: float = TARGET):
         self.half = sample.shape[1] // 2
         k = int(np.clip(np.sqrt(entries / 8), 2, MOST_CENTROIDS))
         self.books = [kmeans(part, k) for part in self.halves(sample)]
-        self.share = self._share(sample, near, target)
+        self.sample = sample
+        #: The place in the sample, by distance, of about the near-th neighbour among all.
+        self.place = min(near, -(-near * len(sample) // max(entries, 1)) + (entries > len(sample)))
+        self.reach = self._reach(near, target)
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
@@ -100,20 +109,31 @@ class MultiIndex:
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
         return [((part[:, None] - book[None]) ** 2).sum(2) for part, book in zip(self.halves(x), self.books, strict=True)]
 
-    def _share(self, sample: np.ndarray, near: int, target: float, queries: int = 128) -> float:
-        """Of the sample, ordered by the sum for its cell, how much holds the target part of the nearest."""
-        if len(sample) <= near + 1:
-            return 1.0
-        q = sample[np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int)]
-        a, b = self.codes(sample)
+    def squared(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of queries to the sample, but for rounding."""
+        return np.maximum((q**2).sum(1)[:, None] - 2 * q @ self.sample.T + (self.sample**2).sum(1), 0)
+
+    def _reach(self, near: int, target: float, queries: int = 256) -> float:
+        """The factor of the near-th squared distance up to which cells hold the target part of the nearest."""
+        if len(self.sample) <= near + 1:
+            return np.inf
+        q = self.sample[np.linspace(0, len(self.sample) - 1, min(queries, len(self.sample))).astype(int)]
+        a, b = self.codes(self.sample)
         first, second = self.distances(q)
-        exact = (q**2).sum(1)[:, None] - 2 * q @ sample.T + (sample**2).sum(1)
+        exact = self.squared(q)
         truth = np.argsort(exact, axis=1, kind="stable")[:, 1 : near + 1]
-        order = np.argsort(first[:, a] + second[:, b], axis=1, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(sample)), order.shape), 1)
-        needed = np.sort(np.take_along_axis(rank, truth, 1).ravel())
-        return min(1.0, (needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))] + 1) / len(sample))
+        far = np.take_along_axis(exact, truth[:, -1:], 1)
+        needed = np.sort((np.take_along_axis(first[:, a] + second[:, b], truth, 1) / np.maximum(far, 1e-300)).ravel())
+        return float(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))])
+
+    def within(self, q: np.ndarray) -> np.ndarray:
+        """Up to which summed squared distance each query visits cells."""
+        if len(self.sample) <= self.place + 1:
+            return np.full(len(q), np.inf)
+        near = np.partition(self.squared(q), self.place, axis=1)[:, : self.place + 1]
+        own = near.min(1) <= ROUNDING * (q**2).sum(1)  # a query that is in the sample is no neighbour of its own
+        near.sort(axis=1)
+        return self.reach * np.where(own, near[:, self.place], near[:, self.place - 1])
 
 
 def to_matrix(column: pa.Array) -> np.ndarray:
@@ -149,7 +169,6 @@ def nearest_neighbours(vectors: DataFrame, is_query, near: int = 10, target: flo
     counts = np.zeros([len(b) for b in index.books], np.int64)
     for r in coded.groupBy("c1", "c2").count().collect():
         counts[r["c1"], r["c2"]] = r["count"]
-    enough = index.share * total
 
     asked = rows.where(is_query(F.col("vec_id"))).distinct()
     asked = stored(asked.join(entries.select("v", "entry"), "v").select("vec_id", "entry", "v"), "ann-queries")
@@ -159,11 +178,12 @@ def nearest_neighbours(vectors: DataFrame, is_query, near: int = 10, target: flo
     def plan(batches):
         out = pa.schema([("c1", pa.int32()), ("query", pa.int64()), ("qv", pa.list_(pa.float32())), ("cells", pa.list_(pa.int32()))])
         for b in batches:
-            first, second = index.distances(to_matrix(b.column("v")))
+            q = to_matrix(b.column("v"))
+            first, second, within = *index.distances(q), index.within(q)
             made = []
             for k, (entry, v) in enumerate(zip(b.column("entry").to_pylist(), b.column("v").to_pylist(), strict=True)):
                 cells: dict[int, list[int]] = {}
-                for i, j in walk(first[k], second[k], counts, enough):
+                for i, j in walk(first[k], second[k], counts, near + 1, within[k]):
                     cells.setdefault(i, []).append(j)
                 made += [{"c1": i, "query": entry, "qv": v, "cells": js} for i, js in cells.items()]
             yield pa.RecordBatch.from_pylist(made, schema=out)
@@ -182,15 +202,19 @@ def nearest_neighbours(vectors: DataFrame, is_query, near: int = 10, target: flo
                 q, h = asking_row.values, held_row.values
                 x, y = to_matrix(q.field("qv")), to_matrix(h.field("v"))
                 c2, ids = h.field("c2").to_numpy(), h.field("ids").to_pylist()
-                rough = (y**2).sum(1) - 2 * x @ y.T
+                order = np.argsort(c2, kind="stable")
+                y, y2, c2 = y[order], (y[order] ** 2).sum(1), c2[order]
                 found: list[tuple[int, int, float]] = []
                 names = q.field("query").to_pylist()
                 for k, cells in enumerate(q.field("cells").to_pylist()):
-                    mine = np.flatnonzero(np.isin(c2, cells))
-                    if len(mine) > 4 * near:  # rounding can't move a vector past so many
-                        mine = mine[np.argpartition(rough[k, mine], 4 * near)[: 4 * near]]
+                    begin, end = np.searchsorted(c2, cells), np.searchsorted(c2, cells, side="right")
+                    mine = gather(begin, end - begin)
+                    if len(mine) > near + 1:
+                        rough = y2[mine] - 2 * (y[mine] @ x[k])
+                        bound = np.partition(rough, near)[near] + ROUNDING * (float(x[k] @ x[k]) + float(y2[mine].max()))
+                        mine = mine[rough <= bound]
                     exact = np.sqrt(((y[mine] - x[k]) ** 2).sum(1))
-                    best = sorted((float(d), i) for d, m in zip(exact, mine, strict=True) for i in ids[m])[: near + 1]
+                    best = sorted((float(d), i) for d, m in zip(exact, order[mine], strict=True) for i in ids[m])[: near + 1]
                     found += [(names[k], i, d) for d, i in best]
                 cols = list(zip(*found, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)

@@ -4,7 +4,8 @@ The rule that fits a url and is longest decides. Other urls get the verdict of t
 carries trust from hosts whose pages the rules only allow along host edges, and distrust from hosts of which the rules
 block over half of the pages along the same edges reversed (who links to blocked hosts is suspect). Host edges are the
 hyperlinks of pages to other hosts, weighted by their number of pages, and ties in both directions between a host and
-the domains above it that have pages themselves. Both scores are scaled to a mean of 1 over all hosts; a host is
+the domains above it (of two parts at least), which are nodes whether or not they have pages, so hosts of one domain
+are two steps apart. Both scores are scaled to a mean of 1 over all hosts; a host is
 blocked if its distrust reaches `THRESHOLD` and exceeds its trust.
 
 Everything is a DataFrame job: links are counted per pair of hosts before the shuffle, so a host with a third of all
@@ -65,7 +66,7 @@ def judged_pages(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """src, dst, weight: hyperlinks between hosts, and ties between a host and the domains above it that have pages."""
+    """src, dst, weight: hyperlinks between hosts, and ties between a host and the domains above it."""
     host, _ = host_and_path(F.col("url"))
     found = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: F.translate(x, UPPER, LOWER)))
     linked = pages.where(F.col("html").contains("//")).select(host.alias("src"), F.explode(found).alias("dst")).where("src != '' and src != dst")
@@ -73,7 +74,6 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     parts = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.concat_ws(".", F.slice(parts, n, F.size(parts))))
     ties = hosts.where("host != ''").where(F.size(parts) > 2).select("host", F.explode(above).alias("domain"))
-    ties = ties.join(hosts.select(F.col("host").alias("domain")), "domain")
     ties = ties.select(F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("domain").alias("dst")), F.struct(F.col("domain").alias("src"), F.col("host").alias("dst")))).alias("e"))
     ties = ties.select("e.*", F.lit(1.0).alias("weight"))
     return linked.unionByName(ties).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))

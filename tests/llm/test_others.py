@@ -69,6 +69,45 @@ def test_op2_walk_is_in_order():
     cells = op2_multi_index.walk(a, b, np.ones((7, 9), int), 63)
     sums = [a[i] + b[j] for i, j in cells]
     assert len(set(cells)) == 63 and sums == sorted(sums)
+    some = op2_multi_index.walk(a, b, np.ones((7, 9), int), 3, within=sums[20])
+    assert some == cells[:21]
+    assert op2_multi_index.walk(a, b, np.ones((7, 9), int), 3, within=0.0) == cells[:3]
+
+
+def test_op2_ties_go_to_the_smaller_id(spark):
+    """Thousands of different vectors at one distance."""
+    rows = [(0, [4.0] * 12 + [0.0])]
+    rows += [(k, [4.0 + (1 if k >> b & 1 else -1) for b in range(11)] + [5.0, 0.0]) for k in range(1, 2025)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    found = op2_multi_index.nearest_neighbours(df, lambda v: v == 0, target=1.0).orderBy("rank").collect()
+    assert [r["score"] for r in found] == [math.sqrt(12)] * 10
+    assert [r["vec_id"] for r in found] == list(range(1, 11))
+
+
+def test_op2_visits_few_of_clustered_vectors(spark):
+    """Recall with clashing columns beside the vectors, and the share of vectors whose distance is taken."""
+    from pyspark.sql import functions as F
+
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(40, 16))
+    x = (centres[np.arange(4000) % 40] + 0.15 * rnd.normal(size=(4000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    df = df.withColumns({n: F.lit(1) for n in ("v", "ids", "entry", "c1", "c2", "query", "score", "rank", "place")})
+    found = op2_multi_index.nearest_neighbours(df, lambda v: v % 100 == 0).collect()
+    x, hits, seen = x.astype(float), 0, 0
+    index = op2_multi_index.MultiIndex(x, len(x), 10)
+    a, b = index.codes(x)
+    counts = np.zeros([len(book) for book in index.books], np.int64)
+    np.add.at(counts, (a, b), 1)
+    q = x[::100]
+    first, second, within = *index.distances(q), index.within(q)
+    for k in range(len(q)):
+        d = np.sqrt(((x - q[k]) ** 2).sum(1))
+        truth = {int(i) for i in np.argsort(d, kind="stable")[1:11]}
+        hits += len(truth & {r["vec_id"] for r in found if r["query_id"] == 100 * k})
+        seen += sum(counts[c] for c in op2_multi_index.walk(first[k], second[k], counts, 11, within[k]))
+    assert hits >= 0.9 * 10 * len(q)
+    assert seen < 0.3 * len(x) * len(q)
 
 
 def test_op4_held_out_accuracy(spark):
@@ -127,6 +166,7 @@ def test_op6_rules_and_propagation(pages):
 
 def test_op6_scores_against_plain_iteration(pages):
     edges = {("a.org", "good.info"): 1.0, ("bad.info", "x.net"): 1.0, ("shop.example.com", "example.com"): 1.0, ("example.com", "shop.example.com"): 1.0}
+    edges |= {("a.example.net", "example.net"): 1.0, ("example.net", "a.example.net"): 1.0}
     hosts = {"a.example.net", "x.net", "example.com", "shop.example.com", "a.org", "bad.info", "", "net", "good.info"}
     seeds = {"trust": {"a.example.net": 1.0, "a.org": 1.0}, "distrust": {"x.net": 1.0, "example.com": 1.0}}
     wanted = {}
