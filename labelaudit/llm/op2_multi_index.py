@@ -33,6 +33,8 @@ from labelaudit.llm.common import partitions, stored, tune
 from labelaudit.llm.segments import gather
 
 TRAIN_ROWS, BLOCK, QUERY_BLOCK, TARGET, MOST_CENTROIDS = 8192, 2048, 1024, 0.97, 1024
+#: Vectors by which, at least, a fit estimates distances.
+LEAST_SAMPLE = 64
 #: Differences of squared distances that count as rounding, in parts of the squared lengths.
 ROUNDING = 1e-11
 ROUNDS = 10
@@ -96,9 +98,10 @@ class MultiIndex:
         k = int(np.clip(np.sqrt(entries / 8), 2, MOST_CENTROIDS))
         self.books = [kmeans(part, k) for part in self.halves(sample)]
         self.sample = sample
-        #: The place in the sample, by distance, of about the near-th neighbour among all.
-        self.place = min(near, -(-near * len(sample) // max(entries, 1)) + (entries > len(sample)))
+        #: What part of all vectors the sample is.
+        self.part = min(1.0, len(sample) / max(entries, 1))
         self.reach = self._reach(near, target)
+        self.near = near
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
@@ -109,31 +112,39 @@ class MultiIndex:
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
         return [((part[:, None] - book[None]) ** 2).sum(2) for part, book in zip(self.halves(x), self.books, strict=True)]
 
-    def squared(self, q: np.ndarray) -> np.ndarray:
-        """Squared distances of queries to the sample, but for rounding."""
-        return np.maximum((q**2).sum(1)[:, None] - 2 * q @ self.sample.T + (self.sample**2).sum(1), 0)
+    def _reach(self, near: int, target: float, queries: int = 512) -> float:
+        """The factor with which cells up to reach times about_near() hold the target part of the nearest.
 
-    def _reach(self, near: int, target: float, queries: int = 256) -> float:
-        """The factor of the near-th squared distance up to which cells hold the target part of the nearest."""
+        Fitted as if the sample were all vectors, and as great a part of it the sample.
+        """
         if len(self.sample) <= near + 1:
             return np.inf
         q = self.sample[np.linspace(0, len(self.sample) - 1, min(queries, len(self.sample))).astype(int)]
         a, b = self.codes(self.sample)
         first, second = self.distances(q)
-        exact = self.squared(q)
-        truth = np.argsort(exact, axis=1, kind="stable")[:, 1 : near + 1]
-        far = np.take_along_axis(exact, truth[:, -1:], 1)
-        needed = np.sort((np.take_along_axis(first[:, a] + second[:, b], truth, 1) / np.maximum(far, 1e-300)).ravel())
+        truth = np.argsort(squared(q, self.sample), axis=1, kind="stable")[:, 1 : near + 1]
+        about = about_near(q, self.sample[: max(LEAST_SAMPLE, int(self.part * len(self.sample)))], self.part, near)
+        needed = np.sort((np.take_along_axis(first[:, a] + second[:, b], truth, 1) / np.maximum(about, 1e-300)[:, None]).ravel())
         return float(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))])
 
     def within(self, q: np.ndarray) -> np.ndarray:
         """Up to which summed squared distance each query visits cells."""
-        if len(self.sample) <= self.place + 1:
-            return np.full(len(q), np.inf)
-        near = np.partition(self.squared(q), self.place, axis=1)[:, : self.place + 1]
-        own = near.min(1) <= ROUNDING * (q**2).sum(1)  # a query that is in the sample is no neighbour of its own
-        near.sort(axis=1)
-        return self.reach * np.where(own, near[:, self.place], near[:, self.place - 1])
+        return self.reach * about_near(q, self.sample, self.part, self.near)
+
+
+def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances, but for rounding."""
+    return np.maximum((q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1), 0)
+
+
+def about_near(q: np.ndarray, sample: np.ndarray, part: float, near: int) -> np.ndarray:
+    """Squared distance of about the near-th neighbour among all vectors, of which the sample is a part."""
+    place = min(near, int(np.ceil(near * part)) + (part < 1))
+    if len(sample) <= place + 1:
+        return np.full(len(q), np.inf)
+    found = np.sort(np.partition(squared(q, sample), place, axis=1)[:, : place + 1], axis=1)
+    own = found[:, 0] <= ROUNDING * (q**2).sum(1)  # a query that is in the sample is no neighbour of its own
+    return np.where(own, found[:, place], found[:, place - 1])
 
 
 def to_matrix(column: pa.Array) -> np.ndarray:

@@ -1,8 +1,9 @@
 """URL filter: host and path rules, and link-graph propagation where no rule fits.
 
 The rule that fits a url and is longest decides. Other urls get the verdict of their host: personalised PageRank
-carries trust from hosts whose pages the rules only allow along host edges, and distrust from hosts of which the rules
-block over half of the pages along the same edges reversed (who links to blocked hosts is suspect). Host edges are the
+carries trust from hosts with pages that the rules allow along host edges, and distrust from hosts with pages that the
+rules block along the same edges reversed (who links to blocked hosts is suspect); a host's weight as a seed is the
+share of its pages that are allowed or blocked. Host edges are the
 hyperlinks of pages to other hosts, weighted by their number of pages, and ties in both directions between a host and
 the domains above it (of two parts at least), which are nodes whether or not they have pages, so hosts of one domain
 are two steps apart. Both scores are scaled to a mean of 1 over all hosts; a host is
@@ -129,9 +130,8 @@ def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: fl
     total = edges.groupBy("kind", "host").agg(F.sum("weight").alias("out"))
     edges = stored(edges.join(total, ["kind", "host"]).select("kind", "host", "next", (F.col("weight") / F.col("out")).alias("part")), "host-edges")
 
-    trusted = hosts.where("host != '' and allowed > 0 and blocked = 0").select(F.lit("trust").alias("kind"), "host", F.col("allowed").cast("double").alias("w"))
-    blocked = hosts.where("host != '' and 2 * blocked > pages").select(F.lit("distrust").alias("kind"), "host", F.col("blocked").cast("double").alias("w"))
-    seeds = trusted.unionByName(blocked)
+    share = lambda c, kind: hosts.where(f"host != '' and {c} > 0").select(F.lit(kind).alias("kind"), "host", (F.col(c) / F.col("pages")).alias("w"))
+    seeds = share("allowed", "trust").unionByName(share("blocked", "distrust"))
     sums = {r["kind"]: r["w"] for r in seeds.groupBy("kind").agg(F.sum("w").alias("w")).collect()}
     n = hosts.count()
     scale = F.when(F.col("kind") == "trust", n / (sums.get("trust") or 1.0)).otherwise(n / (sums.get("distrust") or 1.0))
