@@ -6,10 +6,11 @@ reranked by their exact Euclidean distance in double precision. Vectors as near
 ties are decided by id.
 
 Centroids are fitted on at most `TRAIN_ROWS` distinct vectors (those with the smallest hashes). A walk ends by its own
-query: its distances to the sample tell about how far its nearest neighbours are, and cells go on being visited up to
-`reach` times that (squared), the least factor with which `TARGET` of the nearest neighbours within the sample are
-found, and until they hold more vectors than are asked for. So a query in a dense place visits few cells and one
-without near neighbours many; vectors without structure need most cells. Every vector is indexed.
+query: the summed distance of the farthest cell of the query's `WITNESSES` nearest sample vectors says in which cells
+its neighbours lie, and cells are visited up to `reach` times that, and until they hold more vectors than are asked
+for. The factor is fitted as the least with which `TARGET` of the nearest neighbours within the sample are found, from
+a part of the sample as great as the sample is of all. So a query in a cluster visits few cells; vectors without
+structure need about half of them. Every vector is indexed.
 
 Equal vectors are one entry with the ids that can matter (the k + 1 smallest), so a vector that a third of all rows
 share is one candidate. Entries lie in blocks: one first-half centroid, and at most about `BLOCK` entries by hash;
@@ -33,8 +34,8 @@ from labelaudit.llm.common import partitions, stored, tune
 from labelaudit.llm.segments import gather
 
 TRAIN_ROWS, BLOCK, QUERY_BLOCK, TARGET, MOST_CENTROIDS = 8192, 2048, 1024, 0.97, 1024
-#: Vectors by which, at least, a fit estimates distances.
-LEAST_SAMPLE = 64
+#: Nearest sample vectors that tell a query's cells, and the least sample for that in a fit.
+WITNESSES, LEAST_SAMPLE = 8, 64
 #: Differences of squared distances that count as rounding, in parts of the squared lengths.
 ROUNDING = 1e-11
 ROUNDS = 10
@@ -97,11 +98,10 @@ class MultiIndex:
         self.half = sample.shape[1] // 2
         k = int(np.clip(np.sqrt(entries / 8), 2, MOST_CENTROIDS))
         self.books = [kmeans(part, k) for part in self.halves(sample)]
-        self.sample = sample
+        self.sample, self.cells = sample, self.codes(sample)
         #: What part of all vectors the sample is.
         self.part = min(1.0, len(sample) / max(entries, 1))
         self.reach = self._reach(near, target)
-        self.near = near
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
@@ -113,23 +113,32 @@ class MultiIndex:
         return [((part[:, None] - book[None]) ** 2).sum(2) for part, book in zip(self.halves(x), self.books, strict=True)]
 
     def _reach(self, near: int, target: float, queries: int = 512) -> float:
-        """The factor with which cells up to reach times about_near() hold the target part of the nearest.
-
-        Fitted as if the sample were all vectors, and as great a part of it the sample.
-        """
         if len(self.sample) <= near + 1:
             return np.inf
         q = self.sample[np.linspace(0, len(self.sample) - 1, min(queries, len(self.sample))).astype(int)]
-        a, b = self.codes(self.sample)
         first, second = self.distances(q)
         truth = np.argsort(squared(q, self.sample), axis=1, kind="stable")[:, 1 : near + 1]
-        about = about_near(q, self.sample[: max(LEAST_SAMPLE, int(self.part * len(self.sample)))], self.part, near)
-        needed = np.sort((np.take_along_axis(first[:, a] + second[:, b], truth, 1) / np.maximum(about, 1e-300)[:, None]).ravel())
+        sums = np.take_along_axis(first[:, self.cells[0]] + second[:, self.cells[1]], truth, 1)
+        witnessed = self._witnessed(q, first, second, max(LEAST_SAMPLE, int(self.part * len(self.sample))))
+        needed = np.sort((sums / np.maximum(witnessed, 1e-300)[:, None]).ravel())
         return float(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))])
 
-    def within(self, q: np.ndarray) -> np.ndarray:
-        """Up to which summed squared distance each query visits cells."""
-        return self.reach * about_near(q, self.sample, self.part, self.near)
+    def _witnessed(self, q: np.ndarray, first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
+        """The largest summed distance of the cells of each query's nearest vectors among the sample's first `size`."""
+        sample = self.sample[:size]
+        if len(sample) <= WITNESSES + 1:
+            return np.full(len(q), np.inf)
+        exact = squared(q, sample)
+        at = np.argpartition(exact, WITNESSES, axis=1)[:, : WITNESSES + 1]
+        at = np.take_along_axis(at, np.argsort(np.take_along_axis(exact, at, 1), axis=1), 1)
+        row = np.arange(len(q))
+        sums = first[row[:, None], self.cells[0][at]] + second[row[:, None], self.cells[1][at]]
+        own = exact[row, at[:, 0]] <= ROUNDING * (q**2).sum(1)  # a query that is in the sample is no neighbour of its own
+        return np.where(own, sums[:, 1:].max(1), sums[:, :-1].max(1))
+
+    def within(self, q: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Up to which summed distance each query visits cells, given its distances to the centroids."""
+        return self.reach * self._witnessed(q, first, second, len(self.sample))
 
 
 def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -137,16 +146,6 @@ def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.maximum((q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1), 0)
 
 
-def about_near(q: np.ndarray, sample: np.ndarray, part: float, near: int) -> np.ndarray:
-    """Squared distance of about the near-th neighbour among all vectors, of which the sample is a part."""
-    place = min(near, int(np.ceil(near * part)) + (part < 1))
-    if len(sample) <= place + 1:
-        return np.full(len(q), np.inf)
-    found = np.sort(np.partition(squared(q, sample), place, axis=1)[:, : place + 1], axis=1)
-    own = found[:, 0] <= ROUNDING * (q**2).sum(1)  # a query that is in the sample is no neighbour of its own
-    return np.where(own, found[:, place], found[:, place - 1])
-
-
 def to_matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
@@ -190,7 +189,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, near: int = 10, target: flo
         out = pa.schema([("c1", pa.int32()), ("query", pa.int64()), ("qv", pa.list_(pa.float32())), ("cells", pa.list_(pa.int32()))])
         for b in batches:
             q = to_matrix(b.column("v"))
-            first, second, within = *index.distances(q), index.within(q)
+            first, second = index.distances(q)
+            within = index.within(q, first, second)
             made = []
             for k, (entry, v) in enumerate(zip(b.column("entry").to_pylist(), b.column("v").to_pylist(), strict=True)):
                 cells: dict[int, list[int]] = {}

@@ -100,7 +100,8 @@ def test_op2_visits_few_of_clustered_vectors(spark):
     counts = np.zeros([len(book) for book in index.books], np.int64)
     np.add.at(counts, (a, b), 1)
     q = x[::100]
-    first, second, within = *index.distances(q), index.within(q)
+    first, second = index.distances(q)
+    within = index.within(q, first, second)
     for k in range(len(q)):
         d = np.sqrt(((x - q[k]) ** 2).sum(1))
         truth = {int(i) for i in np.argsort(d, kind="stable")[1:11]}
