@@ -31,7 +31,7 @@ from labelaudit.llm.common import batch, stored, text_chunks, text_frame, tune
 from labelaudit.llm.segments import SEPARATOR, gather, row_bounds, words
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Nodes of a group compared in one task, and of a tile.
 GROUP, TILE = 4096, 1024
 BLOCK = 1 << 16  # shingles whose bits are counted at a time

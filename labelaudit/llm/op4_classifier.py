@@ -31,7 +31,7 @@ from labelaudit.llm.segments import RangeHash, mixed, row_bounds, words
 
 BITS, TRAIN_ROWS, EPOCHS, THRESHOLD, FOLDS = 18, 6000, 3, 0.3, 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.001
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _kinds = np.zeros(256, np.uint8)
 _kinds[0x41:0x5B] = 1  # capitals

@@ -3,7 +3,8 @@
 Texts are cut where a rolling hash of the last bytes says so, so equal passages of different documents give equal
 chunks. Each distinct chunk is encoded once per Python worker (a bounded table kept between tasks); a document's ids
 are gathered from its chunks. A cut may fall inside a word: there the chunks' ids beside the join are dropped and the
-text around it is encoded anew, out to the separators on both sides, where both encodings agree for certain.
+word is encoded anew. It is also encoded together with the words around it; if that doesn't give the word's ids between
+those of its neighbours, the repair goes on to the next place where encodings agree for certain, the document's ends.
 
 Sharing is per worker, not global: sending every chunk's text to one place and its ids back would shuffle several
 times the input, while encoding is bounded by the distinct pieces of words either way.
@@ -135,7 +136,8 @@ class ChunkEncoder:
         k = np.unique(np.searchsorted(word_start, joins, side="right") - 1)
         repair_at, repair_to = word_start[k], word_end[k]
         lengths = repair_to - repair_at
-        repaired, bounds = self.pieces.encode(buf[gather(repair_at, lengths)], np.concatenate([[0], np.cumsum(lengths)]))
+        repaired, bounds = self._encoded(buf, repair_at, lengths)
+        odd = np.unique(np.searchsorted(offs, repair_at[~self._agrees(buf, offs, word_start, word_end, k, repaired, bounds)], side="right") - 1)
         pool = np.concatenate([self._ids, repaired])
         item_at = np.concatenate([where, repair_at])
         item_lo = np.concatenate([lo, len(self._ids) + bounds[:-1]])
@@ -145,7 +147,40 @@ class ChunkEncoder:
         order = np.argsort(item_at, kind="stable")
         item_at, item_lo, item_n = item_at[order], item_lo[order], item_n[order]
         before = np.concatenate([[0], np.cumsum(item_n)])
-        return pool[gather(item_lo, item_n)], before[np.searchsorted(item_at, offs)]
+        return self._replaced(pool[gather(item_lo, item_n)], before[np.searchsorted(item_at, offs)], buf, offs, odd)
+
+    def _encoded(self, buf: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some ranges, each by itself, and where each one's begin."""
+        return self.pieces.encode(buf[gather(at, n)], np.concatenate([[0], np.cumsum(n)]))
+
+    def _agrees(self, buf, offs, word_start, word_end, k, repaired, bounds) -> np.ndarray:
+        """Whether words encoded together with the words around them give the ids of the three by themselves."""
+        row = np.searchsorted(offs, word_start[k], side="right") - 1
+        before = np.where((k > 0) & (word_start[np.maximum(k - 1, 0)] >= offs[row]), k - 1, k)
+        last = len(word_start) - 1
+        after = np.where((k < last) & (word_start[np.minimum(k + 1, last)] < offs[row + 1]), k + 1, k)
+        wide, wide_at = self._encoded(buf, word_start[before], word_end[after] - word_start[before])
+        left, left_at = self._encoded(buf, word_start[before], np.where(before < k, word_end[before] - word_start[before], 0))
+        right, right_at = self._encoded(buf, word_start[after], np.where(after > k, word_end[after] - word_start[after], 0))
+        n = np.stack([np.diff(left_at), np.diff(bounds), np.diff(right_at)], 1)
+        fine = n.sum(1) == np.diff(wide_at)
+        pool = np.concatenate([left, repaired, right])
+        at = np.stack([left_at[:-1], len(left) + bounds[:-1], len(left) + len(repaired) + right_at[:-1]], 1)
+        ok = np.flatnonzero(fine)
+        apart = pool[gather(at[ok].ravel(), n[ok].ravel())]
+        together = wide[gather(wide_at[:-1][ok], n[ok].sum(1))]
+        owner = np.repeat(ok, n[ok].sum(1))
+        fine[owner[apart != together]] = False
+        return fine
+
+    def _replaced(self, ids: np.ndarray, bounds: np.ndarray, buf: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids with those of some rows taken from the rows' whole texts instead."""
+        if not len(rows):
+            return ids, bounds
+        whole, whole_at = self._encoded(buf, offs[:-1][rows], np.diff(offs)[rows])
+        at, n = bounds[:-1].copy(), np.diff(bounds)
+        at[rows], n[rows] = len(ids) + whole_at[:-1], np.diff(whole_at)
+        return np.concatenate([ids, whole])[gather(at, n)], np.concatenate([[0], np.cumsum(n)])
 
 
 class Decoder:

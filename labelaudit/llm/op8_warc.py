@@ -3,8 +3,9 @@
 Writing: of pages with equal payloads the one with the largest page_id becomes a response record, the others revisit
 it. Each task writes an archive of gzip members, one a record, and hands on what the index needs. Index entries are
 sorted by reversed-host key (com,example,www)/path, cut into blocks of `BLOCK` entries, compressed and written to index
-files; the directory keeps each block's first and last key and place. A lookup compares keys with the directory,
-decodes the blocks that can hold them, searches those by bisection and reads the records' byte ranges alone.
+files, one a range partition; the sparse directory has a row for each file, with each block's first and last key and
+place. A lookup bisects the files by key (a row each, so few), then the blocks of the files it needs, then the entries of
+the blocks it decodes, and reads the records' byte ranges alone.
 
 Archives and index files lie in the shared folder and are written through Arrow's file systems (local, S3, HDFS where
 its library is present). A task that runs again writes files of its own; only those that the written directory names
@@ -34,7 +35,7 @@ from labelaudit.llm.common import batch, filesystem, new_folder, partitions, sto
 
 BLOCK, LEVEL, DATE = 256, 3, "2024-01-01T00:00:00Z"
 ENTRY = "key string, page_id long, file string, at long, size long"
-DIRECTORY = "first_key string, last_key string, n int, file string, at long, size long"
+DIRECTORY = "first_key string, last_key string, file string, blocks array<struct<first: string, last: string, n: int, at: long, size: long>>"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -135,21 +136,23 @@ def unpack_block(data: bytes) -> list[list]:
 
 
 def write_index(entries: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
-    """Sort the entries by key into compressed blocks below folder; the block directory, stored in the shared folder."""
-    schema = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("n", pa.int32()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
+    """Sort the entries by key into compressed blocks below folder; the sparse directory, stored in the shared folder."""
+    one = pa.struct([("first", pa.string()), ("last", pa.string()), ("n", pa.int32()), ("at", pa.int64()), ("size", pa.int64())])
+    schema = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("blocks", pa.list_(one))])
 
     def run(batches):
-        out, name, place, (fs, at) = None, f"index-{uuid.uuid4().hex}.cdxz", 0, filesystem(folder)
+        out, name, place, (fs, at), blocks = None, f"index-{uuid.uuid4().hex}.cdxz", 0, filesystem(folder), []
         for entries in _runs(batches, block):
             if out is None:
                 fs.create_dir(at, recursive=True)
                 out = fs.open_output_stream(f"{at}/{name}", compression=None)
             data = pack_block(entries)
             out.write(data)
-            yield batch(schema, [entries[0][0]], [entries[-1][0]], [len(entries)], [name], [place], [len(data)])
+            blocks.append({"first": entries[0][0], "last": entries[-1][0], "n": len(entries), "at": place, "size": len(data)})
             place += len(data)
         if out is not None:
             out.close()
+            yield batch(schema, [blocks[0]["first"]], [blocks[-1]["last"]], [name], [blocks])
 
     order = ["key", "page_id", "file", "at"]
     # the place in the archive is part of the range key: a key that a third of all captures share is spread
@@ -168,22 +171,45 @@ def _runs(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[list[tuple]]
         yield held
 
 
+def between(firsts: list[str], lasts: list[str], key: str) -> range:
+    """Places of the sorted ranges first..last that can hold a key; neighbours may share a key at their ends."""
+    at = bisect.bisect_left(lasts, key)
+    return range(at, max(at, bisect.bisect_right(firsts, key)))
+
+
+def files_with(directory: DataFrame, keys: list[str]) -> list[str]:
+    """Names of the index files that can hold one of the keys."""
+    files = directory.select("first_key", "last_key", "file").orderBy("first_key", "last_key").collect()  # a row for each range partition
+    firsts, lasts = [f["first_key"] for f in files], [f["last_key"] for f in files]
+    return sorted({files[k]["file"] for key in keys for k in between(firsts, lasts, key)})
+
+
 def read_captures(directory: DataFrame, archives: str, index: str, urls: list[str] | None = None) -> DataFrame:
     """Rows of the records that the index names: all, or those of the urls (a short list, sent to every task)."""
     spark = directory.sparkSession
     keys = sorted({surt(u) for u in urls}) if urls is not None else None
     if keys is not None:
-        wanted = F.exists(F.array(*[F.lit(k) for k in keys]), lambda k: (k >= F.col("first_key")) & (k <= F.col("last_key"))) if keys else F.lit(False)
-        directory = directory.where(wanted)
+        files = directory.where(F.col("file").isin(files_with(directory, keys))).select("file", "blocks")
+    else:
+        files = directory.select("file", F.explode("blocks").alias("b")).repartition(partitions(spark), "file", "b.at").select("file", F.array("b").alias("blocks"))
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
-    def hits(entries: list[list]) -> list[list]:
+    def blocks_with(blocks: list[dict]) -> list[tuple[dict, list[str] | None]]:
+        """Blocks to decode, with the keys to look for; None for all."""
         if keys is None:
+            return [(b, None) for b in blocks]
+        firsts, lasts = [b["first"] for b in blocks], [b["last"] for b in blocks]
+        found: dict[int, list[str]] = {}
+        for key in keys:
+            for k in between(firsts, lasts, key):
+                found.setdefault(k, []).append(key)
+        return [(blocks[k], some) for k, some in sorted(found.items())]
+
+    def hits(entries: list[list], wanted: list[str] | None) -> list[list]:
+        if wanted is None:
             return entries
-        own, out = [e[0] for e in entries], []
-        for k in keys[bisect.bisect_left(keys, own[0]) : bisect.bisect_right(keys, own[-1])]:
-            out += entries[bisect.bisect_left(own, k) : bisect.bisect_right(own, k)]
-        return out
+        own = [e[0] for e in entries]
+        return [e for k in wanted for e in entries[bisect.bisect_left(own, k) : bisect.bisect_right(own, k)]]
 
     def run(batches):
         archive_fs, archive_at = filesystem(archives)
@@ -198,15 +224,16 @@ def read_captures(directory: DataFrame, archives: str, index: str, urls: list[st
             return held[path].read_at(size, at)
 
         for rows in batches:
-            for block in rows.to_pylist():
-                entries = hits(unpack_block(ranged(index_fs, f"{index_at}/{block['file']}", block["at"], block["size"])))
-                found = [record_row(ranged(archive_fs, f"{archive_at}/{name}", at, size)) for _, _, name, at, size in entries]
-                if found:
-                    yield batch(schema, *zip(*found, strict=True))
+            for file in rows.to_pylist():
+                for block, wanted in blocks_with(file["blocks"]):
+                    entries = hits(unpack_block(ranged(index_fs, f"{index_at}/{file['file']}", block["at"], block["size"])), wanted)
+                    found = [record_row(ranged(archive_fs, f"{archive_at}/{name}", at, size)) for _, _, name, at, size in entries]
+                    if found:
+                        yield batch(schema, *zip(*found, strict=True))
         for file in held.values():
             file.close()
 
-    return directory.repartition(partitions(spark), "file", "at").mapInArrow(run, RECORD)
+    return files.mapInArrow(run, RECORD)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

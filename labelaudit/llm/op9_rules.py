@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from labelaudit.llm.common import batch, text_chunks, text_frame, tune
 from labelaudit.llm.segments import SEPARATOR, RangeHash, distinct_ranges, eights, gather, lines, mixed, row_bounds, same_bytes, sums_by_row, words
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SAMPLE_ROWS = 2000
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
 

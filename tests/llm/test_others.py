@@ -120,6 +120,43 @@ def test_op4_held_out_accuracy(spark):
     assert found["score"].between(0, 1).all()
 
 
+def test_op4_training_is_plain_ftrl():
+    """Weights against the update written out one feature at a time."""
+    rnd = np.random.default_rng(6)
+    rows = [(np.unique(rnd.integers(0, 16, 5)), None, float(rnd.random() < 0.5)) for _ in range(60)]
+    rows = [(p, rnd.random(len(p)), y) for p, _, y in rows]
+    z, n = [0.0] * 17, [0.0] * 17
+    a, b, l1, l2 = op4_classifier.ALPHA, op4_classifier.BETA, op4_classifier.L1, op4_classifier.L2
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+
+    for _ in range(2):
+        for places, values, label in rows:
+            w = [weight(i) for i in places]
+            p = 1 / (1 + math.exp(-sum(x * v for x, v in zip(w, values, strict=True))))
+            for i, x, v in zip(places, w, values, strict=True):
+                g = (p - label) * v
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a
+                z[i], n[i] = z[i] + g - s * x, n[i] + g * g
+    assert op4_classifier.train(rows, bits=4, epochs=2) == pytest.approx([weight(i) for i in range(17)], abs=1e-12)
+
+
+def test_op4_clashing_columns_and_repeated_ids(spark, docs, clashing):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    one = sorted(tuple(r) for r in op4_classifier.quality_scores(docs.where("doc_id is not null"), labels).collect())
+    two = sorted(tuple(r) for r in op4_classifier.quality_scores(clashing.repartition(2).where("doc_id is not null"), labels).collect())
+    assert one == two
+    kept = op4_classifier.accepted(clashing, labels)
+    assert kept.columns == clashing.columns
+    # of several texts of an id one is learnt from, whatever the order of rows
+    twice = docs.where("doc_id < 12").unionByName(docs.where("doc_id < 12").selectExpr("doc_id", "concat(text, ' more') text", "lang", "source", "n_chars"))
+    weights = [op4_classifier.fit(d, labels) for d in (twice, twice.orderBy("text"), twice.orderBy("n_chars"))]
+    assert (weights[0] == weights[1]).all() and (weights[0] == weights[2]).all()
+
+
 def test_op4_edges(spark, docs, no_docs, rows):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     found = op4_classifier.quality_scores(docs, labels).collect()
@@ -208,6 +245,14 @@ def test_op8_lookup_by_url(spark, pages):
     found = op8_warc.lookup(spark, directory, archives, index, ["http://example.com/de/1", "http://good.info/?q", "http://nowhere.example/"]).collect()
     assert sorted(r["page_id"] for r in found) == [2, 9, 9]
     assert op8_warc.lookup(spark, directory, archives, index, []).count() == 0
+    keys = sorted(op8_warc.surt(p[1]) for p in PAGES)
+    for key in {*keys, "", "zzz", "com,a)/"}:
+        one = [f for f in directory.collect() if f["first_key"] <= key <= f["last_key"]]
+        assert op8_warc.files_with(directory, [key]) == sorted(f["file"] for f in one)
+    for r in directory.collect():
+        firsts, lasts = [b["first"] for b in r["blocks"]], [b["last"] for b in r["blocks"]]
+        for key in {*keys, "", "zzz"}:
+            assert list(op8_warc.between(firsts, lasts, key)) == [i for i, (a, b) in enumerate(zip(firsts, lasts, strict=True)) if a <= key <= b]
 
 
 def test_op8_records_are_plain_gzip_members():

@@ -46,6 +46,50 @@ def test_op7_equals_library(docs, clashing, no_docs, ids, tokenizer):
     assert op7_chunk_bpe.encoding_digests(no_docs).count() == 0
 
 
+class Contextual:
+    """An encoder whose id of a word depends on whether "q" stands before it in the same text."""
+
+    def encode(self, buf, offs):
+        data, ids, bounds = buf.tobytes(), [], [0]
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            before = b""
+            for w in data[a:b].split():
+                ids.append(2 * (sum(w) % 1000) + (before == b"q"))
+                before = w
+            bounds.append(len(ids))
+        return np.array(ids, np.uint32), np.array(bounds)
+
+
+def test_op7_repairs_until_encodings_agree():
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choice(["q", "word", "another", "x", "abcdefghijkl"]) + str(rnd.randrange(30)) * rnd.randrange(2) for _ in range(200)).encode() for _ in range(8)]
+    texts = [t.replace(b"word", b"q word") for t in texts]
+    buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    word_start, word_end = op9_rules.words(buf, offs)
+    chunks = op7_chunk_bpe.ChunkEncoder(Contextual())
+    lone = np.array([k for k in range(1, len(word_start)) if buf[word_start[k - 1] : word_end[k - 1]].tobytes() == b"q"])[:5]
+    ids, bounds = chunks._encoded(buf, word_start[lone], (word_end - word_start)[lone])
+    assert not chunks._agrees(buf, offs, word_start, word_end, lone, ids, bounds).any()
+    whole, at = Contextual().encode(buf, offs)
+    rows = np.array([1, 4, 7])
+    got, got_at = chunks._replaced(np.zeros_like(whole), at, buf, offs, rows)
+    assert (got_at == at).all()
+    for r in range(8):
+        assert (got[at[r] : at[r + 1]] == (whole[at[r] : at[r + 1]] if r in rows else 0)).all()
+
+
+def test_op7_with_the_table_dropped_all_the_time(rows, ids):
+    from labelaudit.llm.encoding import PieceEncoder
+
+    texts = [(r[1] or "").encode() for r in rows]
+    chunks = op7_chunk_bpe.ChunkEncoder(PieceEncoder(default_tokenizer(), max_pieces=5), max_ids=1)
+    for first in range(0, len(texts), 4):
+        part = texts[first : first + 4]
+        buf, offs = np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in part])])
+        found, at = chunks.encode(buf, offs)
+        assert [found[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x for _, x in ids[first : first + 4]]
+
+
 def test_op7_gives_ids_and_text(docs, ids, tokenizer):
     found = op7_chunk_bpe.encode_documents(docs).collect()
     same([(r[0], tuple(r[1]), r[2]) for r in found], [(i, tuple(x), tokenizer.decode(x, skip_special_tokens=False)) for i, x in ids])
@@ -146,6 +190,21 @@ def test_op9_counts(docs, clashing, no_docs, rows):
     assert op9_rules.quality_rules(no_docs).count() == 0
 
 
+def test_op9_order_is_the_same_in_every_run_and_ties_go_by_name(docs, no_docs):
+    assert op9_rules.rule_order(docs) == op9_rules.rule_order(docs)
+    assert op9_rules.rule_order(no_docs) == sorted(op9_rules.RULES)  # nothing rejected: all tied
+
+
+def test_op9_rejecting_rule_is_the_first_in_order(docs):
+    order = sorted(op9_rules.RULES)
+    found = {(r["doc_id"], r["rejected_by"]) for r in op9_rules.quality_rules(docs, order).collect()}
+    for r in docs.collect():
+        data = (r["text"] or "").encode()
+        one = op9_rules.Rows(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        by = "base" if op9_rules.base_failed(one)[0] else next((n for n in order if op9_rules.RULES[n](op9_rules.Rows(one.buf, one.offs))[0]), None)
+        assert (r["doc_id"], by) in found
+
+
 def test_op9_verdict_does_not_depend_on_order(docs):
     names = list(op9_rules.RULES)
     a = {r["doc_id"]: r["kept"] for r in op9_rules.quality_rules(docs, names).collect()}
