@@ -53,6 +53,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, name: str) -> None:
+    """Remove a folder below the shared folder, with tables that nothing reads any more."""
+    fs, path = filesystem(f"{shared_dir(spark)}/{name}")
+    fs.delete_dir(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

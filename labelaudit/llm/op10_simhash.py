@@ -18,6 +18,7 @@ Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 from math import comb
 
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelaudit.llm.common import batch, stored, text_chunks, text_frame, tune
+from labelaudit.llm.common import batch, discard, stored, text_chunks, text_frame, tune
 from labelaudit.llm.segments import SEPARATOR, gather, row_bounds, words
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -288,7 +289,7 @@ def range_counts(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(at, minlength=rows * 256), 255).astype(np.uint8).reshape(rows, 256)
 
 
-def not_ruled_out(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def not_ruled_out(pairs: DataFrame, nodes: DataFrame, work: str) -> DataFrame:
     """Pairs without those whose sets can't have enough in common: in no range more than the smaller of both counts."""
     up, down = COPY_SIMILARITY
     of = lambda c, x: nodes.select(F.col("node").alias(c), F.struct("n", "counts").alias(x))
@@ -300,13 +301,13 @@ def not_ruled_out(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             may = ((up + down) * least.sum(1, dtype=np.int64) >= up * (x[1] + y[1])) | (least == 255).any(1)
             yield rows.select(["a", "b"]).filter(pa.array(may))
 
-    return stored(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "possible-pairs")
+    return stored(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{work}/possible-pairs")
 
 
-def near_pairs_of(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, seed: int) -> DataFrame:
+def near_pairs_of(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, seed: int, work: str) -> DataFrame:
     """Those of pairs (a, b) of nodes whose sets of shingles, taken anew from their texts, have the least similarity."""
     up, down = COPY_SIMILARITY
-    pairs = not_ruled_out(pairs, nodes)
+    pairs = not_ruled_out(pairs, nodes, work)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "t"), "node")
     # one text for each node; texts without a pair are not hashed again
     held = texts.withColumn("t", F.md5("text")).join(wanted, "t").groupBy("node").agg(F.first("text").alias("text"))
@@ -318,7 +319,7 @@ def near_pairs_of(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle:
             data, at = memoryview(hashes.view(np.uint8)), (8 * bounds).tolist()
             yield batch(schema, rows.column("node"), [bytes(data[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)])
 
-    sets = stored(held.mapInArrow(run, "node long, hashes binary"), "sets")
+    sets = stored(held.mapInArrow(run, "node long, hashes binary"), f"{work}/sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
 
     def compare(batches):
@@ -331,7 +332,7 @@ def near_pairs_of(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle:
                 near.append((up + down) * common >= up * (len(x) + len(y)))
             yield rows.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return stored(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "near-pairs")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), f"{work}/near-pairs")
 
 
 def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED) -> DataFrame:
@@ -343,6 +344,7 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED)
     the first one with the same shingle, which ties large groups; then all pairs that are not tied yet.
     """
     tune(docs.sparkSession)
+    work = f"near-copies-{uuid.uuid4().hex}"  # tables that only the search itself reads
     texts = text_frame(docs).withColumn("text", F.coalesce("text", F.lit("")))
     late = frequent_shingles(texts, shingle, seed)
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.string()), ("same", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.binary())])
@@ -362,29 +364,30 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED)
     drawn = texts.withColumn("t", F.md5("text")).mapInArrow(run, "doc_id long, t string, same binary, n long, keys array<long>, counts binary")
     prints = stored(drawn, "prints")
     nodes = prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("t", "n", "keys", "counts")).alias("s"))
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "first", "s.*"), "nodes")
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "first", "s.*"), f"{work}/nodes")
 
     keyed = nodes.select("node", "first", "n", F.posexplode("keys").alias("i", "h"))
     group = Window.partitionBy("h").orderBy("first", "node")
     member = F.struct("node", "n", "i")
     beside = keyed.withColumns({"next": F.lead(member).over(group), "hub": F.first(member).over(group)})
-    shared = stored(beside.where("next is not null or hub.node != node").select("h", member.alias("one"), "next", "hub"), "shared-shingles")
+    shared = stored(beside.where("next is not null or hub.node != node").select("h", member.alias("one"), "next", "hub"), f"{work}/shared-shingles")
     ordered = [F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")]
     met = shared.select("one", F.explode(F.array("next", "hub")).alias("two")).where("two is not null and one.node != two.node")
-    met = stored(met.where(may_be_near("one", "two")).select(*ordered).distinct(), "met")
-    near = near_pairs_of(met, texts, nodes, shingle, seed)
-    roots = components(near)
+    met = stored(met.where(may_be_near("one", "two")).select(*ordered).distinct(), f"{work}/met")
+    near = near_pairs_of(met, texts, nodes, shingle, seed, work)
+    roots = components(near, f"{work}/components")
     placed = shared.select("h", "one", F.col("one.node").alias("node")).join(roots, "node", "left").select("h", "one", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    placed = stored(placed.join(mixed, "h"), "untied")
+    placed = stored(placed.join(mixed, "h"), f"{work}/untied")
     other = placed.select("h", F.col("one").alias("two"), F.col("root").alias("its"))
     rest = placed.join(other, "h").where((F.col("root") < F.col("its")) & may_be_near("one", "two")).select(*ordered).distinct()
-    rest = stored(rest.join(met, ["a", "b"], "left_anti"), "rest")
-    more = near_pairs_of(rest, texts, nodes, shingle, seed)
+    rest = stored(rest.join(met, ["a", "b"], "left_anti"), f"{work}/rest")
+    more = near_pairs_of(rest, texts, nodes, shingle, seed, work)
     if not more.isEmpty():
-        roots = components(near.unionByName(more))
+        roots = components(near.unionByName(more), f"{work}/components")
 
     rooted = stored(nodes.join(roots, "node", "left").select("same", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    discard(docs.sparkSession, work)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.select("doc_id", "same").join(rooted.join(least, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
 

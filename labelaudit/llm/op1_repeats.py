@@ -19,8 +19,9 @@ and a document keeps of these windows only the bytes of its first places. So a p
 share is in no single task, and a suffix array never holds more than about `WIDE` contexts of an anchor. Which way is
 taken never changes the result.
 
-Contexts and windows count as equal if two hashes over the prime 2**61 - 1 agree. Their bases are drawn anew for each
-search, so two given strings of 170 bytes agree by chance in one of 2**106 searches, whatever the strings are.
+Contexts and windows count as equal if two hashes over the prime 2**61 - 1 agree (of the second 32 bits, for contexts).
+Their bases are drawn anew for each search, so two given strings of 170 bytes agree by chance in less than one of 2**80
+searches, whatever the strings are.
 
 Null text is empty. Texts shorter than `least` bytes are never cut. Long texts are worked through in blocks. Rows that
 share a doc_id are ordered by text and treated as documents in that order. Rows with a null doc_id are left whole,
@@ -219,7 +220,7 @@ def _own_key(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _anchors(keyed: DataFrame, least: int, k: int, hot: np.ndarray, bases: tuple[int, int] = (BASE, BASE + 2)) -> DataFrame:
-    schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("c", pa.int64()), ("d", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("c", pa.int64()), ("d", pa.int32()), ("doc_id", pa.int64()), ("a", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
@@ -229,9 +230,9 @@ def _anchors(keyed: DataFrame, least: int, k: int, hot: np.ndarray, bases: tuple
             # by place: one text can hold an anchor thousands of times, too
             spread = mixed(ids.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + a.astype(np.uint64)) % U64(SALTS) + U64(1)
             salt = np.where(np.isin(h, hot), spread, U64(0)) if len(hot) else np.zeros(len(h))
-            yield batch(schema, h, salt.astype(np.int32), c.view(np.int64), d.view(np.int64), ids, a, n)
+            yield batch(schema, h, salt.astype(np.int32), c.view(np.int64), d.astype(np.uint32).view(np.int32), ids, a, n)
 
-    return keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "turn").mapInArrow(run, "h long, salt int, c long, d long, doc_id long, a long, n int")
+    return keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "turn").mapInArrow(run, "h long, salt int, c long, d int, doc_id long, a long, n int")
 
 
 def frequent_anchors(keyed: DataFrame, least: int, k: int, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -434,7 +435,8 @@ class Repeats:
         parts = self.from_suffix_arrays(marks.where("not again and not wide")).select("doc_id", "a", *span(F.col("n"), SPAN))
         wide = marks.where("not again and wide")
         found = again.unionByName(parts).unionByName(wide.select("doc_id", "a", *span(F.col("n"), WINDOWS)))
-        found = found.unionByName(self.first_windows(wide).select("doc_id", "a", *span(F.lit(1), FIRST)))
+        if not wide.isEmpty():  # else the texts needn't be read for it
+            found = found.unionByName(self.first_windows(wide).select("doc_id", "a", *span(F.lit(1), FIRST)))
         lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n", "kind")).alias("cuts"))
         out = self.dealt.join(lists, "doc_id", "left").select(*self.columns, "cuts")
         whole = self.keyed.where("doc_id is null").select(*self.columns, F.lit(None).cast(out.schema["cuts"].dataType).alias("cuts"))

@@ -5,7 +5,7 @@ one. Full pieces are sequences of their own and aren't shuffled. The rest, at mo
 into buckets of about `BUCKET` pieces, whatever their doc_ids, each packed by itself: best fit, longest first, then a
 local search. It takes the emptiest sequence and moves documents out, exchanges one for a shorter one, or two for one,
 whenever that raises the sum of squared fills, until the sequence is empty or nothing helps, and so on with the next;
-passes over all open sequences end when one empties none, or when a lower bound is met (ids over room, or documents
+passes over all underfull sequences (under `UNDERFULL` of the room used) end when one empties none, or when a lower bound is met (ids over room, or documents
 longer than half a sequence). The `OPEN` emptiest sequences of each bucket are then packed again together, in buckets
 again, so that what buckets lose doesn't add up.
 
@@ -31,6 +31,8 @@ from labelaudit.llm.encoding import CHUNK_BYTES, default_tokenizer, encoder
 SEQUENCE, SEPARATOR_ID = 2048, 0
 #: Pieces in a bucket, the sequences of a bucket that are packed again, and how often.
 BUCKET, OPEN, LEVELS = 2048, 2, 4
+#: Sequences filled less than this are underfull: the search tries to empty them.
+UNDERFULL = 0.9
 #: Full pieces are numbered from here.
 FULL_IDS = 1 << 61
 
@@ -140,7 +142,7 @@ def swap_search(lengths: list[int], bins: list[list[int]], limit: int) -> list[l
     emptied = True
     while emptied and alive.sum() > least:
         emptied = False
-        for target in sorted(np.flatnonzero(alive & (fill < limit)).tolist(), key=lambda b: (fill[b], b)):
+        for target in sorted(np.flatnonzero(alive & (fill < UNDERFULL * limit)).tolist(), key=lambda b: (fill[b], b)):
             while bins[target]:
                 free = np.where(alive & (fill >= fill[target]), limit - fill, 0)  # only fuller bins gain: squared fill rises
                 free[target] = 0
