@@ -30,7 +30,7 @@ from labelaudit.llm.encoding import CHUNK_BYTES, default_tokenizer, encoder
 
 SEQUENCE, SEPARATOR_ID = 2048, 0
 #: Pieces in a bucket, the sequences of a bucket that are packed again, and how often.
-BUCKET, OPEN, LEVELS = 2048, 2, 4
+BUCKET, OPEN, LEVELS = 4096, 2, 4
 #: Sequences filled less than this are underfull: the search tries to empty them.
 UNDERFULL = 0.9
 #: Full pieces are numbered from here.

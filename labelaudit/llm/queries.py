@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from labelaudit.llm import (
     op1_repeats,
     op2_multi_index,
@@ -63,6 +62,12 @@ def op8_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top, beside the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_repeats": op1_repeats_query,
@@ -75,7 +80,7 @@ def queries() -> dict:
         "op8_warc": op8_warc_query,
         "op9_rules": op9_rules_query,
         "op10_simhash": op10_simhash_query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline_query,
     }
 
 
