@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelaudit.functions import fixed_values as V
+from labelaudit.operators import geometry
+
 ENGINES = ("mlkit", "tesseract", "indic", "bhashini")
 
 
@@ -65,3 +68,65 @@ def validate_queue(rows: DataFrame) -> DataFrame:
             ("sig_status", ~F.coalesce(F.col("sig_status").isin("pending", "signed", "unavailable"), F.lit(False)), "unknown sig_status"),
         ],
     )
+
+
+def validate_sync_summaries(rows: DataFrame) -> DataFrame:
+    """Summaries of a delivery: device, attempted, synced, failed, deferred, remaining."""
+    counts = ("attempted", "synced", "failed", "deferred", "remaining")
+    return problems(rows, "device", [(c, F.col(c).isNull() | (F.col(c) < 0), f"{c} must not be negative") for c in counts])
+
+
+def validate_signature_responses(rows: DataFrame) -> DataFrame:
+    """Responses to signature requests: scan_id, accepted, sig_status, verified, code (null: no error)."""
+    return problems(
+        rows, "scan_id",
+        [
+            ("accepted", F.col("accepted").isNull(), "accepted must be true or false"),
+            ("sig_status", ~F.coalesce(F.col("sig_status").isin("pending", "signed"), F.lit(False)), "sig_status must be pending or signed"),
+            ("verified", F.col("verified").isNull(), "verified must be true or false"),
+            ("error.code", F.col("code").isNotNull() & ~F.col("code").isin(*V.SIGNATURE_ERRORS), "unknown error code"),
+        ],
+    )
+
+
+def request_rules(requests: DataFrame) -> list[tuple[Column, str, str]]:
+    """(broken, code, message) of a request as read with sources.tables.REQUEST, in the order in which they answer."""
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    given = lambda c, fine: F.col(c).isNotNull() & ~F.coalesce(fine, F.lit(False))
+    any_of = lambda c, bad: F.exists(F.coalesce(F.col(c), F.array().cast(requests.schema[c].dataType)), lambda x: F.coalesce(bad(x), F.lit(True)))
+    box = lambda b: (F.size(b) == 4) & F.forall(b, lambda v: v.isNotNull()) & (F.get(b, F.lit(0)) >= 0) & (F.get(b, F.lit(1)) >= 0) & (F.get(b, F.lit(2)) > 0) & (F.get(b, F.lit(3)) > 0)
+    number = lambda c: F.col(c).isNotNull() & ~(finite(F.col(c)) & (F.col(c) > 0))
+    bad = lambda when, text: (when, "BAD_REQUEST", text)
+    return [
+        bad(F.col("_corrupt").isNotNull(), "not a request of the known form"),
+        (F.coalesce(F.col("schema_version"), F.lit(V.SCHEMA_VERSION)) != V.SCHEMA_VERSION, "UNSUPPORTED_VERSION", f"schema {V.SCHEMA_VERSION} expected"),
+        bad(F.coalesce(F.size("tokens"), F.lit(0)) <= 0, "tokens must be a non-empty list"),
+        bad(any_of("tokens", lambda t: t["text"].isNull() | (t["text"] == "")), "a token's text must be non-empty"),
+        bad(any_of("tokens", lambda t: ~box(t["bbox"])), "a token's bbox must be x, y, w, h with w and h above 0"),
+        bad(any_of("tokens", lambda t: ~F.coalesce(t["conf"], F.lit(1.0)).between(0, 1)), "a token's conf must be in 0..1"),
+        bad(any_of("tokens", lambda t: ~F.coalesce(t["engine"], F.lit(ENGINES[0])).isin(*ENGINES)), "unknown engine of a token"),
+        bad(given("geometry.shape", F.col("geometry.shape").isin(*V.SHAPES)), "geometry.shape must be a shape"),
+        bad(given("geometry.shape_detected", F.col("geometry.shape_detected").isin(*V.SHAPES)), "geometry.shape_detected must be a shape"),
+        bad(number("geometry.mm_per_px"), "geometry.mm_per_px must be positive"),
+        bad(number("geometry.pda_cm2"), "geometry.pda_cm2 must be positive"),
+        bad(any_of("glyphs", lambda g: g["glyph"].isNull() | (g["glyph"] == "") | ~(g["height_mm"] > 0) | ~(g["width_mm"] >= 0)), "a glyph needs glyph, height_mm above 0 and width_mm from 0"),
+        bad(given("shape_hint", F.col("shape_hint").isin("", *V.SHAPES)), "shape_hint must be a shape"),
+        bad(given("captured_utc", (F.col("captured_utc") == "") | F.expr("try_to_timestamp(captured_utc)").isNotNull()), "captured_utc must be ISO-8601"),
+        bad(F.col("gps").isNotNull() & (F.col("gps.lat").isNull() | F.col("gps.lon").isNull()), "gps needs lat and lon"),
+        *[bad(number(f"options.{k}"), f"options.{k} must be positive") for k in ("package_height_cm", "package_width_cm", "package_diameter_cm", "total_surface_cm2")],
+    ]
+
+
+def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid requests, and rejects (scan_id, code, message, stage): the first law broken answers.
+
+    Boxes of regions are held against their frame by geometry.validate_roi_boxes, after all other laws.
+    """
+    frames = requests.select("scan_id", F.col("roi_frame.w").alias("frame_w"), F.col("roi_frame.h").alias("frame_h"), "roi_boxes")
+    boxes = geometry.roi_box_error(frames.schema["roi_boxes"].dataType, F.col("roi_boxes"), F.col("roi_frame.w"), F.col("roi_frame.h"))
+    code, message = F.when(boxes.isNotNull(), "BAD_REQUEST"), F.concat(F.lit("roi_boxes: "), boxes)
+    for broken, kind, text in reversed(request_rules(requests)):
+        code, message = F.when(F.coalesce(broken, F.lit(False)), kind).otherwise(code), F.when(F.coalesce(broken, F.lit(False)), text).otherwise(message)
+    judged = requests.withColumn("problem", F.struct(code.alias("code"), message.alias("message")))
+    rejects = judged.where("problem.code is not null").select("scan_id", "problem.code", "problem.message", F.lit("validate").alias("stage"))
+    return judged.where("problem.code is null").drop("problem"), rejects

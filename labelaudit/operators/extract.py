@@ -144,10 +144,11 @@ def accepted(spec: Column, text: Column) -> Column:
     return F.coalesce(out.otherwise(fits), F.lit(False))
 
 
-def extract_fields(tokens: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+def extract_fields(tokens: DataFrame, scans: DataFrame | None = None, held: list[DataFrame] | None = None) -> DataFrame:
     """scan_id, field, raw, value_dec, value_date, unit, x, y, w, h, conf, font_mm: at most one row per scan and field.
 
-    scans: scan_id and mm_per_px, for the heights of letters.
+    scans: scan_id and mm_per_px, for the heights of letters. held: gets the tables kept for the result, for the caller
+    to unpersist when it is written; jobs that run for ever must.
     """
     # read by six joins below, so the anchors' patterns run once
     lines = with_anchors(cluster_lines(tokens)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -157,6 +158,8 @@ def extract_fields(tokens: DataFrame, scans: DataFrame | None = None) -> DataFra
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), " ")
     regions = members.groupBy("scan_id", "spec", "anchor", "level").agg(joined.alias("raw"), *_box(), F.bround(F.min("conf"), 3).alias("conf"), F.collect_list("place").alias("places"))
     fine = regions.where(accepted(F.col("spec"), F.col("raw"))).persist(StorageLevel.MEMORY_AND_DISK)
+    if held is not None:
+        held += [lines, fine]
     # a region holds one anchor, so all that a taken region can block is an anchor of two fields: a short fold decides
     one = F.sort_array(F.collect_list(F.struct("spec", "anchor", "level", "raw", "x", "y", "x2", "y2", "conf", "places")))
     per = fine.groupBy("scan_id").agg(one.alias("c"))

@@ -119,6 +119,21 @@ def delivered(ledger: DataFrame, responses: DataFrame, limit: int | None = None)
     return done.select("scan_id", "device", "outcome", (F.col("attempts") + F.when(F.col("outcome") == "untouched", 0).otherwise(1)).alias("attempts"))
 
 
+def sync_envelopes(ledger: DataFrame, kind: str = KIND, result: str | None = None) -> DataFrame:
+    """What a device sends of each ledger row: everything but the local path of the dossier, gaps filled.
+
+    result: the schema by which result_json, if there is one, is read; what can't be read is null.
+    """
+    have = set(ledger.columns)
+    text = lambda c: (F.col(c) if c in have else F.lit(None)).cast("string").alias(c)
+    filled = lambda c, kind, value: (F.coalesce(F.col(c).cast(kind), F.lit(value)) if c in have else F.lit(value)).alias(c)
+    document = F.from_json("result_json", result) if result and "result_json" in have else F.lit(None)
+    return ledger.select(
+        F.lit(V.SCHEMA_VERSION).alias("schema_version"), F.lit(kind).alias("kind"), "scan_id", "verdict", *[text(c) for c in ("created_utc", "image_sha256", "dossier_sha256", "signature", "cert_pem")],
+        filled("sig_verified", "boolean", False), filled("sig_status", "string", "pending"), filled("attempts", "int", 0), document.alias("result"),
+    )
+
+
 def sync_summary(outcomes: DataFrame) -> DataFrame:
     of = lambda x: F.count_if(F.col("outcome") == x)
     return outcomes.groupBy("device").agg((of("synced") + of("failed") + of("deferred")).alias("attempted"), of("synced").alias("synced"), of("failed").alias("failed"), of("deferred").alias("deferred"), (of("deferred") + of("untouched")).alias("remaining"))

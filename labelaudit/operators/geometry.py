@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from labelaudit.functions import fixed_values as V
 
@@ -65,7 +66,7 @@ def marker_scale(markers: DataFrame) -> DataFrame:
     x, y = [F.col(f"x{k}") for k in range(1, 5)], [F.col(f"y{k}") for k in range(1, 5)]
     area = F.abs(sum(x[k] * y[(k + 1) % 4] - x[(k + 1) % 4] * y[k] for k in range(4))) / 2
     sized = markers.withColumn("area", area)
-    best = sized.groupBy("scan_id").agg(F.max("area").alias("area"), F.max_by("side_mm", "area").alias("side_mm"))
+    best = sized.groupBy("scan_id").agg(F.max("area").alias("area"), F.max_by("side_mm", F.struct("area", "side_mm")).alias("side_mm"))
     return best.where("area >= 25").select("scan_id", F.round(F.col("side_mm") / F.sqrt("area"), 6).alias("mm_per_px"))
 
 
@@ -106,6 +107,13 @@ def unmatched_detections(reference: DataFrame, candidate: DataFrame, least: floa
     return r.join(c, like, "left_anti")
 
 
+def excess_detections(reference: DataFrame, candidate: DataFrame, extra: int = 3) -> DataFrame:
+    """image_id, reference, candidate of images for which the candidate has more detections than the reference and some extra."""
+    count = lambda rows, name: rows.groupBy("image_id").agg(F.count("*").alias(name))
+    both = count(candidate, "candidate").join(count(reference, "reference"), "image_id", "left").na.fill(0, ["reference"])
+    return both.where(F.col("candidate") > F.col("reference") + extra).select("image_id", "reference", "candidate")
+
+
 def tensor_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Largest absolute difference of boxes (rows 0 to 3) and of scores (rows from 4 on)."""
     both = a.withColumnRenamed("value", "left").join(b.withColumnRenamed("value", "right"), ["row", "col"])
@@ -123,23 +131,30 @@ def merge_rois(classical: DataFrame, boxes: DataFrame) -> DataFrame:
     return ml.unionByName(rest).withColumn("ord", F.row_number().over(order)).drop("pos")
 
 
-def validate_roi_boxes(scans: DataFrame) -> DataFrame:
-    """scan_id, error (null: valid), boxes clamped to the frame; boxes outside it are dropped.
-
-    scans: scan_id, frame_w, frame_h, roi_boxes array<struct<label, score, x, y, w, h>>.
-    """
+def roi_box_error(kind: DataType, boxes: Column, frame_w: Column, frame_h: Column) -> Column:
+    """What is wrong with the boxes of regions (an array of this type); null if nothing is."""
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    b = F.coalesce("roi_boxes", F.array().cast(scans.schema["roi_boxes"].dataType))
+    b = F.coalesce(boxes, F.array().cast(kind))
     bad = lambda test: F.exists(b, test)
-    error = (
+    return (
         F.when(F.size(b) == 0, F.lit(None).cast("string"))
         .when(F.size(b) > 64, "too many roi_boxes")
-        .when(F.coalesce((F.col("frame_w") <= 0) | (F.col("frame_h") <= 0), F.lit(True)), "invalid frame")
+        .when(F.coalesce((frame_w <= 0) | (frame_h <= 0), F.lit(True)), "invalid frame")
         .when(bad(lambda x: ~F.coalesce(x["label"].isin(*LABELS), F.lit(False))), "unknown label")
         .when(bad(lambda x: ~(finite(x["score"]) & x["score"].between(0, 1))), "score out of range")
         .when(bad(lambda x: ~(finite(x["x"]) & finite(x["y"]) & finite(x["w"]) & finite(x["h"]))), "box not finite")
         .when(bad(lambda x: (x["w"] <= 0) | (x["h"] <= 0)), "non-positive size")
     )
+
+
+def validate_roi_boxes(scans: DataFrame) -> DataFrame:
+    """scan_id, error (null: valid), boxes clamped to the frame; boxes outside it are dropped.
+
+    scans: scan_id, frame_w, frame_h, roi_boxes array<struct<label, score, x, y, w, h>>.
+    """
+    kind = scans.schema["roi_boxes"].dataType
+    b = F.coalesce("roi_boxes", F.array().cast(kind))
+    error = roi_box_error(kind, F.col("roi_boxes"), F.col("frame_w"), F.col("frame_h"))
     clamp = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), top)
 
     def inside(x: Column) -> Column:

@@ -322,8 +322,24 @@ def verdicts(checks: DataFrame, scans: DataFrame, stages: DataFrame | None = Non
     return out.select("scan_id", verdict.alias("verdict"), "total", "passed", "failed", "na")
 
 
-def top_rules(checks: DataFrame, n: int = 10) -> DataFrame:
-    """The rules broken most, among scans that break any: rule, count. Ties by rule."""
+def with_citation(checks: DataFrame) -> DataFrame:
+    """checks with what each rule asks for; a rule without a text cites itself."""
+    return checks.withColumn("citation", F.coalesce(T.lookup(V.CITATIONS, F.col("rule")), "rule"))
+
+
+def findings(checks: DataFrame) -> DataFrame:
+    """scan_id, ord, rule, status, message, plain, citation: the table of findings of a dossier."""
+    return with_citation(with_plain(checks)).select("scan_id", "ord", "rule", "status", "message", "plain", "citation")
+
+
+def top_rules(checks: DataFrame, n: int = 10, scans: DataFrame | None = None) -> DataFrame:
+    """The rules broken most among violations: rule, count. Ties by rule.
+
+    scans: scan_id and verdict; findings of scans to be taken again (RETRY) don't count. Without it every scan with a
+    failed check is a violation, which holds where no stage can fail.
+    """
+    if scans is not None:
+        checks = checks.join(scans.where("verdict = 'VIOLATION'").select("scan_id"), "scan_id", "left_semi")
     return checks.where("status = 'FAIL'").groupBy("rule").count().orderBy(F.desc("count"), "rule").limit(n)
 
 

@@ -226,8 +226,8 @@ def list_scans(spark, sf_dir):
 
 @query(f"SELECT scan_id, verdict, sig_status, attempts FROM ({D.GATEWAY}) g WHERE scan_id IN (SELECT MAX(event_id) FROM {{events}})")
 def get_scan(spark, sf_dir):
-    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id").alias("scan_id"))
-    return recorded(spark, sf_dir).join(F.broadcast(last), "scan_id").select("scan_id", "verdict", "sig_status", "attempts")
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0]
+    return gateway.get_scan(recorded(spark, sf_dir), last).select("scan_id", "verdict", "sig_status", "attempts")
 
 
 @query(f"SELECT scan_id, verdict, fail_count, CAST(ROUND(lat * 100) AS BIGINT) AS lat_100, CAST(ROUND(lon * 100) AS BIGINT) AS lon_100 FROM ({D.GATEWAY}) g WHERE lat IS NOT NULL")
@@ -510,16 +510,16 @@ ROIS = "SELECT CAST(event_id % 2000 AS BIGINT) AS scan_id, CASE event_id % 3 WHE
 CLASSICAL = "SELECT CAST(event_id % 2000 AS BIGINT) AS scan_id, CASE event_id % 2 WHEN 0 THEN 'PDP' ELSE 'BOP' END AS roi, CAST(1 AS INT) AS x, CAST(2 AS INT) AS y, CAST(3 AS INT) AS w, CAST(4 AS INT) AS h, CAST(0.5 AS DOUBLE) AS conf, CAST(event_id AS INT) AS pos FROM {events} WHERE event_type = 'click'"
 
 
-@query(f"SELECT scan_id, source, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT scan_id, 'ml' AS source FROM ({ROIS}) r UNION ALL SELECT c.scan_id, 'classical' FROM ({CLASSICAL}) c WHERE NOT EXISTS (SELECT 1 FROM ({ROIS}) r WHERE r.scan_id = c.scan_id AND r.label = c.roi)) u GROUP BY 1, 2")
+@query(f"SELECT scan_id, source, roi, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY source DESC, by_score, by_label, pos) AS INT) AS ord FROM (SELECT scan_id, 'ml' AS source, label AS roi, -score AS by_score, label AS by_label, 0 AS pos FROM ({ROIS}) r UNION ALL SELECT c.scan_id, 'classical', c.roi, NULL, NULL, c.pos FROM ({CLASSICAL}) c WHERE NOT EXISTS (SELECT 1 FROM ({ROIS}) r WHERE r.scan_id = c.scan_id AND r.label = c.roi)) u")
 def merge_rois(spark, sf_dir):
     merged = geometry.merge_rois(D.table(spark, sf_dir, CLASSICAL), D.table(spark, sf_dir, ROIS))
-    return merged.groupBy("scan_id", "source").agg(F.count("*").alias("n"))
+    return merged.select("scan_id", "source", "roi", "ord")
 
 
-@query("SELECT CASE WHEN CAST(vec_id AS BIGINT) < 100 THEN 'val' ELSE 'train' END AS split, CAST(label AS BIGINT) AS class_id, CAST(COUNT(*) AS BIGINT) AS boxes FROM {embeddings} GROUP BY 1, 2")
+@query("SELECT s.split, c.class_id, CAST(COUNT(b.class_id) AS BIGINT) AS boxes FROM (SELECT 'val' AS split UNION ALL SELECT 'train') s CROSS JOIN (SELECT DISTINCT CAST(label AS BIGINT) AS class_id FROM {embeddings}) c LEFT JOIN (SELECT CASE WHEN CAST(vec_id AS BIGINT) < 100 THEN 'val' ELSE 'train' END AS split, CAST(label AS BIGINT) AS class_id FROM {embeddings}) b ON b.split = s.split AND b.class_id = c.class_id GROUP BY 1, 2")
 def dataset_stats(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_no"), F.col("label").cast("long").alias("class_id"))
-    return geometry.dataset_stats(e, e.select("class_id").distinct(), 100).where("boxes > 0")
+    return geometry.dataset_stats(e, e.select("class_id").distinct(), 100)
 
 
 @query("SELECT CAST(event_id AS BIGINT) AS scan_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE 'label-dossier-v1|' || CAST(event_id AS STRING) || '|' || sha256(CAST(event_id AS STRING)) END AS payload FROM {events}")
@@ -626,3 +626,63 @@ def signatures_applied(spark, sf_dir):
     ledger = recorded(spark, sf_dir).withColumn("signature", F.lit(None).cast("string"))
     got = ledger.where("scan_id % 5 = 0").select("scan_id", F.lit("s").alias("signature"))
     return gateway.apply_signatures(ledger, got).select("scan_id", "sig_status")
+
+
+# ---- findings, envelopes, requests -----------------------------------------------------------------------------------
+CITED = "CASE rule " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in V.CITATIONS.items()) + " ELSE rule END"
+
+
+@query(f"SELECT scan_id, ord, rule, status, {CITED} AS citation FROM ({D.CHECKS}) c")
+def cited_findings(spark, sf_dir):
+    return rules.findings(checks(spark, sf_dir)).select("scan_id", F.col("ord").cast("int").alias("ord"), "rule", "status", "citation")
+
+
+@query(f"SELECT 1 AS schema_version, 'scan.v1' AS kind, scan_id, verdict, dossier_sha256, FALSE AS sig_verified, sig_status, attempts FROM ({D.GATEWAY}) g")
+def sync_envelopes(spark, sf_dir):
+    return gateway.sync_envelopes(recorded(spark, sf_dir)).select("schema_version", "kind", "scan_id", "verdict", "dossier_sha256", "sig_verified", "sig_status", "attempts")
+
+
+@query(f"SELECT path, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CASE WHEN scan_id % 9 = 0 THEN 'sig_status' END AS path FROM ({D.GATEWAY}) a UNION ALL SELECT CASE WHEN scan_id % 14 = 0 THEN 'error.code' END FROM ({D.GATEWAY}) b UNION ALL SELECT CASE WHEN scan_id % 21 = 0 THEN 'verified' END FROM ({D.GATEWAY}) c) p WHERE path IS NOT NULL GROUP BY path")
+def validate_signature_responses(spark, sf_dir):
+    k = F.col("scan_id")
+    rows = recorded(spark, sf_dir).select("scan_id", F.lit(True).alias("accepted"), F.when(k % 9 == 0, "lost").otherwise(F.col("sig_status")).alias("sig_status"), F.when(k % 21 != 0, True).alias("verified"), F.when(k % 14 == 0, "ODD").when(k % 2 == 0, "NOT_FOUND").alias("code"))
+    return contract.validate_signature_responses(rows).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT path, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CASE WHEN device % 3 = 0 THEN 'failed' END AS path FROM (SELECT DISTINCT device FROM ({DELIVERED}) d) e) p WHERE path IS NOT NULL GROUP BY path")
+def validate_sync_summaries(spark, sf_dir):
+    rows = gateway.sync_summary(sent(spark, sf_dir)).withColumn("failed", F.when(F.col("device") % 3 == 0, -1).otherwise(F.col("failed")))
+    return contract.validate_sync_summaries(rows).groupBy("path").agg(F.count("*").alias("n"))
+
+
+REJECTED = """SELECT CAST(event_id AS STRING) AS scan_id, CASE WHEN event_id % 31 = 0 THEN 'schema 1 expected' WHEN event_id % 29 = 0 THEN 'tokens must be a non-empty list' WHEN event_id % 23 = 0 THEN 'a token''s text must be non-empty'
+WHEN event_id % 19 = 0 THEN 'a token''s bbox must be x, y, w, h with w and h above 0' WHEN event_id % 17 = 0 THEN 'a token''s conf must be in 0..1' WHEN event_id % 13 = 0 THEN 'geometry.mm_per_px must be positive'
+WHEN event_id % 11 = 0 THEN 'shape_hint must be a shape' WHEN event_id % 8 = 0 THEN 'captured_utc must be ISO-8601' WHEN event_id % 9 = 0 THEN 'gps needs lat and lon' WHEN event_id % 7 = 0 THEN 'roi_boxes: invalid frame' ELSE NULL END AS message FROM {events}"""
+
+
+def requests(spark, sf_dir):
+    """Each event as the JSON text of a request, with faults by its id, read as such texts are."""
+    from labelaudit.sources import tables
+
+    k = F.col("event_id")
+    on = lambda n, bad, fine: F.when(k % n == 0, bad).otherwise(fine)
+    token = F.struct(on(23, F.lit(""), F.concat(F.lit("MRP Rs "), k.cast("string"))).alias("text"), F.array(F.lit(1), F.lit(2), on(19, F.lit(0), F.lit(30)), F.lit(9)).alias("bbox"), on(17, F.lit(1.5), F.lit(0.5)).alias("conf"))
+    made = F.struct(
+        on(31, F.lit(2), F.lit(1)).alias("schema_version"), k.cast("string").alias("scan_id"), on(29, F.array().cast("array<struct<text:string,bbox:array<int>,conf:double>>"), F.array(token)).alias("tokens"),
+        F.struct(on(13, F.lit(-1.0), F.lit(0.2)).alias("mm_per_px")).alias("geometry"), on(11, F.lit("cube"), F.lit("pouch")).alias("shape_hint"), F.struct(F.when(k % 9 != 0, 12.5).alias("lat"), F.lit(77.5).alias("lon")).alias("gps"),
+        on(8, F.lit("yesterday"), F.lit("2026-01-01T00:00:00.000Z")).alias("captured_utc"),
+        F.array(F.struct(F.lit("PDP").alias("label"), F.lit(0.5).alias("score"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.lit(5.0).alias("w"), F.lit(5.0).alias("h"))).alias("roi_boxes"),
+        F.struct(on(7, F.lit(0), F.lit(100)).alias("w"), F.lit(100).alias("h")).alias("roi_frame"),
+    )
+    texts = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_json(made).alias("text"))
+    return texts.select(F.from_json("text", tables.REQUEST, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
+
+
+@query(f"SELECT scan_id, CASE WHEN message = 'schema 1 expected' THEN 'UNSUPPORTED_VERSION' ELSE 'BAD_REQUEST' END AS code, message FROM ({REJECTED}) r WHERE message IS NOT NULL")
+def request_rejects(spark, sf_dir):
+    return contract.split_requests(requests(spark, sf_dir))[1].select("scan_id", "code", "message")
+
+
+@query(f"SELECT scan_id FROM ({REJECTED}) r WHERE message IS NULL")
+def valid_requests(spark, sf_dir):
+    return contract.split_requests(requests(spark, sf_dir))[0].select("scan_id")

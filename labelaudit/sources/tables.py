@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelaudit.operators.gateway import first_wins
+
 REQUEST = (
-    "scan_id string, tokens array<struct<text:string,bbox:array<int>,conf:double,engine:string,lang:string>>, "
+    "schema_version int, scan_id string, tokens array<struct<text:string,bbox:array<int>,conf:double,engine:string,lang:string>>, "
     "quality struct<ok:boolean,laplacian_var:double,glare_pct:double,prompts:array<string>>, "
     "geometry struct<shape:string,shape_detected:string,mm_per_px:double,pda_cm2:double,pda_method:string>, "
     "roi_boxes array<struct<label:string,score:double,x:double,y:double,w:double,h:double>>, roi_frame struct<w:int,h:int>, "
@@ -81,9 +83,13 @@ def read_gateway_jdbc(spark: SparkSession, url: str, table: str = "scans", **opt
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    """Append what is new: the first row of an id wins for ever, RETRY is never stored."""
+def append_ledger(rows: DataFrame, path: str, order: str | None = None) -> None:
+    """Append what is new: the first row of an id, by the order column, wins for ever; RETRY is never stored.
+
+    Without an order given, the first of received, created, created_utc or captured_utc that rows have is taken.
+    """
     spark = rows.sparkSession
+    order = order or next((c for c in ("received", "created", "created_utc", "captured_utc") if c in rows.columns), None)
     wanted = rows.where("verdict <> 'RETRY'")
     try:
         known = spark.read.parquet(path)
@@ -93,7 +99,13 @@ def append_ledger(rows: DataFrame, path: str) -> None:
         known = None
     if known is not None:
         wanted = wanted.join(known.select("scan_id"), "scan_id", "left_anti")
-    wanted.dropDuplicates(["scan_id"]).write.mode("append").parquet(path)
+    first = first_wins(wanted, "scan_id", order) if order else wanted.dropDuplicates(["scan_id"])
+    first.write.mode("append").parquet(path)
+
+
+def write_rejects(rejects: DataFrame, path: str) -> None:
+    """Error rows (scan_id, code, message, stage), a folder for each code."""
+    write_json(rejects, path, "code")
 
 
 def result_documents(scans: DataFrame, checks: DataFrame, fields: DataFrame) -> DataFrame:

@@ -15,12 +15,16 @@ from labelaudit.sources import tables
 
 
 def audit_stream(requests: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Findings of each micro-batch of requests, appended below out."""
+    """Findings of each micro-batch of requests, below out in a folder of its own: a batch that runs again replaces it."""
 
     def each(batch: DataFrame, number: int) -> None:
-        fields = extract.extract_fields(tables.request_tokens(batch))
-        found = rules.audit(extract.to_labels(fields))
-        found.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        held: list[DataFrame] = []
+        seen = extract.pick_ocr_tier(tables.request_tokens(batch))
+        scales = batch.select("scan_id", F.col("geometry.mm_per_px").alias("mm_per_px"))
+        found = rules.audit(extract.to_labels(extract.extract_fields(seen, scales, held)))
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        for table in held:
+            table.unpersist()
 
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -41,6 +45,16 @@ def ingest_stream(rows: DataFrame, store: str, checkpoint: str, key: str = "scan
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def delivery_stream(responses: DataFrame, ledger: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Outcomes of pending ledger rows by the delivery responses of each micro-batch, a folder a batch below out."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.sparkSession.read.parquet(ledger).join(batch.select("scan_id"), "scan_id", "left_semi")
+        gateway.delivered(rows, batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return responses.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def live_stats(scans: DataFrame) -> DataFrame:
     """verdict, scans, signed: a streaming aggregate for complete mode."""
     return scans.groupBy("verdict").agg(F.count("*").alias("scans"), F.count_if(F.col("sig_status") == "signed").alias("signed"))
