@@ -59,23 +59,26 @@ class KnownBytes:
     """The bytes that each slot of a table stands for, to compare new ones with."""
 
     def __init__(self):
-        self._flat, self._at, self._n, self._flag = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        self._words = eights(self._flat)
-
-    def __len__(self) -> int:
-        return len(self._at)
+        self._buf, self._size = np.zeros(1 << 16, np.uint8), 0  # grows by doubling; eight spare bytes at the end
+        self._at, self._n, self._flag = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def add(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, flag: np.ndarray) -> None:
         n = ends - starts
-        self._at = np.concatenate([self._at, len(self._flat) + np.cumsum(n) - n])
+        self._at = np.concatenate([self._at, self._size + np.cumsum(n) - n])
         self._n, self._flag = np.concatenate([self._n, n]), np.concatenate([self._flag, flag])
-        self._flat = np.concatenate([self._flat, buf[gather(starts, n)]])
-        self._words = eights(self._flat)
+        size = self._size + int(n.sum())
+        if size + 8 > len(self._buf):
+            more = np.zeros(max(2 * len(self._buf), size + 8), np.uint8)
+            more[: self._size] = self._buf[: self._size]
+            self._buf = more
+        self._buf[self._size : size] = buf[gather(starts, n)]
+        self._size = size
 
     def equal(self, slots: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, flag: np.ndarray) -> np.ndarray:
         out = (self._n[slots] == ends - starts) & (self._flag[slots] == flag)
         k = np.flatnonzero(out)
-        out[k] = same_bytes(self._words, self._at[slots[k]], eights(buf), starts[k], (ends - starts)[k])
+        words8 = np.ndarray(len(self._buf) - 7, "<u8", self._buf, strides=(1,))
+        out[k] = same_bytes(words8, self._at[slots[k]], eights(buf), starts[k], (ends - starts)[k])
         return out
 
 
