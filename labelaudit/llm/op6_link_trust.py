@@ -32,6 +32,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 ROUNDS, DAMPING, THRESHOLD = 1000, 0.85, 0.5
 #: Scores are settled when a round changes them by less than this share of their sum.
 TOLERANCE = 1e-11
+#: Parts into which a host's pages are dealt for the join with its scores.
+SALTS = 16
 #: Graphs of at most so many edges are iterated in the driver's memory, others by a job a round.
 LOCAL_EDGES = 200_000
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -151,7 +153,10 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, rou
     """page_id, host, path, rule, verdict, trust, distrust for each row of pages."""
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     scores = host_scores(pages, rules, rounds)
-    out = judged_pages(pages, rules).join(scores, "host", "left")
+    # a host may have a third of all pages: both sides are salted
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = judged_pages(pages, rules).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    out = salted.join(scores.select("*", salts), ["host", "salt"], "left")
     suspect = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     verdict = F.coalesce("rule_verdict", F.when(suspect, "block").otherwise("allow"))
     return out.select(
