@@ -10,8 +10,8 @@ are two steps apart. Both scores are scaled to a mean of 1 over all hosts; a hos
 blocked if its distrust reaches `THRESHOLD` and exceeds its trust.
 
 Everything is a DataFrame job: links are counted per pair of hosts before the shuffle, so a host with a third of all
-pages is one row a pair. Rounds go on until the scores settle, so distance from a seed doesn't matter: for a large
-graph each round is a job whose scores are written to the shared folder, a small graph is iterated in memory.
+pages is one row a pair. Rounds go on until the scores settle, so distance from a seed doesn't matter; every few
+rounds the scores are written to the shared folder, which cuts the plan, and only their summed change goes to the driver.
 
 Null urls and urls without :// have empty host and path and no rule; hosts without score are allowed. Null html has no
 links. Repeated rows are judged each. Equally long rules: the first given wins. An empty table gives no rows. Columns
@@ -20,8 +20,6 @@ other than page_id, url and html are ignored.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +32,8 @@ ROUNDS, DAMPING, THRESHOLD = 1000, 0.85, 0.5
 TOLERANCE = 1e-11
 #: Parts into which a host's pages are dealt for the join with its scores.
 SALTS = 16
-#: Graphs of at most so many edges are iterated in the driver's memory, others by a job a round.
-LOCAL_EDGES = 200_000
+#: Rounds from one written table of scores to the next.
+WRITTEN = 4
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,39 +80,28 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return linked.unionByName(ties).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def settled_locally(seeds: DataFrame, edges: DataFrame, limit: float, rounds: int, damping: float) -> DataFrame:
-    """kind, host, score of a graph that fits into memory."""
-    spark = seeds.sparkSession
-    s, e = seeds.toPandas(), edges.toPandas()
-    codes, names = pd.factorize(pd.concat([s["kind"] + " " + s["host"], e["kind"] + " " + e["host"], e["kind"] + " " + e["next"]]), sort=True)
-    at, src, dst = np.split(codes, [len(s), len(s) + len(e)])
-    seed = np.bincount(at, s["seed"].to_numpy(), len(names))
-    part, score = e["part"].to_numpy(), seed
-    for _ in range(rounds):
-        new = (1 - damping) * seed + damping * np.bincount(dst, score[src] * part, len(names))
-        change, score = np.abs(new - score).sum(), new
-        if change <= limit:
-            break
-    kinds, hosts = zip(*(x.split(" ", 1) for x in names), strict=True)
-    return spark.createDataFrame(pd.DataFrame({"kind": kinds, "host": hosts, "score": score}), "kind string, host string, score double")
+def next_scores(state: DataFrame, seeds: DataFrame, edges: DataFrame, damping: float) -> DataFrame:
+    """One round: kind, host, score after it and old, the score before it."""
+    none = F.lit(0.0)
+    moved = state.join(edges, ["kind", "host"]).select("kind", F.col("next").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"), none.alias("old"))
+    back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), none.alias("old"))
+    before = state.select("kind", "host", none.alias("score"), F.col("score").alias("old"))
+    return moved.unionByName(back).unionByName(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
 
 
 def settled(seeds: DataFrame, edges: DataFrame, limit: float, rounds: int, damping: float) -> DataFrame:
-    """kind, host, score by a job a round."""
+    """kind, host, score: rounds until the last one changes scores by no more than limit, a written table every few."""
     state = seeds.select("kind", "host", F.col("seed").alias("score"))
-    none = F.lit(0.0)
-    for _ in range(rounds):
-        moved = state.join(edges, ["kind", "host"]).select("kind", F.col("next").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"), none.alias("old"))
-        back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), none.alias("old"))
-        before = state.select("kind", "host", none.alias("score"), F.col("score").alias("old"))
-        state = stored(moved.unionByName(back).unionByName(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")), "host-scores")
+    for done in range(0, rounds, WRITTEN):
+        for _ in range(min(WRITTEN, rounds - done)):
+            state = next_scores(state.select("kind", "host", "score"), seeds, edges, damping)
+        state = stored(state, "host-scores")
         if (state.agg(F.sum(F.abs(F.col("score") - F.col("old")))).head()[0] or 0.0) <= limit:
             break
-        state = state.select("kind", "host", "score")
     return state.select("kind", "host", "score")
 
 
-def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """host, trust, distrust: both with a mean of about 1 over hosts, 0 without a seed."""
     judged = judged_pages(pages, rules)
     hosts = stored(
@@ -139,10 +126,8 @@ def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: fl
     scale = F.when(F.col("kind") == "trust", n / (sums.get("trust") or 1.0)).otherwise(n / (sums.get("distrust") or 1.0))
     seeds = stored(seeds.select("kind", "host", (F.col("w") * scale).alias("seed")), "host-seeds")
     state = seeds.select("kind", "host", F.col("seed").alias("score"))
-    n_edges = edges.count()
-    if n_edges and sums:
-        way = settled_locally if n_edges <= local_edges and seeds.count() <= local_edges else settled
-        state = way(seeds, edges, TOLERANCE * n, rounds, damping)
+    if sums:
+        state = settled(seeds, edges, TOLERANCE * n, rounds, damping)
     return state.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
