@@ -28,12 +28,12 @@ from labelaudit.llm.common import stored
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: A guard only: at the damping and tolerance below scores settle in at most about 160 rounds.
 ROUNDS, DAMPING, THRESHOLD = 1000, 0.85, 0.5
-#: Scores are settled when a round changes them by less than this share of their sum.
+#: Scores are settled when a chain of rounds changes them by less than this share of their sum.
 TOLERANCE = 1e-11
 #: Parts into which a host's pages are dealt for the join with its scores.
 SALTS = 16
 #: Rounds from one written table of scores to the next.
-WRITTEN = 4
+CHAIN = 8
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,24 +80,24 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return linked.unionByName(ties).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def next_scores(state: DataFrame, seeds: DataFrame, edges: DataFrame, damping: float) -> DataFrame:
-    """One round: kind, host, score after it and old, the score before it."""
-    none = F.lit(0.0)
-    moved = state.join(edges, ["kind", "host"]).select("kind", F.col("next").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"), none.alias("old"))
-    back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), none.alias("old"))
-    before = state.select("kind", "host", none.alias("score"), F.col("score").alias("old"))
-    return moved.unionByName(back).unionByName(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old"))
-
-
 def settled(seeds: DataFrame, edges: DataFrame, limit: float, rounds: int, damping: float) -> DataFrame:
-    """kind, host, score: rounds until the last one changes scores by no more than limit, a written table every few."""
+    """kind, host, score: rounds in chains, a written table after each, until a chain changes scores by no more than limit.
+
+    Edges are shuffled once a chain; scores stay where their sums are made. Neither side is broadcast, whatever its size.
+    """
+    none = F.lit(0.0)
+    back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
     state = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for done in range(0, rounds, WRITTEN):
-        for _ in range(min(WRITTEN, rounds - done)):
-            state = next_scores(state.select("kind", "host", "score"), seeds, edges, damping)
-        state = stored(state, "host-scores")
+    for done in range(0, rounds, CHAIN):
+        now = state
+        for _ in range(min(CHAIN, rounds - done)):
+            moved = now.join(edges.hint("merge"), ["kind", "host"]).select("kind", F.col("next").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
+            now = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        both = now.withColumn("old", none).unionByName(state.select("kind", "host", none.alias("score"), F.col("score").alias("old")))
+        state = stored(both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")), "host-scores")
         if (state.agg(F.sum(F.abs(F.col("score") - F.col("old")))).head()[0] or 0.0) <= limit:
             break
+        state = state.select("kind", "host", "score")
     return state.select("kind", "host", "score")
 
 
