@@ -205,10 +205,23 @@ def attach_signatures(requests: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def apply_signatures(ledger: DataFrame, accepted: DataFrame) -> DataFrame:
-    """The ledger with accepted signatures: status signed, and the result document's dossier kept in step."""
-    got = ledger.join(accepted.select("scan_id", F.col("signature").alias("new_signature")), "scan_id", "left")
+    """The ledger with accepted signatures: status signed, and the dossier of its result document kept in step.
+
+    accepted: scan_id, signature, one row a scan; cert_pem where it has one. A ledger with a column result (a struct
+    with a dossier of signed, signature, cert_pem and sig_status) has it changed too; a null result or dossier stays null.
+    """
+    pem = F.col("cert_pem") if "cert_pem" in accepted.columns else F.lit(None)
+    got = ledger.join(accepted.select("scan_id", F.col("signature").alias("new_signature"), pem.cast("string").alias("new_pem")), "scan_id", "left")
     on = F.col("new_signature").isNotNull()
-    return got.withColumns({"signature": F.coalesce("new_signature", "signature"), "sig_status": F.when(on, "signed").otherwise(F.col("sig_status"))}).drop("new_signature")
+    changed = {"signature": F.coalesce("new_signature", "signature"), "sig_status": F.when(on, "signed").otherwise(F.col("sig_status"))}
+    if "cert_pem" in ledger.columns:
+        changed["cert_pem"] = F.when(on, F.col("new_pem")).otherwise(F.col("cert_pem"))
+    if "result" in ledger.columns:
+        dossier = F.col("result.dossier")
+        for name, value in (("signed", F.lit(True)), ("signature", F.col("new_signature")), ("cert_pem", F.col("new_pem")), ("sig_status", F.lit("signed"))):
+            dossier = dossier.withField(name, value)
+        changed["result"] = F.when(on & F.col("result.dossier").isNotNull(), F.col("result").withField("dossier", dossier)).otherwise(F.col("result"))
+    return got.withColumns(changed).drop("new_signature", "new_pem")
 
 
 def stage_latency(stages: DataFrame, budgets: DataFrame) -> DataFrame:

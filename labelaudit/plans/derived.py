@@ -107,7 +107,7 @@ FROM {events}
 """
 
 ENVELOPES = """
-SELECT CAST(event_id AS BIGINT) AS event_id, CASE WHEN event_id % 41 = 0 THEN '' ELSE 's' || CAST(event_id % 4000 AS STRING) END AS scan_id,
+SELECT CAST(event_id AS BIGINT) AS event_id, CASE WHEN event_id % 41 = 0 THEN '' ELSE 's' || CAST(CAST((event_id - event_id % 3) / 3 AS BIGINT) AS STRING) END AS scan_id,
   CASE WHEN event_id % 43 = 0 THEN 'other' ELSE 'scan.v1' END AS kind,
   CASE WHEN event_id % 37 = 0 THEN NULL WHEN event_type = 'error' THEN 'RETRY' WHEN event_type = 'view' THEN 'PASS' ELSE 'VIOLATION' END AS verdict,
   event_id % 47 <> 0 AS has_result, CASE WHEN event_id % 53 = 0 THEN 'total differs' ELSE CAST(NULL AS STRING) END AS contract_error,

@@ -272,7 +272,8 @@ def first_wins(spark, sf_dir):
     return gateway.first_wins(rows, "scan_id", "order").select("scan_id", "event_id")
 
 
-STORE = "SELECT DISTINCT 's' || CAST(event_id % 900 AS STRING) AS scan_id FROM {events} WHERE event_id % 900 < 300"
+#: Scans of the earlier half of all envelopes, so the store grows with the table.
+STORE = f"SELECT DISTINCT scan_id FROM ({D.ENVELOPES}) stored WHERE scan_id <> '' AND event_id < (SELECT AVG(event_id) FROM {{events}})"
 
 
 @query(f"SELECT event_id, e.scan_id FROM ({D.ENVELOPES}) e WHERE NOT EXISTS (SELECT 1 FROM ({STORE}) s WHERE s.scan_id = e.scan_id)")
@@ -412,17 +413,25 @@ def merge_words(spark, sf_dir):
     return extract.merge_words(tokens(spark, sf_dir)).select("scan_id", "tok", "text", "x", "y", "w", "h")
 
 
-WORDS = "SELECT CAST(doc_id AS BIGINT) AS scan_id, CAST(0 AS INT) AS tok, substr(text, 1, 12) AS text, CAST(doc_id % 500 AS INT) AS x, CAST(doc_id % 300 AS INT) AS y, CAST(doc_id % 60 AS INT) AS w, CAST(doc_id % 40 AS INT) AS h, CAST(doc_id % 120 AS DOUBLE) AS conf, CAST(2.0 AS DOUBLE) AS scale FROM {documents}"
+#: Every line of every whole text as an OCR token; boxes follow from doc_id and tok.
+LINES = "(SELECT doc_id AS scan_id, unnest(range(len(ls))) AS tok, unnest(ls) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {documents}) d)"
+WORDS = f"SELECT scan_id, text, CAST((scan_id + tok) % 60 AS INT) AS w, CAST((scan_id + tok) % 40 AS INT) AS h, CAST((scan_id + tok) % 120 AS DOUBLE) AS conf, CAST(tok AS INT) AS tok FROM {LINES} l"
 
 
-@query(f"SELECT scan_id, CAST(CASE WHEN w <= 3 THEN 1 ELSE floor(w / 2.0) + CASE WHEN w % 4 = 3 THEN 1 ELSE 0 END END AS INT) AS w FROM ({WORDS}) t WHERE trim(text) <> '' AND conf >= 35 AND regexp_matches(text, '[\\p{{L}}\\p{{N}}/]') AND w > 0 AND h > 0".replace("{{", "{").replace("}}", "}").replace("CASE WHEN w <= 3 THEN 1", "CASE WHEN w <= 2 THEN 1"))
+def text_lines(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("scan_id"), F.posexplode(F.split("text", "\n")).alias("tok", "text"))
+    at = lambda n: ((F.col("scan_id") + F.col("tok")) % n).cast("int")
+    return docs.select("scan_id", "tok", "text", at(500).alias("x"), at(300).alias("y"), at(60).alias("w"), at(40).alias("h"), at(120).cast("double").alias("conf"), F.lit(2.0).alias("scale"))
+
+
+@query(f"SELECT scan_id, tok, CAST(CASE WHEN w <= 3 THEN 1 ELSE floor(w / 2.0) + CASE WHEN w % 4 = 3 THEN 1 ELSE 0 END END AS INT) AS w FROM ({WORDS}) t WHERE trim(text) <> '' AND conf >= 35 AND regexp_matches(text, '[\\p{{L}}\\p{{N}}/]') AND w > 0 AND h > 0".replace("{{", "{").replace("}}", "}").replace("CASE WHEN w <= 3 THEN 1", "CASE WHEN w <= 2 THEN 1"))
 def clean_words(spark, sf_dir):
-    return extract.clean_words(D.table(spark, sf_dir, WORDS)).select("scan_id", "w")
+    return extract.clean_words(text_lines(spark, sf_dir)).select("scan_id", "tok", "w")
 
 
 @query(f"SELECT path, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CASE WHEN w <= 0 OR h <= 0 THEN 'bbox' END AS path FROM ({WORDS}) a UNION ALL SELECT CASE WHEN conf > 1 THEN 'conf' END FROM ({WORDS}) b UNION ALL SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'text' END FROM ({WORDS}) c) p WHERE path IS NOT NULL GROUP BY path")
 def validate_tokens(spark, sf_dir):
-    rows = D.table(spark, sf_dir, WORDS).withColumns({"engine": F.lit("mlkit"), "lang": F.lit("en")})
+    rows = text_lines(spark, sf_dir).withColumns({"engine": F.lit("mlkit"), "lang": F.lit("en")})
     return contract.validate_tokens(rows).groupBy("path").agg(F.count("*").alias("n"))
 
 

@@ -1,11 +1,13 @@
 """Golden values, delivery, detections, markers, validators, sources and streams."""
 
 import json
+from datetime import date
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from labelaudit.operators import contract, gateway, geometry, golden
+from labelaudit.operators import contract, extract, gateway, geometry, golden
 from labelaudit.sources import tables
 from labelaudit.streaming import jobs
 
@@ -116,3 +118,23 @@ def test_sources_and_sinks(spark, tmp_path):
     bad = tmp_path / "bad.json"
     bad.write_text('{"scan_id": 5, "tokens": "x"\n')
     assert tables.read_requests(spark, str(bad)).head()["_corrupt"] is not None
+
+
+def test_signature_reaches_the_result_document(spark):
+    result = "struct<verdict:string,dossier:struct<sha256:string,signed:boolean,signature:string,cert_pem:string,sig_status:string>>"
+    dossier = ("d", False, None, None, "pending")
+    rows = [("a", None, "pending", None, ("VIOLATION", dossier)), ("b", None, "pending", None, ("PASS", None)), ("c", None, "pending", None, None), ("d", None, "pending", None, ("VIOLATION", dossier))]
+    ledger = spark.createDataFrame(rows, f"scan_id string, signature string, sig_status string, cert_pem string, result {result}")
+    accepted = spark.createDataFrame([(k, f"s{k}", "pem") for k in "abc"], "scan_id string, signature string, cert_pem string")
+    found = {r["scan_id"]: r for r in gateway.apply_signatures(ledger, accepted).collect()}
+    assert found["a"]["result"]["dossier"].asDict() == {"sha256": "d", "signed": True, "signature": "sa", "cert_pem": "pem", "sig_status": "signed"}
+    assert [found[k]["sig_status"] for k in "abcd"] == ["signed", "signed", "signed", "pending"]
+    assert found["b"]["result"]["dossier"] is None and found["b"]["result"]["verdict"] == "PASS" and found["c"]["result"] is None
+    assert found["d"]["result"]["dossier"]["sig_status"] == "pending" and found["d"]["signature"] is None
+
+
+def test_decoded_fields(spark):
+    schema = "scan_id string, field string, raw string, value_dec decimal(14,4), value_date date, unit string, conf double"
+    rows = [("a", "mrp", "MRP 100", Decimal("100.0000"), None, None, 0.905), ("a", "net_qty", "1.50 kg", Decimal("1.5000"), None, "kg", 1.0), ("a", "mfg_date", "Aug 2026", None, date(2026, 8, 1), None, 0.5), ("a", "origin", "India", None, None, None, 0.5)]
+    found = extract.decoded_fields(spark.createDataFrame(rows, schema)).orderBy("ord").collect()
+    assert [(r["field"], r["value"]) for r in found] == [("net_qty", "1.5 kg"), ("mrp", "100"), ("mfg_date", "2026-08-01"), ("origin", "-")]

@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = [
     "parse_quantity", "parse_money", "parse_unit_price", "parse_month", "prohibited_units", "address_pins", "contact_details", "origins", "compare_keys", "audit_checks",
     "unit_price_at_volume", "display_areas", "rule_7_3_glyphs", "gateway_stats", "list_scans", "delivery_outcomes", "ingest_decisions", "golden_outcomes", "tensor_diff", "marker_scales",
-    "quality_gates", "merge_rois", "sign_payloads", "signature_codes",
+    "quality_gates", "merge_rois", "sign_payloads", "signature_codes", "clean_words", "validate_tokens", "first_wins", "new_scans",
 ]
 
 
