@@ -10,8 +10,9 @@ are two steps apart. Both scores are scaled to a mean of 1 over all hosts; a hos
 blocked if its distrust reaches `THRESHOLD` and exceeds its trust.
 
 Everything is a DataFrame job: links are counted per pair of hosts before the shuffle, so a host with a third of all
-pages is one row a pair. Rounds go on until the scores settle, so distance from a seed doesn't matter: for a large
-graph each round is a job whose scores are written to the shared folder, a small graph is iterated in memory.
+pages is one row a pair. Rounds go on until the scores settle, so distance from a seed doesn't matter. A round is a
+join and a sum; every eight rounds the scores are written to the shared folder, and of them only their summed change
+goes to the driver. Links of hubs are salted.
 
 Null urls and urls without :// have empty host and path and no rule; hosts without score are allowed. Null html has no
 links. Repeated rows are judged each. Equally long rules: the first given wins. An empty table gives no rows. Columns
@@ -20,22 +21,22 @@ other than page_id, url and html are ignored.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelaudit.llm.common import stored
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: A guard only: at the damping and tolerance below scores settle in at most about 160 rounds.
+#: A guard only: at the damping and tolerance below scores settle in at most about 120 rounds.
 ROUNDS, DAMPING, THRESHOLD = 1000, 0.85, 0.5
 #: Scores are settled when a round changes them by less than this share of their sum.
-TOLERANCE = 1e-11
+TOLERANCE = 1e-8
 #: Parts into which a host's pages are dealt for the join with its scores.
 SALTS = 16
-#: Graphs of at most so many edges are iterated in the driver's memory, others by a job a round.
-LOCAL_EDGES = 200_000
+#: Rounds from one written table of scores to the next.
+CHAIN = 8
+#: Links of a node in one salt.
+HUB = 1 << 20
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,39 +83,55 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return linked.unionByName(ties).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def settled_locally(seeds: DataFrame, edges: DataFrame, limit: float, rounds: int, damping: float) -> DataFrame:
-    """kind, host, score of a graph that fits into memory."""
-    spark = seeds.sparkSession
-    s, e = seeds.toPandas(), edges.toPandas()
-    codes, names = pd.factorize(pd.concat([s["kind"] + " " + s["host"], e["kind"] + " " + e["host"], e["kind"] + " " + e["next"]]), sort=True)
-    at, src, dst = np.split(codes, [len(s), len(s) + len(e)])
-    seed = np.bincount(at, s["seed"].to_numpy(), len(names))
-    part, score = e["part"].to_numpy(), seed
-    for _ in range(rounds):
-        new = (1 - damping) * seed + damping * np.bincount(dst, score[src] * part, len(names))
-        change, score = np.abs(new - score).sum(), new
-        if change <= limit:
-            break
-    kinds, hosts = zip(*(x.split(" ", 1) for x in names), strict=True)
-    return spark.createDataFrame(pd.DataFrame({"kind": kinds, "host": hosts, "score": score}), "kind string, host string, score double")
-
-
-def settled(seeds: DataFrame, edges: DataFrame, limit: float, rounds: int, damping: float) -> DataFrame:
-    """kind, host, score by a job a round."""
-    state = seeds.select("kind", "host", F.col("seed").alias("score"))
-    none = F.lit(0.0)
-    for _ in range(rounds):
-        moved = state.join(edges, ["kind", "host"]).select("kind", F.col("next").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"), none.alias("old"))
-        back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), none.alias("old"))
-        before = state.select("kind", "host", none.alias("score"), F.col("score").alias("old"))
-        state = stored(moved.unionByName(back).unionByName(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")), "host-scores")
+def links_and_nodes(edges: DataFrame, seeds: DataFrame, damping: float, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """Links with the share of a score that they carry, and a row of its own for each node that holds its seed.
+
+    Links of a node with more than hub links are dealt over salts; `salts` says how many its score must be copied to.
+    """
+    total = edges.groupBy("kind", "host").agg(F.sum("weight").alias("out"), F.ceil(F.count("*") / hub).cast("int").alias("salts"))
+    part = (F.col("weight") / F.col("out") * damping).alias("part")
+    salt = F.pmod(F.xxhash64("next"), F.col("salts")).cast("int").alias("salt")
+    none = F.lit(None)
+    moved = edges.join(total, ["kind", "host"]).select("kind", "host", salt, "next", part, none.cast("double").alias("back"), none.cast("int").alias("salts"))
+    named = edges.select("kind", F.col("next").alias("host"), F.lit(0.0).alias("seed"), F.lit(1).alias("salts"))
+    named = named.unionByName(seeds.select("kind", "host", "seed", F.lit(1).alias("salts"))).unionByName(total.select("kind", "host", F.lit(0.0).alias("seed"), "salts"))
+    nodes = named.groupBy("kind", "host").agg(F.sum("seed").alias("seed"), F.max("salts").alias("salts"))
+    own = nodes.select("kind", "host", F.lit(0).alias("salt"), F.col("host").alias("next"), F.lit(0.0).alias("part"), (F.col("seed") * (1 - damping)).alias("back"), "salts")
+    start = nodes.select("kind", "host", F.col("seed").alias("score"), F.col("seed").alias("old"), F.col("seed").alias("older"), "salts")
+    return moved.unionByName(own), start
+
+
+def next_scores(state: DataFrame, links: DataFrame) -> DataFrame:
+    """One round: a join and a sum; a node's own row brings its seed and keeps the scores of the two rounds before."""
+    copies = state.select("kind", "host", "score", "old", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    both = copies.join(links.hint("merge"), ["kind", "host", "salt"])
+    own = F.col("back").isNotNull()
+    sent = both.select(
+        "kind", F.col("next").alias("host"), "salts", (F.col("score") * F.col("part") + F.coalesce("back", F.lit(0.0))).alias("new"),
+        F.when(own, F.col("score")).alias("was"), F.when(own, F.col("old")).alias("before"),
+    )
+    return sent.groupBy("kind", "host").agg(F.sum("new").alias("score"), F.sum("was").alias("old"), F.sum("before").alias("older"), F.max("salts").alias("salts"))
+
+
+def settled(links: DataFrame, state: DataFrame, limit: float, rounds: int, damping: float) -> DataFrame:
+    """kind, host, score: chains of rounds, a written table after each, until the last round changes scores by no more than limit.
+
+    After the first chain scores are extrapolated over two rounds once: what goes to and fro between a host and its
+    domains shrinks by damping**2 in two rounds, so its rest is a geometric series. Further rounds settle all else.
+    """
+    for done in range(0, rounds, CHAIN):
+        for _ in range(min(CHAIN, rounds - done)):
+            state = next_scores(state, links)
+        state = stored(state, "host-scores")
         if (state.agg(F.sum(F.abs(F.col("score") - F.col("old")))).head()[0] or 0.0) <= limit:
             break
-        state = state.select("kind", "host", "score")
+        if done == 0 and CHAIN < rounds:
+            ahead = F.col("score") + damping**2 / (1 - damping**2) * (F.col("score") - F.col("older"))
+            state = state.withColumn("score", ahead)
     return state.select("kind", "host", "score")
 
 
-def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, hub: int = HUB) -> DataFrame:
     """host, trust, distrust: both with a mean of about 1 over hosts, 0 without a seed."""
     judged = judged_pages(pages, rules)
     hosts = stored(
@@ -129,9 +146,6 @@ def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: fl
     edges = one_way.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("next"), "weight")
     edges = edges.unionByName(one_way.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("next"), "weight"))
     edges = stored(edges, "host-edges")
-    total = edges.groupBy("kind", "host").agg(F.sum("weight").alias("out"))
-    edges = stored(edges.join(total, ["kind", "host"]).select("kind", "host", "next", (F.col("weight") / F.col("out")).alias("part")), "host-edges")
-
     share = lambda c, kind: hosts.where(f"host != '' and {c} > 0").select(F.lit(kind).alias("kind"), "host", (F.col(c) / F.col("pages")).alias("w"))
     seeds = share("allowed", "trust").unionByName(share("blocked", "distrust"))
     sums = {r["kind"]: r["w"] for r in seeds.groupBy("kind").agg(F.sum("w").alias("w")).collect()}
@@ -139,10 +153,9 @@ def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: fl
     scale = F.when(F.col("kind") == "trust", n / (sums.get("trust") or 1.0)).otherwise(n / (sums.get("distrust") or 1.0))
     seeds = stored(seeds.select("kind", "host", (F.col("w") * scale).alias("seed")), "host-seeds")
     state = seeds.select("kind", "host", F.col("seed").alias("score"))
-    n_edges = edges.count()
-    if n_edges and sums:
-        way = settled_locally if n_edges <= local_edges and seeds.count() <= local_edges else settled
-        state = way(seeds, edges, TOLERANCE * n, rounds, damping)
+    if sums:
+        links, start = links_and_nodes(edges, seeds, damping, hub)
+        state = settled(stored(links, "host-links"), stored(start, "host-scores"), TOLERANCE * n, rounds, damping)
     return state.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
