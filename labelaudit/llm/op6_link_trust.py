@@ -11,7 +11,7 @@ blocked if its distrust reaches `THRESHOLD` and exceeds its trust.
 
 Everything is a DataFrame job: links are counted per pair of hosts before the shuffle, so a host with a third of all
 pages is one row a pair. Rounds go on until the scores settle, so distance from a seed doesn't matter. A round is a
-join and a sum; every eight rounds the scores are written to the shared folder, and of them only their summed change
+join and a sum; every four rounds the scores are written to the shared folder, and of them only their summed change
 goes to the driver. Links of hubs are salted.
 
 Null urls and urls without :// have empty host and path and no rule; hosts without score are allowed. Null html has no
@@ -34,7 +34,7 @@ TOLERANCE = 1e-8
 #: Parts into which a host's pages are dealt for the join with its scores.
 SALTS = 16
 #: Rounds from one written table of scores to the next.
-CHAIN = 8
+CHAIN = 4
 #: Links of a node in one salt.
 HUB = 1 << 20
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
