@@ -208,15 +208,19 @@ def extract_fields(tokens: DataFrame, scans: DataFrame | None = None, held: list
     return out.select("scan_id", "field", "raw", "value_dec", "value_date", "unit", "x", "y", "w", "h", "conf", font.alias("font_mm"))
 
 
+def value_text() -> Column:
+    """What was decoded of a field: a number without closing zeros, or a date; null if nothing was."""
+    number = F.col("value_dec").cast("string")
+    plain = F.when(number.contains("."), F.regexp_replace(number, r"\.?0+$", "")).otherwise(number)
+    return F.coalesce(plain, F.col("value_date").cast("string"))
+
+
 def decoded_fields(fields: DataFrame) -> DataFrame:
     """scan_id, ord, field, value, raw, conf: the table of decoded fields of a dossier, in the order of fixed_values.FIELDS.
 
-    value: number without closing zeros or date, then the unit; "-" where neither was decoded.
+    value: what was decoded, then the unit; "-" where nothing was.
     """
-    plain = F.regexp_replace(F.col("value_dec").cast("string"), r"\.?0+$", "")
-    number = F.when(F.col("value_dec").cast("string").contains("."), plain).otherwise(F.col("value_dec").cast("string"))
-    value = F.coalesce(number, F.col("value_date").cast("string"))
-    said = F.when(value.isNotNull(), F.concat_ws(" ", value, "unit")).otherwise("-")
+    said = F.when(value_text().isNotNull(), F.concat_ws(" ", value_text(), "unit")).otherwise("-")
     place = F.array_position(F.array(*[F.lit(f) for f in V.FIELDS]), F.col("field")).cast("int")
     return fields.select("scan_id", place.alias("ord"), "field", said.alias("value"), "raw", F.bround("conf", 2).alias("conf"))
 

@@ -5,6 +5,8 @@ Every row of the given table gives a row here; texts, faults and responses follo
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 RUPEES = "CAST(CAST(({p} - {p} % 100) / 100 AS BIGINT) AS STRING) || '.' || lpad(CAST({p} % 100 AS STRING), 2, '0')"
@@ -137,3 +139,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def arrived(df: DataFrame) -> DataFrame:
+    """The same rows as written in the folder of checkpoints, as if they had been received; plans begin anew from there."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path and sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="audit-"))
+    return df.checkpoint()

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelaudit.functions import fixed_values as V
 from labelaudit.functions import text as T
 from labelaudit.operators import contract, extract, gateway, geometry, golden, rules
 from labelaudit.plans import derived as D
+from labelaudit.plans import scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -364,19 +365,23 @@ UNION ALL SELECT scan_id, 6, mfg_address, 20, 220, 420, 'mlkit' FROM ({lb}) a UN
 UNION ALL SELECT scan_id, 8, consumer_care, 20, 340, 500, 'tesseract' FROM ({lb}) a) t WHERE text IS NOT NULL""".replace("{lb}", D.LABELS)
 
 
-def tokens(spark, sf_dir):
-    """The rows of TOKENS in one pass over the labels."""
+def token_rows() -> list[Column]:
+    """The tokens of TOKENS as structs over one row of the labels."""
     rows = [
         ("product_name", F.col("product_name"), 20, 10, 300, "mlkit"), ("net_qty", F.lit("Net Quantity:"), 20, 60, 150, "mlkit"),
         ("net_qty", F.replace("net_qty", F.lit("Net Quantity: "), F.lit("")), 180, 62, 60, "mlkit"), ("mrp", F.col("mrp"), 20, 100, 400, "mlkit"),
         ("usp", F.col("usp"), 20, 140, 300, "mlkit"), ("mfg_date", F.col("mfg_date"), 20, 180, 200, "mlkit"), ("mfg_address", F.col("mfg_address"), 20, 220, 420, "mlkit"),
         ("origin", F.col("origin"), 20, 300, 200, "mlkit"), ("consumer_care", F.col("consumer_care"), 20, 340, 500, "tesseract"),
     ]
-    made = [
+    return [
         F.struct(F.lit(k).alias("tok"), text.alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("w"), F.lit(24).alias("h"), F.lit(0.9).alias("conf"), F.lit(engine).alias("engine"))
         for k, (_, text, x, y, w, engine) in enumerate(rows)
     ]
-    return labels(spark, sf_dir).select("scan_id", F.inline(F.array(*made))).where("text is not null")
+
+
+def tokens(spark, sf_dir):
+    """The rows of TOKENS in one pass over the labels."""
+    return labels(spark, sf_dir).select("scan_id", F.inline(F.array(*token_rows()))).where("text is not null")
 
 
 @query()
@@ -695,3 +700,32 @@ def request_rejects(spark, sf_dir):
 @query(f"SELECT scan_id FROM ({REJECTED}) r WHERE message IS NULL")
 def valid_requests(spark, sf_dir):
     return contract.split_requests(requests(spark, sf_dir))[0].select("scan_id")
+
+
+def scan_requests(spark, sf_dir):
+    """Each label as the JSON text of a request; some are refused by their device, some break the contract."""
+    from labelaudit.sources import tables
+
+    k = F.col("scan_id")
+    conf = F.when(k % 41 == 0, 1.5).otherwise(0.9)
+    read = F.transform(
+        F.filter(F.array(*token_rows()), lambda t: t["text"].isNotNull()),
+        lambda t: F.struct(t["text"].alias("text"), F.array(t["x"], t["y"], t["w"], t["h"]).alias("bbox"), conf.alias("conf"), F.lit("mlkit").alias("engine")),
+    )
+    made = F.struct(
+        F.lit(1).alias("schema_version"), k.cast("string").alias("scan_id"), read.alias("tokens"), F.struct((k % 37 != 0).alias("ok")).alias("quality"), F.lit("2026-01-01T00:00:00.000Z").alias("captured_utc"),
+        F.when(k % 3 == 0, "pouch").alias("shape_hint"), F.struct((k % 11 == 1).alias("institutional")).alias("options"),
+    )
+    texts = labels(spark, sf_dir).select(F.to_json(made).alias("text"))
+    return texts.select(F.from_json("text", tables.REQUEST, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
+
+
+@query()
+def request_results(spark, sf_dir):
+    d = scans.scan_results(D.arrived(scan_requests(spark, sf_dir)))
+    joined = lambda c: F.array_join(F.transform("checks", lambda x: x[c]), ",")
+    return d.select(
+        "schema_version", "scan_id", "verdict", "captured_utc", "quality.ok", F.size("quality.prompts").alias("n_prompts"), F.col("geometry.shape").alias("shape"), F.size("ocr.tokens").alias("n_tokens"),
+        F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("fields"), F.col("fields")["mrp"]["value"].alias("mrp"), joined("rule").alias("rules"), joined("status").alias("statuses"), F.col("summary.fail").alias("fails"),
+        F.size(F.filter("checks", lambda x: x["evidence_bbox"].isNotNull())).alias("n_boxes"), F.col("exemption.exempt").alias("exempt"), F.col("error.code").alias("code"),
+    )
