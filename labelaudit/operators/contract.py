@@ -9,6 +9,7 @@ from labelaudit.functions import fixed_values as V
 from labelaudit.operators import geometry
 
 ENGINES = ("mlkit", "tesseract", "indic", "bhashini")
+ERRORS = ("BAD_REQUEST", "DECODE_ERROR", "UNSUPPORTED_VERSION", "STAGE_FAILURE", "INTERNAL")
 
 
 def problems(df: DataFrame, key: str, rules: list[tuple[str, Column, str]]) -> DataFrame:
@@ -58,6 +59,29 @@ def validate_results(results: DataFrame, checks: DataFrame) -> DataFrame:
     )
 
 
+def validate_documents(docs: DataFrame) -> DataFrame:
+    """Whole results (plans.scans.scan_results): what validate_results asks for, times, numbers, boxes and field values."""
+    iso = lambda c: F.coalesce(F.col(c).rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?Z$"), F.lit(False))
+    odd = lambda c: F.col(c).isNotNull() & (F.isnan(c) | (F.abs(F.col(c)) == float("inf")))
+    boxed = lambda b: b.isNull() | ((F.size(b) == 4) & F.forall(b, lambda v: v.isNotNull()))
+    held = F.map_values("fields")
+    flat = docs.select("scan_id", "schema_version", "verdict", "completed_utc", "summary.total", "summary.pass", "summary.fail", "summary.na", "error", F.size("quality.prompts").alias("n_prompts"))
+    found = validate_results(flat, docs.select("scan_id", F.explode("checks").alias("c")).select("scan_id", "c.status"))
+    more = problems(
+        docs, "scan_id",
+        [
+            ("schema_version", F.coalesce(F.col("schema_version") != V.SCHEMA_VERSION, F.lit(True)), "unknown schema_version"),
+            ("captured_utc", ~iso("captured_utc"), "not an ISO time in UTC"),
+            *[(c, odd(c), "not a finite number") for c in ("total_ms", "quality.laplacian_var", "quality.glare_pct", "geometry.mm_per_px", "geometry.pda_cm2")],
+            ("ocr.tokens", F.exists("ocr.tokens", lambda t: t["text"].isNull() | t["bbox"].isNull() | ~boxed(t["bbox"])), "a token needs text and box"),
+            ("fields", F.exists(held, lambda f: f["raw"].isNull() | (f["raw"] == "") | ~boxed(f["bbox"]) | ~F.coalesce(f["conf"].between(0, 1), F.lit(False))), "a field needs raw text, a box of four and conf in 0..1"),
+            ("checks", F.exists("checks", lambda c: c["rule"].isNull() | c["message"].isNull() | c["citation"].isNull() | ~boxed(c["evidence_bbox"])), "a check needs rule, message, citation and a box of four or none"),
+            ("error.code", F.col("error").isNotNull() & ~F.coalesce(F.col("error.code").isin(*ERRORS), F.lit(False)), "unknown error code"),
+        ],
+    )
+    return found.unionByName(more.withColumn("ord", F.col("ord") + 100))
+
+
 def validate_queue(rows: DataFrame) -> DataFrame:
     """Ledger rows: scan_id, sync_status, sig_status, attempts."""
     return problems(

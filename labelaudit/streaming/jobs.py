@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from labelaudit.operators import extract, gateway, rules
+from labelaudit.plans import derived, scans
 from labelaudit.sources import tables
 
 
@@ -29,6 +30,15 @@ def audit_stream(requests: DataFrame, out: str, checkpoint: str) -> StreamingQue
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def result_stream(requests: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Whole results of each micro-batch of requests as JSON lines, below out in a folder of its own: a batch that runs again replaces it."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        scans.scan_results(derived.arrived(batch)).write.mode("overwrite").json(f"{out}/batch={number}")
+
+    return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest_stream(rows: DataFrame, store: str, checkpoint: str, key: str = "scan_id", order: str = "received") -> StreamingQuery:
     """First row of each key, ever, appended to the store: first within the batch, then against what is stored."""
 
