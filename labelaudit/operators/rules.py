@@ -343,34 +343,6 @@ def top_rules(checks: DataFrame, n: int = 10, scans: DataFrame | None = None) ->
     return checks.where("status = 'FAIL'").groupBy("rule").count().orderBy(F.desc("count"), "rule").limit(n)
 
 
-#: Plain wording: fixed values by rule and status.
-PLAIN = {
-    "13|PASS": "Unit spellings are correct.",
-    "6(1)(c)|FAIL": "The net quantity is printed in a non-standard unit.",
-    "6(1)(c)|PASS": "Net quantity is declared correctly.",
-    "6(1)(e)|PASS": "MRP is declared with the required tax wording.",
-    "6(11)|FAIL": "The unit price printed on the pack doesn't match the MRP.",
-    "6(11)|PASS": "The unit price matches the MRP.",
-    "6(11)|NA": "Unit price couldn't be checked — MRP or quantity missing.",
-    "6(1)(d)|FAIL": "The manufacturing date is missing or not in a valid Month-Year format.",
-    "6(1)(d)|PASS": "Manufacturing date is valid.",
-    "6(1)(a)|FAIL": "Maker's name and full postal address (with PIN code) is incomplete.",
-    "6(1)(a)|PASS": "Maker's details with PIN code are complete.",
-    "6(1)(aa)|FAIL": "Country of origin is missing or unclear.",
-    "6(1)(aa)|PASS": "Country of origin is clearly stated.",
-    "6(1)(aa)|NA": "Country of origin not found — required only for imported items.",
-    "6(1)(n)|FAIL": "Consumer care details are incomplete (helpline / email / address).",
-    "6(1)(n)|PASS": "Consumer care details are complete.",
-    "6(1)(b)|FAIL": "The product's common/generic name is missing.",
-    "6(1)(b)|PASS": "Product name is present.",
-    "7|FAIL": "The printed letters are smaller than the legal minimum for this pack size.",
-    "7|PASS": "Letter heights meet the legal minimum.",
-    "7|NA": "Letter height couldn't be measured — hold the calibration card in frame (or confirm pack dimensions).",
-    "7(3)|FAIL": "Some letters are too narrow (width must be at least 1/3 of height).",
-    "7(3)|PASS": "Letter widths are compliant.",
-}
-
-
 def with_plain(checks: DataFrame) -> DataFrame:
     """checks with a plain message, by rule, status and what the statutory message says."""
     rule, status, low = F.col("rule"), F.col("status"), F.lower("message")
@@ -390,6 +362,6 @@ def with_plain(checks: DataFrame) -> DataFrame:
         F.when((rule == "6(1)(e)") & (status == "FAIL"), mrp)
         .when((rule == "13") & (status == "FAIL"), unit)
         .when((rule == "26") & (status == "NA"), exempt)
-        .otherwise(F.coalesce(T.lookup(PLAIN, F.concat_ws("|", "rule", "status")), "message"))
+        .otherwise(F.coalesce(T.lookup(V.PLAIN, F.concat_ws("|", "rule", "status")), "message"))
     )
     return checks.withColumn("plain", plain)
