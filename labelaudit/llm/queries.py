@@ -15,6 +15,9 @@ from labelaudit.llm import (
     op8_warc,
     op9_rules,
     op10_simhash,
+    op12_minhash,
+    op13_search,
+    oracles,
 )
 
 
@@ -62,6 +65,14 @@ def op8_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_minhash.near_sets(table(spark, sf_dir, "documents"))
+
+
+def op13_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top, beside the package
 
@@ -80,9 +91,11 @@ def queries() -> dict:
         "op8_warc": op8_warc_query,
         "op9_rules": op9_rules_query,
         "op10_simhash": op10_simhash_query,
+        "op12_minhash": op12_minhash_query,
+        "op13_search": op13_search_query,
         "pipeline": pipeline_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_minhash": oracles.OP12_MINHASH, "op13_search": oracles.OP13_SEARCH}
