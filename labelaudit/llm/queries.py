@@ -15,6 +15,7 @@ from labelaudit.llm import (
     op8_warc,
     op9_rules,
     op10_simhash,
+    op11_repair,
     op12_minhash,
     op13_search,
     oracles,
@@ -65,6 +66,10 @@ def op8_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op12_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_minhash.near_sets(table(spark, sf_dir, "documents"))
 
@@ -91,6 +96,7 @@ def queries() -> dict:
         "op8_warc": op8_warc_query,
         "op9_rules": op9_rules_query,
         "op10_simhash": op10_simhash_query,
+        "op11_repair": op11_repair_query,
         "op12_minhash": op12_minhash_query,
         "op13_search": op13_search_query,
         "pipeline": pipeline_query,
@@ -98,4 +104,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_minhash": oracles.OP12_MINHASH, "op13_search": oracles.OP13_SEARCH}
+    return {"op11_repair": oracles.OP11_REPAIR, "op12_minhash": oracles.OP12_MINHASH, "op13_search": oracles.OP13_SEARCH}
