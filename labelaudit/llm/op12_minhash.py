@@ -9,9 +9,10 @@ full ones. Each band of bins is a bucket's key.
 A bucket's candidates form a star: every node of it with the bucket's first one, so there are no more candidates than
 nodes times bands. Whole sets decide about them. Stars alone can miss a link between two members that are both unlike
 the centre, so buckets whose nodes aren't tied into one component by then are gone through again: sketches of nodes not
-yet tied are compared within the bucket, a bounded tile of it at a time, and whole sets decide again. Buckets of more than
-`LARGE` nodes are first cut by each node's other keys, as near nodes share two keys or more. So what a link can be
-missed by is chance in the sketch alone: at a similarity of exactly 0.8 no band agrees with 5e-7, only one with 8e-6.
+yet tied are compared within the bucket, a bounded tile of it at a time, and whole sets decide again; first each node
+with the one that agrees best, at last all that are still apart. Buckets of more than `LARGE` nodes are first cut by each
+node's other keys, as near nodes share two keys or more. So what a link can be missed by is chance in the sketch
+alone: at a similarity of exactly 0.8 no band agrees with 5e-7, only one with 8e-6.
 
 Null, empty and wordless texts have the empty set, linked with nothing: component_id is their own doc_id. Repeated rows
 share a component unless their set is empty. A null doc_id never names a component; if no other row is reachable,
@@ -35,10 +36,12 @@ from labelaudit.llm.segments import mixed
 SHINGLE, SEED = 4, 42
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
-#: Sketches compared in one piece, and nodes beyond which a bucket is cut by its nodes' other keys; how often at most.
-TILE, LARGE, CUTS = 512, 4096, 3
+#: Sketches compared in one piece, and nodes beyond which a bucket is cut by its nodes' other keys.
+TILE, LARGE = 512, 4096
 #: Equal bins, of all, of two nodes worth a comparison of sets: 0.8 less six standard deviations.
 ENOUGH = int(BINS * 0.8 - 6 * (BINS * 0.8 * 0.2) ** 0.5)
+#: Pairs of a node looked at in a tile, round by round: those tied by the best ones needn't be compared further. At last all.
+PARTNERS = (1, None)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 U64 = np.uint64
 
@@ -108,11 +111,11 @@ def untied(members: DataFrame, roots: DataFrame, work: str) -> DataFrame:
     return rooted.join(stored(parted.where("low < high").select("key", "members"), f"{work}/parted"), "key")
 
 
-def similar_sketches(placed: DataFrame, nodes: DataFrame, work: str) -> DataFrame:
-    """Pairs (a, b) of nodes of different components in one bucket whose sketches agree enough."""
+def similar_sketches(placed: DataFrame, nodes: DataFrame, most: int | None, work: str) -> DataFrame:
+    """Pairs (a, b) of nodes of different components in one bucket whose sketches agree enough, and counts by range don't rule them out; most: of each node and tile only those that agree best."""
     tiles = F.ceil(F.col("members") / TILE).cast("int")
-    sketched = placed.join(nodes.select("node", "n", "sketch"), "node").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("node", "key"), tiles).cast("int")})
-    tiled = stored(sketched.groupBy("key", "tiles", "tile").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("x")), f"{work}/tiles")
+    sketched = placed.join(nodes.select("node", "n", "sketch", "counts"), "node").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("node", "key"), tiles).cast("int")})
+    tiled = stored(sketched.groupBy("key", "tiles", "tile").agg(F.collect_list(F.struct("node", "root", "n", "sketch", "counts")).alias("x")), f"{work}/tiles")
     meeting = tiled.select("key", "tile", F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("other"))
     second = tiled.select("key", F.col("tile").alias("other"), F.col("x").alias("y"))
     pairs = meeting.join(tiled.select("key", "tile", "x"), ["key", "tile"]).join(second, ["key", "other"]).repartition(F.rand(7))
@@ -120,17 +123,22 @@ def similar_sketches(placed: DataFrame, nodes: DataFrame, work: str) -> DataFram
 
     def side(rows) -> tuple[np.ndarray, ...]:
         x = rows.values
-        sketch = np.frombuffer(b"".join(x.field("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-        return (*(x.field(c).to_numpy() for c in ("node", "root", "n")), sketch)
+        sketch, counts = (np.frombuffer(b"".join(x.field(c).to_pylist()), np.uint8).reshape(len(x), -1) for c in ("sketch", "counts"))
+        return (*(x.field(c).to_numpy() for c in ("node", "root", "n")), sketch, counts)
 
     def run(batches):
         for rows in batches:
             for one, two in zip(rows.column("x"), rows.column("y"), strict=True):
-                (a, ra, na, sa), (b, rb, nb, sb) = side(one), side(two)
+                (a, ra, na, sa, ca), (b, rb, nb, sb, cb) = side(one), side(two)
                 found = []
                 for k in range(len(a)):
                     fit = np.flatnonzero((rb != ra[k]) & (5 * np.minimum(nb, na[k]) >= 4 * np.maximum(nb, na[k])))
-                    fit = fit[np.count_nonzero(sb[fit] == sa[k], axis=1) >= ENOUGH]
+                    agree = np.count_nonzero(sb[fit] == sa[k], axis=1)
+                    least = np.minimum(cb[fit], ca[k])
+                    fine = (agree >= ENOUGH) & ((9 * least.sum(axis=1, dtype=np.int64) >= 4 * (nb[fit] + na[k])) | (least == 255).any(axis=1))
+                    fit, agree = fit[fine], agree[fine]
+                    if most is not None and len(fit) > most:
+                        fit = fit[np.argsort(-agree, kind="stable")[:most]]
                     found.append(np.stack([np.minimum(a[k], b[fit]), np.maximum(a[k], b[fit])]))
                 both = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield batch(schema, both[0], both[1])
@@ -154,18 +162,18 @@ def near_sets(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> Data
     near = near_pairs_of(met, texts, nodes, shingle, seed, work)
     roots = components(near, f"{work}/components")
 
-    rest = stored(untied(members, roots, work), f"{work}/untied")
-    for _ in range(CUTS):
+    for most in PARTNERS:
+        rest = stored(untied(members, roots, work), f"{work}/untied")
         large = rest.where(F.col("members") > LARGE)
-        if large.isEmpty():
-            break
-        cut = large.join(nodes.select("node", "keys"), "node").select("node", F.col("key").alias("old"), F.explode("keys").alias("other"))
-        cut = cut.where("old != other").select(F.xxhash64("old", "other").alias("key"), "node")
-        rest = stored(rest.where(F.col("members") <= LARGE).unionByName(untied(cut, roots, work)), f"{work}/untied")
-    more = stored(similar_sketches(rest, nodes, work).join(met, ["a", "b"], "left_anti"), f"{work}/more")
-    more = near_pairs_of(more, texts, nodes, shingle, seed, work)
-    if not more.isEmpty():
-        roots = components(near.unionByName(more), f"{work}/components")
+        if not large.isEmpty():
+            cut = large.join(nodes.select("node", "keys"), "node").select("node", F.col("key").alias("old"), F.explode("keys").alias("other"))
+            cut = cut.where("old != other").select(F.xxhash64("old", "other").alias("key"), "node")
+            rest = stored(rest.where(F.col("members") <= LARGE).unionByName(untied(cut, roots, work)), f"{work}/untied")
+        more = stored(similar_sketches(rest, nodes, most, work).join(met, ["a", "b"], "left_anti"), f"{work}/more")
+        found = near_pairs_of(more, texts, nodes, shingle, seed, work)
+        met, near, members = met.unionByName(more), near.unionByName(found), rest.select("key", "node")
+        if not found.isEmpty():
+            roots = components(near, f"{work}/components")
 
     rooted = stored(nodes.join(roots, "node", "left").select("same", "first", F.coalesce("root", "node").alias("root")), f"{work}/roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
