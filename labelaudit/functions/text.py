@@ -6,10 +6,12 @@ for rows that can need it.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from labelaudit.functions import fixed_values as V
 
@@ -50,6 +52,19 @@ def nfc(df: DataFrame, *columns: str) -> DataFrame:
     return plain.unionByName(changed)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _compose_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else [None if t is None else unicodedata.normalize("NFC", t) for t in x])
+
+
+def nfc_tokens(df: DataFrame, tokens: str) -> DataFrame:
+    """As nfc, for the texts of an array of tokens."""
+    odd = F.coalesce(F.exists(tokens, lambda t: F.coalesce(t["text"].rlike(MAY_NEED_NFC), F.lit(False))), F.lit(False))
+    composed = df.where(odd).withColumn("__texts", _compose_all(F.transform(tokens, lambda t: t["text"])))
+    changed = composed.withColumn(tokens, F.transform(tokens, lambda t, i: t.withField("text", F.get("__texts", i)))).select(*df.columns)
+    return df.where(~odd).unionByName(changed)
+
+
 def squash(text: Column) -> Column:
     """Superscripts to digits, the old rupee sign to letters, white space to single spaces; null or nothing is null."""
     out = F.replace(F.replace(F.replace(text, F.lit("²"), F.lit("2")), F.lit("³"), F.lit("3")), F.lit("₨"), F.lit("Rs"))

@@ -124,6 +124,7 @@ def request_rules(requests: DataFrame) -> list[tuple[Column, str, str]]:
     return [
         bad(F.col("_corrupt").isNotNull(), "not a request of the known form"),
         (F.coalesce(F.col("schema_version"), F.lit(V.SCHEMA_VERSION)) != V.SCHEMA_VERSION, "UNSUPPORTED_VERSION", f"schema {V.SCHEMA_VERSION} expected"),
+        bad(F.coalesce(F.col("scan_id"), F.lit("")) == "", "scan_id must be given"),
         bad(F.coalesce(F.size("tokens"), F.lit(0)) <= 0, "tokens must be a non-empty list"),
         bad(any_of("tokens", lambda t: t["text"].isNull() | (t["text"] == "")), "a token's text must be non-empty"),
         bad(any_of("tokens", lambda t: ~box(t["bbox"])), "a token's bbox must be x, y, w, h with w and h above 0"),

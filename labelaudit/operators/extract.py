@@ -1,4 +1,4 @@
-"""Label fields out of OCR tokens: lines, anchors, candidate regions, the first acceptable one of each field.
+"""Tables of OCR tokens to lines, fields and labels; the work on one scan's tokens is in folds.
 
 tokens: scan_id, tok (place in the input, breaks ties), text, x, y, w, h int, conf double. Everything keeps the
 partitioning by scan_id; a scan has tens of tokens, so its lists stay small whatever the number of scans.
@@ -6,23 +6,12 @@ partitioning by scan_id; a scan has tens of tokens, so its lists stay small what
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelaudit.functions import fixed_values as V
-from labelaudit.functions import text as T
-
-SPECS = tuple(V.ANCHORS)
-PARAGRAPHS = [SPECS.index(s) for s in ("mfg_address", "consumer_care")]
-
-
-def overlap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
-    """Shared length of two intervals over the shorter one; 0 if they don't meet."""
-    shared = F.least(hi_a, hi_b) - F.greatest(lo_a, lo_b)
-    return F.when(shared > 0, shared / F.greatest(F.lit(1), F.least(hi_a - lo_a, hi_b - lo_b))).otherwise(F.lit(0.0))
+from labelaudit.operators import folds
+from labelaudit.operators.folds import overlap
 
 
 def cluster_lines(tokens: DataFrame) -> DataFrame:
@@ -48,12 +37,6 @@ def cluster_lines(tokens: DataFrame) -> DataFrame:
     return zipped.select("scan_id", "place", "z.t.*", F.col("z.lines").alias("line"))
 
 
-def with_anchors(lines: DataFrame) -> DataFrame:
-    """lines with specs: the places in SPECS of the vocabularies that a token's text meets."""
-    hit = [F.when(reduce(lambda a, b: a | b, [T.has(F.col("text"), p) for p in V.ANCHORS[s]]), F.lit(k)) for k, s in enumerate(SPECS)]
-    return lines.withColumn("specs", F.filter(F.array(*hit), lambda x: x.isNotNull()))
-
-
 def merge_words(words: DataFrame) -> DataFrame:
     """Words to line tokens: each word goes to the first line, of all, that it overlaps; text in x order, least conf, union box."""
     per = words.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "tok", "text", "w", "h", "conf"))).alias("t"))
@@ -79,140 +62,36 @@ def merge_words(words: DataFrame) -> DataFrame:
     return out.withColumnRenamed("line", "tok")
 
 
-def _box(prefix: str = "") -> list[Column]:
-    return [
-        F.min("x").alias(f"{prefix}x"), F.min("y").alias(f"{prefix}y"), F.max(F.col("x") + F.col("w")).alias(f"{prefix}x2"),
-        F.max(F.col("y") + F.col("h")).alias(f"{prefix}y2"),
-    ]
-
-
-def candidates(lines: DataFrame) -> DataFrame:
-    """scan_id, spec, anchor (place), level, places: the regions looked at for each anchor, in order of level."""
-    tokens = lines.select("scan_id", "place", "line", "x", "y", "w", "h", (F.size("specs") > 0).alias("anchored"))
-    anchors = lines.select("scan_id", F.col("place").alias("anchor"), F.col("line").alias("a_line"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw"), F.col("h").alias("ah"), F.explode("specs").alias("spec"))
-    anchors = anchors.withColumns({"ax2": F.col("ax") + F.col("aw"), "ay2": F.col("ay") + F.col("ah")})
-    key = ["scan_id", "spec", "anchor"]
-
-    # the ray to the right, up to the first gap or foreign anchor
-    ray = anchors.join(tokens.withColumnRenamed("scan_id", "s"), (F.col("s") == F.col("scan_id")) & (F.col("line") == F.col("a_line")) & (F.col("place") != F.col("anchor")) & (F.col("x") >= F.col("ax2") - V.RIGHT_SLACK * F.col("ah")))
-    along = Window.partitionBy(*key).orderBy("x", "place")
-    reach = F.greatest("ax2", F.max(F.col("x") + F.col("w")).over(along.rowsBetween(Window.unboundedPreceding, -1)))
-    stop = (F.col("x") - F.coalesce(reach, "ax2") > V.SAME_LINE_GAP * F.col("ah")) | F.col("anchored")
-    ray = ray.withColumn("stopped", F.max(stop).over(along)).where(~F.col("stopped"))
-    right = ray.groupBy(*key).agg(F.collect_list("place").alias("right"), *_box("r"))
-
-    boxes = tokens.groupBy("scan_id", "line").agg(*_box("l"), F.bool_or("anchored").alias("foreign"), F.collect_list("place").alias("line_places"), F.collect_list(F.when(~F.col("anchored"), F.col("place"))).alias("free_places"))
-    base = anchors.join(right, key, "left").withColumn("right", F.coalesce("right", F.array().cast("array<int>")))
-    own = F.array("anchor")
-
-    # values: the anchor, with the ray, with the line below
-    value = base.where(~F.col("spec").isin(*PARAGRAPHS))
-    below = value.join(boxes.withColumnRenamed("scan_id", "s"), (F.col("s") == F.col("scan_id")) & (F.col("line") == F.col("a_line") + 1), "left")
-    close = (F.col("ly") - F.col("ay2") <= V.BELOW_GAP * F.col("ah")) & (overlap(F.col("ax"), F.col("ax2"), F.col("lx"), F.col("lx2")) >= V.BELOW_OVERLAP)
-    levels = F.array(
-        F.struct(F.lit(1).alias("level"), own.alias("places")),
-        F.when(F.size("right") > 0, F.struct(F.lit(2).alias("level"), F.concat(own, "right").alias("places"))),
-        F.when(close, F.struct(F.lit(3).alias("level"), F.concat(own, "right", "free_places").alias("places"))),
-    )
-    of_values = below.select(*key, "ay", "ax", F.explode(F.filter(levels, lambda x: x.isNotNull())).alias("c")).select(*key, "ay", "ax", "c.level", "c.places")
-
-    # paragraphs: lines below while they are close, in the column and free of anchors
-    block = base.where(F.col("spec").isin(*PARAGRAPHS))
-    grown = block.join(boxes.withColumnRenamed("scan_id", "s"), (F.col("s") == F.col("scan_id")) & F.col("line").between(F.col("a_line") + 1, F.col("a_line") + V.PARAGRAPH_LINES - 1))
-    down = Window.partitionBy(*key).orderBy("line")
-    before = down.rowsBetween(Window.unboundedPreceding, -1)
-    top = lambda *c: F.greatest(*[F.col(x) if isinstance(x, str) else x for x in c])
-    bottom_of = top("ay2", "ry2", F.max("ly2").over(before))
-    left_of = F.least("ax", "rx", F.min("lx").over(before))
-    right_of = top("ax2", "rx2", F.max("lx2").over(before))
-    stop = (F.col("ly") - bottom_of > V.PARAGRAPH_GAP * F.col("ah")) | (overlap(left_of, right_of, F.col("lx"), F.col("lx2")) < V.PARAGRAPH_OVERLAP) | F.col("foreign")
-    grown = grown.withColumn("stopped", F.max(stop).over(down)).where(~F.col("stopped"))
-    more = grown.groupBy(*key).agg(F.flatten(F.collect_list("line_places")).alias("more"))
-    of_blocks = block.join(more, key, "left").select(*key, "ay", "ax", F.lit(4).alias("level"), F.concat(own, "right", F.coalesce("more", F.array().cast("array<int>"))).alias("places"))
-    return of_values.unionByName(of_blocks)
-
-
-def accepted(spec: Column, text: Column) -> Column:
-    """Whether a region's text holds what the field needs."""
-    norm = T.squash(text)
-    typed = {"net_qty": T.quantity(norm), "mrp": T.money_lenient(norm), "usp": T.unit_price(norm), "mfg_date": T.month(norm)}
-    fits = (F.length(F.trim(text)) >= V.LEAST_TEXT) & (T.letters(F.trim(text)) >= V.LEAST_LETTERS)
-    out = None
-    for name, value in typed.items():
-        cond = spec == SPECS.index(name)
-        out = F.when(cond, value.isNotNull()) if out is None else out.when(cond, value.isNotNull())
-    return F.coalesce(out.otherwise(fits), F.lit(False))
-
-
-def extract_fields(tokens: DataFrame, scans: DataFrame | None = None, held: list[DataFrame] | None = None) -> DataFrame:
+def token_arrays(tokens: DataFrame) -> DataFrame:
+    """scan_id and tokens: one row a scan, as folds.with_fields reads it."""
+    return tokens.groupBy("scan_id").agg(F.collect_list(F.struct("tok", "text", "x", "y", "w", "h", "conf")).alias("tokens"))
+
+
+def field_rows(scans: DataFrame) -> DataFrame:
+    """A row for each element of `fields`. Outer, then filtered: a filter inferred below would work the folds out twice."""
+    return scans.select("scan_id", F.inline_outer("fields")).where("field is not null")
+
+
+def extract_fields(tokens: DataFrame, scans: DataFrame | None = None) -> DataFrame:
     """scan_id, field, raw, value_dec, value_date, unit, x, y, w, h, conf, font_mm: at most one row per scan and field.
 
-    scans: scan_id and mm_per_px, for the heights of letters. held: gets the tables kept for the result, for the caller
-    to unpersist when it is written; jobs that run for ever must.
+    scans: scan_id and mm_per_px, for the heights of letters. Tokens are shuffled once, to one row a scan; the rest is
+    projections of that row.
     """
-    # read by six joins below, so the anchors' patterns run once
-    lines = with_anchors(cluster_lines(tokens)).persist(StorageLevel.MEMORY_AND_DISK)
-    wanted = candidates(lines)
-    # text, box and confidence of each region; place is the reading order
-    members = wanted.select("scan_id", "spec", "anchor", "level", F.explode("places").alias("place")).join(lines.select("scan_id", "place", "text", "x", "y", "w", "h", "conf"), ["scan_id", "place"])
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), " ")
-    regions = members.groupBy("scan_id", "spec", "anchor", "level").agg(joined.alias("raw"), *_box(), F.bround(F.min("conf"), 3).alias("conf"), F.collect_list("place").alias("places"))
-    fine = regions.where(accepted(F.col("spec"), F.col("raw"))).persist(StorageLevel.MEMORY_AND_DISK)
-    if held is not None:
-        held += [lines, fine]
-    # a region holds one anchor, so all that a taken region can block is an anchor of two fields: a short fold decides
-    one = F.sort_array(F.collect_list(F.struct("spec", "anchor", "level", "raw", "x", "y", "x2", "y2", "conf", "places")))
-    per = fine.groupBy("scan_id").agg(one.alias("c"))
-    start = F.struct(F.array().cast("array<int>").alias("done"), F.array().cast("array<int>").alias("used"), F.array().cast("array<int>").alias("picked"), F.lit(0).alias("at"))
-
-    def step(s: Column, c: Column) -> Column:
-        take = ~F.array_contains(s["done"], c["spec"]) & ~F.array_contains(s["used"], c["anchor"])
-        add = lambda a, x: F.when(take, F.concat(s[a], F.array(x))).otherwise(s[a]).alias(a)
-        return F.struct(add("done", c["spec"]), add("used", c["anchor"]), add("picked", s["at"]), (s["at"] + 1).alias("at"))
-
-    chosen = per.select("scan_id", "c", F.aggregate("c", start, step, lambda s: s["picked"]).alias("picked"))
-    taken = chosen.select("scan_id", F.explode(F.transform("picked", lambda i: F.get("c", i))).alias("c")).select("scan_id", "c.*")
-    by_spec = F.element_at(F.array(*[F.lit(s) for s in SPECS]), F.col("spec") + 1)
-    fields = taken.select("scan_id", by_spec.alias("field"), "raw", "x", "y", "x2", "y2", "conf", "places")
-
-    # what is left: a unit price without an anchor, and the product name
-    used = taken.groupBy("scan_id").agg(F.flatten(F.collect_list("places")).alias("used"), F.bool_or(F.col("spec") == SPECS.index("usp")).alias("priced"))
-    rest = lines.join(used, "scan_id", "left").where((F.size("specs") == 0) & ~F.coalesce(F.array_contains("used", F.col("place")), F.lit(False)))
-    price = rest.where(~F.coalesce("priced", F.lit(False)) & T.unit_price(T.squash(F.col("text"))).isNotNull())
-    price = price.withColumn("n", F.row_number().over(Window.partitionBy("scan_id").orderBy("place"))).where("n = 1")
-    token_row = [F.col("text").alias("raw"), "x", "y", (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.bround("conf", 3).alias("conf"), F.array("place").alias("places")]
-    priced = price.select("scan_id", F.lit("usp").alias("field"), *token_row)
-    cloud = tokens.groupBy("scan_id").agg(F.min("y").alias("c_top"), F.max(F.col("y") + F.col("h")).alias("c_bottom"))
-    names = rest.join(price.select("scan_id", "place"), ["scan_id", "place"], "left_anti").join(cloud, "scan_id").where(T.letters(F.col("text")) >= V.LEAST_LETTERS)
-    high = F.col("y") + F.col("h") / 2 <= F.col("c_top") + V.TOP_SHARE * (F.col("c_bottom") - F.col("c_top"))
-    best = Window.partitionBy("scan_id").orderBy(F.desc(high), F.desc("h"), F.desc(F.col("w") * F.col("h")), "y", "x", "tok")
-    named = names.withColumn("n", F.row_number().over(best)).where("n = 1").select("scan_id", F.lit("product_name").alias("field"), *token_row)
-
-    out = fields.unionByName(priced).unionByName(named)
-    norm = T.squash(F.col("raw"))
-    qty, price_of = T.quantity(norm), T.unit_price(norm)
-    out = out.withColumns(
-        {
-            "value_dec": F.when(F.col("field") == "net_qty", qty["value"]).when(F.col("field") == "mrp", T.money_lenient(norm)).when(F.col("field") == "usp", price_of["value"]),
-            "value_date": F.when(F.col("field") == "mfg_date", T.month(norm)),
-            "unit": F.when(F.col("field") == "net_qty", qty["unit"]).when(F.col("field") == "usp", price_of["unit"]),
-            "w": F.col("x2") - F.col("x"),
-            "h": F.col("y2") - F.col("y"),
-        }
-    )
+    arrays = token_arrays(tokens)
     if scans is not None:
-        out = out.join(scans.select("scan_id", "mm_per_px"), "scan_id", "left")
-    else:
-        out = out.withColumn("mm_per_px", F.lit(None).cast("double"))
-    font = F.when(F.col("mm_per_px") > 0, F.bround(F.col("h") * F.col("mm_per_px"), 3))
-    return out.select("scan_id", "field", "raw", "value_dec", "value_date", "unit", "x", "y", "w", "h", "conf", font.alias("font_mm"))
+        arrays = arrays.join(scans.select("scan_id", F.col("mm_per_px").cast("double").alias("mm_per_px")), "scan_id", "left")
+    return field_rows(folds.with_fields(arrays, mm_per_px=None if scans is None else "mm_per_px"))
+
+
+NOTHING_DECLARED = "No statutory declarations recognized — capture the principal display face"
 
 
-def value_text() -> Column:
+def value_text(value_dec: Column | None = None, value_date: Column | None = None) -> Column:
     """What was decoded of a field: a number without closing zeros, or a date; null if nothing was."""
-    number = F.col("value_dec").cast("string")
+    number = (F.col("value_dec") if value_dec is None else value_dec).cast("string")
     plain = F.when(number.contains("."), F.regexp_replace(number, r"\.?0+$", "")).otherwise(number)
-    return F.coalesce(plain, F.col("value_date").cast("string"))
+    return F.coalesce(plain, (F.col("value_date") if value_date is None else value_date).cast("string"))
 
 
 def decoded_fields(fields: DataFrame) -> DataFrame:
@@ -230,7 +109,7 @@ def stage_flags(fields: DataFrame, tokens: DataFrame) -> DataFrame:
     per = fields.groupBy("scan_id").agg(F.count_if(F.col("field") != "product_name").alias("n"))
     out = tokens.select("scan_id").distinct().join(per, "scan_id", "left")
     ok = F.coalesce(F.col("n") > 0, F.lit(False))
-    return out.select("scan_id", ok.alias("ok"), F.when(~ok, "No statutory declarations recognized — capture the principal display face").alias("prompt"))
+    return out.select("scan_id", ok.alias("ok"), F.when(~ok, NOTHING_DECLARED).alias("prompt"))
 
 
 def to_labels(fields: DataFrame) -> DataFrame:

@@ -215,10 +215,10 @@ def apply_signatures(ledger: DataFrame, accepted: DataFrame) -> DataFrame:
     on = F.col("new_signature").isNotNull()
     changed = {"signature": F.coalesce("new_signature", "signature"), "sig_status": F.when(on, "signed").otherwise(F.col("sig_status"))}
     if "cert_pem" in ledger.columns:
-        changed["cert_pem"] = F.when(on, F.col("new_pem")).otherwise(F.col("cert_pem"))
+        changed["cert_pem"] = F.coalesce("new_pem", "cert_pem")
     if "result" in ledger.columns:
         dossier = F.col("result.dossier")
-        for name, value in (("signed", F.lit(True)), ("signature", F.col("new_signature")), ("cert_pem", F.col("new_pem")), ("sig_status", F.lit("signed"))):
+        for name, value in (("signed", F.lit(True)), ("signature", F.col("new_signature")), ("cert_pem", F.coalesce(F.col("new_pem"), F.col("result.dossier.cert_pem"))), ("sig_status", F.lit("signed"))):
             dossier = dossier.withField(name, value)
         changed["result"] = F.when(on & F.col("result.dossier").isNotNull(), F.col("result").withField("dossier", dossier)).otherwise(F.col("result"))
     return got.withColumns(changed).drop("new_signature", "new_pem")
@@ -226,7 +226,7 @@ def apply_signatures(ledger: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def stage_latency(stages: DataFrame, budgets: DataFrame) -> DataFrame:
     """stage, mean_ms, budget_ms, over of every stage that ran."""
-    return stages.groupBy("stage").agg(F.avg("duration_ms").alias("mean_ms")).join(F.broadcast(budgets), "stage", "left").select("stage", "mean_ms", "budget_ms", (F.col("mean_ms") > F.col("budget_ms")).alias("over"))
+    return stages.groupBy("stage").agg(F.avg("duration_ms").alias("mean_ms")).join(budgets, "stage", "left").select("stage", "mean_ms", "budget_ms", (F.col("mean_ms") > F.col("budget_ms")).alias("over"))
 
 
 def scan_totals(stages: DataFrame) -> DataFrame:

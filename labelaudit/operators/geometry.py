@@ -131,6 +131,17 @@ def merge_rois(classical: DataFrame, boxes: DataFrame) -> DataFrame:
     return ml.unionByName(rest).withColumn("ord", F.row_number().over(order)).drop("pos")
 
 
+def merged_rois(boxes: Column, classical: Column | None = None) -> Column:
+    """As merge_rois for one scan's arrays: array<struct<roi, x, y, w, h, conf>>, detected boxes by score, then classical regions of other labels."""
+    whole = lambda b: [F.bround(b[c]).cast("int").alias(c) for c in "xywh"]
+    ranked = F.sort_array(F.transform(boxes, lambda b, i: F.struct((-b["score"]).alias("rank"), b["label"].alias("roi"), i.alias("pos"), *whole(b), b["score"].cast("double").alias("conf"))))
+    found = F.transform(ranked, lambda b: F.struct(b["roi"].alias("roi"), *[b[c].alias(c) for c in "xywh"], b["conf"].alias("conf")))
+    if classical is None:
+        return found
+    rest = F.filter(classical, lambda c: ~F.exists(boxes, lambda b: b["label"] == c["roi"]))
+    return F.concat(found, F.transform(rest, lambda c: F.struct(c["roi"].alias("roi"), *[F.get(c["bbox"], F.lit(k)).cast("int").alias(n) for k, n in enumerate("xywh")], c["conf"].cast("double").alias("conf"))))
+
+
 def roi_box_error(kind: DataType, boxes: Column, frame_w: Column, frame_h: Column) -> Column:
     """What is wrong with the boxes of regions (an array of this type); null if nothing is."""
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
@@ -153,16 +164,21 @@ def validate_roi_boxes(scans: DataFrame) -> DataFrame:
     scans: scan_id, frame_w, frame_h, roi_boxes array<struct<label, score, x, y, w, h>>.
     """
     kind = scans.schema["roi_boxes"].dataType
-    b = F.coalesce("roi_boxes", F.array().cast(kind))
     error = roi_box_error(kind, F.col("roi_boxes"), F.col("frame_w"), F.col("frame_h"))
+    clamped = clamped_boxes(kind, F.col("roi_boxes"), F.col("frame_w"), F.col("frame_h"))
+    return scans.select("scan_id", error.alias("error"), F.when(error.isNull(), clamped).alias("boxes"))
+
+
+def clamped_boxes(kind: DataType, boxes: Column, frame_w: Column, frame_h: Column) -> Column:
+    """Boxes cut at their frame; those outside it are dropped."""
+    b = F.coalesce(boxes, F.array().cast(kind))
     clamp = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), top)
 
     def inside(x: Column) -> Column:
-        left, up = clamp(x["x"], F.col("frame_w").cast("double")), clamp(x["y"], F.col("frame_h").cast("double"))
-        return F.struct(x["label"].alias("label"), x["score"].alias("score"), left.alias("x"), up.alias("y"), F.least(x["w"], F.col("frame_w") - left).alias("w"), F.least(x["h"], F.col("frame_h") - up).alias("h"))
+        left, up = clamp(x["x"], frame_w.cast("double")), clamp(x["y"], frame_h.cast("double"))
+        return F.struct(x["label"].alias("label"), x["score"].alias("score"), left.alias("x"), up.alias("y"), F.least(x["w"], frame_w - left).alias("w"), F.least(x["h"], frame_h - up).alias("h"))
 
-    clamped = F.filter(F.transform(b, inside), lambda x: (x["w"] > 0) & (x["h"] > 0))
-    return scans.select("scan_id", error.alias("error"), F.when(error.isNull(), clamped).alias("boxes"))
+    return F.filter(F.transform(b, inside), lambda x: (x["w"] > 0) & (x["h"] > 0))
 
 
 def shift_boxes(rows: DataFrame, origins: DataFrame) -> DataFrame:

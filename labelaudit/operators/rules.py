@@ -24,11 +24,12 @@ OPTIONAL = {
 CHECK = "struct<rule:string,status:string,message:string,field:string>"
 
 
-def prepared(labels: DataFrame) -> DataFrame:
-    """Every column the rules read, texts normalised once, values typed once."""
+def prepared(labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Every column the rules read, texts normalised once, values typed once; and the columns in keep as they are."""
     have = set(labels.columns)
     base = labels.select(
         "scan_id",
+        *(keep or []),
         *[T.squash(F.col(c)).alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in V.FIELDS],
         *[F.col(c).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in OPTIONAL.items()],
     )
@@ -290,6 +291,23 @@ def glyph_checks(glyphs: DataFrame) -> DataFrame:
     return per.select("scan_id", check("7(3)", F.col("bad") == 0, message, None).alias("glyph_check"))
 
 
+def glyph_check(glyphs: Column) -> Column:
+    """The check of rule 7(3) of one scan's array of glyphs, in order; null without any."""
+    bad = F.filter(glyphs, lambda x: ~x["glyph"].isin(*V.NARROW_GLYPHS) & (x["width_mm"] < x["height_mm"] / 3 - 1e-9))
+    texts = F.transform(F.slice(bad, 1, 3), lambda x: F.format_string("'%s' %.2fx%.2f mm", x["glyph"], x["width_mm"], x["height_mm"]))
+    message = F.when(F.size(bad) > 0, F.concat(F.lit("Character width below height/3 (Rule 7(3)): "), F.array_join(texts, ", "), F.lit("."))).otherwise("All measured characters satisfy width >= height/3.")
+    return F.when(F.size(glyphs) > 0, check("7(3)", F.size(bad) == 0, message, None))
+
+
+def checks_of() -> Column:
+    """All findings of a prepared row with exemption and glyph_check, in statutory order; none without any field."""
+    single = [rule_13(), rule_net_quantity(), rule_mrp(), rule_unit_price(), rule_date(), rule_address(), rule_origin(), rule_care(), rule_name()]
+    full = F.concat(F.array(*single), rules_font(), F.when(F.col("glyph_check").isNotNull(), F.array("glyph_check")).otherwise(F.array().cast(f"array<{CHECK}>")))
+    free = check("26", F.lit(None).cast("boolean"), F.concat("exemption.note", F.lit(" Remaining Rule 6 declarations are not applicable.")), None)
+    any_field = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in V.FIELDS])
+    return F.when(~any_field, F.array().cast(f"array<{CHECK}>")).when(F.coalesce("exemption.exempt", F.lit(False)), F.array(free)).otherwise(full)
+
+
 def audit(labels: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
     """scan_id, ord, rule, status, message, field: findings in statutory order. A scan without any field has none."""
     rows = prepared(labels).withColumn("exemption", exemption())
@@ -297,12 +315,8 @@ def audit(labels: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
         rows = rows.join(glyph_checks(glyphs), "scan_id", "left")
     else:
         rows = rows.withColumn("glyph_check", F.lit(None).cast(CHECK))
-    single = [rule_13(), rule_net_quantity(), rule_mrp(), rule_unit_price(), rule_date(), rule_address(), rule_origin(), rule_care(), rule_name()]
-    full = F.concat(F.array(*single), rules_font(), F.when(F.col("glyph_check").isNotNull(), F.array("glyph_check")).otherwise(F.array().cast(f"array<{CHECK}>")))
-    free = check("26", F.lit(None).cast("boolean"), F.concat("exemption.note", F.lit(" Remaining Rule 6 declarations are not applicable.")), None)
-    any_field = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in V.FIELDS])
-    checks = F.when(~any_field, F.array().cast(f"array<{CHECK}>")).when(F.coalesce("exemption.exempt", F.lit(False)), F.array(free)).otherwise(full)
-    return rows.select("scan_id", F.posexplode(checks).alias("ord", "c")).select("scan_id", "ord", "c.*")
+    # outer, then filtered: a filter inferred below the explosion would evaluate all rules twice
+    return rows.select("scan_id", F.posexplode_outer(checks_of()).alias("ord", "c")).where("ord is not null").select("scan_id", "ord", "c.*")
 
 
 def verdicts(checks: DataFrame, scans: DataFrame, stages: DataFrame | None = None) -> DataFrame:
@@ -322,9 +336,13 @@ def verdicts(checks: DataFrame, scans: DataFrame, stages: DataFrame | None = Non
     return out.select("scan_id", verdict.alias("verdict"), "total", "passed", "failed", "na")
 
 
+def citation(rule: Column) -> Column:
+    return F.coalesce(T.lookup(V.CITATIONS, rule), rule)
+
+
 def with_citation(checks: DataFrame) -> DataFrame:
     """checks with what each rule asks for; a rule without a text cites itself."""
-    return checks.withColumn("citation", F.coalesce(T.lookup(V.CITATIONS, F.col("rule")), "rule"))
+    return checks.withColumn("citation", citation(F.col("rule")))
 
 
 def findings(checks: DataFrame) -> DataFrame:
@@ -343,9 +361,9 @@ def top_rules(checks: DataFrame, n: int = 10, scans: DataFrame | None = None) ->
     return checks.where("status = 'FAIL'").groupBy("rule").count().orderBy(F.desc("count"), "rule").limit(n)
 
 
-def with_plain(checks: DataFrame) -> DataFrame:
-    """checks with a plain message, by rule, status and what the statutory message says."""
-    rule, status, low = F.col("rule"), F.col("status"), F.lower("message")
+def plain_message(rule: Column, status: Column, message: Column) -> Column:
+    """A plain message by rule, status and what the statutory message says."""
+    low = F.lower(message)
     fixes = {k: v for k, v in V.UNIT_SUGGESTION.items() if k != "cucm"}
     token = F.regexp_extract(low, "'(" + "|".join(fixes) + ")'", 1)
     unit = F.when(token != "", F.concat(F.lit("The label says '"), token, F.lit("' — the correct unit symbol is '"), T.lookup(fixes, token), F.lit("'."))).otherwise("The printed unit symbol is non-standard or misspelled.")
@@ -356,12 +374,15 @@ def with_plain(checks: DataFrame) -> DataFrame:
         .when(low.contains("wording") | low.contains("keyword"), "The price is printed, but 'MRP' / 'Maximum Retail Price' wording is missing.")
         .otherwise("The MRP declaration is non-compliant or missing required statutory wording.")
     )
-    note = F.rtrim(F.regexp_extract("message", r"^.*?\. (.*)$", 1), F.lit("."))
+    note = F.rtrim(F.regexp_extract(message, r"^.*?\. (.*)$", 1), F.lit("."))
     exempt = F.concat(F.lit("This pack is exempt from declaration rules ("), F.when(note != "", note).otherwise("small/bulk/institutional exemption"), F.lit(")."))
-    plain = (
+    return (
         F.when((rule == "6(1)(e)") & (status == "FAIL"), mrp)
         .when((rule == "13") & (status == "FAIL"), unit)
         .when((rule == "26") & (status == "NA"), exempt)
-        .otherwise(F.coalesce(T.lookup(V.PLAIN, F.concat_ws("|", "rule", "status")), "message"))
+        .otherwise(F.coalesce(T.lookup(V.PLAIN, F.concat_ws("|", rule, status)), message))
     )
-    return checks.withColumn("plain", plain)
+
+
+def with_plain(checks: DataFrame) -> DataFrame:
+    return checks.withColumn("plain", plain_message(F.col("rule"), F.col("status"), F.col("message")))

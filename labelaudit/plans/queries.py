@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelaudit.functions import fixed_values as V
 from labelaudit.functions import text as T
-from labelaudit.operators import contract, extract, gateway, geometry, golden, rules
+from labelaudit.operators import contract, extract, folds, gateway, geometry, golden, rules
 from labelaudit.plans import derived as D
 from labelaudit.plans import scans
 
@@ -309,20 +309,24 @@ def scan_totals(spark, sf_dir):
     return gateway.scan_totals(D.table(spark, sf_dir, STAGES))
 
 
-FILED = "SELECT s.*, l.product_name, l.mfg_address, l.consumer_care FROM ({gw}) s JOIN ({lb}) l ON l.scan_id = s.scan_id + 1".replace("{gw}", D.GATEWAY).replace("{lb}", D.LABELS)
+#: Every event with a label: labels are dealt to events in turn.
+LABELLED = f"(SELECT *, 1 + scan_id % (SELECT COUNT(*) FROM {{part}}) AS label_id FROM ({D.GATEWAY}) g)"
+FILED = f"SELECT s.*, l.product_name, l.mfg_address, l.consumer_care FROM {LABELLED} s JOIN ({D.LABELS}) l ON l.scan_id = s.label_id"
 
 
 def filed(spark, sf_dir):
-    return D.table(spark, sf_dir, FILED), checks(spark, sf_dir)
+    rows = D.table(spark, sf_dir, FILED)
+    of_label = checks(spark, sf_dir).withColumnRenamed("scan_id", "label_id")
+    return rows, rows.select("scan_id", "label_id").join(of_label, "label_id").drop("label_id")
 
 
-@query(f"SELECT s.scan_id, CASE WHEN s.verdict <> 'VIOLATION' THEN 'not a violation — nothing to file' WHEN s.dossier_sha256 IS NULL THEN 'no dossier attached to this scan' ELSE NULL END AS reason, CASE WHEN s.verdict = 'VIOLATION' AND s.dossier_sha256 IS NOT NULL THEN CASE b.k6 WHEN 0 THEN 'Tasty Foods Ltd.' WHEN 1 THEN 'Box Co' WHEN 2 THEN 'Plain Foods' WHEN 4 THEN 'Global Foods' WHEN 5 THEN CAST(b.pin AS STRING) ELSE 'Not declared on package (Rule 6(1)(a) finding)' END ELSE NULL END AS respondent FROM ({D.GATEWAY}) s JOIN ({D.LABEL_BASE}) b ON b.scan_id = s.scan_id + 1")
+@query(f"SELECT s.scan_id, CASE WHEN s.verdict <> 'VIOLATION' THEN 'not a violation — nothing to file' WHEN s.dossier_sha256 IS NULL THEN 'no dossier attached to this scan' ELSE NULL END AS reason, CASE WHEN s.verdict = 'VIOLATION' AND s.dossier_sha256 IS NOT NULL THEN CASE b.k6 WHEN 0 THEN 'Tasty Foods Ltd.' WHEN 1 THEN 'Box Co' WHEN 2 THEN 'Plain Foods' WHEN 4 THEN 'Global Foods' WHEN 5 THEN CAST(b.pin AS STRING) ELSE 'Not declared on package (Rule 6(1)(a) finding)' END ELSE NULL END AS respondent FROM {LABELLED} s JOIN ({D.LABEL_BASE}) b ON b.scan_id = s.label_id")
 def consumer_cases(spark, sf_dir):
     cases = gateway.consumer_cases(*filed(spark, sf_dir))
     return cases.select("scan_id", "reason", F.col("payload.case.respondent.name").alias("respondent"))
 
 
-@query(f"SELECT s.scan_id, substr(COALESCE(CASE WHEN b.k6 IN (0, 1, 4, 5) THEN CAST(b.pin AS STRING) WHEN b.k7 = 0 THEN '400050' WHEN b.k7 IN (5, 6) THEN '411001' ELSE NULL END, ''), 1, 1) AS zone_digit FROM ({D.GATEWAY}) s JOIN ({D.LABEL_BASE}) b ON b.scan_id = s.scan_id + 1 WHERE s.verdict = 'VIOLATION'")
+@query(f"SELECT s.scan_id, substr(COALESCE(CASE WHEN b.k6 IN (0, 1, 4, 5) THEN CAST(b.pin AS STRING) WHEN b.k7 = 0 THEN '400050' WHEN b.k7 IN (5, 6) THEN '411001' ELSE NULL END, ''), 1, 1) AS zone_digit FROM {LABELLED} s JOIN ({D.LABEL_BASE}) b ON b.scan_id = s.label_id WHERE s.verdict = 'VIOLATION'")
 def helpline_complaints(spark, sf_dir):
     zone = {v: k for k, v in V.PIN_ZONES.items()}
     out = gateway.helpline_complaints(*filed(spark, sf_dir))
@@ -331,7 +335,7 @@ def helpline_complaints(spark, sf_dir):
 
 # ---- golden values ---------------------------------------------------------------------------------------------------
 EXPECTED = "SELECT CAST(doc_id AS STRING) AS fixture, 'quality' AS rule FROM {labels} WHERE quality = 0 UNION ALL SELECT CAST(doc_id AS STRING), 'toxic' FROM {labels} WHERE toxic = 1"
-FOUND = "SELECT CAST(d.doc_id AS STRING) AS fixture, r.rule AS rule, 'FAIL' AS status FROM {documents} d JOIN (SELECT 'quality' AS rule UNION ALL SELECT 'toxic' AS rule) r ON (r.rule = 'quality' AND (d.text LIKE '%!!%' OR d.text LIKE '%$$$%' OR d.text LIKE '%###%')) OR (r.rule = 'toxic' AND (d.text LIKE '%idiot%' OR d.text LIKE '%scum%'))"
+FOUND = "SELECT CAST(doc_id AS STRING) AS fixture, 'quality' AS rule, 'FAIL' AS status FROM {documents} d WHERE text LIKE '%!!%' OR text LIKE '%$$$%' OR text LIKE '%###%' UNION ALL SELECT CAST(doc_id AS STRING), 'toxic', 'FAIL' FROM {documents} d WHERE text LIKE '%idiot%' OR text LIKE '%scum%'"
 FIXTURES = "SELECT CAST(doc_id AS STRING) AS fixture, CASE WHEN doc_id % 10 = 0 THEN 'RETRY' ELSE 'PASS' END AS verdict, CASE WHEN doc_id % 25 = 7 THEN 'INTERNAL' ELSE CAST(NULL AS STRING) END AS error FROM {labels}"
 OUTCOMES = f"""SELECT f.fixture, CASE WHEN f.error IS NOT NULL THEN 'error' WHEN f.verdict = 'RETRY' THEN 'capture_retry' WHEN COALESCE(x.fn, 0) = 0 AND COALESCE(x.fp, 0) = 0 THEN 'ok' ELSE 'mismatch' END AS status,
 CAST(COALESCE(x.tp, 0) AS BIGINT) AS tp, CAST(COALESCE(x.fp, 0) AS BIGINT) AS fp, CAST(COALESCE(x.fn, 0) AS BIGINT) AS fn FROM ({FIXTURES}) f LEFT JOIN (
@@ -390,17 +394,27 @@ def cluster_lines(spark, sf_dir):
     return lines.groupBy("scan_id", "line").agg(F.count("*").alias("tokens"))
 
 
+def token_arrays(spark, sf_dir):
+    """scan_id and the tokens of TOKENS as an array; a row a scan, as requests carry them."""
+    return labels(spark, sf_dir).select("scan_id", F.filter(F.array(*token_rows()), lambda t: t["text"].isNotNull()).alias("tokens"))
+
+
 @query()
 def extract_fields(spark, sf_dir):
-    return extract.extract_fields(tokens(spark, sf_dir)).select("scan_id", "field", "raw", "unit", "x", "y", "w", "h")
+    found = extract.field_rows(folds.with_fields(token_arrays(spark, sf_dir), mm_per_px=None))
+    return found.select("scan_id", "field", "raw", "unit", "x", "y", "w", "h")
 
 
 @query()
 def audit_tokens(spark, sf_dir):
-    seen = tokens(spark, sf_dir)
-    fields = extract.extract_fields(seen)
-    found = rules.audit(extract.to_labels(fields))
-    return rules.verdicts(found, seen.select("scan_id").distinct(), extract.stage_flags(fields, seen))
+    """From tokens to verdicts in one pass: the plan has no exchange."""
+    found = folds.with_fields(token_arrays(spark, sf_dir), mm_per_px=None)
+    rows = rules.prepared(found.select("*", *folds.label_columns()), ["fields"]).withColumns({"exemption": rules.exemption(), "glyph_check": F.lit(None).cast(rules.CHECK)})
+    rows = rows.select("scan_id", "fields", F.transform(rules.checks_of(), lambda c: c["status"]).alias("found"))
+    count = lambda s: F.size(F.filter("found", lambda x: x == s)).cast("long")
+    counted = rows.select("scan_id", folds.declared().alias("ok"), F.size("found").cast("long").alias("total"), count("PASS").alias("passed"), count("FAIL").alias("failed"), count("NA").alias("na"))
+    verdict = F.when(~F.col("ok") | (F.col("total") == 0), "RETRY").when(F.col("failed") > 0, "VIOLATION").otherwise("PASS")
+    return counted.select("scan_id", verdict.alias("verdict"), "total", "passed", "failed", "na")
 
 
 @query(f"SELECT scan_id, tok FROM (SELECT *, MIN(CASE engine WHEN 'mlkit' THEN 1 ELSE 2 END) OVER (PARTITION BY scan_id) AS best FROM ({TOKENS}) t) b WHERE best = CASE engine WHEN 'mlkit' THEN 1 ELSE 2 END")
@@ -615,13 +629,13 @@ def normalise_boxes(spark, sf_dir):
     return geometry.normalise_boxes(D.table(spark, sf_dir, ANNOTATED))
 
 
-@query("SELECT CAST(event_id AS BIGINT) AS scan_id, CASE WHEN event_id % 10 < 3 THEN 'tilt' WHEN event_id % 4 = 0 THEN 'scale mismatch' ELSE '' END AS first_warning, event_id % 3 = 0 AS stopped, CASE WHEN event_id % 7 = 0 THEN 'pouch' ELSE 'bottle' END AS shape FROM {events} WHERE NOT (event_id % 10 < 3 AND event_id % 4 = 0)")
+@query("SELECT CAST(event_id AS BIGINT) AS scan_id, CASE WHEN event_id % 4 = 0 AND event_id % 10 < 3 THEN 'scale mismatch,tilt' WHEN event_id % 10 < 3 THEN 'tilt' WHEN event_id % 4 = 0 THEN 'scale mismatch' ELSE '' END AS warnings, event_id % 3 = 0 AS stopped, CASE WHEN event_id % 7 = 0 THEN 'pouch' ELSE 'bottle' END AS shape FROM {events}")
 def calibration_gates(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("not (event_id % 10 < 3 and event_id % 4 = 0)")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     scale = F.when(F.col("event_id") % 3 != 0, 0.2)
     warned = geometry.calibration_warnings(F.lit(0.2), F.when(F.col("event_id") % 4 == 0, 0.3).otherwise(0.21), F.when(F.col("event_id") % 10 < 3, 30.0).otherwise(5.0))
     shape = geometry.effective_shape(F.when(F.col("event_id") % 7 == 0, "pouch").otherwise(""), F.lit("bottle"))
-    return e.select(F.col("event_id").cast("long").alias("scan_id"), F.coalesce(F.get(warned, F.lit(0)), F.lit("")).alias("first_warning"), geometry.scale_gate(scale, F.lit(None).cast("double")).isNotNull().alias("stopped"), shape.alias("shape"))
+    return e.select(F.col("event_id").cast("long").alias("scan_id"), F.array_join(warned, ",").alias("warnings"), geometry.scale_gate(scale, F.lit(None).cast("double")).isNotNull().alias("stopped"), shape.alias("shape"))
 
 
 @query(f"SELECT scan_id, CAST(SUM(CASE WHEN status = 'FAIL' THEN 1 ELSE 0 END) AS BIGINT) AS fails, CAST(COUNT(*) AS BIGINT) AS checks FROM ({D.CHECKS}) c GROUP BY scan_id")

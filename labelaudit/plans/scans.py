@@ -5,8 +5,9 @@ taken again, with guidance, and no stage after that sees it. All others are read
 has the same 17 keys. Stages run over all scans at once, so a scan has no time of its own: total_ms is 0 and timings_ms
 empty. Dossiers are drawn elsewhere: dossier is null.
 
-Requests, tokens, fields, labels and findings are written to the folder of checkpoints, so each is worked out once and a
-lost executor costs no stage before. Everything keeps to scan_id, which names one request; an empty table of requests gives no documents.
+Requests are dealt by scan_id once, which leaves one for each, and written to the folder of checkpoints; from there to
+the documents there is no exchange: a scan's tokens, fields and findings are arrays of its row. A request without an id
+is refused; an empty table of requests gives no documents.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from labelaudit.functions import fixed_values as V
 from labelaudit.functions import text as T
-from labelaudit.operators import contract, extract, geometry, rules
+from labelaudit.operators import contract, extract, folds, geometry, rules
 from labelaudit.plans.derived import arrived
 from labelaudit.sources import tables
 
@@ -63,49 +64,58 @@ def measured(requests: DataFrame) -> DataFrame:
     )
 
 
-def listed(df: DataFrame, name: str, order: list[str | Column], value: Column) -> DataFrame:
-    """scan_id and an array of the values in order; the rows of one scan are few."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, value.alias("value"))))
-    return df.groupBy("scan_id").agg(F.transform(rows, lambda r: r["value"]).alias(name))
+def one_each(requests: DataFrame) -> DataFrame:
+    """One request for each scan_id: of those delivered twice the one captured first, then the one with the smaller content.
 
+    Requests without an id stay as they are, each to be refused by itself.
+    """
+    order = F.struct(F.col("captured_utc").isNull(), "captured_utc", F.xxhash64(*requests.columns))
+    named = requests.where("scan_id is not null").groupBy("scan_id").agg(F.min_by(F.struct(*requests.columns), order).alias("r")).select("r.*")
+    return named.unionByName(requests.where("scan_id is null"))
 
-def box(*names: str) -> Column:
-    return F.when(F.col(names[0]).isNotNull(), F.array(*[F.col(c).cast("int") for c in names]))
+
+def box(x: Column) -> Column:
+    return F.when(x.isNotNull(), F.array(*[x[c].cast("int") for c in "xywh"]))
+
+
+def read_tokens() -> Column:
+    """The tokens of a request as folds reads them, of its first engine; none of a refused one."""
+    at = lambda t, k: F.get(t["bbox"], F.lit(k))
+    tokens = F.transform(
+        F.coalesce("tokens", F.array().cast(f"array<{TOKEN}>")),
+        lambda t, i: F.struct(
+            i.alias("tok"), t["text"].alias("text"), *(at(t, k).alias(c) for k, c in enumerate("xywh")), F.coalesce(t["conf"], F.lit(1.0)).alias("conf"),
+            F.coalesce(t["engine"], F.lit("mlkit")).alias("engine"), F.coalesce(t["lang"], F.lit("en")).alias("lang"),
+        ),
+    )
+    return F.filter(folds.first_engine(tokens), lambda t: ~F.col("refused"))
 
 
 def audited(scans: DataFrame) -> DataFrame:
-    """scan_id, tokens_read, engines, fields, checks, exemption, stopped, prompt of scans that were not refused."""
-    held: list[DataFrame] = []
-    seen = arrived(T.nfc(extract.pick_ocr_tier(tables.request_tokens(scans)), "text"))
-    fields = arrived(extract.extract_fields(seen, scans.select("scan_id", "mm_per_px"), held))
-    for table in held:
-        table.unpersist()
-    o = lambda c: F.col(f"options.{c}")
-    known = scans.select("scan_id", "pda_cm2", o("institutional").alias("institutional"), o("fast_food").alias("fast_food"), o("blown_or_molded").alias("blown"), o("commodity").alias("commodity"))
-    labels = arrived(extract.to_labels(fields).join(known, "scan_id"))
-    checks = arrived(rules.audit(labels, tables.request_glyphs(scans)))
-    checks = rules.with_citation(rules.with_plain(checks))
-    places = fields.select("scan_id", "field", box("x", "y", "w", "h").alias("evidence_bbox"))
-    checks = checks.join(places, ["scan_id", "field"], "left")
-
-    value = F.struct("raw", extract.value_text().alias("value"), "unit", box("x", "y", "w", "h").alias("bbox"), "conf")
-    token = F.struct("text", box("x", "y", "w", "h").alias("bbox"), F.bround("conf", 3).alias("conf"), "engine", "lang")
-    check = F.struct("rule", "status", "message", "plain", "citation", "evidence_bbox")
-    stages = extract.stage_flags(fields, seen).select("scan_id", (~F.col("ok")).alias("stopped"), "prompt")
-    by_name = fields.groupBy("scan_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", value.alias("value"))))).alias("fields"))
-    exempt = arrived(rules.prepared(labels).select("scan_id", rules.exemption().alias("exemption")))
-    out = listed(seen, "tokens_read", ["tok"], token)
-    for part in (by_name, listed(checks, "checks", ["ord"], check), exempt, stages):
-        out = out.join(part, "scan_id", "left")
-    return out.withColumn("engines", F.array_sort(F.array_distinct(F.transform("tokens_read", lambda t: t["engine"]))))
-
-
-def regions(scans: DataFrame) -> DataFrame:
-    """scan_id, rois: detected regions by score, inside the frame."""
-    frames = scans.select("scan_id", F.col("roi_frame.w").alias("frame_w"), F.col("roi_frame.h").alias("frame_h"), "roi_boxes")
-    inside = geometry.validate_roi_boxes(frames).select("scan_id", F.explode("boxes").alias("b")).select("scan_id", "b.*")
-    nothing = inside.where("false").select("scan_id", F.lit("").alias("roi"), *[F.lit(0).alias(c) for c in "xywh"], F.lit(0.0).alias("conf"), F.lit(0).alias("pos"))
-    return listed(geometry.merge_rois(nothing, inside), "rois", ["ord"], F.struct("roi", box(*"xywh").alias("bbox"), "conf"))
+    """scans with tokens_read, fields, exemption and found (checks): folds and projections alone, nothing is shuffled."""
+    out = folds.with_fields(T.nfc_tokens(scans.withColumn("tokens_read", read_tokens()), "tokens_read"), "tokens_read", "mm_per_px")
+    o = lambda c: F.col(f"options.{c}").alias(c)
+    options = [o("institutional"), o("fast_food"), F.col("options.blown_or_molded").alias("blown"), o("commodity")]
+    keep = [c for c in out.columns if c not in ("scan_id", "pda_cm2", "mm_per_px")]
+    labels = out.select("*", *folds.label_columns(), *options)
+    rows = rules.prepared(labels, [*keep, "mm_per_px"]).withColumns({"exemption": rules.exemption(), "glyph_check": F.when(~F.col("refused"), rules.glyph_check(F.col("glyphs")))})
+    return rows.withColumn("found", rules.checks_of())
+
+
+def full_check(c: Column) -> Column:
+    """A check with its plain message, citation and the box of the field that it is about."""
+    place = F.get(F.filter("fields", lambda f: f["field"] == c["field"]), F.lit(0))
+    said = rules.plain_message(c["rule"], c["status"], c["message"])
+    return F.struct(c["rule"].alias("rule"), c["status"].alias("status"), c["message"].alias("message"), said.alias("plain"), rules.citation(c["rule"]).alias("citation"), box(place).alias("evidence_bbox"))
+
+
+def region_list(kind) -> Column:
+    """Detected regions by score, inside the frame, then the request's own of other labels."""
+    inside = geometry.clamped_boxes(kind, F.col("roi_boxes"), F.col("roi_frame.w"), F.col("roi_frame.h"))
+    given = F.coalesce("geometry.rois", F.array().cast(f"array<{ROI}>"))
+    merged = geometry.merged_rois(inside, given)
+    rois = F.transform(merged, lambda r: F.struct(r["roi"].alias("roi"), box(r).alias("bbox"), r["conf"].alias("conf")))
+    return F.filter(rois, lambda r: ~F.col("refused"))
 
 
 def document(rows: DataFrame, parts: dict[str, Column]) -> DataFrame:
@@ -114,29 +124,30 @@ def document(rows: DataFrame, parts: dict[str, Column]) -> DataFrame:
 
 def scan_results(requests: DataFrame) -> DataFrame:
     """One document of the 17 keys of RESULT for each request (as read with sources.tables.REQUEST)."""
-    valid, rejects = contract.split_requests(requests)
-    scans = arrived(measured(valid))
-    going = scans.where("not refused")
-    rows = scans.join(audited(going), "scan_id", "left").join(regions(going), "scan_id", "left")
+    valid, rejects = contract.split_requests(arrived(one_each(requests)))
+    rows = audited(measured(valid))
+    rows = rows.withColumns({"checks": F.transform("found", full_check), "rois": region_list(rows.schema["roi_boxes"].dataType), "stopped": ~F.col("refused") & ~folds.declared()})
     now = iso(F.current_timestamp())
     empty = lambda kind: F.array().cast(f"array<{kind}>")
 
-    checks, rois = F.coalesce("checks", empty(CHECK)), F.coalesce("rois", empty(ROI))
+    checks, rois = F.col("checks"), F.col("rois")
     count = lambda s: F.size(F.filter(checks, lambda c: c["status"] == s))
     summary = F.struct(F.size(checks).alias("total"), *[count(s).alias(s.lower()) for s in ("PASS", "FAIL", "NA")])
     said = F.coalesce("quality.prompts", empty("string"))
-    prompts = F.when(F.col("refused") & (F.size(said) == 0), F.array(F.lit(REFUSED))).when(F.col("prompt").isNotNull(), F.array_append(said, F.col("prompt"))).otherwise(said)
+    prompts = F.when(F.col("refused") & (F.size(said) == 0), F.array(F.lit(REFUSED))).when(F.col("stopped"), F.array_append(said, F.lit(extract.NOTHING_DECLARED))).otherwise(said)
     quality = F.struct("quality.ok", "quality.laplacian_var", "quality.glare_pct", prompts.alias("prompts"), "quality.glare_bbox")
     unknown = F.coalesce("shape", "shape_detected").isNull() & F.col("mm_per_px").isNull() & F.col("pda_cm2").isNull() & (F.size(rois) == 0)
-    retry = F.col("refused") | F.coalesce("stopped", F.lit(False)) | (F.size(checks) == 0)
+    retry = F.col("refused") | F.col("stopped") | (F.size(checks) == 0)
+    token = lambda t: F.struct(t["text"].alias("text"), box(t).alias("bbox"), F.bround(t["conf"], 3).alias("conf"), t["engine"].alias("engine"), t["lang"].alias("lang"))
+    field = lambda f: F.struct(f["raw"].alias("raw"), extract.value_text(f["value_dec"], f["value_date"]).alias("value"), f["unit"].alias("unit"), box(f).alias("bbox"), f["conf"].alias("conf"))
     done = document(
         rows,
         {
             "schema_version": F.lit(V.SCHEMA_VERSION), "scan_id": F.col("scan_id"), "verdict": F.when(retry, "RETRY").when(count("FAIL") > 0, "VIOLATION").otherwise("PASS"),
             "captured_utc": F.coalesce(iso(F.expr("try_to_timestamp(captured_utc)")), now), "completed_utc": now, "total_ms": F.lit(0.0), "timings_ms": F.create_map().cast("map<string,double>"),
             "quality": quality, "geometry": F.when(~unknown, F.struct("shape", "shape_detected", "mm_per_px", "pda_cm2", "pda_method", rois.alias("rois"))),
-            "ocr": F.struct(F.coalesce("engines", empty("string")).alias("engines_used"), F.coalesce("tokens_read", empty(TOKEN)).alias("tokens")),
-            "fields": F.coalesce("fields", F.create_map().cast(f"map<string,{FIELD}>")), "checks": checks, "exemption": F.col("exemption"), "summary": summary,
+            "ocr": F.struct(F.array_sort(F.array_distinct(F.transform("tokens_read", lambda t: t["engine"]))).alias("engines_used"), F.transform("tokens_read", token).alias("tokens")),
+            "fields": F.map_from_entries(F.transform(F.array_sort("fields"), lambda f: F.struct(f["field"], field(f)))), "checks": checks, "exemption": F.col("exemption"), "summary": summary,
             "meta": F.struct("gps", "device", "options"),
         },
     )

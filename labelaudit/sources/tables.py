@@ -10,7 +10,7 @@ from labelaudit.operators.gateway import first_wins
 REQUEST = (
     "schema_version int, scan_id string, tokens array<struct<text:string,bbox:array<int>,conf:double,engine:string,lang:string>>, "
     "quality struct<ok:boolean,laplacian_var:double,glare_pct:double,prompts:array<string>,glare_bbox:array<int>>, "
-    "geometry struct<shape:string,shape_detected:string,mm_per_px:double,pda_cm2:double,pda_method:string>, "
+    "geometry struct<shape:string,shape_detected:string,mm_per_px:double,pda_cm2:double,pda_method:string,rois:array<struct<roi:string,bbox:array<int>,conf:double>>>, "
     "roi_boxes array<struct<label:string,score:double,x:double,y:double,w:double,h:double>>, roi_frame struct<w:int,h:int>, "
     "glyphs array<struct<glyph:string,height_mm:double,width_mm:double>>, image_sha256 string, shape_hint string, captured_utc string, "
     "gps struct<lat:double,lon:double>, device string, options struct<institutional:boolean,fast_food:boolean,blown_or_molded:boolean,"

@@ -84,3 +84,79 @@ def test_merge_words(spark):
     words = {"a": [("Net", 10, 10, 30, 20), ("Qty", 50, 12, 30, 20), ("MRP", 10, 60, 30, 20), ("70 g", 90, 11, 30, 20)]}
     rows = extract.merge_words(frame(spark, words)).orderBy("tok").collect()
     assert [(r["text"], r["x"], r["y"], r["w"], r["h"]) for r in rows] == [("Net Qty 70 g", 10, 10, 110, 22), ("MRP", 10, 60, 30, 20)]
+
+
+def overlap(a, b, c, d):
+    shared = min(b, d) - max(a, c)
+    return shared / max(1, min(b - a, d - c)) if shared > 0 else 0
+
+
+class PlainScan:
+    """The regions of one scan by hand: tokens in reading order, rays, the line below, paragraphs."""
+
+    def __init__(self, tokens):
+        lines = plain_lines(tokens)
+        self.t = [(*tokens[k], n) for n, line in enumerate(lines) for k in line]  # text, x, y, w, h, line
+
+    def line(self, n):
+        return [k for k, t in enumerate(self.t) if t[5] == n]
+
+    def box(self, places):
+        return min(self.t[k][1] for k in places), min(self.t[k][2] for k in places), max(self.t[k][1] + self.t[k][3] for k in places), max(self.t[k][2] + self.t[k][4] for k in places)
+
+    def ray(self, a, anchored):
+        _, x, _, w, h, line = self.t[a]
+        reach, out = x + w, []
+        for k in sorted((k for k in self.line(line) if k != a and self.t[k][1] >= x + w - V.RIGHT_SLACK * h), key=lambda k: (self.t[k][1], k)):
+            if anchored[k] or self.t[k][1] - reach > V.SAME_LINE_GAP * h:
+                break
+            out.append(k)
+            reach = max(reach, self.t[k][1] + self.t[k][3])
+        return out
+
+    def regions(self, a, paragraph, anchored):
+        _, x, y, w, h, line = self.t[a]
+        right = self.ray(a, anchored)
+        if not paragraph:
+            out = [[a]] + ([[a, *right]] if right else [])
+            below = self.line(line + 1)
+            if below:
+                bx, by, bx2, _ = self.box(below)
+                if by - (y + h) <= V.BELOW_GAP * h and overlap(x, x + w, bx, bx2) >= V.BELOW_OVERLAP:
+                    out.append([a, *right, *(k for k in below if not anchored[k])])
+            return out
+        held = [a, *right]
+        for n in range(line + 1, line + V.PARAGRAPH_LINES):
+            more = self.line(n)
+            if not more or any(anchored[k] for k in more):
+                break
+            left, _, far, bottom = self.box(held)
+            bx, by, bx2, _ = self.box(more)
+            if by - bottom > V.PARAGRAPH_GAP * h or overlap(left, far, bx, bx2) < V.PARAGRAPH_OVERLAP:
+                break
+            held += more
+        return [held]
+
+
+def test_regions_of_random_layouts(spark):
+    """Every region looked at, against the same law in plain loops."""
+    from pyspark.sql import functions as F
+
+    from labelaudit.operators import folds
+
+    scans = random_scans(150)
+    arrays = folds.with_lines(extract.token_arrays(frame(spark, scans)))
+    read = F.col("__read")
+    out = arrays.withColumn("__a", F.transform(F.filter(read, lambda t: F.size(t["specs"]) > 0), lambda a: a.withField("ray", folds.ray(read, a))))
+    found = F.flatten(F.transform("__a", lambda a: F.flatten(F.transform(a["specs"], lambda s: folds.regions_of(F.col("__boxes"), a, s)))))
+    for r in out.select("scan_id", F.transform(read, lambda t: t["specs"]).alias("specs"), found.alias("regions")).collect():
+        scan, anchored = PlainScan(scans[r["scan_id"]]), [bool(s) for s in r["specs"]]
+        want = [(s, a, sorted(places)) for a, specs in enumerate(r["specs"]) for s in specs for places in scan.regions(a, s in folds.PARAGRAPHS, anchored)]
+        assert [(x["spec"], x["anchor"], sorted(x["places"])) for x in r["regions"]] == want
+
+
+def test_from_tokens_to_verdicts_nothing_is_shuffled(spark):
+    from labelaudit.plans import queries
+
+    plan = queries.audit_tokens(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelaudit.operators import contract, extract, gateway, geometry, golden
-from labelaudit.sources import tables
+from labelaudit.sources import store, tables
 from labelaudit.streaming import jobs
 
 
@@ -89,14 +89,14 @@ def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     (source / "a.json").write_text(request("s1", *LABEL) + "\n")
-    jobs.audit_stream(tables.read_requests(spark, str(source), stream=True), str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
-    found = spark.read.parquet(str(tmp_path / "out"))
+    jobs.result_stream(tables.read_requests(spark, str(source), stream=True), str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
+    found = spark.read.json(str(tmp_path / "out")).select(F.explode("checks").alias("c")).select("c.*")
     assert {r["rule"] for r in found.where("status = 'FAIL'").collect()} >= {"13", "6(1)(c)"}
     (source / "b.json").write_text(request("s2", *LABEL) + "\n" + request("s1", *LABEL) + "\n")
     for _ in range(2):  # a second run finds nothing new
         stream = tables.read_requests(spark, str(source), stream=True).select("scan_id", F.lit(1).alias("received"))
         jobs.ingest_stream(stream, str(tmp_path / "store"), str(tmp_path / f"c2-{_}")).awaitTermination()
-    assert sorted(r["scan_id"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["s1", "s2"]
+    assert sorted(r["scan_id"] for r in store.read_store(spark, str(tmp_path / "store")).collect()) == ["s1", "s2"]
     rows = spark.readStream.schema("scan_id string, verdict string, sig_status string").json(str(source)).withColumn("verdict", F.lit("PASS"))
     assert jobs.run_to_table(jobs.live_stats(rows), "live", str(tmp_path / "c3")).head()["scans"] == 3
 

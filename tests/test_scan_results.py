@@ -69,3 +69,40 @@ def test_documents_keep_the_contract(documents):
     assert contract.validate_documents(documents).count() == 0
     broken = documents.withColumn("summary", documents["summary"].withField("fail", documents["summary.fail"] + 1)).where("scan_id = 'whole'")
     assert [r["path"] for r in contract.validate_documents(broken).collect()] == ["summary.fail"]
+
+
+def read(spark, tmp_path, lines):
+    (tmp_path / "r.json").write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
+    return scans.scan_results(tables.read_requests(spark, str(tmp_path / "r.json")))
+
+
+def test_missing_and_repeated_ids(spark, tmp_path):
+    first = {**BASE, "scan_id": "a", "tokens": LABEL}
+    later = {**first, "captured_utc": "2026-02-01T00:00:00Z", "tokens": LABEL[:2]}
+    docs = read(spark, tmp_path, [later, first, first, {**BASE, "tokens": LABEL}, {**BASE, "scan_id": "", "tokens": LABEL}, "{not json"]).cache()
+    found = sorted((r["scan_id"], r["verdict"], r["error"]["message"] if r["error"] else None, len(r["ocr"]["tokens"])) for r in docs.collect())
+    assert found == [("", "RETRY", "not a request of the known form", 0), ("", "RETRY", "scan_id must be given", 0), ("", "RETRY", "scan_id must be given", 0), ("a", "VIOLATION", None, 3)]
+    assert contract.validate_documents(docs).count() == 0
+
+
+def test_a_message_delivered_twice_does_not_stop_the_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({**BASE, "scan_id": "a", "tokens": LABEL}) for _ in range(3)))
+    jobs.result_stream(tables.read_requests(spark, str(tmp_path / "in"), stream=True), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    assert [r["scan_id"] for r in spark.read.json(str(tmp_path / "out")).collect()] == ["a"]
+
+
+def test_regions_of_the_request_follow_detected_ones(spark, tmp_path):
+    request = {**REQUESTS[0], "geometry": {"rois": [{"roi": "PRICE", "bbox": [1, 2, 3, 4], "conf": 0.4}, {"roi": "PDP", "bbox": [5, 6, 7, 8], "conf": 0.9}]}}
+    rois = read(spark, tmp_path, [request]).head()["geometry"]["rois"]
+    assert [(r["roi"], r["bbox"], r["conf"]) for r in rois] == [("PDP", [90, 1, 10, 5], 0.5), ("PRICE", [1, 2, 3, 4], 0.4)]
+
+
+def test_nothing_is_shuffled_between_requests_and_documents(spark, tmp_path):
+    docs = read(spark, tmp_path, REQUESTS)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_no_requests_no_documents(spark, tmp_path):
+    assert read(spark, tmp_path, []).count() == 0
