@@ -310,7 +310,7 @@ def scan_totals(spark, sf_dir):
 
 
 #: Every event with a label: labels are dealt to events in turn.
-LABELLED = f"(SELECT *, 1 + scan_id % (SELECT COUNT(*) FROM {{part}}) AS label_id FROM ({D.GATEWAY}) g)"
+LABELLED = f"(SELECT *, scan_id % (SELECT COUNT(*) FROM {{part}}) AS label_id FROM ({D.GATEWAY}) g)"
 FILED = f"SELECT s.*, l.product_name, l.mfg_address, l.consumer_care FROM {LABELLED} s JOIN ({D.LABELS}) l ON l.scan_id = s.label_id"
 
 
