@@ -335,13 +335,14 @@ def near_pairs_of(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle:
     return stored(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), f"{work}/near-pairs")
 
 
-def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and component_id by similarity: texts whose sets of five-word shingles overlap in 0.8 or more.
-
-    Every such pair is found, and a link is a comparison of whole sets. Shingles have one order in all texts (frequent
-    ones last, then by hash); two sets alike in 0.8 have a common shingle within the first fifth of each. Candidates are
-    the pairs with such a shingle whose sizes and places of it don't rule 0.8 out. First each text meets the next and
-    the first one with the same shingle, which ties large groups; then all pairs that are not tied yet.
+def copy_roots(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """For each row of docs doc_id, t (hash of its text) and same (hash of its set of shingles); and the root of each same.
+
+    Roots are equal for texts tied by links: sets of five-word shingles that overlap in 0.8 or more. Every such pair is
+    found, and a link is a comparison of whole sets. Shingles have one order in all texts (frequent ones last, then by
+    hash); two sets alike in 0.8 have a common shingle within the first fifth of each. Candidates are the pairs with such
+    a shingle whose sizes and places of it don't rule 0.8 out. First each text meets the next and the first one with the
+    same shingle, which ties large groups; then all pairs that are not tied yet.
     """
     tune(docs.sparkSession)
     work = f"near-copies-{uuid.uuid4().hex}"  # tables that only the search itself reads
@@ -388,11 +389,36 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED)
 
     rooted = stored(nodes.join(roots, "node", "left").select("same", "first", F.coalesce("root", "node").alias("root")), "rooted")
     discard(docs.sparkSession, work)
+    return prints.select("doc_id", "t", "same"), rooted
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id tied to it) for each row of docs, by the links of copy_roots."""
+    prints, rooted = copy_roots(docs, shingle, seed)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.select("doc_id", "same").join(rooted.join(least, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that are near copies of one with a smaller doc_id; rows without doc_id stay."""
-    gone = near_copies(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies: that with the smallest doc_id, then with the smallest hash of its text.
+
+    Rows are told apart by doc_id and text, so unlike texts under one doc_id are judged each by itself. Of rows alike in
+    both, one stays; rows without a doc_id come after all others of their group.
+    """
+    prints, rooted = copy_roots(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")
+    classes = stored(prints.groupBy("doc_id", "t", "same").count().join(rooted.select("same", "root"), "same"), "copy-classes")
+    firsts = classes.groupBy("root").agg(F.min(place).alias("first"))
+    kept = classes.join(firsts, "root").where(place == F.col("first")).select(F.col("doc_id").alias("kept_id"), F.col("t").alias("kept_t"), "count")
+    # names that no column of docs has; all columns of docs stay as they are
+    row = F.struct(*[_quoted(c) for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("own_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_t"))
+    found = keyed.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_t") == F.col("kept_t"))).select("row", "own_id", "own_t", "count")
+    if not classes.where(F.col("count") > 1).isEmpty():
+        again = found.where(F.col("count") > 1).groupBy("own_id", "own_t").agg(F.first("row").alias("row")).select("row")
+        return found.where(F.col("count") == 1).select("row").unionByName(again).select("row.*")
+    return found.select("row.*")
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`").alias(name)

@@ -37,7 +37,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -219,6 +219,11 @@ def _own_key(docs: DataFrame, carry: list[str]) -> DataFrame:
     return stored(known.unionByName(first.where("doc_id is null")), "turned")
 
 
+def _by_row(places: DataFrame, item: Column, name: str) -> DataFrame:
+    """The items of each row of the documents as a list; a place's high bits are its row's turn."""
+    return places.groupBy("doc_id", F.shiftright("a", TURN_BITS).alias("turn")).agg(F.collect_list(item).alias(name))
+
+
 def _anchors(keyed: DataFrame, least: int, k: int, hot: np.ndarray, bases: tuple[int, int] = (BASE, BASE + 2)) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("c", pa.int64()), ("d", pa.int32()), ("doc_id", pa.int64()), ("a", pa.int64()), ("n", pa.int32())])
 
@@ -251,13 +256,11 @@ def _ids(rows: pa.RecordBatch) -> np.ndarray:
     return pa.compute.fill_null(rows.column("doc_id"), 0).to_numpy()
 
 
-def _slices(buf: np.ndarray, offs: np.ndarray, needs: pa.Array, turns: np.ndarray, least: int):
+def _slices(buf: np.ndarray, offs: np.ndarray, needs: pa.Array, least: int):
     """For each wanted context of each row: row, anchor, place, windows, and its bytes with the byte to the left."""
     lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(needs), 0)).astype(np.int64)
     rows, flat = np.repeat(np.arange(len(lengths)), lengths), needs.flatten()
     h, a, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("h", "a", "n"))
-    mine = a >> TURN_BITS == turns[rows]
-    rows, h, a, n = rows[mine], h[mine], a[mine], n[mine]
     start = offs[:-1][rows] + (a & ((1 << TURN_BITS) - 1))
     skip = (start > offs[:-1][rows]).astype(np.int64)
     return rows, h, a, n, start - skip, n + least - 1 + skip, skip
@@ -324,7 +327,7 @@ class Repeats:
         # the joins below read the same columns, so that they share one shuffle of the texts
         self.columns = ["doc_id", "text", "turn", *(["rest"] if carry else [])]
         self.hot = frequent_anchors(self.keyed, least, k)
-        self.dealt = self.keyed.where("doc_id is not null").repartition("doc_id")  # used by several joins below, and shuffled once
+        self.dealt = self.keyed.where("doc_id is not null").repartition("doc_id", "turn")  # used by several joins below, and shuffled once
 
     def marked(self, everything: bool = False) -> DataFrame:
         """Contexts that repeat as a whole (again) or may in part. everything: also keep the equal ones for the suffix arrays."""
@@ -339,20 +342,20 @@ class Repeats:
 
     def context_bytes(self, wanted: DataFrame) -> DataFrame:
         """h, doc_id, a, n, skip and bytes of each wanted context."""
-        lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n", "h")).alias("needs"))
+        lists = _by_row(wanted, F.struct("a", "n", "h"), "needs")
         schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("skip", pa.int32()), ("bytes", pa.binary())])
         least = self.least
 
         def run(batches):
             for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
-                row, h, a, n, start, length, skip = _slices(buf, offs, rows.column("needs"), rows.column("turn").to_numpy(), least)
+                row, h, a, n, start, length, skip = _slices(buf, offs, rows.column("needs"), least)
                 if len(row):
                     flat = buf[gather(start, length)].tobytes()
                     cut = np.concatenate([[0], np.cumsum(length)]).tolist()
                     data = [flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
                     yield batch(schema, h, _ids(rows)[row], a, n, skip, data)
 
-        joined = self.dealt.join(lists, "doc_id", "left").select(*self.columns, "needs")
+        joined = self.dealt.join(lists, ["doc_id", "turn"], "left").select(*self.columns, "needs")
         return joined.mapInArrow(run, "h long, doc_id long, a long, n int, skip int, bytes binary")
 
     def from_suffix_arrays(self, wanted: DataFrame) -> DataFrame:
@@ -408,18 +411,18 @@ class Repeats:
     def first_windows(self, wanted: DataFrame) -> DataFrame:
         """doc_id and place of the first of all equal windows of some contexts."""
         least, bases = self.least, self.bases
-        lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n", "h")).alias("needs"))
+        lists = _by_row(wanted, F.struct("a", "n", "h"), "needs")
         schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64())])
 
         def run(batches):
             for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
-                row, _, a, n, start, _, skip = _slices(buf, offs, rows.column("needs"), rows.column("turn").to_numpy(), least)
+                row, _, a, n, start, _, skip = _slices(buf, offs, rows.column("needs"), least)
                 if len(row):
                     at, inner = gather(start + skip, n), gather(np.zeros(len(n), np.int64), n)
                     one, two = (RangeHash(buf, base)(at, at + least).view(np.int64) for base in bases)
                     yield batch(schema, one, two, np.repeat(_ids(rows)[row], n), np.repeat(a, n) + inner)
 
-        joined = self.dealt.join(lists, "doc_id", "left").select(*self.columns, "needs")
+        joined = self.dealt.join(lists, ["doc_id", "turn"], "left").select(*self.columns, "needs")
         windows = joined.mapInArrow(run, "w1 long, w2 long, doc_id long, a long")
         return windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "a")).alias("first")).select("first.*")
 
@@ -437,8 +440,8 @@ class Repeats:
         found = again.unionByName(parts).unionByName(wide.select("doc_id", "a", *span(F.col("n"), WINDOWS)))
         if not wide.isEmpty():  # else the texts needn't be read for it
             found = found.unionByName(self.first_windows(wide).select("doc_id", "a", *span(F.lit(1), FIRST)))
-        lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n", "kind")).alias("cuts"))
-        out = self.dealt.join(lists, "doc_id", "left").select(*self.columns, "cuts")
+        lists = _by_row(found, F.struct("a", "n", "kind"), "cuts")
+        out = self.dealt.join(lists, ["doc_id", "turn"], "left").select(*self.columns, "cuts")
         whole = self.keyed.where("doc_id is null").select(*self.columns, F.lit(None).cast(out.schema["cuts"].dataType).alias("cuts"))
         return out.unionByName(whole)
 
@@ -452,8 +455,7 @@ def removed_bytes(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, least
     flat = cuts.flatten()
     row = np.repeat(np.arange(len(lengths)), lengths)
     a, n, kind = (flat.field(c).to_numpy() for c in ("a", "n", "kind"))
-    mine = a >> TURN_BITS == rows.column("turn").to_numpy()[row]
-    begin, n, kind = offs[:-1][row[mine]] + (a[mine] & ((1 << TURN_BITS) - 1)), n[mine], kind[mine]
+    begin = offs[:-1][row] + (a & ((1 << TURN_BITS) - 1))
 
     def covered(at: np.ndarray, to: np.ndarray) -> np.ndarray:
         edges = np.bincount(at, minlength=len(buf) + 1) - np.bincount(to, minlength=len(buf) + 1)

@@ -128,6 +128,8 @@ def settled(links: DataFrame, state: DataFrame, limit: float, rounds: int, dampi
         if done == 0 and CHAIN < rounds:
             ahead = F.col("score") + damping**2 / (1 - damping**2) * (F.col("score") - F.col("older"))
             state = state.withColumn("score", ahead)
+    else:
+        raise RuntimeError(f"scores of hosts haven't settled in {rounds} rounds")
     return state.select("kind", "host", "score")
 
 
