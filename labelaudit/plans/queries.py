@@ -388,7 +388,11 @@ def tokens(spark, sf_dir):
     return labels(spark, sf_dir).select("scan_id", F.inline(F.array(*token_rows()))).where("text is not null")
 
 
-@query()
+#: The line that each token of TOKENS lies on: the quantity's two tokens share one, all others have one of their own.
+LINED = f"(SELECT *, dense_rank() OVER (PARTITION BY scan_id ORDER BY CASE WHEN tok = 2 THEN 60 ELSE y END) - 1 AS line FROM ({TOKENS}) t)"
+
+
+@query(f"SELECT scan_id, CAST(line AS INT) AS line, CAST(COUNT(*) AS BIGINT) AS tokens FROM {LINED} l GROUP BY scan_id, line")
 def cluster_lines(spark, sf_dir):
     lines = extract.cluster_lines(tokens(spark, sf_dir))
     return lines.groupBy("scan_id", "line").agg(F.count("*").alias("tokens"))
@@ -427,7 +431,7 @@ def engines_used(spark, sf_dir):
     return gateway.engines_used(tokens(spark, sf_dir)).select("scan_id", F.array_join("engines", ",").alias("engines"))
 
 
-@query()
+@query(f"SELECT scan_id, CAST(line AS INT) AS tok, string_agg(text, ' ' ORDER BY x) AS text, MIN(x) AS x, MIN(y) AS y, MAX(x + w) - MIN(x) AS w, MAX(y + h) - MIN(y) AS h FROM {LINED} l GROUP BY scan_id, line")
 def merge_words(spark, sf_dir):
     return extract.merge_words(tokens(spark, sf_dir)).select("scan_id", "tok", "text", "x", "y", "w", "h")
 
@@ -462,12 +466,16 @@ def text_words(spark, sf_dir):
     return each.select(F.col("doc_id").alias("scan_id"), "tok", "text", at(500).alias("x"), at(300).alias("y"), at(60).alias("w"), at(40).alias("h"), at(120).cast("double").alias("conf"), F.lit(2.0).alias("scale"))
 
 
-@query()
+TEXT_WORDS = r"""(SELECT doc_id AS scan_id, CAST(tok AS INT) AS tok, text, (doc_id + tok) % 60 AS w, (doc_id + tok) % 40 AS h, (doc_id + tok) % 120 AS conf
+FROM (SELECT doc_id, unnest(range(len(ws))) AS tok, unnest(ws) AS text FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM {documents}) d) e)"""
+
+
+@query(f"SELECT scan_id, tok, CAST(greatest(1, CASE WHEN w % 2 = 0 THEN w // 2 ELSE (w + 1) // 2 - (w + 1) // 2 % 2 END) AS INT) AS w FROM {TEXT_WORDS} t WHERE conf >= 35 AND w > 0 AND h > 0 AND regexp_matches(text, '[\\p{{L}}\\p{{N}}/]')")
 def clean_text_words(spark, sf_dir):
     return extract.clean_words(text_words(spark, sf_dir)).select("scan_id", "tok", "w")
 
 
-@query()
+@query(f"SELECT path, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CASE WHEN w = 0 OR h = 0 THEN 'bbox' END AS path FROM {TEXT_WORDS} a UNION ALL SELECT CASE WHEN conf > 1 THEN 'conf' END FROM {TEXT_WORDS} b) p WHERE path IS NOT NULL GROUP BY path")
 def validate_text_tokens(spark, sf_dir):
     rows = text_words(spark, sf_dir).withColumns({"engine": F.lit("mlkit"), "lang": F.lit("en")})
     return contract.validate_tokens(rows).groupBy("path").agg(F.count("*").alias("n"))
