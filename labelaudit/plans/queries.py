@@ -772,12 +772,34 @@ def scan_requests(spark, sf_dir):
     return texts.select(F.from_json("text", tables.REQUEST, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
 
 
-@query()
+#: Documents of scan_requests: what is found of each label, its findings in order, refusals and faulty requests.
+READ = f"""(SELECT *, k7 < 5 AS f_mrp, k23 <> 0 AS has_q, paise IS NOT NULL AS f_usp, k6 < 3 AS f_date, k6 IN (0, 1, 2, 4) AS f_addr, k5 <> 2 AS f_origin, k7 IN (0, 5, 6) AS f_care, name_text IS NOT NULL AS f_name,
+  k23 <> 0 AND (k11 = 1 OR kind IN ('mass', 'volume') AND (milli <= 10000 OR milli > 25000000)) AS exempt,
+  scan_id % 41 = 0 AS faulty, scan_id % 37 = 0 AND scan_id % 41 <> 0 AS refused FROM {FIELDED} f)"""
+STATUSES = f"""(SELECT *, [CASE WHEN has_q AND unit IN ('gms', 'ltr', 'kgs') THEN 'FAIL' ELSE 'PASS' END, CASE WHEN has_q AND unit IN ('g', 'kg', 'ml', 'L', 'pcs', 'N', 'cm', 'mg') THEN 'PASS' ELSE 'FAIL' END,
+  CASE WHEN k7 IN (0, 1, 2, 4) THEN 'PASS' ELSE 'FAIL' END,
+  CASE WHEN NOT (has_q AND f_mrp AND unit <> 'N') THEN 'NA' WHEN one OR (f_usp AND price_unit = req AND ABS(paise * num - cents * den) <= num) THEN 'PASS' ELSE 'FAIL' END,
+  CASE WHEN f_date THEN 'PASS' ELSE 'FAIL' END, CASE WHEN k6 IN (0, 4) THEN 'PASS' ELSE 'FAIL' END, CASE WHEN k5 IN (0, 3) THEN 'PASS' WHEN k5 = 2 AND NOT f_addr THEN 'NA' ELSE 'FAIL' END,
+  CASE WHEN k7 = 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN f_name THEN 'PASS' ELSE 'FAIL' END, 'NA'] AS st,
+  CASE WHEN has_q AND unit IN ('gms', 'ltr', 'kgs') THEN 1 ELSE 0 END + has_q::INT + f_mrp::INT + f_usp::INT + f_date::INT + f_addr::INT + (f_origin OR f_addr)::INT + f_care::INT + f_name::INT AS boxes,
+  1 + (k13 <> 0)::INT + has_q::INT + (k7 <> 6)::INT + f_usp::INT + (k6 <> 4)::INT + (k6 <> 3)::INT + f_origin::INT + (k7 <> 3)::INT AS read_tokens,
+  list_filter([CASE WHEN f_care THEN 'consumer_care' END, CASE WHEN f_addr THEN 'mfg_address' END, CASE WHEN f_date THEN 'mfg_date' END, CASE WHEN f_mrp THEN 'mrp' END, CASE WHEN has_q THEN 'net_qty' END,
+    CASE WHEN f_origin THEN 'origin' END, CASE WHEN f_name THEN 'product_name' END, CASE WHEN f_usp THEN 'usp' END], lambda x: x IS NOT NULL) AS names FROM {READ} r)"""
+DOCUMENTS = f"""SELECT 1 AS schema_version, CAST(scan_id AS STRING) AS scan_id, CASE WHEN faulty OR refused THEN 'RETRY' WHEN NOT exempt AND list_contains(st, 'FAIL') THEN 'VIOLATION' ELSE 'PASS' END AS verdict,
+  CASE WHEN NOT faulty THEN '2026-01-01T00:00:00.000Z' END AS captured_utc, CASE WHEN NOT faulty THEN NOT refused END AS ok, CASE WHEN refused THEN 1 ELSE 0 END AS n_prompts,
+  CASE WHEN NOT faulty AND scan_id % 3 = 0 THEN 'pouch' END AS shape, CASE WHEN faulty OR refused THEN 0 ELSE read_tokens END AS n_tokens, CASE WHEN faulty OR refused THEN '' ELSE array_to_string(names, ',') END AS fields,
+  CASE WHEN NOT faulty AND NOT refused AND f_mrp THEN (cents // 100)::VARCHAR || CASE WHEN cents % 100 = 0 THEN '' WHEN cents % 10 = 0 THEN '.' || (cents % 100 // 10)::VARCHAR ELSE '.' || lpad((cents % 100)::VARCHAR, 2, '0') END END AS mrp,
+  CASE WHEN faulty OR refused THEN '' WHEN exempt THEN '26' ELSE '13,6(1)(c),6(1)(e),6(11),6(1)(d),6(1)(a),6(1)(aa),6(1)(n),6(1)(b),7' END AS rules,
+  CASE WHEN faulty OR refused THEN '' WHEN exempt THEN 'NA' ELSE array_to_string(st, ',') END AS statuses, CAST(CASE WHEN faulty OR refused OR exempt THEN 0 ELSE len(list_filter(st, lambda x: x = 'FAIL')) END AS INT) AS fails,
+  CASE WHEN faulty OR refused OR exempt THEN 0 ELSE boxes END AS n_boxes, CASE WHEN NOT faulty AND NOT refused AND has_q THEN exempt END AS exempt, CASE WHEN faulty THEN 'BAD_REQUEST' END AS code FROM {STATUSES} s"""
+
+
+@query(DOCUMENTS)
 def request_results(spark, sf_dir):
     d = scans.scan_results(D.arrived(scan_requests(spark, sf_dir)))
     joined = lambda c: F.array_join(F.transform("checks", lambda x: x[c]), ",")
     return d.select(
-        "schema_version", "scan_id", "verdict", "captured_utc", "quality.ok", F.size("quality.prompts").alias("n_prompts"), F.col("geometry.shape").alias("shape"), F.size("ocr.tokens").alias("n_tokens"),
+        "schema_version", "scan_id", "verdict", F.when(F.col("error").isNull(), F.col("captured_utc")).alias("captured_utc"), "quality.ok", F.size("quality.prompts").alias("n_prompts"), F.col("geometry.shape").alias("shape"), F.size("ocr.tokens").alias("n_tokens"),
         F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("fields"), F.col("fields")["mrp"]["value"].alias("mrp"), joined("rule").alias("rules"), joined("status").alias("statuses"), F.col("summary.fail").alias("fails"),
         F.size(F.filter("checks", lambda x: x["evidence_bbox"].isNotNull())).alias("n_boxes"), F.col("exemption.exempt").alias("exempt"), F.col("error.code").alias("code"),
     )
