@@ -409,15 +409,24 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")
     classes = stored(prints.groupBy("doc_id", "t", "same").count().join(rooted.select("same", "root"), "same"), "copy-classes")
     firsts = classes.groupBy("root").agg(F.min(place).alias("first"))
-    kept = classes.join(firsts, "root").where(place == F.col("first")).select(F.col("doc_id").alias("kept_id"), F.col("t").alias("kept_t"), "count")
+    judged = classes.join(firsts, "root").withColumn("goes", place != F.col("first")).where("goes or count > 1")
+    judged = stored(judged.select(F.col("doc_id").alias("its_id"), F.col("t").alias("its_t"), "goes"), "judged-copies")
+    if judged.isEmpty():
+        return docs
     # names that no column of docs has; all columns of docs stay as they are
     row = F.struct(*[_quoted(c) for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.col("doc_id").cast("long").alias("own_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_t"))
-    found = keyed.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_t") == F.col("kept_t"))).select("row", "own_id", "own_t", "count")
-    if not classes.where(F.col("count") > 1).isEmpty():
-        again = found.where(F.col("count") > 1).groupBy("own_id", "own_t").agg(F.first("row").alias("row")).select("row")
-        return found.where(F.col("count") == 1).select("row").unionByName(again).select("row.*")
-    return found.select("row.*")
+    # ids alone part the rows that nothing is said about from the few others, so texts needn't be shuffled for them
+    ids = judged.where("its_id is not null").select(F.col("its_id").alias("own_id")).distinct()
+    untouched = keyed.where("own_id is not null").join(ids, "own_id", "left_anti").select("row")
+    others = keyed.join(ids, "own_id", "left_semi").select("row", "own_id", "own_t").unionByName(keyed.where("own_id is null"))
+    same = F.col("own_id").eqNullSafe(F.col("its_id")) & (F.col("own_t") == F.col("its_t"))
+    stays = others.join(judged.where("goes"), same, "left_anti")
+    again = judged.where("not goes")
+    if again.isEmpty():
+        return untouched.unionByName(stays.select("row")).select("row.*")
+    one = stays.join(again, same, "left_semi").groupBy("own_id", "own_t").agg(F.first("row").alias("row")).select("row")
+    return untouched.unionByName(stays.join(again, same, "left_anti").select("row")).unionByName(one).select("row.*")
 
 
 def _quoted(name: str) -> Column:

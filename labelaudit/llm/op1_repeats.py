@@ -206,22 +206,25 @@ def _quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _own_key(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """doc_id, text and turn, which tells rows of one doc_id apart (0 where ids are unique); carried columns as `rest`."""
+def _own_key(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, list[str]]:
+    """doc_id, text and turn, which tells rows of one doc_id apart (0 where ids are unique), carried columns as `rest`; and the columns that name a row.
+
+    A constant turn is no key: the optimizer would drop it from joins, and texts dealt by it be shuffled again for each.
+    """
     frame = text_frame(docs)
     if carry:
         frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[_quoted(c).alias(c) for c in carry]).alias("rest"))
     first = frame.withColumn("turn", F.lit(0).cast("long"))
     if frame.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return first
+        return first, ["doc_id"]
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
     known = frame.where("doc_id is not null").withColumn("turn", turn.cast("long"))
-    return stored(known.unionByName(first.where("doc_id is null")), "turned")
+    return stored(known.unionByName(first.where("doc_id is null")), "turned"), ["doc_id", "turn"]
 
 
-def _by_row(places: DataFrame, item: Column, name: str) -> DataFrame:
+def _by_row(places: DataFrame, keys: list[str], item: Column, name: str) -> DataFrame:
     """The items of each row of the documents as a list; a place's high bits are its row's turn."""
-    return places.groupBy("doc_id", F.shiftright("a", TURN_BITS).alias("turn")).agg(F.collect_list(item).alias(name))
+    return places.withColumn("turn", F.shiftright("a", TURN_BITS)).groupBy(*keys).agg(F.collect_list(item).alias(name))
 
 
 def _anchors(keyed: DataFrame, least: int, k: int, hot: np.ndarray, bases: tuple[int, int] = (BASE, BASE + 2)) -> DataFrame:
@@ -323,11 +326,11 @@ class Repeats:
         tune(docs.sparkSession)
         self.least, self.k = least, k
         self.bases = tuple(secrets.randbelow(PRIME - 300) + 300 for _ in range(2))
-        self.keyed = _own_key(docs, carry or [])
+        self.keyed, self.row = _own_key(docs, carry or [])
         # the joins below read the same columns, so that they share one shuffle of the texts
         self.columns = ["doc_id", "text", "turn", *(["rest"] if carry else [])]
         self.hot = frequent_anchors(self.keyed, least, k)
-        self.dealt = self.keyed.where("doc_id is not null").repartition("doc_id", "turn")  # used by several joins below, and shuffled once
+        self.dealt = self.keyed.where("doc_id is not null").repartition(*self.row)  # used by several joins below, and shuffled once
 
     def marked(self, everything: bool = False) -> DataFrame:
         """Contexts that repeat as a whole (again) or may in part. everything: also keep the equal ones for the suffix arrays."""
@@ -342,7 +345,7 @@ class Repeats:
 
     def context_bytes(self, wanted: DataFrame) -> DataFrame:
         """h, doc_id, a, n, skip and bytes of each wanted context."""
-        lists = _by_row(wanted, F.struct("a", "n", "h"), "needs")
+        lists = _by_row(wanted, self.row, F.struct("a", "n", "h"), "needs")
         schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("skip", pa.int32()), ("bytes", pa.binary())])
         least = self.least
 
@@ -355,7 +358,7 @@ class Repeats:
                     data = [flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
                     yield batch(schema, h, _ids(rows)[row], a, n, skip, data)
 
-        joined = self.dealt.join(lists, ["doc_id", "turn"], "left").select(*self.columns, "needs")
+        joined = self.dealt.join(lists, self.row, "left").select(*self.columns, "needs")
         return joined.mapInArrow(run, "h long, doc_id long, a long, n int, skip int, bytes binary")
 
     def from_suffix_arrays(self, wanted: DataFrame) -> DataFrame:
@@ -411,7 +414,7 @@ class Repeats:
     def first_windows(self, wanted: DataFrame) -> DataFrame:
         """doc_id and place of the first of all equal windows of some contexts."""
         least, bases = self.least, self.bases
-        lists = _by_row(wanted, F.struct("a", "n", "h"), "needs")
+        lists = _by_row(wanted, self.row, F.struct("a", "n", "h"), "needs")
         schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64())])
 
         def run(batches):
@@ -422,7 +425,7 @@ class Repeats:
                     one, two = (RangeHash(buf, base)(at, at + least).view(np.int64) for base in bases)
                     yield batch(schema, one, two, np.repeat(_ids(rows)[row], n), np.repeat(a, n) + inner)
 
-        joined = self.dealt.join(lists, ["doc_id", "turn"], "left").select(*self.columns, "needs")
+        joined = self.dealt.join(lists, self.row, "left").select(*self.columns, "needs")
         windows = joined.mapInArrow(run, "w1 long, w2 long, doc_id long, a long")
         return windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "a")).alias("first")).select("first.*")
 
@@ -440,8 +443,8 @@ class Repeats:
         found = again.unionByName(parts).unionByName(wide.select("doc_id", "a", *span(F.col("n"), WINDOWS)))
         if not wide.isEmpty():  # else the texts needn't be read for it
             found = found.unionByName(self.first_windows(wide).select("doc_id", "a", *span(F.lit(1), FIRST)))
-        lists = _by_row(found, F.struct("a", "n", "kind"), "cuts")
-        out = self.dealt.join(lists, ["doc_id", "turn"], "left").select(*self.columns, "cuts")
+        lists = _by_row(found, self.row, F.struct("a", "n", "kind"), "cuts")
+        out = self.dealt.join(lists, self.row, "left").select(*self.columns, "cuts")
         whole = self.keyed.where("doc_id is null").select(*self.columns, F.lit(None).cast(out.schema["cuts"].dataType).alias("cuts"))
         return out.unionByName(whole)
 

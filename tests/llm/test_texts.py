@@ -308,7 +308,7 @@ def test_op1_against_brute_force(docs, clashing, no_docs, rows):
 def test_op1_frequent_anchors_change_nothing(docs, monkeypatch):
     once = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).cache()
     plain = op1_repeats.removal_digests(once).collect()
-    every = op1_repeats._anchors(op1_repeats._own_key(once, []), 100, 32, np.zeros(0, np.int64)).select("h").distinct().collect()
+    every = op1_repeats._anchors(op1_repeats._own_key(once, [])[0], 100, 32, np.zeros(0, np.int64)).select("h").distinct().collect()
     hot = np.array(sorted(r["h"] for r in every)[::2], np.int64)
     monkeypatch.setattr(op1_repeats, "frequent_anchors", lambda *a, **k: hot)
     same(op1_repeats.removal_digests(once).collect(), plain)
