@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelaudit.functions import fixed_values as V
 from labelaudit.functions import text as T
-from labelaudit.operators import contract, extract, folds, gateway, geometry, golden, rules
+from labelaudit.operators import contract, extract, folds, gateway, geometry, golden, rules, shapes
 from labelaudit.plans import derived as D
 from labelaudit.plans import scans
 
@@ -803,3 +803,44 @@ def request_results(spark, sf_dir):
         F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("fields"), F.col("fields")["mrp"]["value"].alias("mrp"), joined("rule").alias("rules"), joined("status").alias("statuses"), F.col("summary.fail").alias("fails"),
         F.size(F.filter("checks", lambda x: x["evidence_bbox"].isNotNull())).alias("n_boxes"), F.col("exemption.exempt").alias("exempt"), F.col("error.code").alias("code"),
     )
+
+
+# ---- laws on raw JSON ------------------------------------------------------------------------------------------------
+def planted(text: str) -> str:
+    """SQL of events as JSON texts, written with < and > for braces; those of every 37th event are cut off."""
+    return f"(SELECT event_id, CASE WHEN event_id % 37 = 0 THEN substr(text, 1, 30) ELSE text END AS text FROM (SELECT event_id, translate({text}, '<>', chr(123) || chr(125)) AS text FROM {{events}}) t)"
+
+
+REQUEST_TEXTS = planted("""'<"schema_version":' || CASE WHEN event_id % 31 = 0 THEN '2' ELSE '1' END || ',"scan_id":"' || CAST(event_id AS STRING) || '","tokens":['
+|| CASE WHEN event_id % 29 = 0 THEN '' ELSE '<"text":"MRP Rs 5","bbox":[1,2,30,9]>,<"text":' || CASE WHEN event_id % 23 = 0 THEN '5' ELSE '"x"' END || ',"bbox":[1,20,' || CASE WHEN event_id % 19 = 0 THEN '30.0' ELSE '30' END || ',9],"conf":1>' END
+|| '],"quality":<"ok":' || CASE WHEN event_id % 17 = 0 THEN '"yes"' ELSE 'true' END || '>,"geometry":<"mm_per_px":' || CASE WHEN event_id % 13 = 0 THEN '"0.2"' WHEN event_id % 3 = 0 THEN 'null' ELSE '0.2' END
+|| '>,"gps":<' || CASE WHEN event_id % 11 = 0 THEN '' ELSE '"lat":12.5,' END || '"lon":77>,"options":<"institutional":' || CASE WHEN event_id % 7 = 0 THEN '"false"' WHEN event_id % 2 = 0 THEN 'null' ELSE 'false' END || ',"package_height_cm":"12.5">>'""")
+RESULT_TEXTS = planted("""'<"schema_version":1,"scan_id":"' || CAST(event_id AS STRING) || '","verdict":"' || CASE WHEN event_id % 7 = 0 THEN 'RETRY' ELSE 'VIOLATION' END || '","captured_utc":"2026-01-01T00:00:00.000Z","completed_utc":"2026-01-01T00:00:00.250Z","total_ms":'
+|| CASE WHEN event_id % 5 = 0 THEN '-1' ELSE '12.5' END || ',"timings_ms":<"' || CASE WHEN event_id % 17 = 0 THEN 's9_magic' ELSE 's4_ocr' END || '":1.5>,"quality":<"ok":null,"laplacian_var":null,"glare_pct":null,"prompts":[],"glare_bbox":null>,"geometry":null,'
+|| '"ocr":<"engines_used":["mlkit"],"tokens":[<"text":"MRP","bbox":[1,2,3,4],"conf":1,"engine":"mlkit"' || CASE WHEN event_id % 11 = 0 THEN '' ELSE ',"lang":"en"' END || '>]>,"fields":<"mrp":<"raw":"MRP 14","value":' || CASE WHEN event_id % 19 = 0 THEN '14.0' ELSE '"14.00"' END
+|| ',"unit":null,"bbox":null,"conf":0.9>>,"checks":[<"rule":"13","status":"' || CASE WHEN event_id % 13 = 0 THEN 'MAYBE' ELSE 'FAIL' END || '","message":"m","plain":"","citation":"c","evidence_bbox":null>],"exemption":null,"summary":<"total":1,"pass":0,"fail":'
+|| CASE WHEN event_id % 23 = 0 THEN '99' ELSE '1' END || ',"na":0>,' || CASE WHEN event_id % 31 = 0 THEN '' ELSE '"dossier":null,' END || CASE WHEN event_id % 29 = 0 THEN '"extra":1,' ELSE '' END || '"meta":null,"error":null>'""")
+
+
+@query(f"""SELECT scan_id, CASE WHEN path = 'schema_version' THEN 'UNSUPPORTED_VERSION' ELSE 'BAD_REQUEST' END AS code, path, CASE path WHEN '' THEN '{shapes.NO_JSON}' WHEN 'schema_version' THEN 'schema 1 expected' WHEN 'tokens' THEN 'must be a non-empty list'
+  WHEN 'tokens[1].text' THEN 'must be a non-empty string' WHEN 'tokens[1].bbox' THEN '{shapes.BOX}' WHEN 'quality.ok' THEN 'must be true, false or null' WHEN 'geometry.mm_per_px' THEN 'must be a positive number or null' WHEN 'gps.lat' THEN 'must be a number' ELSE 'must be true or false' END AS message
+FROM (SELECT CASE WHEN json_valid(text) THEN text ->> '$.scan_id' END AS scan_id, CASE WHEN NOT json_valid(text) THEN '' WHEN text ->> '$.schema_version' <> '1' THEN 'schema_version' WHEN json_array_length(text, '$.tokens') = 0 THEN 'tokens' WHEN json_type(text, '$.tokens[1].text') <> 'VARCHAR' THEN 'tokens[1].text'
+  WHEN json_type(text, '$.tokens[1].bbox[2]') NOT IN ('BIGINT', 'UBIGINT') THEN 'tokens[1].bbox' WHEN json_type(text, '$.quality.ok') NOT IN ('BOOLEAN', 'NULL') THEN 'quality.ok' WHEN json_type(text, '$.geometry.mm_per_px') NOT IN ('DOUBLE', 'UBIGINT', 'NULL') THEN 'geometry.mm_per_px'
+  WHEN json_type(text, '$.gps.lat') IS NULL THEN 'gps.lat' WHEN json_type(text, '$.options.institutional') NOT IN ('BOOLEAN', 'NULL') THEN 'options.institutional' END AS path FROM {REQUEST_TEXTS} x) y WHERE path IS NOT NULL""")
+def request_faults(spark, sf_dir):
+    return shapes.split_texts(D.spread(D.table(spark, sf_dir, f"SELECT text AS value FROM {REQUEST_TEXTS} x")))[1].select("scan_id", "code", "path", "message")
+
+
+@query(f"""WITH texts AS (SELECT * FROM {RESULT_TEXTS} x), sound AS (SELECT * FROM texts WHERE json_valid(text))
+SELECT event_id, '' AS path, '{shapes.NO_JSON}' AS message FROM texts WHERE NOT json_valid(text)
+UNION ALL SELECT event_id, unnest(list_filter([CASE WHEN json_exists(text, '$.dossier') THEN NULL ELSE 'dossier' END, CASE WHEN json_exists(text, '$.ocr.tokens[0].lang') THEN NULL ELSE 'ocr.tokens[0].lang' END], lambda x: x IS NOT NULL)), 'missing key' FROM sound
+UNION ALL SELECT event_id, 'extra', 'unknown key' FROM sound WHERE list_contains(json_keys(text), 'extra')
+UNION ALL SELECT event_id, 'total_ms', 'must be a finite number from 0' FROM sound WHERE (text ->> '$.total_ms')::DOUBLE < 0
+UNION ALL SELECT event_id, 'timings_ms.' || json_keys(text, '$.timings_ms')[1], 'not a stage with a time' FROM sound WHERE json_keys(text, '$.timings_ms')[1] <> 's4_ocr'
+UNION ALL SELECT event_id, 'fields.mrp.value', 'must be a string (amounts are text) or null' FROM sound WHERE json_type(text, '$.fields.mrp.value') NOT IN ('VARCHAR', 'NULL')
+UNION ALL SELECT event_id, 'checks[0].status', 'must be PASS, FAIL or NA' FROM sound WHERE text ->> '$.checks[0].status' NOT IN ('PASS', 'FAIL', 'NA')
+UNION ALL SELECT event_id, 'summary.fail', 'fail differs from checks' FROM sound WHERE (text ->> '$.summary.fail')::INT <> CASE WHEN text ->> '$.checks[0].status' = 'FAIL' THEN 1 ELSE 0 END
+UNION ALL SELECT event_id, 'quality.prompts', 'RETRY without error needs a prompt' FROM sound WHERE text ->> '$.verdict' = 'RETRY' AND json_type(text, '$.error') = 'NULL' AND json_array_length(text, '$.quality.prompts') = 0""")
+def result_faults(spark, sf_dir):
+    texts = D.spread(D.table(spark, sf_dir, f"SELECT event_id, text AS value FROM {RESULT_TEXTS} x"))
+    return shapes.result_faults(texts, key="event_id").select(F.col("key").alias("event_id"), "path", "message")

@@ -8,7 +8,7 @@ from labelaudit.plans import queries
 from labelaudit.sources import tables
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["cited_findings", "sync_envelopes", "validate_signature_responses", "validate_sync_summaries", "request_rejects", "valid_requests", "merge_rois", "dataset_stats", "get_scan"]
+NAMES = ["cited_findings", "sync_envelopes", "validate_signature_responses", "validate_sync_summaries", "request_rejects", "valid_requests", "merge_rois", "dataset_stats", "get_scan", "request_faults", "result_faults"]
 
 
 @pytest.fixture(scope="module")
