@@ -78,9 +78,28 @@ def digest_mismatches(requests: DataFrame, digests: DataFrame) -> DataFrame:
     return requests.join(digests, "scan_id").where(F.lower("image_sha256") != F.col("sha256")).select("scan_id", "image_sha256", "sha256")
 
 
-def read_gateway_jdbc(spark: SparkSession, url: str, table: str = "scans", **options: str) -> DataFrame:
-    """The gateway's rows from a SQL store; filters and columns are pushed down."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def gateway_catalog(spark: SparkSession, name: str, url: str, **options: str) -> None:
+    """Register a SQL store as a catalog: its tables are name.schema.table, and filters, limits and aggregates go to the store."""
+    prefix = f"spark.sql.catalog.{name}"
+    spark.conf.set(prefix, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+    for key, value in {"url": url, "pushDownAggregate": "true", "pushDownLimit": "true", **options}.items():
+        spark.conf.set(f"{prefix}.{key}", value)
+
+
+def read_gateway_jdbc(spark: SparkSession, table: str, key: str | None = None, partitions: int | None = None) -> DataFrame:
+    """A table of a catalog made by gateway_catalog, read by as many tasks as partitions says (else one a core).
+
+    key: a numeric, date or timestamp column that is cut into equal ranges between its least and greatest value, which
+    the store works out; without one, or if there is none to be had (no rows, nulls alone), a single task reads all.
+    Rows with a null key are read too, by the first task.
+    """
+    if key is None:
+        return spark.table(table)
+    low, high = spark.table(table).agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return spark.table(table)
+    n = partitions or spark.sparkContext.defaultParallelism
+    return spark.read.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(n)).table(table)
 
 
 def append_ledger(rows: DataFrame, path: str, order: str | None = None) -> None:
