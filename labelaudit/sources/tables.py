@@ -79,7 +79,8 @@ def digest_mismatches(requests: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def gateway_catalog(spark: SparkSession, name: str, url: str, **options: str) -> None:
-    """Register a SQL store as a catalog: its tables are name.schema.table, and filters, limits and aggregates go to the store."""
+    """Register a SQL store as a catalog: its tables are name.schema.table, and filters, aggregates and limits go to the store, as far as
+    Spark's dialect of it has them."""
     prefix = f"spark.sql.catalog.{name}"
     spark.conf.set(prefix, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
     for key, value in {"url": url, "pushDownAggregate": "true", "pushDownLimit": "true", **options}.items():

@@ -39,10 +39,10 @@ def test_no_rows_and_no_key(spark, store):
     assert tables.read_gateway_jdbc(spark, f"{store}.SCANS").count() == 1000
 
 
-def test_the_store_filters_limits_and_counts(spark, store):
+def test_the_store_filters_and_counts(spark, store):
     scans = tables.read_gateway_jdbc(spark, f"{store}.SCANS")
     wanted = scans.where("verdict = 'VIOLATION'")
     assert wanted.count() == 100 and "PushedFilters: [verdict IS NOT NULL, verdict = 'VIOLATION']" in plan(wanted)
-    assert scans.limit(5).count() == 5 and "PushedLimit: LIMIT 5" in plan(scans.limit(5))
+    assert scans.limit(5).count() == 5  # Spark's dialect of Derby has no LIMIT, so this one stays with Spark
     per = scans.groupBy("verdict").count()
     assert {tuple(x) for x in per.collect()} == {("PASS", 900), ("VIOLATION", 100)} and "PushedAggregates: [COUNT(*)]" in plan(per)
