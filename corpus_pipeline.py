@@ -27,7 +27,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike in 0.8 or more of their five-word shingles, the one with the smallest doc_id."""
+    """Of documents alike in 0.8 or more of their five-word shingles, the one with the smallest doc_id.
+
+    Near fingerprints tie most of them; each link is an exact comparison, and pairs whose fingerprints differ are found too.
+    """
     return op10_simhash.one_of_each(docs)
 
 

@@ -129,8 +129,11 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links_of(fps: np.ndarray, radius: int, other: np.ndarray | None = None, tile: int = TILE) -> np.ndarray:
-    """Links within one array, or between two, that connect what is connected: pairs of fingerprints."""
+def links_of(fps: np.ndarray, radius: int, other: np.ndarray | None = None, tile: int = TILE, near: bool = False) -> np.ndarray:
+    """Links within one array, or between two, that connect what is connected: pairs of fingerprints.
+
+    near: pairs that are themselves at most radius bits apart, the first such partner on either side of each fingerprint.
+    """
     both = fps if other is None else np.concatenate([fps, other])
     counts = np.bitwise_count(both).astype(np.int64)
     order = np.argsort(counts, kind="stable")
@@ -151,6 +154,10 @@ def links_of(fps: np.ndarray, radius: int, other: np.ndarray | None = None, tile
             tos.append(b[keep])
     if not froms:
         return np.zeros((0, 2), np.uint64)
+    if near:
+        a, b = np.concatenate(froms), np.concatenate(tos)
+        firsts = np.unique(np.concatenate([np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]]))
+        return np.stack([pool[a[firsts]], pool[b[firsts]]], 1)
     label = connected(len(pool), np.concatenate(froms), np.concatenate(tos))
     at = np.flatnonzero(label != np.arange(len(pool)))
     return np.stack([pool[at], pool[label[at]]], 1)
@@ -163,8 +170,11 @@ def block_keys(nodes: DataFrame, radius: int, blocks: int | None = None) -> Data
     return nodes.select("fp", F.explode(F.array(*parts)).alias("key")).select("key.k", "key.part", "fp")
 
 
-def links(keyed: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """Links (a, b) between fingerprints of one group (k, part), enough to connect all at most radius bits apart."""
+def links(keyed: DataFrame, radius: int = RADIUS, group: int = GROUP, near: bool = False) -> DataFrame:
+    """Links (a, b) between fingerprints of one group (k, part), enough to connect all at most radius bits apart.
+
+    near: see links_of.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     large = keyed.groupBy("k", "part").count().where(F.col("count") > group)
     keyed = keyed.join(large, ["k", "part"], "left")
@@ -173,7 +183,7 @@ def links(keyed: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFra
 
     def found(one: pa.Array, two: pa.Array | None = None) -> np.ndarray:
         a, b = (None if x is None else x.to_numpy().view(np.uint64) for x in (one, two))
-        return links_of(a, radius, b)
+        return links_of(a, radius, b, near=near)
 
     def rows_of(pairs: list[np.ndarray]) -> pa.RecordBatch:
         both = np.concatenate([np.zeros((0, 2), np.uint64), *pairs])
@@ -192,11 +202,11 @@ def links(keyed: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFra
         .agg(F.collect_list("fp").alias("fps"))
     )
     left, right = tiled.alias("l"), tiled.alias("r")
-    near = (F.col("l.k") == F.col("r.k")) & (F.col("l.part") == F.col("r.part"))
-    near &= F.col("r.ones").between(F.col("l.ones"), F.col("l.ones") + radius)
-    near &= (F.col("l.ones") < F.col("r.ones")) | (F.col("l.sub") <= F.col("r.sub"))
+    meet = (F.col("l.k") == F.col("r.k")) & (F.col("l.part") == F.col("r.part"))
+    meet &= F.col("r.ones").between(F.col("l.ones"), F.col("l.ones") + radius)
+    meet &= (F.col("l.ones") < F.col("r.ones")) | (F.col("l.sub") <= F.col("r.sub"))
     same = (F.col("l.ones") == F.col("r.ones")) & (F.col("l.sub") == F.col("r.sub"))
-    pairs = left.join(right, near).select(F.col("l.fps").alias("one"), F.when(~same, F.col("r.fps")).alias("two"))
+    pairs = left.join(right, meet).select(F.col("l.fps").alias("one"), F.when(~same, F.col("r.fps")).alias("two"))
 
     def between(batches):
         for rows in batches:
@@ -335,20 +345,34 @@ def near_pairs_of(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle:
     return stored(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), f"{work}/near-pairs")
 
 
+def fingerprint_pairs(nodes: DataFrame, work: str, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints fp are at most radius bits apart: of each fingerprint its first node.
+
+    All other nodes of a fingerprint are paired with its first.
+    """
+    named = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead")), f"{work}/fingerprints")
+    first = lambda fp, c: named.select(F.col("fp").alias(fp), F.col("lead").alias(c))
+    apart = links(block_keys(named.select("fp"), radius), radius, near=True).join(first("a", "x"), "a").join(first("b", "y"), "b").select("x", "y")
+    alike = nodes.select("node", "fp").join(named, "fp").where("node != lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
+    return apart.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def copy_roots(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """For each row of docs doc_id, t (hash of its text) and same (hash of its set of shingles); and the root of each same.
 
     Roots are equal for texts tied by links: sets of five-word shingles that overlap in 0.8 or more. Every such pair is
-    found, and a link is a comparison of whole sets. Shingles have one order in all texts (frequent ones last, then by
-    hash); two sets alike in 0.8 have a common shingle within the first fifth of each. Candidates are the pairs with such
-    a shingle whose sizes and places of it don't rule 0.8 out. First each text meets the next and the first one with the
-    same shingle, which ties large groups; then all pairs that are not tied yet.
+    found, and a link is a comparison of whole sets. Candidates are first the pairs whose fingerprints, of the shingles in
+    their sets, are at most RADIUS bits apart. Sets alike in 0.8 may be further apart than that; these share a shingle.
+    Shingles have one order in all texts (frequent ones last, then by hash); two sets alike in 0.8 have a common shingle
+    within the first fifth of each. Candidates are the pairs with such a shingle whose sizes and places of it don't rule
+    0.8 out. Of those that fingerprints haven't tied, first each text meets the next and the first one with the same
+    shingle, which ties large groups; then all pairs that are not tied yet.
     """
     tune(docs.sparkSession)
     work = f"near-copies-{uuid.uuid4().hex}"  # tables that only the search itself reads
     texts = text_frame(docs).withColumn("text", F.coalesce("text", F.lit("")))
     late = frequent_shingles(texts, shingle, seed)
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.string()), ("same", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.string()), ("same", pa.binary()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.binary())])
 
     def run(batches):
         for rows, buf, offs in text_chunks(batches, CHUNK_BYTES):
@@ -360,13 +384,16 @@ def copy_roots(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED) -
             first = prefix_lengths(n)
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(distinct[gather(cuts[:-1], first)].view(np.int64)))
             counts = [x.tobytes() for x in range_counts(distinct, cuts)]
-            yield batch(schema, rows.column("doc_id"), rows.column("t"), same, n, keys, counts)
+            yield batch(schema, rows.column("doc_id"), rows.column("t"), same, n, bit_majority(whole, ends).view(np.int64), keys, counts)
 
-    drawn = texts.withColumn("t", F.md5("text")).mapInArrow(run, "doc_id long, t string, same binary, n long, keys array<long>, counts binary")
+    drawn = texts.withColumn("t", F.md5("text")).mapInArrow(run, "doc_id long, t string, same binary, n long, fp long, keys array<long>, counts binary")
     prints = stored(drawn, "prints")
-    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("t", "n", "keys", "counts")).alias("s"))
+    nodes = prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("t", "n", "fp", "keys", "counts")).alias("s"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "first", "s.*"), f"{work}/nodes")
 
+    close = near_pairs_of(fingerprint_pairs(nodes, work), texts, nodes, shingle, seed, work)
+    tied = components(close, f"{work}/components")
+
     keyed = nodes.select("node", "first", "n", F.posexplode("keys").alias("i", "h"))
     group = Window.partitionBy("h").orderBy("first", "node")
     member = F.struct("node", "n", "i")
@@ -374,8 +401,11 @@ def copy_roots(docs: DataFrame, shingle: int = COPY_SHINGLE, seed: int = SEED) -
     shared = stored(beside.where("next is not null or hub.node != node").select("h", member.alias("one"), "next", "hub"), f"{work}/shared-shingles")
     ordered = [F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")]
     met = shared.select("one", F.explode(F.array("next", "hub")).alias("two")).where("two is not null and one.node != two.node")
-    met = stored(met.where(may_be_near("one", "two")).select(*ordered).distinct(), f"{work}/met")
-    near = near_pairs_of(met, texts, nodes, shingle, seed, work)
+    met = met.where(may_be_near("one", "two")).select(*ordered).distinct()
+    of = lambda c: tied.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = ~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))
+    met = stored(met.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b"), f"{work}/met")
+    near = close.unionByName(near_pairs_of(met, texts, nodes, shingle, seed, work))
     roots = components(near, f"{work}/components")
     placed = shared.select("h", "one", F.col("one.node").alias("node")).join(roots, "node", "left").select("h", "one", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")

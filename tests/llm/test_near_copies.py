@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+import corpus_pipeline
 from labelaudit.llm import op10_simhash
 
 
@@ -70,3 +73,30 @@ def test_repeats_within_a_text_do_not_count(spark):
 def test_equal_fingerprints_are_not_enough(spark):
     # "a a a a a" has most shingles of the second text, so its fingerprint, but half of its set
     assert found(spark, [(0, "a a a a a"), (1, "a a a a a a b"), (2, "a A a a a a b")]) == {0: 0, 1: 1, 2: 1}
+
+
+def test_the_stage_compares_fingerprints_first(spark, monkeypatch):
+    base = [f"w{k}" for k in range(400)]
+    texts = [base, [*base[:399], "other"], [f"v{k}" for k in range(400)], [f"u{k}" for k in range(6)], [*(f"u{k}" for k in range(5)), "end"]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    pairs, compared = op10_simhash.fingerprint_pairs, []
+
+    def kept(nodes, work, radius=op10_simhash.RADIUS):
+        rows = nodes.select("node", "first", "fp").collect()
+        found = pairs(nodes, work, radius)
+        doc, fp = ({r["node"]: r[c] for r in rows} for c in ("first", "fp"))
+        for r in found.collect():
+            assert ((fp[r["a"]] ^ fp[r["b"]]) & (1 << 64) - 1).bit_count() <= radius
+            compared.append(tuple(sorted((doc[r["a"]], doc[r["b"]]))))
+        return found
+
+    monkeypatch.setattr(op10_simhash, "fingerprint_pairs", kept)
+    left = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 2, 3, 4]
+    assert (0, 1) in compared
+
+
+def test_near_links_are_near():
+    fps = np.array([0, 0b1111, 0b11111111, 1 << 63], np.uint64)
+    found = {tuple(sorted(map(int, p))) for p in op10_simhash.links_of(fps, 4, near=True)}
+    assert found == {(0, 15), (15, 255), (0, 1 << 63)}
