@@ -149,9 +149,12 @@ def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     frames = requests.select("scan_id", F.col("roi_frame.w").alias("frame_w"), F.col("roi_frame.h").alias("frame_h"), "roi_boxes")
     boxes = geometry.roi_box_error(frames.schema["roi_boxes"].dataType, F.col("roi_boxes"), F.col("roi_frame.w"), F.col("roi_frame.h"))
-    code, message = F.when(boxes.isNotNull(), "BAD_REQUEST"), F.concat(F.lit("roi_boxes: "), boxes)
+    said = lambda kind, text: F.struct(F.lit(kind).alias("code"), text.alias("message"))
+    problem = F.when(boxes.isNotNull(), said("BAD_REQUEST", F.concat(F.lit("roi_boxes: "), boxes)))
     for broken, kind, text in reversed(request_rules(requests)):
-        code, message = F.when(F.coalesce(broken, F.lit(False)), kind).otherwise(code), F.when(F.coalesce(broken, F.lit(False)), text).otherwise(message)
-    judged = requests.withColumn("problem", F.struct(code.alias("code"), message.alias("message")))
+        problem = F.when(F.coalesce(broken, F.lit(False)), said(kind, F.lit(text))).otherwise(problem)
+    made = F.struct(*requests.columns, problem.alias("problem"))
+    # a list of one, taken apart again: filters on the problem aren't pushed below it, where they'd work every law out once more
+    judged = requests.select(F.explode_outer(F.array(made)).alias("m")).select("m.*")
     rejects = judged.where("problem.code is not null").select("scan_id", "problem.code", "problem.message", F.lit("validate").alias("stage"))
     return judged.where("problem.code is null").drop("problem"), rejects

@@ -119,10 +119,11 @@ FROM {events}
 """
 
 
-def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The derived table over parquet files of sf_dir."""
+def table(spark: SparkSession, sf_dir: str, sql: str, even: bool = False) -> DataFrame:
+    """The derived table over parquet files of sf_dir; even: their rows are dealt evenly before the SQL (see spread)."""
     names = [n for n in ("part", "events", "supplier", "nation", "lineitem", "orders", "customer", "documents", "labels", "pages", "embeddings", "benchmark") if "{" + n + "}" in sql]
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    return spark.sql(sql, **{n: spread(read(n), TASK_ROWS) if even else read(n) for n in names})
 
 
 def oracle(sql: str) -> str:
@@ -132,12 +133,19 @@ def oracle(sql: str) -> str:
     return sql
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its files give fewer partitions than that: rows are short, the work on each is not.
+#: Rows of a task where the work on each row is long: a task's time stays the same as tables grow.
+TASK_ROWS = 20_000
 
-    Tables of many files are left as they are, so this moves nothing at scale.
+
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df over all cores if its files give fewer partitions than that; rows: dealt evenly in tasks of about so many.
+
+    The latter is for long work on short rows: files of few row groups would leave it to a few tasks, whatever the number
+    of their partitions. Without rows, tables of many files are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        return df.repartition(max(cores, -(-df.count() // rows)))
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

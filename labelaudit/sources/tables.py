@@ -36,6 +36,15 @@ def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataF
     return read_json(spark, path, REQUEST, stream)
 
 
+def parsed_requests(texts: DataFrame, column: str) -> DataFrame:
+    """The columns of REQUEST out of JSON texts.
+
+    A list of one, taken apart again: what is asked of the columns isn't pushed below it, where each mention would read the text once more.
+    """
+    read = F.from_json(column, REQUEST, {"columnNameOfCorruptRecord": "_corrupt"})
+    return texts.select(F.explode_outer(F.array(read)).alias("r")).select("r.*")
+
+
 def read_envelopes(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return read_json(spark, path, ENVELOPE, stream)
 
