@@ -1,7 +1,8 @@
 """Laws on raw JSON documents, key by key, in `variant`: what is missing, unknown or of a wrong type, at any depth.
 
 A law takes a value (SQL null: its key is absent) and its path and gives the faults there, in order, as an array of
-(path, message); laws of objects, lists and maps are made of those of their parts. A document's faults are thus one
+(path, message); laws of objects, lists and maps are made of those of their parts. What stands at a fixed place of the
+document is read by its place, without a lambda: Spark compiles such laws and only interprets those inside lists and maps. A document's faults are thus one
 projection of its row: nothing is shuffled and no schema is forced on the text before it has been judged. JSON tells
 12 from 12.0 and true from "true", and so do the laws. Text that isn't JSON, or has a key twice, is one fault.
 """
@@ -19,14 +20,18 @@ from labelaudit.operators import contract, geometry
 from labelaudit.sources import tables
 
 VARIANT_MAP, VARIANTS = "map<string,variant>", "array<variant>"
+#: The same without what they hold: lists of lists don't occur, and scalars that aren't lists are null at no cost.
+KEYS, MEMBERS = "map<string,array<array<array<boolean>>>>", "array<array<array<boolean>>>"
+MISSING = "missing key"
 NOTHING = "cast(array() as array<struct<path:string,message:string>>)"
 NO_JSON = "not a JSON document"
-#: From SQL of a value and of its path to SQL of its faults: text, since a law has thousands of nodes and Spark parses
+#: From SQL of a value and of its path, and whether a value that isn't there is a missing key, to SQL of its faults: text, since a law has thousands of nodes and Spark parses
 #: them in a moment, but building them one by one as columns takes many seconds.
-Law = Callable[[str, str], str]
+Law = Callable[..., str]
 #: What a value must be, as SQL of its kind {k} and itself {v}, and what is said if it isn't.
 Test = tuple[str, str]
 numbers = itertools.count()
+AT = "try_variant_get(doc, "
 
 STRING, FLAG, WHOLE = "{k} = 'STRING'", "{k} = 'BOOLEAN'", "{k} = 'BIGINT'"
 TEXT_OF, NUMBER_OF = "try_variant_get({v}, '$', 'string')", "try_variant_get({v}, '$', 'double')"
@@ -57,17 +62,25 @@ def under(path: str, key: str) -> str:
     return quoted(f"{path[1:-1]}.{key[1:-1]}") if path[0] == key[0] == "'" else f"concat({path}, '.', {key})"
 
 
+def place_of(v: str) -> str | None:
+    """The place in doc that SQL of a value reads, as in '$.quality'; null if it's a variable of a lambda or part of one."""
+    if v == "doc":
+        return "$"
+    return v.removeprefix(AT).removesuffix(", 'variant')")[1:-1] if v.startswith(AT) else None
+
+
 def value(*tests: Test, null: bool = False, absent: bool = False) -> Law:
     """A value that passes all tests; the first that it fails answers.
 
     null: JSON's null is fine; absent: so is a key that isn't there.
     """
 
-    def law(v: str, path: str) -> str:
+    def law(v: str, path: str, missing: bool = False) -> str:
         first = quoted(tests[0][1])
         failed = " ".join(f"when not coalesce({fine.format(k=f'schema_of_variant({v})', v=v)}, false) then {quoted(message)}" for fine, message in tests)
-        said = f"case when {v} is null then {'null' if absent else first} when is_variant_null({v}) then {'null' if null else first} {failed} end"
-        return f"filter(array(named_struct('path', {path}, 'message', {said})), {lambda_of(lambda x: f'{x}.message is not null')})"
+        gone = quoted(MISSING) if missing else "null" if absent else first
+        said = f"case when {v} is null then {gone} when is_variant_null({v}) then {'null' if null else first} {failed} end"
+        return f"if({said} is null, {NOTHING}, array(named_struct('path', {path}, 'message', {said})))"
 
     return law
 
@@ -93,12 +106,20 @@ def box(message: str, **free: bool) -> Law:
     return value((f"size({parts}) = 4 and forall({parts}, e -> schema_of_variant(e) = 'BIGINT') and {signs}", message), **free)
 
 
-def held(kind: str, message: str, inside: Callable[[str, str], str], null: bool, absent: bool) -> Law:
-    """A map or list of variants, judged inside if it is one."""
+def held(kind: str, message: str, inside: Callable[[str, str, str], str], null: bool, absent: bool, named: bool = False) -> Law:
+    """A map or list of variants, judged inside (itself, as one value, its path) if it is one; named: as a variable of a lambda."""
 
-    def law(v: str, path: str) -> str:
+    def law(v: str, path: str, missing: bool = False) -> str:
         free = " or ".join(["false", *([f"{v} is null"] if absent else []), *([f"coalesce(is_variant_null({v}), false)"] if null else [])])
-        opened = lambda m: f"if({m} is not null, {inside(m, path)}, {fault(f'not ({free})', path, message)})"
+        odd = fault(f"not ({free})", path, message)
+        if missing:
+            odd = f"if({v} is null, {fault('true', path, MISSING)}, {odd})"
+        opened = lambda m: f"if({m} is not null, {inside(m, v, path)}, {odd})"
+        at = place_of(v)
+        if at and not named:
+            # what it is and which keys it has: its parts are read by their places, and copies of them cost much
+            known = f"{AT}'{at}', '{KEYS if kind == VARIANT_MAP else MEMBERS}')"
+            return f"if({known} is not null, {inside(known if kind == VARIANT_MAP else f"{AT}'{at}', '{kind}')", v, path)}, {odd})"
         return f"get(transform(array(try_variant_get({v}, '$', '{kind}')), {lambda_of(opened)}), 0)"
 
     return law
@@ -107,15 +128,15 @@ def held(kind: str, message: str, inside: Callable[[str, str], str], null: bool,
 def record(parts: dict[str, Law], exact: bool = True, null: bool = False, absent: bool = False, message: str = "must be an object") -> Law:
     """An object: an exact one has all of its keys and no other; of any other one, keys without a law are let through."""
 
-    def inside(m: str, path: str) -> str:
-        found = [NOTHING]
+    def inside(m: str, v: str, path: str) -> str:
+        found, place = [NOTHING], place_of(v)
         if exact and parts:
             row = lambda k: f"named_struct('path', {under(path, k)}, 'message', 'unknown key')"
-            unknown = f"filter(array_sort(map_keys({m})), {lambda_of(lambda k: f'{k} not in ({listing(tuple(parts))})')})"
-            found.append(f"transform({unknown}, {lambda_of(row)})")
+            unknown = f"array_except(map_keys({m}), array({listing(tuple(parts))}))"
+            found.append(f"if(size({unknown}) = 0, {NOTHING}, transform(sort_array({unknown}), {lambda_of(row)}))")
         for key, law in parts.items():
-            at, v = under(path, quoted(key)), f"{m}['{key}']"
-            found.append(f"if({v} is null, {fault('true', at, 'missing key')}, {law(v, at)})" if exact else law(v, at))
+            at, w = under(path, quoted(key)), f"{AT}'{place}.{key}', 'variant')" if place else f"{m}['{key}']"
+            found.append(law(w, at, missing=exact))
         return f"concat({', '.join(found)})"
 
     return held(VARIANT_MAP, message, inside, null, absent)
@@ -124,7 +145,7 @@ def record(parts: dict[str, Law], exact: bool = True, null: bool = False, absent
 def listed(each: Law, message: str = "must be a list", filled: bool = False, null: bool = False, absent: bool = False) -> Law:
     """A list whose members all keep one law; filled: not an empty one."""
 
-    def inside(items: str, path: str) -> str:
+    def inside(items: str, v: str, path: str) -> str:
         member = lambda x, k: each(x, f"concat({path}, '[', string({k}), ']')")
         found = f"flatten(transform({items}, {lambda_of(member, 2)}))"
         return f"if(size({items}) = 0, {fault('true', path, message)}, {found})" if filled else found
@@ -135,7 +156,7 @@ def listed(each: Law, message: str = "must be a list", filled: bool = False, nul
 def mapped(each: Law, keys: tuple[str, ...] | None = None, unknown: str = "unknown key") -> Law:
     """An object of any keys, or of some of those given, whose values all keep one law."""
 
-    def inside(m: str, path: str) -> str:
+    def inside(m: str, v: str, path: str) -> str:
         def entry(k: str) -> str:
             at = under(path, k)
             strange = fault(f"{k} not in ({listing(keys)})", at, unknown) if keys else NOTHING
@@ -143,7 +164,7 @@ def mapped(each: Law, keys: tuple[str, ...] | None = None, unknown: str = "unkno
 
         return f"flatten(transform(array_sort(map_keys({m})), {lambda_of(entry)}))"
 
-    return held(VARIANT_MAP, "must be an object", inside, False, False)
+    return held(VARIANT_MAP, "must be an object", inside, False, False, named=True)
 
 
 # ---- requests ----------------------------------------------------------------------------------------------------
@@ -287,4 +308,6 @@ def result_faults(results: DataFrame, column: str = "value", key: str | None = N
     judged = with_faults(results.select(column, F.col(key).alias("key")) if key else results.select(column), result_law(), column)
     judged = judged if key else judged.withColumn("key", F.expr(of("scan_id", "string")))
     more = F.expr(f"concat({', '.join(fault(broken, quoted(path), message) for path, broken, message in across)})")
-    return judged.select("key", F.posexplode_outer(F.concat("faults", more)).alias("ord", "f")).where("f is not null").select("key", "ord", "f.path", "f.message")
+    # a column of its own: what stands inside the explosion is interpreted
+    judged = judged.select("key", F.concat("faults", more).alias("all"))
+    return judged.select("key", F.posexplode_outer("all").alias("ord", "f")).where("f is not null").select("key", "ord", "f.path", "f.message")

@@ -133,3 +133,8 @@ def test_laws_shuffle_nothing(spark):
     texts = spark.createDataFrame([(json.dumps(RESULT),)], "value string")
     plan = shapes.result_faults(texts)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_what_stands_at_a_fixed_place_is_read_without_a_lambda():
+    for law, place in ((shapes.request_law(), "$.geometry.mm_per_px"), (shapes.result_law(), "$.dossier.sig_status")):
+        assert f"try_variant_get(doc, '{place}', 'variant')" in law("doc", "''")
