@@ -17,3 +17,8 @@ def test_a_request_is_read_and_judged_once(spark):
         plan = part.select("scan_id")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1
         assert all("CASE" not in line and "exists" not in line for line in plan.split("\n") if "Filter" in line)
+
+
+def test_findings_are_worked_out_once(spark):
+    plan = queries.validate_results(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" not in plan
