@@ -122,6 +122,8 @@ ANCHORS = {
     "origin": (r"country\s+of\s+origin", r"\borigin\b", r"\bmade\s+in\b", r"\bproduct\s+of\b", r"\bassembled\s+in\b"),
     "consumer_care": (r"consumer\s*(?:care|complaint|service|relation|grievance)", r"customer\s*(?:care|complaint|service)", r"grievance\s+officer", r"\bhelpline\b", r"toll\s*free"),
 }
+#: The letters that the anchors of a field begin with; nowhere else in a text are they looked for.
+ANCHOR_LETTERS = {"net_qty": "nq", "mrp": "m", "usp": "u", "mfg_date": "mpd", "mfg_address": "mip", "origin": "compa", "consumer_care": "cght"}
 #: Distances in heights of the anchor, overlaps as shares, counts.
 SAME_LINE_GAP, LINE_OVERLAP, RIGHT_SLACK, BELOW_GAP, BELOW_OVERLAP = 2.0, 0.4, 0.3, 1.5, 0.2
 PARAGRAPH_GAP, PARAGRAPH_OVERLAP, PARAGRAPH_LINES = 2.2, 0.15, 12

@@ -7,6 +7,7 @@ for rows that can need it.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from labelaudit.functions import fixed_values as V
 
+#: Words of printable ASCII with single spaces between them: squash leaves such a text as it is. Possessive, so that long texts need no stack.
+PLAIN = r"\A[!-~]++(?: [!-~]++)*+\z"
 #: Below U+0300 every text is in composed form already; the rupee signs are too.
 MAY_NEED_NFC = r"[^\u0000-˿₨₹]"
 
@@ -23,6 +26,16 @@ def pattern(text: str) -> str:
     return V.FLAGS + text
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once; within lambdas Spark works out every mention of a value anew."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def first(text: Column, regex: str, group: int = 0) -> Column:
+    """As found, for use within lambdas, where nullif would search twice."""
+    return once(F.regexp_extract(text, pattern(regex), group), lambda x: F.when(x != "", x))
+
+
 def found(text: Column, regex: str, group: int = 0) -> Column:
     """The group of the first match; null if there is none or it is empty."""
     return F.nullif(F.regexp_extract(text, pattern(regex), group), F.lit(""))
@@ -65,10 +78,16 @@ def nfc_tokens(df: DataFrame, tokens: str) -> DataFrame:
     return df.where(~odd).unionByName(changed)
 
 
+def squashed(text: Column) -> Column:
+    """As squash, but nothing is an empty text."""
+    out = F.replace(F.replace(F.replace(text, F.lit("²"), F.lit("2")), F.lit("³"), F.lit("3")), F.lit("₨"), F.lit("Rs"))
+    whole = F.trim(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f ]+", " "))
+    return F.when(text.rlike(PLAIN), text).otherwise(whole)
+
+
 def squash(text: Column) -> Column:
     """Superscripts to digits, the old rupee sign to letters, white space to single spaces; null or nothing is null."""
-    out = F.replace(F.replace(F.replace(text, F.lit("²"), F.lit("2")), F.lit("³"), F.lit("3")), F.lit("₨"), F.lit("Rs"))
-    return F.nullif(F.trim(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f ]+", " ")), F.lit(""))
+    return F.nullif(squashed(text), F.lit(""))
 
 
 def number_text(text: Column) -> Column:
@@ -89,14 +108,14 @@ def unit_of(raw: Column) -> Column:
 
 def quantity(text: Column) -> Column:
     """struct(digits, value, unit, raw_unit) of the first quantity."""
-    digits, raw = found(text, V.QUANTITY, 1), F.lower(found(text, V.QUANTITY, 2))
-    fields = F.struct(number_text(digits).alias("digits"), to_decimal(digits).alias("value"), unit_of(raw).alias("unit"), raw.alias("raw_unit"))
-    return F.when(digits.isNotNull(), fields)
+    digits, raw = F.regexp_extract(text, pattern(V.QUANTITY), 1), F.lower(F.regexp_extract(text, pattern(V.QUANTITY), 2))
+    fields = lambda m: F.struct(number_text(m["digits"]).alias("digits"), to_decimal(m["digits"]).alias("value"), unit_of(m["raw"]).alias("unit"), m["raw"].alias("raw_unit"))
+    return once(F.struct(digits.alias("digits"), raw.alias("raw")), lambda m: F.when(m["digits"] != "", fields(m)))
 
 
 def money_digits(text: Column) -> Column:
     """Digits of the first amount with a currency mark."""
-    return number_text(found(text, V.MONEY, 1))
+    return number_text(first(text, V.MONEY, 1))
 
 
 def money(text: Column) -> Column:
@@ -108,8 +127,8 @@ def money_lenient_digits(text: Column) -> Column:
     tail = F.regexp_extract(text, pattern(V.PRICE_WORD) + r"(.*)$", 1)
     tail = F.regexp_extract(tail, pattern(r"^(.*?)(?:" + V.PRICE_TAIL_STOP + r"|$)"), 1)
     amounts = F.regexp_extract_all(tail, F.lit(pattern("(" + V.BARE_AMOUNT + ")")), F.lit(1))
-    exact = F.filter(amounts, lambda x: x.rlike(r"^[0-9]+\.[0-9]{2}$"))
-    bare = F.coalesce(F.get(exact, F.lit(0)), F.get(amounts, F.lit(0)))
+    exact = lambda found: F.filter(found, lambda x: x.rlike(r"^[0-9]+\.[0-9]{2}$"))
+    bare = once(amounts, lambda x: F.coalesce(F.get(exact(x), F.lit(0)), F.get(x, F.lit(0))))
     return F.coalesce(money_digits(text), F.when(has(text, V.PRICE_WORD), number_text(bare)))
 
 
@@ -119,21 +138,30 @@ def money_lenient(text: Column) -> Column:
 
 def unit_price(text: Column) -> Column:
     """struct(digits, value, unit) of the first price per unit."""
-    digits, raw = found(text, V.UNIT_PRICE, 1), found(text, V.UNIT_PRICE, 2)
-    return F.when(digits.isNotNull(), F.struct(number_text(digits).alias("digits"), to_decimal(digits).alias("value"), unit_of(raw).alias("unit")))
+    digits, raw = F.regexp_extract(text, pattern(V.UNIT_PRICE), 1), F.regexp_extract(text, pattern(V.UNIT_PRICE), 2)
+    fields = lambda m: F.struct(number_text(m["digits"]).alias("digits"), to_decimal(m["digits"]).alias("value"), unit_of(m["raw"]).alias("unit"))
+    return once(F.struct(digits.alias("digits"), raw.alias("raw")), lambda m: F.when(m["digits"] != "", fields(m)))
 
 
 def month(text: Column) -> Column:
     """First of the declared month; the first form that matches decides, even if it is no date."""
-    whole = lambda regex, group: found(text, regex, group).cast("int")
-    a, b, year = (whole(V.DAY_MONTH_YEAR, k) for k in (1, 2, 3))
-    day_first = F.when((a > 12) & (b <= 12), b).when((b > 12) & (a <= 12), a).otherwise(b)
-    word = F.lower(F.substring(found(text, V.NAMED_MONTH_YEAR, 1), 1, 3))
-    named = lookup({m: k for k, m in enumerate(V.MONTHS, 1)}, word)
-    number = F.when(year.isNotNull(), day_first).when(whole(V.MONTH_YEAR, 2).isNotNull(), whole(V.MONTH_YEAR, 1)).otherwise(named)
-    of_year = F.coalesce(year, whole(V.MONTH_YEAR, 2), whole(V.NAMED_MONTH_YEAR, 2))
-    fine = number.between(1, 12) & of_year.between(*V.YEARS)
-    return F.when(fine, F.make_date(of_year, number, F.lit(1)))
+    forms = ((V.DAY_MONTH_YEAR, 3), (V.MONTH_YEAR, 2), (V.NAMED_MONTH_YEAR, 2))
+    groups = lambda regex, n: F.array(*[F.regexp_extract(text, pattern(regex), k) for k in range(1, n + 1)])
+    whole = lambda x: F.nullif(x, F.lit("")).cast("int")
+
+    def day_first(m: Column) -> Column:
+        a, b = whole(m[0]), whole(m[1])
+        return F.when((a > 12) & (b <= 12), b).when((b > 12) & (a <= 12), a).otherwise(b)
+
+    def named(m: Column) -> Column:
+        return lookup({m: k for k, m in enumerate(V.MONTHS, 1)}, F.lower(F.substring(m[0], 1, 3)))
+
+    def date(number: Column, year: Column) -> Column:
+        return once(F.struct(number.alias("number"), year.alias("year")), lambda x: F.when(x["number"].between(1, 12) & x["year"].between(*V.YEARS), F.make_date(x["year"], x["number"], F.lit(1))))
+
+    last = once(groups(*forms[2]), lambda m: date(named(m), whole(m[1])))
+    later = once(groups(*forms[1]), lambda m: F.when(m[1] != "", date(whole(m[0]), whole(m[1]))).otherwise(last))
+    return once(groups(*forms[0]), lambda m: F.when(m[2] != "", date(day_first(m), whole(m[2]))).otherwise(later))
 
 
 def prohibited_hits(text: Column) -> Column:
@@ -221,6 +249,11 @@ def pin_zone(*texts: Column) -> Column:
     return F.coalesce(lookup(V.PIN_ZONES, digit), F.concat(F.lit("PIN zone "), digit))
 
 
+def lettered(text: Column, least: int) -> Column:
+    """Whether a text has so many letters at least."""
+    return F.coalesce(text.rlike(rf"(?:\P{{L}}*+\p{{L}}){{{least}}}"), F.lit(False))
+
+
 def letters(text: Column) -> Column:
     """How many letters a text has."""
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\P{L}", ""))

@@ -41,7 +41,7 @@ def overlap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
 
 def specs_of(text: Column) -> Column:
     """Places in SPECS of the vocabularies that a text meets."""
-    hits = [F.when(reduce(lambda a, b: a | b, [T.has(text, p) for p in V.ANCHORS[s]]), F.lit(k)) for k, s in enumerate(SPECS)]
+    hits = [F.when(T.has(text, f"(?=[{V.ANCHOR_LETTERS[s]}])(?:{'|'.join(V.ANCHORS[s])})"), F.lit(k)) for k, s in enumerate(SPECS)]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
@@ -118,36 +118,42 @@ def regions_of(boxes: Column, a: Column, spec: Column) -> Column:
 
 def accepted(spec: Column, text: Column) -> Column:
     """Whether a region's text holds what the field needs."""
-    norm = T.squash(text)
-    typed = {"net_qty": T.quantity(norm), "mrp": T.money_lenient(norm), "usp": T.unit_price(norm), "mfg_date": T.month(norm)}
-    fits = (F.length(F.trim(text)) >= V.LEAST_TEXT) & (T.letters(F.trim(text)) >= V.LEAST_LETTERS)
-    out = None
-    for name, value in typed.items():
-        cond = spec == SPECS.index(name)
-        out = F.when(cond, value.isNotNull()) if out is None else out.when(cond, value.isNotNull())
-    return F.coalesce(out.otherwise(fits), F.lit(False))
+    typed = {"net_qty": lambda x: T.has(x, V.QUANTITY), "mrp": lambda x: T.money_lenient(x).isNotNull(), "usp": lambda x: T.has(x, V.UNIT_PRICE), "mfg_date": lambda x: T.month(x).isNotNull()}
+    fits = (F.length(F.trim(text)) >= V.LEAST_TEXT) & T.lettered(text, V.LEAST_LETTERS)
+
+    def holds(norm: Column) -> Column:
+        return reduce(lambda out, name: out.when(spec == SPECS.index(name), typed[name](norm)), typed, F.when(F.lit(False), F.lit(False)))
+
+    return F.coalesce(F.when(spec.isin(*map(SPECS.index, typed)), T.once(T.squashed(text), holds)).otherwise(fits), F.lit(False))
 
 
 def taken_of(read: Column, r: Column) -> Column:
-    """A region's text in reading order, its box and least confidence, from its members."""
+    """TAKEN of a region: its text in reading order, its box and least confidence, from its members."""
     by_spec = F.element_at(F.array(*[F.lit(s) for s in SPECS]), r["spec"] + 1)
-    of = lambda c: F.transform(r["members"], lambda t: t[c])
-    return F.struct(
-        by_spec.alias("field"), F.array_join(of("text"), " ").alias("raw"), F.array_min(of("x")).alias("x"), F.array_min(of("y")).alias("y"), F.array_max(of("x2")).alias("x2"),
-        F.array_max(of("y2")).alias("y2"), F.bround(F.array_min(of("conf")), 3).alias("conf"), r["places"].alias("places"),
-    )
 
+    def taken(members: Column) -> Column:
+        of = lambda c: F.transform(members, lambda t: t[c])
+        return F.struct(
+            by_spec.alias("field"), F.array_join(of("text"), " ").alias("raw"), F.array_min(of("x")).alias("x"), F.array_min(of("y")).alias("y"), F.array_max(of("x2")).alias("x2"),
+            F.array_max(of("y2")).alias("y2"), F.bround(F.array_min(of("conf")), 3).alias("conf"), r["places"].alias("places"),
+        ).cast(TAKEN)
+
+    return T.once(F.transform(F.sort_array(r["places"]), lambda place: F.get(read, place)), taken)
 
-def chosen(regions: Column) -> Column:
-    """The first acceptable region of each field, in order of field and anchor; an anchor serves one field."""
-    start = F.struct(empty("string").alias("done"), empty("int").alias("used"), empty(TAKEN).alias("picked"))
 
-    def step(s: Column, c: Column) -> Column:
-        take = ~F.array_contains(s["done"], c["t"]["field"]) & ~F.array_contains(s["used"], c["anchor"])
-        more = F.struct(F.concat(s["done"], F.array(c["t"]["field"])).alias("done"), F.concat(s["used"], F.array(c["anchor"])).alias("used"), F.concat(s["picked"], F.array(c["t"])).alias("picked"))
-        return F.when(take, more).otherwise(s)
+def chosen(read: Column, regions: Column) -> Column:
+    """The first acceptable region of each field, in order of field and anchor; an anchor serves one field.
 
-    return F.aggregate(regions, start, step, lambda s: s["picked"])
+    Regions of a field that is found, or of an anchor that serves one, aren't read.
+    """
+
+    def step(picked: Column, r: Column) -> Column:
+        over = F.exists(picked, lambda p: (p["spec"] == r["spec"]) | (p["anchor"] == r["anchor"]))
+        here = F.struct(r["spec"].alias("spec"), r["anchor"].alias("anchor"), taken_of(read, r).alias("t"))
+        return F.when(over, picked).otherwise(F.concat(picked, F.filter(F.array(here), lambda p: accepted(p["spec"], p["t"]["raw"]))))
+
+    picked = F.aggregate(regions, empty(f"struct<spec:int,anchor:int,t:{TAKEN}>"), step)
+    return F.transform(picked, lambda p: p["t"])
 
 
 def lone(t: Column, field: str) -> Column:
@@ -163,14 +169,20 @@ def name_rank(t: Column, top: Column, bottom: Column) -> Column:
 
 def decoded(f: Column, mm_per_px: Column) -> Column:
     """FIELD of a chosen region."""
-    norm = T.squash(f["raw"])
-    qty, price, height = T.quantity(norm), T.unit_price(norm), f["y2"] - f["y"]
-    value = F.when(f["field"] == "net_qty", qty["value"]).when(f["field"] == "mrp", T.money_lenient(norm)).when(f["field"] == "usp", price["value"])
-    unit = F.when(f["field"] == "net_qty", qty["unit"]).when(f["field"] == "usp", price["unit"])
-    return F.struct(
-        f["field"].alias("field"), f["raw"].alias("raw"), value.alias("value_dec"), F.when(f["field"] == "mfg_date", T.month(norm)).alias("value_date"), unit.alias("unit"), f["x"].alias("x"), f["y"].alias("y"),
-        (f["x2"] - f["x"]).alias("w"), height.alias("h"), f["conf"].alias("conf"), F.when(mm_per_px > 0, F.bround(height * mm_per_px, 3)).alias("font_mm"),
-    ).cast(FIELD)
+    height, empty_date = f["y2"] - f["y"], none("date")
+    parsed = lambda value=none("decimal(14,4)"), date=empty_date, unit=none("string"): F.struct(value.alias("value"), date.alias("date"), unit.alias("unit"))  # noqa: E731, B008
+    measured = lambda x: parsed(x["value"], unit=x["unit"])
+    typed = {
+        "net_qty": lambda x: T.once(T.quantity(x), measured), "mrp": lambda x: parsed(T.money_lenient(x)), "usp": lambda x: T.once(T.unit_price(x), measured), "mfg_date": lambda x: parsed(date=T.month(x)),
+    }
+    read = lambda x: reduce(lambda out, name: out.when(f["field"] == name, typed[name](x)), typed, F.when(F.lit(False), parsed()))
+    return T.once(
+        F.when(f["field"].isin(*typed), T.once(T.squashed(f["raw"]), read)),
+        lambda v: F.struct(
+            f["field"].alias("field"), f["raw"].alias("raw"), v["value"].alias("value_dec"), v["date"].alias("value_date"), v["unit"].alias("unit"), f["x"].alias("x"), f["y"].alias("y"),
+            (f["x2"] - f["x"]).alias("w"), height.alias("h"), f["conf"].alias("conf"), F.when(mm_per_px > 0, F.bround(height * mm_per_px, 3)).alias("font_mm"),
+        ).cast(FIELD),
+    )
 
 
 def with_lines(scans: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -188,18 +200,15 @@ def with_fields(scans: DataFrame, tokens: str = "tokens", mm_per_px: str | None
     out = out.withColumn("__anchors", anchors)
     found = F.flatten(F.transform("__anchors", lambda a: F.flatten(F.transform(a["specs"], lambda s: regions_of(boxes, a, s)))))
     out = out.withColumn("__regions", F.sort_array(F.coalesce(found, empty(REGION))))
-    membered = F.transform("__regions", lambda r: r.withField("members", F.filter(read, lambda t: F.array_contains(r["places"], t["place"]))))
-    out = out.withColumn("__regions", membered)
-    out = out.withColumn("__regions", F.transform("__regions", lambda r: F.struct(r["spec"].alias("spec"), r["anchor"].alias("anchor"), taken_of(read, r).cast(TAKEN).alias("t"))))
-    out = out.withColumn("__taken", chosen(F.filter("__regions", lambda r: accepted(r["spec"], r["t"]["raw"]))))
+    out = out.withColumn("__taken", chosen(read, F.col("__regions")))
 
     # what is left: a unit price without an anchor, and the product name
     used = F.flatten(F.transform("__taken", lambda t: t["places"]))
     out = out.withColumn("__used", used).withColumn("__rest", F.filter(read, lambda t: (F.size(t["specs"]) == 0) & ~F.array_contains("__used", t["place"])))
     priced = F.exists("__taken", lambda t: t["field"] == "usp")
-    price = F.when(~priced, F.get(F.filter("__rest", lambda t: T.unit_price(T.squash(t["text"])).isNotNull()), F.lit(0)))
+    price = F.when(~priced, F.get(F.filter("__rest", lambda t: T.has(T.squashed(t["text"]), V.UNIT_PRICE)), F.lit(0)))
     out = out.withColumns({"__price": price, "__top": F.array_min(F.transform(read, lambda t: t["y"])), "__bottom": F.array_max(F.transform(read, lambda t: t["y2"]))})
-    named = F.filter("__rest", lambda t: (T.letters(t["text"]) >= V.LEAST_LETTERS) & ~F.coalesce(t["place"] == F.col("__price.place"), F.lit(False)))
+    named = F.filter("__rest", lambda t: T.lettered(t["text"], V.LEAST_LETTERS) & ~F.coalesce(t["place"] == F.col("__price.place"), F.lit(False)))
     best = F.array_min(F.transform(named, lambda t: name_rank(t, F.col("__top"), F.col("__bottom"))))
     out = out.withColumn("__name", F.get(read, best["place"]))
     more = F.filter(F.array(F.when(F.col("__price").isNotNull(), lone(F.col("__price"), "usp")), F.when(F.col("__name").isNotNull(), lone(F.col("__name"), "product_name"))), lambda x: x.isNotNull())

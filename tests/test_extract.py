@@ -160,3 +160,38 @@ def test_from_tokens_to_verdicts_nothing_is_shuffled(spark):
 
     plan = queries.audit_tokens(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan
+
+
+def test_a_text_is_normalised_and_searched_once(spark):
+    """Lambdas work out every mention of a value anew: each pattern stands once where it is needed."""
+    from pyspark.sql import functions as F
+
+    from labelaudit.functions import text as T
+    from labelaudit.operators import folds
+
+    row = spark.createDataFrame([(["Net Qty 5 g"],)], "t array<string>")
+    read = lambda f: row.select(F.transform("t", f).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert read(T.month).count("regexp_extract(") == 7 and read(T.quantity).count("regexp_extract(") == 2
+    wanted = read(lambda t: folds.accepted(F.lit(0) + F.length(t) % 7, t))
+    assert wanted.count("regexp_replace(") <= 5 and wanted.count("regexp_extract(") <= 11
+    assert read(lambda t: F.size(folds.specs_of(t))).count("RLIKE") == len(folds.SPECS)
+
+
+def test_anchors_begin_with_their_letters():
+    import re
+
+    for field, patterns in V.ANCHORS.items():
+        firsts = {x[0] for p in patterns for x in re.sub(r"^(?:\\b|\^)?(?:\(\?:)?", "", p).split("|")[: 2 if p.startswith("^") else 1]}
+        assert firsts == set(V.ANCHOR_LETTERS[field])
+
+
+def test_plain_texts_are_what_squash_leaves(spark):
+    from pyspark.sql import functions as F
+
+    from labelaudit.functions import text as T
+
+    texts = ["a b", "a  b", " a", "a ", "a\n", "\na", "a\tb", "", " ", "5 cm²", "₨ 5", "₹ 5", "a b", "é", "x " * 50_000 + "x", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.squash(F.col("t")).alias("s"), T.lettered(F.col("t"), 3).alias("l"), (T.letters(F.col("t")) >= 3).alias("n")).collect()
+    for r in rows:
+        whole = " ".join((r["t"] or "").replace("²", "2").replace("₨", "Rs").split())
+        assert r["s"] == (whole or None) and r["l"] == r["n"]
