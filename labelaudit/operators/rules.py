@@ -8,6 +8,7 @@ shuffle; only glyph widths (rule 7(3)) come from another table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -273,11 +274,12 @@ def font_check(pda: Column, blown: Column, height: Column, label: str, field: st
     return check("7", ok, message, field)
 
 
-def rules_font() -> Column:
+def rules_font(of: Callable[[Column], Column] = lambda c: c) -> Column:
+    """The findings of rule 7, or of each what `of` takes."""
     pda, blown = F.col("pda_cm2"), F.col("blown")
     none = check("7", F.lit(None).cast("boolean"), F.lit("PDA not computed (Stage 3 unavailable) — font heights not evaluated."), None)
-    both = F.array(font_check(pda, blown, F.col("height_net_qty"), "Net quantity", "net_qty"), font_check(pda, blown, F.col("height_mrp"), "MRP", "mrp"))
-    return F.when(pda.isNull(), F.array(none)).otherwise(both)
+    both = F.array(of(font_check(pda, blown, F.col("height_net_qty"), "Net quantity", "net_qty")), of(font_check(pda, blown, F.col("height_mrp"), "MRP", "mrp")))
+    return F.when(pda.isNull(), F.array(of(none))).otherwise(both)
 
 
 def glyph_checks(glyphs: DataFrame) -> DataFrame:
@@ -299,13 +301,19 @@ def glyph_check(glyphs: Column) -> Column:
     return F.when(F.size(glyphs) > 0, check("7(3)", F.size(bad) == 0, message, None))
 
 
-def checks_of() -> Column:
-    """All findings of a prepared row with exemption and glyph_check, in statutory order; none without any field."""
+def checks_of(status_only: bool = False) -> Column:
+    """All findings of a prepared row with exemption and glyph_check, in statutory order; none without any field.
+
+    status_only: their statuses alone; no message is put together.
+    """
+    kind = "string" if status_only else CHECK
+    of = (lambda c: c["status"]) if status_only else (lambda c: c)
     single = [rule_13(), rule_net_quantity(), rule_mrp(), rule_unit_price(), rule_date(), rule_address(), rule_origin(), rule_care(), rule_name()]
-    full = F.concat(F.array(*single), rules_font(), F.when(F.col("glyph_check").isNotNull(), F.array("glyph_check")).otherwise(F.array().cast(f"array<{CHECK}>")))
+    glyphs = F.when(F.col("glyph_check").isNotNull(), F.array(of(F.col("glyph_check")))).otherwise(F.array().cast(f"array<{kind}>"))
+    full = F.concat(F.array(*map(of, single)), rules_font(of), glyphs)
     free = check("26", F.lit(None).cast("boolean"), F.concat("exemption.note", F.lit(" Remaining Rule 6 declarations are not applicable.")), None)
     any_field = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in V.FIELDS])
-    return F.when(~any_field, F.array().cast(f"array<{CHECK}>")).when(F.coalesce("exemption.exempt", F.lit(False)), F.array(free)).otherwise(full)
+    return F.when(~any_field, F.array().cast(f"array<{kind}>")).when(F.coalesce("exemption.exempt", F.lit(False)), F.array(of(free))).otherwise(full)
 
 
 def audit(labels: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:

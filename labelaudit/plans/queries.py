@@ -444,7 +444,7 @@ def audit_tokens(spark, sf_dir):
     """From tokens to verdicts in one pass: the plan has no exchange."""
     found = folds.with_fields(token_arrays(spark, sf_dir), mm_per_px=None)
     rows = rules.prepared(found.select("*", *folds.label_columns()), ["fields"]).withColumns({"exemption": rules.exemption(), "glyph_check": F.lit(None).cast(rules.CHECK)})
-    rows = rows.select("scan_id", "fields", F.transform(rules.checks_of(), lambda c: c["status"]).alias("found"))
+    rows = rows.select("scan_id", "fields", rules.checks_of(status_only=True).alias("found"))
     count = lambda s: F.size(F.filter("found", lambda x: x == s)).cast("long")
     counted = rows.select("scan_id", folds.declared().alias("ok"), F.size("found").cast("long").alias("total"), count("PASS").alias("passed"), count("FAIL").alias("failed"), count("NA").alias("na"))
     verdict = F.when(~F.col("ok") | (F.col("total") == 0), "RETRY").when(F.col("failed") > 0, "VIOLATION").otherwise("PASS")

@@ -195,3 +195,10 @@ def test_plain_texts_are_what_squash_leaves(spark):
     for r in rows:
         whole = " ".join((r["t"] or "").replace("²", "2").replace("₨", "Rs").split())
         assert r["s"] == (whole or None) and r["l"] == r["n"]
+
+
+def test_verdicts_need_no_messages(spark):
+    from labelaudit.plans import queries
+
+    plan = queries.audit_tokens(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "No prohibited unit symbols" not in plan and "Date of manufacture" not in plan
