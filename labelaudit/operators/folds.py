@@ -236,5 +236,5 @@ def first_engine(tokens: Column) -> Column:
     """The tokens of the first engine, in fixed order, that gave any."""
     tiers = F.array(*[F.lit(t) for t in V.OCR_TIERS])
     rank = lambda t: F.array_position(tiers, t["engine"])
-    best = F.array_min(F.filter(F.transform(tokens, rank), lambda k: k > 0))
-    return F.filter(tokens, lambda t: rank(t) == best)
+    best = lambda all_of: F.array_min(F.filter(F.transform(all_of, rank), lambda k: k > 0))
+    return T.once(tokens, lambda all_of: T.once(best(all_of), lambda k: F.filter(all_of, lambda t: rank(t) == k)))

@@ -93,7 +93,7 @@ def read_tokens() -> Column:
 
 def audited(scans: DataFrame) -> DataFrame:
     """scans with tokens_read, fields, exemption and found (checks): folds and projections alone, nothing is shuffled."""
-    out = folds.with_fields(T.nfc_tokens(scans.withColumn("tokens_read", read_tokens()), "tokens_read"), "tokens_read", "mm_per_px")
+    out = folds.with_fields(T.nfc_tokens(scans, "tokens").withColumn("tokens_read", read_tokens()), "tokens_read", "mm_per_px")
     o = lambda c: F.col(f"options.{c}").alias(c)
     options = [o("institutional"), o("fast_food"), F.col("options.blown_or_molded").alias("blown"), o("commodity")]
     keep = [c for c in out.columns if c not in ("scan_id", "pda_cm2", "mm_per_px")]

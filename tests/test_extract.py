@@ -202,3 +202,15 @@ def test_verdicts_need_no_messages(spark):
 
     plan = queries.audit_tokens(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "No prohibited unit symbols" not in plan and "Date of manufacture" not in plan
+
+
+def test_the_first_engine_is_looked_for_once(spark):
+    from pyspark.sql import functions as F
+
+    from labelaudit.operators import folds
+
+    row = spark.createDataFrame([([("a", "tesseract"), ("b", "mlkit"), ("c", None), ("d", "mlkit")],), ([("a", "other")],), ([],), (None,)], "t array<struct<text:string,engine:string>>")
+    made = F.transform("t", lambda t: F.struct(F.upper(t["text"]).alias("text"), t["engine"].alias("engine")))
+    out = row.select(folds.first_engine(made).alias("x"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+    assert [None if r["x"] is None else [t["text"] for t in r["x"]] for r in out.collect()] == [["B", "D"], [], [], None]
