@@ -14,7 +14,9 @@ structure need about half of them. Every vector is indexed.
 
 Equal vectors are one entry with the ids that can matter (the k + 1 smallest), so a vector that a third of all rows
 share is one candidate. Entries lie in blocks: one first-half centroid, and at most about `BLOCK` entries by hash;
-queries meet a block once, in blocks of their own, and keep their k + 1 best of it.
+queries meet a block once, in parts of their own, and keep their k + 1 best of it. What queries ask grows with their
+number times that of centroids, so blocks and questions are shuffled to each other and merged; nothing of either goes
+through the driver, which holds the sample, the codebooks and the number of entries in each cell.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
 null ids. Ties go to the smaller id. A repeated row counts once. Fewer candidates than k give fewer rows, an empty
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelaudit.llm.common import partitions, stored, tune
+from labelaudit.llm.common import batch, partitions, stored, tune
 from labelaudit.llm.segments import gather
 
 TRAIN_ROWS, BLOCK, QUERY_BLOCK, TARGET, MOST_CENTROIDS = 8192, 2048, 1024, 0.97, 1024
@@ -39,6 +41,8 @@ WITNESSES, LEAST_SAMPLE = 8, 64
 #: Differences of squared distances that count as rounding, in parts of the squared lengths.
 ROUNDING = 1e-11
 ROUNDS = 10
+#: Queries whose walks, and pairs of vectors whose differences, are held at once.
+WALKS, DIFFERENCES = 32, 1 << 16
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -110,7 +114,10 @@ class MultiIndex:
         return tuple(nearest(part, book) for part, book in zip(self.halves(x), self.books, strict=True))
 
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
-        return [((part[:, None] - book[None]) ** 2).sum(2) for part, book in zip(self.halves(x), self.books, strict=True)]
+        some = [slice(at, at + WALKS) for at in range(0, max(len(x), 1), WALKS)]
+        return [
+            np.concatenate([((part[at, None] - book[None]) ** 2).sum(2) for at in some]) for part, book in zip(self.halves(x), self.books, strict=True)
+        ]
 
     def _reach(self, near: int, target: float, queries: int = 512) -> float:
         if len(self.sample) <= near + 1:
@@ -146,6 +153,37 @@ def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.maximum((q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1), 0)
 
 
+def compared(x: np.ndarray, cells: np.ndarray, y: np.ndarray, c2: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x and of y, and their distance: for each x the near + 1 nearest y of its cells, and those as near as the last.
+
+    cells: for each x which second-half centroids it visits; c2: that of each y. Vectors of other cells are not met.
+    """
+    order = np.argsort(c2, kind="stable")
+    y, c2 = y[order], c2[order]
+    x2, y2 = (x**2).sum(1), (y**2).sum(1)
+    rough = np.full((len(x), len(y)), np.nan)
+    cuts = [*np.flatnonzero(np.diff(c2, prepend=-1)), len(y)]
+    for begin, end in zip(cuts, cuts[1:], strict=False):
+        asks = np.flatnonzero(cells[:, c2[begin]])
+        rough[asks, begin:end] = y2[begin:end] - 2 * x[asks] @ y[begin:end].T
+    if len(y) > near + 1:
+        last = np.partition(rough, near, axis=1)[:, near]  # what is not met comes last
+        bound = np.where(np.isnan(last), np.inf, last + ROUNDING * (x2 + y2.max()))
+        row, col = np.nonzero(rough <= bound[:, None])
+    else:
+        row, col = np.nonzero(~np.isnan(rough))
+    some = [slice(at, at + DIFFERENCES) for at in range(0, max(len(row), 1), DIFFERENCES)]
+    exact = np.concatenate([np.sqrt(((y[col[at]] - x[row[at]]) ** 2).sum(1)) for at in some])
+    return row, order[col], exact
+
+
+def leading(row: np.ndarray, score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` smallest scores of each row, ties by id, in that order."""
+    order = np.lexsort((ids, score, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < most]
+
+
 def to_matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
@@ -177,65 +215,64 @@ def nearest_neighbours(vectors: DataFrame, is_query, near: int = 10, target: flo
     coded = stored(entries.mapInArrow(assign, "v array<float>, ids array<long>, entry long, c1 int, c2 int"), "ann-index")
     # at most MOST_CENTROIDS ** 2 cells
     counts = np.zeros([len(b) for b in index.books], np.int64)
-    for r in coded.groupBy("c1", "c2").count().collect():
-        counts[r["c1"], r["c2"]] = r["count"]
+    filled = coded.groupBy("c1", "c2").count().toArrow()
+    counts[filled["c1"].to_numpy(), filled["c2"].to_numpy()] = filled["count"].to_numpy()
 
     asked = rows.where(is_query(F.col("vec_id"))).distinct()
-    asked = stored(asked.join(entries.select("v", "entry"), "v").select("vec_id", "entry", "v"), "ann-queries")
+    asked = stored(asked.join(entries.select("v", "entry").hint("merge"), "v").select("vec_id", "entry", "v"), "ann-queries")
     queries = asked.groupBy("entry").agg(F.first("v").alias("v"))
     n_queries = queries.count()
 
     def plan(batches):
-        out = pa.schema([("c1", pa.int32()), ("query", pa.int64()), ("qv", pa.list_(pa.float32())), ("cells", pa.list_(pa.int32()))])
+        out = pa.schema([("c1", pa.int32()), ("query", pa.int64()), ("qv", pa.list_(pa.float32())), ("cells", pa.binary())])
         for b in batches:
-            q = to_matrix(b.column("v"))
-            first, second = index.distances(q)
-            within = index.within(q, first, second)
-            made = []
-            for k, (entry, v) in enumerate(zip(b.column("entry").to_pylist(), b.column("v").to_pylist(), strict=True)):
-                cells: dict[int, list[int]] = {}
-                for i, j in walk(first[k], second[k], counts, near + 1, within[k]):
-                    cells.setdefault(i, []).append(j)
-                made += [{"c1": i, "query": entry, "qv": v, "cells": js} for i, js in cells.items()]
-            yield pa.RecordBatch.from_pylist(made, schema=out)
-
-    planned = queries.repartition(partitions(spark), "entry").mapInArrow(plan, "c1 int, query long, qv array<float>, cells array<int>")
+            for at in range(0, b.num_rows, WALKS):
+                some = b.slice(at, WALKS)
+                q = to_matrix(some.column("v"))
+                first, second = index.distances(q)
+                within = index.within(q, first, second)
+                visited = np.zeros((len(q), *counts.shape), bool)
+                for k in range(len(q)):
+                    visited[(k, *zip(*walk(first[k], second[k], counts, near + 1, within[k]), strict=True))] = True
+                row, c1 = np.nonzero(visited.any(2))
+                bits = np.packbits(visited, axis=2)[row, c1]
+                vectors = pa.array(list(q.astype(np.float32)), pa.list_(pa.float32())).take(pa.array(row))
+                yield batch(out, c1, some.column("entry").take(pa.array(row)), vectors, [x.tobytes() for x in bits])
+
+    # by no key: a shuffle by one that rows already lie by would be left out, and all walks be one task
+    walkers = max(1, min(partitions(spark), -(-n_queries // WALKS)))
+    planned = queries.repartition(walkers).mapInArrow(plan, "c1 int, query long, qv array<float>, cells binary")
+    blocks = F.get(F.lit([max(1, -(-int(n) // BLOCK)) for n in counts.sum(1)]), F.col("c1"))
+    tile = partitions(spark), "c1", "block"
+    asking = planned.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).repartition(*tile)
     split = F.lit(max(1, -(-n_queries // QUERY_BLOCK)))
-    asking = planned.groupBy("c1", F.pmod(F.xxhash64("query"), split).alias("part")).agg(F.collect_list(F.struct("query", "qv", "cells")).alias("asking"))
-    sizes = spark.createDataFrame([(i, max(1, -(-int(n) // BLOCK))) for i, n in enumerate(counts.sum(1))], "c1 int, blocks int")
-    blocks = coded.join(F.broadcast(sizes), "c1").groupBy("c1", F.pmod(F.xxhash64("entry"), F.col("blocks")).alias("block"))
-    blocks = blocks.agg(F.collect_list(F.struct("v", "ids", "c2")).alias("held"))
+    asking = asking.groupBy("c1", "block", F.pmod(F.xxhash64("query"), split).alias("part"))
+    asking = asking.agg(F.collect_list(F.struct("query", "qv", "cells")).alias("asking"))
+    held = coded.withColumn("block", F.pmod(F.xxhash64("entry"), blocks).cast("int")).repartition(*tile)
+    held = held.groupBy("c1", "block").agg(F.collect_list(F.struct("v", "ids", "c2")).alias("held"))
 
     def rerank(batches):
         out = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         for b in batches:
             for asking_row, held_row in zip(b.column("asking"), b.column("held"), strict=True):
                 q, h = asking_row.values, held_row.values
-                x, y = to_matrix(q.field("qv")), to_matrix(h.field("v"))
-                c2, ids = h.field("c2").to_numpy(), h.field("ids").to_pylist()
-                order = np.argsort(c2, kind="stable")
-                y, y2, c2 = y[order], (y[order] ** 2).sum(1), c2[order]
-                found: list[tuple[int, int, float]] = []
-                names = q.field("query").to_pylist()
-                for k, cells in enumerate(q.field("cells").to_pylist()):
-                    begin, end = np.searchsorted(c2, cells), np.searchsorted(c2, cells, side="right")
-                    mine = gather(begin, end - begin)
-                    if len(mine) > near + 1:
-                        rough = y2[mine] - 2 * (y[mine] @ x[k])
-                        bound = np.partition(rough, near)[near] + ROUNDING * (float(x[k] @ x[k]) + float(y2[mine].max()))
-                        mine = mine[rough <= bound]
-                    exact = np.sqrt(((y[mine] - x[k]) ** 2).sum(1))
-                    best = sorted((float(d), i) for d, m in zip(exact, order[mine], strict=True) for i in ids[m])[: near + 1]
-                    found += [(names[k], i, d) for d, i in best]
-                cols = list(zip(*found, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
-
-    met = asking.join(blocks, "c1").select("asking", "held").repartition(partitions(spark))
-    found = met.mapInArrow(rerank, "query long, vec_id long, score double")
+                bits = np.frombuffer(b"".join(q.field("cells").to_pylist()), np.uint8).reshape(len(q), -1)
+                met = to_matrix(q.field("qv")), np.unpackbits(bits, axis=1), to_matrix(h.field("v")), h.field("c2").to_numpy()
+                row, col, score = compared(*met, near)
+                ids, lengths = h.field("ids").flatten().to_numpy(), h.field("ids").value_lengths().to_numpy()
+                begin = np.cumsum(lengths) - lengths
+                # an entry's smallest id stands first, so entries in this order hold the ids in it
+                best = leading(row, score, ids[begin[col]], near + 1)
+                row, col, score = row[best], col[best], score[best]
+                ids, row, score = ids[gather(begin[col], lengths[col])], np.repeat(row, lengths[col]), np.repeat(score, lengths[col])
+                best = leading(row, score, ids, near + 1)
+                yield batch(out, q.field("query").to_numpy()[row[best]], ids[best], score[best])
+
+    found = asking.join(held.hint("merge"), ["c1", "block"]).select("asking", "held").mapInArrow(rerank, "query long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     found = found.withColumn("place", best).where(F.col("place") <= near + 1)
     tops = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("top"))
-    answered = asked.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query")).join(tops, "query")
+    answered = asked.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query")).join(tops.hint("merge"), "query")
     others = F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, near)
     ranked = answered.select("query_id", F.posexplode(others).alias("rank", "hit"))
     return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), "hit.vec_id", "hit.score")

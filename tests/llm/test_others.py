@@ -111,6 +111,49 @@ def test_op2_visits_few_of_clustered_vectors(spark):
     assert seen < 0.3 * len(x) * len(q)
 
 
+def test_op2_sends_no_table_to_the_driver(spark):
+    """What queries ask is far larger than Spark takes it for, so no join may broadcast it; walks are dealt to all tasks."""
+    df, rows = vectors(spark)
+    found = op2_multi_index.nearest_neighbours(df, lambda v: v % 2 == 0)
+    plans = [found._jdf.queryExecution().executedPlan().toString()]
+    assert {r["query_id"] for r in found.collect()} == {*range(0, 440, 2)}
+    plans += [found._jdf.queryExecution().executedPlan().toString()]
+    for plan in plans:
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert "RoundRobinPartitioning(4)" in plan
+
+
+def test_op2_distances_are_the_same_a_few_rows_at_once():
+    rnd = np.random.default_rng(1)
+    index = op2_multi_index.MultiIndex(rnd.normal(size=(300, 7)), 300, 10)
+    x = rnd.normal(size=(3 * op2_multi_index.WALKS + 5, 7))
+    for part, book, d in zip(index.halves(x), index.books, index.distances(x), strict=True):
+        assert (d == ((part[:, None] - book[None]) ** 2).sum(2)).all()
+    assert [d.shape for d in index.distances(x[:0])] == [(0, len(book)) for book in index.books]
+
+
+def test_op2_tile_meets_visited_cells_only():
+    """The nearest of each query's own cells, with all ties of the last; a query may find fewer than asked for, or none."""
+    rnd = np.random.default_rng(2)
+    y = rnd.integers(0, 3, (500, 4)).astype(float)
+    x, c2 = y[:40] + 0.0, rnd.integers(0, 20, 500)
+    cells = rnd.random((40, 20)) < 0.4
+    cells[0], cells[1], cells[2] = True, False, np.arange(20) == c2[2]
+    for held in (500, 30, 5):
+        row, col, d = op2_multi_index.compared(x, cells, y[:held], c2[:held], 10)
+        for k in range(40):
+            exact = np.sqrt(((y[:held] - x[k]) ** 2).sum(1))
+            mine = np.flatnonzero(cells[k, c2[:held]])
+            last = np.sort(exact[mine])[min(10, len(mine) - 1)] if len(mine) else 0
+            assert sorted(col[row == k]) == [i for i in mine if exact[i] <= last]
+            assert (d[row == k] == exact[col[row == k]]).all()
+
+
+def test_op2_leading_rows():
+    row, score, ids = np.array([1, 0, 1, 1, 0]), np.array([2.0, 1.0, 2.0, 0.5, 1.0]), np.array([7, 9, 3, 8, 4])
+    assert op2_multi_index.leading(row, score, ids, 2).tolist() == [4, 1, 3, 2]
+
+
 def test_op4_held_out_accuracy(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
