@@ -8,9 +8,10 @@ ties are decided by id.
 Centroids are fitted on at most `TRAIN_ROWS` distinct vectors (those with the smallest hashes). A walk ends by its own
 query: the summed distance of the farthest cell of the query's `WITNESSES` nearest sample vectors says in which cells
 its neighbours lie, and cells are visited up to `reach` times that, and until they hold more vectors than are asked
-for. The factor is fitted as the least with which `TARGET` of the nearest neighbours within the sample are found, from
-a part of the sample as great as the sample is of all. So a query in a cluster visits few cells; vectors without
-structure need about half of them. Every vector is indexed.
+for. The factor is the least with which `TARGET` of the true nearest neighbours of `FIT_QUERIES` vectors are found (those
+next in the order of hashes, which no centroid was fitted to; if the sample is all vectors, some of them). They are
+looked for among all vectors, in one pass: how far they lie beyond the sample's own can't be told from the sample. So a
+query in a cluster visits few cells; vectors without structure need about half of them. Every vector is indexed.
 
 Equal vectors are one entry with the ids that can matter (the k + 1 smallest), so a vector that a third of all rows
 share is one candidate. Entries lie in blocks: one first-half centroid, and at most about `BLOCK` entries by hash;
@@ -36,8 +37,8 @@ from labelaudit.llm.common import batch, partitions, stored, tune
 from labelaudit.llm.segments import gather
 
 TRAIN_ROWS, BLOCK, QUERY_BLOCK, TARGET, MOST_CENTROIDS = 8192, 2048, 1024, 0.97, 1024
-#: Nearest sample vectors that tell a query's cells, and the least sample for that in a fit.
-WITNESSES, LEAST_SAMPLE = 8, 64
+#: Nearest sample vectors that tell a query's cells, and queries that the factor is fitted to.
+WITNESSES, FIT_QUERIES = 8, 512
 #: Differences of squared distances that count as rounding, in parts of the squared lengths.
 ROUNDING = 1e-11
 ROUNDS = 10
@@ -103,9 +104,11 @@ class MultiIndex:
         k = int(np.clip(np.sqrt(entries / 8), 2, MOST_CENTROIDS))
         self.books = [kmeans(part, k) for part in self.halves(sample)]
         self.sample, self.cells = sample, self.codes(sample)
-        #: What part of all vectors the sample is.
-        self.part = min(1.0, len(sample) / max(entries, 1))
-        self.reach = self._reach(near, target)
+        self.reach = np.inf
+        if len(sample) > max(near, WITNESSES) + 1:
+            q = sample[np.linspace(0, len(sample) - 1, min(FIT_QUERIES, len(sample))).astype(int)]
+            truth = np.argsort(squared(q, sample), axis=1, kind="stable")[:, 1 : near + 1]
+            self.fit(q, np.repeat(np.arange(len(q)), truth.shape[1]), *(c[truth.ravel()] for c in self.cells), target)
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
@@ -119,23 +122,18 @@ class MultiIndex:
             np.concatenate([((part[at, None] - book[None]) ** 2).sum(2) for at in some]) for part, book in zip(self.halves(x), self.books, strict=True)
         ]
 
-    def _reach(self, near: int, target: float, queries: int = 512) -> float:
-        if len(self.sample) <= near + 1:
-            return np.inf
-        q = self.sample[np.linspace(0, len(self.sample) - 1, min(queries, len(self.sample))).astype(int)]
+    def fit(self, q: np.ndarray, row: np.ndarray, c1: np.ndarray, c2: np.ndarray, target: float = TARGET) -> None:
+        """The reach with which `target` of the nearest vectors of queries, in cells (c1, c2) for q[row], are found."""
         first, second = self.distances(q)
-        truth = np.argsort(squared(q, self.sample), axis=1, kind="stable")[:, 1 : near + 1]
-        sums = np.take_along_axis(first[:, self.cells[0]] + second[:, self.cells[1]], truth, 1)
-        witnessed = self._witnessed(q, first, second, max(LEAST_SAMPLE, int(self.part * len(self.sample))))
-        needed = np.sort((sums / np.maximum(witnessed, 1e-300)[:, None]).ravel())
-        return float(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))])
-
-    def _witnessed(self, q: np.ndarray, first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
-        """The largest summed distance of the cells of each query's nearest vectors among the sample's first `size`."""
-        sample = self.sample[:size]
-        if len(sample) <= WITNESSES + 1:
+        needed = np.sort((first[row, c1] + second[row, c2]) / np.maximum(self._witnessed(q, first, second), 1e-300)[row])
+        if len(needed):
+            self.reach = float(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))])
+
+    def _witnessed(self, q: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The largest summed distance of the cells of each query's nearest vectors in the sample."""
+        if len(self.sample) <= WITNESSES + 1:
             return np.full(len(q), np.inf)
-        exact = squared(q, sample)
+        exact = squared(q, self.sample)
         at = np.argpartition(exact, WITNESSES, axis=1)[:, : WITNESSES + 1]
         at = np.take_along_axis(at, np.argsort(np.take_along_axis(exact, at, 1), axis=1), 1)
         row = np.arange(len(q))
@@ -145,7 +143,7 @@ class MultiIndex:
 
     def within(self, q: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Up to which summed distance each query visits cells, given its distances to the centroids."""
-        return self.reach * self._witnessed(q, first, second, len(self.sample))
+        return self.reach * self._witnessed(q, first, second)
 
 
 def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -189,6 +187,28 @@ def to_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
+def true_neighbours(coded: DataFrame, q: np.ndarray, own: np.ndarray, near: int) -> DataFrame:
+    """row, distance (squared), c1, c2: the nearest entries of each row of q but its own one, all entries gone through."""
+
+    def search(batches):
+        out = pa.schema([("row", pa.int32()), ("distance", pa.float64()), ("c1", pa.int32()), ("c2", pa.int32())])
+        held = np.full((len(q), near), np.inf), np.zeros((len(q), near), np.int32), np.zeros((len(q), near), np.int32)
+        for b in batches:
+            if b.num_rows:
+                distance = squared(q, to_matrix(b.column("v")))
+                distance[own[:, None] == b.column("entry").to_numpy()] = np.inf
+                met = distance, *(np.broadcast_to(b.column(c).to_numpy(), distance.shape) for c in ("c1", "c2"))
+                met = [np.concatenate(two, axis=1) for two in zip(held, met, strict=True)]
+                at = np.argpartition(met[0], near - 1, axis=1)[:, :near]
+                held = tuple(np.take_along_axis(x, at, 1) for x in met)
+        row, place = np.nonzero(np.isfinite(held[0]))
+        yield batch(out, row, *(x[row, place] for x in held))
+
+    found = coded.mapInArrow(search, "row int, distance double, c1 int, c2 int")
+    place = F.row_number().over(Window.partitionBy("row").orderBy("distance", "c1", "c2"))
+    return found.withColumn("place", place).where(F.col("place") <= near).drop("place")
+
+
 def nearest_neighbours(vectors: DataFrame, is_query, near: int = 10, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score for the rows for which is_query (a column of vec_id) holds, against all rows."""
     spark = vectors.sparkSession
@@ -203,8 +223,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, near: int = 10, target: flo
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    sample = entries.orderBy(F.xxhash64("v"), "entry").limit(TRAIN_ROWS).select("v").toArrow()
-    index = MultiIndex(to_matrix(sample.column("v").combine_chunks()), total, near, target)
+    sample = entries.orderBy(F.xxhash64("v"), "entry").limit(TRAIN_ROWS + FIT_QUERIES).select("v", "entry").toArrow()
+    index = MultiIndex(to_matrix(sample.slice(0, TRAIN_ROWS).column("v").combine_chunks()), total, near, target)
 
     def assign(batches):
         for b in batches:
@@ -213,6 +233,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, near: int = 10, target: flo
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "c1", "c2"])
 
     coded = stored(entries.mapInArrow(assign, "v array<float>, ids array<long>, entry long, c1 int, c2 int"), "ann-index")
+    if total > TRAIN_ROWS:
+        fitted = sample.slice(max(0, sample.num_rows - FIT_QUERIES))
+        q = to_matrix(fitted.column("v").combine_chunks())
+        cells = true_neighbours(coded, q, fitted.column("entry").to_numpy(), near).toArrow()
+        index.fit(q, *(cells.column(c).to_numpy() for c in ("row", "c1", "c2")), target)
     # at most MOST_CENTROIDS ** 2 cells
     counts = np.zeros([len(b) for b in index.books], np.int64)
     filled = coded.groupBy("c1", "c2").count().toArrow()

@@ -149,6 +149,36 @@ def test_op2_tile_meets_visited_cells_only():
             assert (d[row == k] == exact[col[row == k]]).all()
 
 
+def test_op2_finds_neighbours_that_lie_nearer_than_any_of_the_sample(spark, monkeypatch):
+    """A sample with many vectors of each cluster, and a part of it as great as the sample is of all with a few."""
+    monkeypatch.setattr(op2_multi_index, "TRAIN_ROWS", 512)
+    rnd = np.random.default_rng(1)
+    centres = rnd.normal(size=(20, 24))
+    x = (centres[np.arange(8000) % 20] + 0.1 * rnd.normal(size=(8000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = op2_multi_index.nearest_neighbours(df, lambda v: v % 100 == 0).collect()
+    x, hits = x.astype(float), 0
+    for q in range(0, 8000, 100):
+        truth = np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:11]
+        hits += len({r["vec_id"] for r in found if r["query_id"] == q} & set(truth.tolist()))
+    assert hits >= 0.9 * 10 * 80
+
+
+def test_op2_true_neighbours(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(300, 6)).astype(np.float32)
+    c1, c2 = rnd.integers(0, 5, 300), rnd.integers(0, 5, 300)
+    coded = spark.createDataFrame([(i, v.tolist(), int(c1[i]), int(c2[i])) for i, v in enumerate(x)], "entry long, v array<float>, c1 int, c2 int").repartition(5)
+    x = x.astype(float)
+    found = op2_multi_index.true_neighbours(coded, x[7:9], np.array([7, 8]), 10).collect()
+    for k, q in enumerate((7, 8)):
+        d = ((x - x[q]) ** 2).sum(1)
+        truth = np.argsort(d)[1:11]
+        mine = sorted((r["distance"], r["c1"], r["c2"]) for r in found if r["row"] == k)
+        assert [m[1:] for m in mine] == [(c1[i], c2[i]) for i in truth]
+        assert [m[0] for m in mine] == pytest.approx(d[truth].tolist())
+
+
 def test_op2_leading_rows():
     row, score, ids = np.array([1, 0, 1, 1, 0]), np.array([2.0, 1.0, 2.0, 0.5, 1.0]), np.array([7, 9, 3, 8, 4])
     assert op2_multi_index.leading(row, score, ids, 2).tolist() == [4, 1, 3, 2]
